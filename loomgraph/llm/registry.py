@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import sharding, topk, url_filter
+from loomgraph.llm import language, quality, sharding, topk, url_filter
 from loomgraph.llm.sql import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
+        "op4_language_id": language.op4_language_id,
         "op3_exact_topk": topk.op3_exact_topk,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_sharding": sharding.op6_sharding,
