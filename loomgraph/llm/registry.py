@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language, quality, sharding, topk, url_filter
+from loomgraph.llm import language, packing, quality, sharding, topk, url_filter
 from loomgraph.llm.sql import ORACLES
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_topk": topk.op3_exact_topk,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_sharding": sharding.op6_sharding,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
