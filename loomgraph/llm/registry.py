@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language, packing, quality, sharding, topk, url_filter
+from loomgraph.llm import language, packing, pieces, quality, sharding, topk, url_filter
 from loomgraph.llm.sql import ORACLES
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op4_language_id": language.op4_language_id,
+        "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_exact_topk": topk.op3_exact_topk,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_sharding": sharding.op6_sharding,
