@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import embedding_dedup, language, packing, pieces, quality, sharding, topk, url_filter
+from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, topk, url_filter
 from loomgraph.llm.sql import ORACLES
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_topk": topk.op3_exact_topk,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_sharding": sharding.op6_sharding,
+        "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
         "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
