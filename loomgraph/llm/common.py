@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +44,28 @@ def _sweep() -> None:
             return
 
 
+#: Bytes of an Arrow batch on its way to Python, so that rows of long texts do not fill a worker.
+BATCH = "16m"
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Arrow batches of at most ``BATCH`` while the block runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
