@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, topk, url_filter
+from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, suffix_dedup, topk, url_filter
 from loomgraph.llm.sql import ORACLES
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
         "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
     }
 
 
