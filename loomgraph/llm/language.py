@@ -210,10 +210,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (``und``: no letter, or nothing learned) go; ``lang`` stays as it was."""
-    model = fit(docs)
+    model, names = fit(docs), docs.columns
 
     def finish(batch: pa.RecordBatch, lang: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
         kept = batch.filter(pa.array(lang != UNKNOWN))
-        return pa.RecordBatch.from_arrays(kept.columns[:-2], names=docs.columns)
+        return pa.RecordBatch.from_arrays(kept.columns[:-2], names=names)
 
     return _predict(docs, model, (docs.schema, docs.columns), finish)
