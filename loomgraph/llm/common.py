@@ -60,9 +60,15 @@ def bounded_batches(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``narrow`` tables (ids, links) are a small share of the data: a sixteenth
+    of the shuffle partitions writes them, so they do not fall into tiny files.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(6, n_parts(spark) // 16))
     path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
     with bounded_batches(spark):
         df.write.parquet(path)
@@ -133,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u != v").distinct()
-    e = written(e, "links")
+    e = written(e, "links", narrow=True)
     mark = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -145,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct()
-        done, e = e, written(small, "links")
+        done, e = e, written(small, "links", narrow=True)
         dropped(done)
 
 

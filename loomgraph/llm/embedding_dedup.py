@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     table = written(decoded(valid, largest, threshold), "filters")
     total = table.agg(F.sum(F.size("filters"))).first()[0]
     each = table.withColumn("filter", F.explode("filters"))
-    full = written(each.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 2 * CHUNK), "full")
+    full = written(each.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 2 * CHUNK), "full", narrow=True)
     chunk = F.lit(0).cast("long")
     each = each.withColumn("chunk", chunk).withColumn("one", chunk).withColumn("two", chunk)
     if not full.isEmpty():
@@ -223,7 +223,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         each = each.withColumn("one", F.least("chunk", "__other")).withColumn("two", F.greatest("chunk", "__other")).drop("__n", "__parts", "__other")
     groups = max(1, -(-total // GROUP))
     each = each.withColumn("g", F.pmod(F.xxhash64("label", "dim", "filter", "one", "two"), F.lit(groups)))
-    found = written(each.groupBy("g").applyInArrow(_verify(threshold), "u long, v long, n long"), "joined")
+    found = written(each.groupBy("g").applyInArrow(_verify(threshold), "u long, v long, n long"), "joined", narrow=True)
     free_shuffles(table.sparkSession)
     links = found.groupBy("u").agg(F.sum("n").alias("n")).filter("n > 0")
     comp = components(found.filter("u != v").select("u", "v"))

@@ -186,7 +186,8 @@ def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
             key, ident, home = key[order], ident[order], home[order]
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             extra = [b""] * buckets, [b""] * buckets
-            extra[0][0], extra[1][0] = pairs.tobytes(), large.tobytes()
+            spot = int(key[0] % np.uint64(buckets))
+            extra[0][spot], extra[1][spot] = pairs.tobytes(), large.tobytes()
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(buckets), pa.int32()),
                 *[pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (key, ident, home)],
@@ -278,7 +279,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     table = written(described(docs, k), "sets")
     total = table.agg(F.sum("n")).first()[0] or 0
     classes = table.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in _ROW])
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", narrow=True)
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     buckets = max(n_parts(spark), math.ceil(total / 3 / BUCKET))
     met = written(_emit(docs, k, bands, buckets).groupBy("bucket").applyInArrow(_meet, "large boolean, a long, b long"), "met")
@@ -287,33 +288,33 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     far = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _ROW), F.lit(0))
     pairs = met.filter("not large").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter("r_a != r_b")
     pairs = pairs.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (far * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)))
-    pairs = written(pairs.select(F.least("r_a", "r_b").alias("u"), F.greatest("r_a", "r_b").alias("v")).distinct(), "pairs")
+    pairs = written(pairs.select(F.least("r_a", "r_b").alias("u"), F.greatest("r_a", "r_b").alias("v")).distinct(), "pairs", narrow=True)
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = written(text.join(needed, "doc_id", "left_semi"), "texts")
     free_shuffles(spark)
     # first each document and its smallest partner; then only what that leaves unconnected
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = written(_verified(first, texts, k, num, den), "first")
-    comp = written(components(links), "connected")
+    links = written(_verified(first, texts, k, num, den), "first", narrow=True)
+    comp = written(components(links), "connected", narrow=True)
     rest = _apart(pairs.join(first, ["u", "v"], "left_anti"), comp)
-    more = written(_verified(rest, texts, k, num, den), "more")
+    more = written(_verified(rest, texts, k, num, den), "more", narrow=True)
     dropped(texts)
     if not more.isEmpty():
         links = links.union(more)
-        comp = written(components(links), "connected")
+        comp = written(components(links), "connected", narrow=True)
     large = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("f1")).distinct()
     if not large.isEmpty():
         member = large.join(classes, "f1").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumnRenamed("rep", "id")
-        member = written(member, "members")
+        member = written(member, "members", narrow=True)
         split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
         groups = n_parts(spark)
         found = member.join(split, "key").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups * 8))).groupBy("g").applyInArrow(_cross(num, den), "u long, v long")
-        found = written(found.distinct().join(pairs, ["u", "v"], "left_anti"), "crossing")
+        found = written(found.distinct().join(pairs, ["u", "v"], "left_anti"), "crossing", narrow=True)
         if not found.isEmpty():
             needed = found.select(F.col("u").alias("doc_id")).union(found.select("v")).distinct()
             texts = written(text.join(needed, "doc_id", "left_semi"), "texts")
-            comp = written(components(links.union(_verified(found, texts, k, num, den))), "connected")
+            comp = written(components(links.union(_verified(found, texts, k, num, den))), "connected", narrow=True)
             dropped(texts)
     rep = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.join(rep, ["n_shingles", "f1", "f2"], "left")
@@ -336,7 +337,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A doc_id that is repeated stays once.
     """
-    found = written(jaccard_components(docs, 5, 8, 10), "components")
+    found = written(jaccard_components(docs, 5, 8, 10), "components", narrow=True)
     goes = found.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
     twice = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("doc_id")

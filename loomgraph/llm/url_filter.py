@@ -100,12 +100,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     """
     url, html = F.col("url"), F.col("html")
     d = pages.select("page_id", url, html)
-    raw = written(d.select(url.alias("from_url"), F.explode(link_targets(html)).alias("to")), "links")  # few rows; keeps later filters off the tag search
+    raw = written(d.select(url.alias("from_url"), F.explode(link_targets(html)).alias("to")), "links", narrow=True)  # few rows; keeps later filters off the tag search
     links = raw.select("from_url", resolved(F.col("from_url"), F.col("to")).alias("to_url"))
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url"))
     links = links.select(F.col("from_url"), F.col("to_url"), node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).filter("a is not null and b is not null and a != b").distinct()
-    links = written(links, "aliases")
+    links = written(links, "aliases", narrow=True)
     plain = d.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     plain = plain.withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
     own = [F.col("page_id"), F.col("host"), F.col("path"), F.col("__r.rule").alias("rule")]
@@ -113,14 +113,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
         return plain.select(*own, F.coalesce(F.col("__r.verdict"), F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("component"))
     # nodes are named by a 64-bit hash for the component search only where it is unique
     ends = links.select(F.col("from_url").alias("u"), F.col("a").alias("node")).union(links.select("to_url", "b")).distinct()
-    ids = written(ends.select("node").distinct().withColumn("id", F.xxhash64("node")), "nodes")
+    ids = written(ends.select("node").distinct().withColumn("id", F.xxhash64("node")), "nodes", narrow=True)
     if ids.count() != ids.select("id").distinct().count():
         from pyspark.sql import Window
 
         twice = F.row_number().over(Window.partitionBy("id").orderBy("node"))
-        ids = written(ids.withColumn("id", F.when(twice == 1, F.col("id")).otherwise(F.xxhash64("node", twice))), "nodes")
+        ids = written(ids.withColumn("id", F.when(twice == 1, F.col("id")).otherwise(F.xxhash64("node", twice))), "nodes", narrow=True)
     edges = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("i")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
-    comp = written(components(edges).join(ids, "id").select("node", "component"), "aliased")
+    comp = written(components(edges).join(ids, "id").select("node", "component"), "aliased", narrow=True)
     ruled = ends.withColumn("__r", rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)).select("node", F.col("__r.verdict").alias("v")).filter("v is not null").distinct()
     decided = comp.join(ruled, "node").groupBy("component").agg(F.min("v").alias("__v"))  # "allow" < "block"
     by_node = comp.join(decided, "component", "left").select("node", "component", "__v")
