@@ -1,15 +1,41 @@
-"""The engine's own queries and their SQL."""
+"""The engine's queries over the projected tables, and the SQL that each must equal."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
 
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its own name, with DuckDB SQL if there is any."""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from loomgraph.plans import queries_change, queries_graph, queries_overlay, queries_text  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers of one name over the resolved edge table."""
+    return queries()["callers_of"](spark, sf_dir)
