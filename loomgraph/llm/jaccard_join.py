@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, docs_of, dropped, free_shuffles, n_parts, written
@@ -241,30 +241,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return p.select("u", "v", "ta", "tb").mapInArrow(run, "u long, v long").distinct()
 
 
-def _cross(num: int, den: int):
-    """Pairs of members of a group that are not connected and that the dense sketch does not part."""
+#: Members of a large group that one task compares; rounds that look at nearest members only, keys of a
+#: document and partners per key in such a round.
+CHUNK, ROUNDS, KEYS, NEAREST = 4096, 4, 3, 4
+
+
+def _cross(num: int, den: int, nearest: int | None):
+    """Pairs of members of a group that are not connected and that the dense sketch does not part.
+
+    With ``nearest``, only so many closest ones of each member; else every pair, reported by the smallest key that both have.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "component")}
+        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "two", "chunk", "id", "n", "component")}
         sketch = np.stack([table.column(s).to_numpy(zero_copy_only=False) for s in _ROW], 1).view(np.uint64)
-        order = np.lexsort((col["id"], col["key"]))
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(col["key"][order])) + 1, [len(order)]])
-        out = []
+        lists = table.column("keys").combine_chunks()
+        at, flat = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False)
+        order = np.lexsort((col["id"], col["two"], col["one"], col["key"]))
+        keys = np.stack([col[c][order] for c in ("key", "one", "two")])
+        edge = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [len(order)]])
+        out = [np.empty((2, 0), np.int64)]
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             rows = order[lo:hi]
+            ids, comp, n, chunk = (col[c][rows] for c in ("id", "component", "n", "chunk"))
+            if comp.min() == comp.max():
+                continue
+            across, key = col["one"][rows[0]] != col["two"][rows[0]], col["key"][rows[0]]
+            known: dict[int, frozenset] = {}
             for s in range(0, len(rows), 256):
-                a = rows[s : s + 256]
-                total = col["n"][a][:, None] + col["n"][rows][None, :]
-                far = np.bitwise_count(sketch[a][:, None, :] ^ sketch[rows][None, :, :]).sum(2, dtype=np.int64)
-                near = (far * (den + num) <= total * (den - num)) & (col["component"][a][:, None] != col["component"][rows][None, :]) & (col["id"][a][:, None] < col["id"][rows][None, :])
-                i, j = np.nonzero(near)
-                out.append(np.stack([col["id"][a[i]], col["id"][rows[j]]]))
-        pair = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((2, 0), np.int64)
+                a = slice(s, s + 256)
+                far = np.zeros((len(ids[a]), len(rows)), np.int64)
+                for w in range(LONGS):
+                    far += np.bitwise_count(sketch[rows[a], w][:, None] ^ sketch[rows, w][None, :])
+                near = (far * (den + num) <= (n[a][:, None] + n[None, :]) * (den - num)) & (comp[a][:, None] != comp[None, :])
+                if across:
+                    near &= chunk[a][:, None] != chunk[None, :]
+                if nearest:
+                    far = np.where(near, far, 1 << 40)
+                    j = np.argsort(far, axis=1, kind="stable")[:, :nearest]
+                    i = np.repeat(np.arange(len(j)), j.shape[1])
+                    j = j.ravel()
+                    ok = near[i, j]
+                    i, j = i[ok] + s, j[ok]
+                else:
+                    i, j = np.nonzero(near)
+                    i = i + s
+                    ok = ids[i] < ids[j]
+                    i, j = i[ok], j[ok]
+                    for x in np.unique(np.concatenate([i, j])).tolist():
+                        if x not in known:
+                            known[x] = frozenset(flat[at[rows[x]] : at[rows[x] + 1]].tolist())
+                    first = np.array([min(known[x] & known[y]) == key for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[first], j[first]
+                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
+        pair = np.unique(np.concatenate(out, 1), axis=1)
         return pa.table({"u": pa.array(pair[0], pa.int64()), "v": pa.array(pair[1], pa.int64())})
 
     return run
 
 
+def _completed(members: DataFrame, links: DataFrame, comp: DataFrame, tested: DataFrame, verify, num: int, den: int) -> DataFrame:
+    """Components after all links inside large groups are known.
+
+    ``members`` (key, id, n, sketch, keys). First some rounds look only at each member's nearest unconnected ones, which joins
+    most of a group of near-copies by few pairs; the last looks at every pair that is still apart.
+    """
+    n = n_parts(members.sparkSession)
+    for k in range(ROUNDS + 1):
+        last = k == ROUNDS
+        m = members.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("__m")).filter("lo != hi")
+        m = m.join(split.select("key", "__m"), "key")
+        parts = F.ceil(F.col("__m") / CHUNK).cast("long")
+        m = m.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(k)), parts))
+        if last:
+            m = m.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+            m = m.withColumn("one", F.least("chunk", "__o")).withColumn("two", F.greatest("chunk", "__o"))
+        else:
+            w = Window.partitionBy("id").orderBy(F.xxhash64("key", F.lit(k)))
+            m = m.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= KEYS).withColumn("one", F.col("chunk")).withColumn("two", F.col("chunk"))
+        m = m.withColumn("g", F.pmod(F.xxhash64("key", "one", "two"), F.lit(4 * n)))
+        found = m.groupBy("g").applyInArrow(_cross(num, den, None if last else NEAREST), "u long, v long").distinct()
+        found = written(found.join(tested, ["u", "v"], "left_anti"), "crossing", narrow=True)
+        if found.isEmpty():
+            if last:
+                break
+            continue
+        new = verify(found)
+        tested = written(tested.union(found), "tested", narrow=True)
+        if not new.isEmpty():
+            links = links.union(new)
+            comp = written(components(links), "connected", narrow=True)
+    return comp
+
+
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -305,17 +375,18 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
         comp = written(components(links), "connected", narrow=True)
     large = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("f1")).distinct()
     if not large.isEmpty():
-        member = large.join(classes, "f1").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumnRenamed("rep", "id")
-        member = written(member, "members", narrow=True)
-        split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-        groups = n_parts(spark)
-        found = member.join(split, "key").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups * 8))).groupBy("g").applyInArrow(_cross(num, den), "u long, v long")
-        found = written(found.distinct().join(pairs, ["u", "v"], "left_anti"), "crossing", narrow=True)
-        if not found.isEmpty():
-            needed = found.select(F.col("u").alias("doc_id")).union(found.select("v")).distinct()
-            texts = written(text.join(needed, "doc_id", "left_semi"), "texts")
-            comp = written(components(links.union(_verified(found, texts, k, num, den))), "connected", narrow=True)
+        member = large.join(classes, "f1").select("key", F.col("rep").alias("id"), "n", *_ROW)
+        listed = member.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        member = written(member.join(listed, "id"), "members")
+
+        def verify(found: DataFrame) -> DataFrame:
+            wanted = found.select(F.col("u").alias("doc_id")).union(found.select("v")).distinct()
+            texts = written(text.join(wanted, "doc_id", "left_semi"), "texts")
+            out = written(_verified(found, texts, k, num, den), "more", narrow=True)
             dropped(texts)
+            return out
+
+        comp = _completed(member, links, comp, pairs, verify, num, den)
     rep = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.join(rep, ["n_shingles", "f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
