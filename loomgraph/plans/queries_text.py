@@ -1 +1,139 @@
-"""Queries."""
+"""Queries on source text and retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.functions import scalars
+from loomgraph.operators import text
+from loomgraph.plans.projection import projected, with_sql
+from loomgraph.registry import query
+
+_EXT = ", ".join(f"('{k}', '{v}')" for k, v in scalars.LANGUAGES.items())
+_SKIP = ", ".join(f"'{s}'" for s in scalars.SKIPPED)
+_FILES = with_sql("source_files")
+_LINES = "ln AS (SELECT path, generate_subscripts(s, 1) AS line, unnest(s) AS content FROM (SELECT path, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS s FROM source_files WHERE length(text) > 0))"
+
+
+@query(_FILES + f" SELECT path, e.l AS lang FROM source_files JOIN (VALUES {_EXT}) e(x, l) ON lower(regexp_extract(path, '[^/]+(\\.[^./]+)$', 1)) = e.x WHERE NOT list_has_any(string_split(path, '/'), [{_SKIP}])")
+def source_enumeration(spark, sf_dir):
+    return text.enumerated(projected(spark, sf_dir, "source_files").select("path"))
+
+
+@query(_FILES + f""", {_LINES}, w AS (SELECT *, sum(strlen(content) + 1) OVER (PARTITION BY path ORDER BY line) AS spent, count(*) OVER (PARTITION BY path) AS total FROM ln),
+ x AS (SELECT path, line, content, total, sum(strlen(content) + 1) OVER (PARTITION BY path ORDER BY line) AS spent FROM w WHERE line BETWEEN 2 AND 5), y AS (SELECT *, max(line) OVER (PARTITION BY path) AS last FROM x WHERE spent <= 600)
+ SELECT path, line, content, CASE WHEN last < total THEN last + 1 END AS next_cursor FROM y""")
+def view_file(spark, sf_dir):
+    return text.line_window(projected(spark, sf_dir, "source_files"), 2, 5, budget=600)
+
+
+@query(_FILES + " SELECT DISTINCT split_part(substr(path, 6), '/', 1) AS name, contains(substr(path, 6), '/') AS is_dir FROM source_files WHERE starts_with(path, 'src1/') ORDER BY is_dir DESC, lower(name), name LIMIT 200")
+def list_dir(spark, sf_dir):
+    return text.listed(projected(spark, sf_dir, "source_files"), "src1")
+
+
+@query(_FILES + f""", {_LINES}, p AS (SELECT path, line, content, string_split(lower(content), 'tion the') AS s FROM ln)
+ SELECT path, line, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + (k - 1) * 8 + 1 AS INTEGER) AS col, left(content, 120) AS preview FROM (SELECT *, unnest(range(1, len(s))) AS k FROM p WHERE len(s) > 1)""")
+def search_text(spark, sf_dir):
+    return text.searched(projected(spark, sf_dir, "source_files"), "tion the")
+
+
+@query(_FILES + f""", {_LINES}, m AS (SELECT path, line, content, unnest(regexp_extract_all(content, 'The [a-z]+ing')) AS hit FROM ln) SELECT path, line, count(*) AS n FROM m GROUP BY ALL""")
+def search_text_regex(spark, sf_dir):
+    return text.searched(projected(spark, sf_dir, "source_files"), "The [a-z]+ing", regex=True).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_FILES + f""", {_LINES} SELECT path, line, trim(content, ' ') AS text, CASE WHEN starts_with(trim(content, ' '), 'Released under') THEN 'LICENSE' ELSE 'WORK' END AS label FROM ln WHERE regexp_matches(trim(content, ' '), '^(Released under|This work)')""")
+def rationale(spark, sf_dir):
+    """The driver's texts hold no comment markers, so other labels stand in for them."""
+    t = F.trim("content")
+    label = F.when(t.startswith("Released under"), "LICENSE").when(t.startswith("This work"), "WORK")
+    return text.rationale(projected(spark, sf_dir, "source_files"), label)
+
+
+_TOK = "list_filter(regexp_split_to_array(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format("left(text, 60)")})) AS term FROM benchmark WHERE item_id < 10),
+ d AS (SELECT doc_id, {_TOK.format("text")} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM d),
+ tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ s AS (SELECT q.query_id, tf.doc_id, -sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM s)"""
+
+
+def _bm25(spark, sf_dir):
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d, q, text.bm25(d, q, top=20)
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 20")
+def bm25(spark, sf_dir):
+    return _bm25(spark, sf_dir)[2].withColumn("score", F.round("score", 5))
+
+
+@query(f"""WITH {_BM25}, e AS (SELECT query_id, doc_id, 0 AS tier, 0.0 AS score FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON doc_id = query_id * 3 UNION ALL
+ SELECT query_id, doc_id, 1, 0.0 FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON source = 'src' || (query_id + 1) WHERE doc_id < 200 UNION ALL SELECT query_id, doc_id, 2, score FROM r WHERE rank <= 20),
+ b AS (SELECT query_id, doc_id, min(tier) AS tier, arg_min(score, tier) AS score FROM e GROUP BY 1, 2)
+ SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9), doc_id) AS place FROM b QUALIFY place <= 50""")
+def retrieval_tiers(spark, sf_dir):
+    d, q, ranked = _bm25(spark, sf_dir)
+    q = q.select("query_id", (F.col("query_id") * 3).alias("want_id"), F.concat(F.lit("src"), F.col("query_id") + 1).alias("want_source"))
+    d = d.select("doc_id", F.col("doc_id").alias("exact_id"), F.when(F.col("doc_id") < 200, F.col("source")).alias("exact_source"))
+    return text.tiered(d, q, [("exact_id", "want_id"), ("exact_source", "want_source")], ranked, 50)
+
+
+@query(f"WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOK.format('text')}, '  ') || ' ' AS t FROM documents) SELECT doc_id, CAST((length(t) - length(replace(t, ' of  the ', ''))) / 9 AS BIGINT) AS n FROM d WHERE contains(t, ' of  the ')")
+def phrase_search(spark, sf_dir):
+    return text.phrase(spark.read.parquet(f"{sf_dir}/documents.parquet"), "Of the")
+
+
+@query()
+def context_order(spark, sf_dir):
+    """Paths are sorted anew each round, which SQL cannot express; the tests compare with a plain loop."""
+    ranked = _bm25(spark, sf_dir)[2]
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
+    atoms = ranked.join(d, "doc_id").select("query_id", F.col("doc_id").alias("atom_id"), "rank", F.col("source").alias("path"), F.col("lang").alias("owner"), (F.col("doc_id") % 5 == 0).alias("exact"))
+    return text.diversified(atoms)
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)
+SELECT page_id, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/?[^/]*$', '') AS parent, regexp_matches(path, '\\.html$') AS is_html, starts_with(path, 'www.') AS www,
+ contains(path, '/en/') AND NOT contains(substr(path, strpos(path, '/') + 4), '/') AS child,
+ upper(left(split_part(split_part(path, '/', 1), '.', 1), 1)) || substr(split_part(split_part(path, '/', 1), '.', 1), 2) AS camel FROM p""")
+def path_functions(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    c = F.col("path")
+    host = F.split(c, "/")[0]
+    inner = F.expr("substring(path, instr(path, '/') + 4)")
+    return p.select("page_id", scalars.basename(c).alias("base"), scalars.parent(c).alias("parent"), c.endswith(".html").alias("is_html"), c.startswith("www.").alias("www"), (c.contains("/en/") & ~inner.contains("/")).alias("child"), scalars.camelize(F.split(host, r"\.")[0]).alias("camel"))
+
+
+@query("""SELECT p_partkey, starts_with(path, 'a/b/') AS subtree, starts_with(path, 'a/b/') AND NOT contains(substr(path, 5), '/') AND length(path) > 4 AS children, path = 'a/b/c0' AS literal, path = 'a/b' OR starts_with(path, 'a/b/') AS below,
+ NOT (path = '' OR starts_with(path, '/') OR len(list_intersect(string_split(path, '/'), ['', '.', '..'])) > 0) AS relative
+ FROM (SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'a/b/c' || p_size % 3 WHEN 1 THEN 'a/b/c/d' || p_size WHEN 2 THEN 'a/bc/d' WHEN 3 THEN 'a/b' WHEN 4 THEN '/abs' WHEN 5 THEN 'x/../y' ELSE 'a//b' END AS path FROM part)""")
+def path_selectors(spark, sf_dir):
+    size = F.col("p_size")
+    m = size % 7
+    path = F.when(m == 0, F.concat(F.lit("a/b/c"), size % 3)).when(m == 1, F.concat(F.lit("a/b/c/d"), size)).when(m == 2, "a/bc/d").when(m == 3, "a/b").when(m == 4, "/abs").when(m == 5, "x/../y").otherwise("a//b")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", path.alias("path"))
+    c = F.col("path")
+    return p.select("p_partkey", scalars.selected(c, "a/b/**").alias("subtree"), scalars.selected(c, "a/b/*").alias("children"), scalars.selected(c, "a/b/c0").alias("literal"), scalars.under(c, "a/b").alias("below"), scalars.relative_path(c).alias("relative"))
+
+
+@query("""SELECT label, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ADR-' || lpad(CAST(doc_id % 1000 AS STRING), 4, '0') WHEN doc_id % 3 = 1 THEN 'RFC-' || doc_id % 1000 END AS label FROM documents) WHERE label IS NOT NULL GROUP BY label""")
+def decision_labels(spark, sf_dir):
+    n = (F.col("doc_id") % 1000).cast("string")
+    note = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see adr "), n, F.lit(" and RFC 9"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("(rfc-"), n, F.lit(")"))).otherwise("none")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", scalars.decision_label(note).alias("label")).filter("label is not null")
+    return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'x/test_' WHEN 1 THEN 'x/a_' ELSE 'x/' END || p_type || CASE p_size % 5 WHEN 0 THEN '_test.py' ELSE '.py' END AS path, CASE p_partkey % 2 WHEN 0 THEN 'test_' ELSE 'run_' END || p_type AS name,
+ CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'method' ELSE 'class' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'TestX' WHEN 1 THEN 'Other' END AS owner FROM part)
+ SELECT p_partkey, path || '::' || CASE WHEN owner IS NULL THEN '' ELSE owner || '::' END || name AS selector FROM t WHERE (regexp_matches(path, '/test_[^/]*\\.py$') OR regexp_matches(path, '_test\\.py$')) AND kind IN ('function', 'method') AND starts_with(name, 'test') AND (owner IS NULL OR starts_with(owner, 'Test'))""")
+def test_selectors(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    s, k = F.col("p_size"), F.col("p_partkey")
+    path = F.concat(F.when(s % 4 == 0, "x/test_").when(s % 4 == 1, "x/a_").otherwise("x/"), F.col("p_type"), F.when(s % 5 == 0, "_test.py").otherwise(".py"))
+    t = p.select("p_partkey", path.alias("path"), F.concat(F.when(k % 2 == 0, "test_").otherwise("run_"), "p_type").alias("name"), F.when(k % 3 == 0, "function").when(k % 3 == 1, "method").otherwise("class").alias("kind"), F.when(k % 5 == 0, "TestX").when(k % 5 == 1, "Other").alias("owner"))
+    t = t.filter(scalars.is_test(F.col("path"), F.col("name"), F.col("kind"), F.col("owner")))
+    return t.select("p_partkey", F.concat_ws("::", "path", "owner", "name").alias("selector"))
