@@ -5,14 +5,16 @@ shingle toggles one bit of one word, so the Hamming distance of two sketches is
 at most the symmetric difference of the sets. Sets that link differ in at most d
 shingles (d follows from the sizes), so at least k - d words are equal. Documents
 meet when a word is equal. Words are wide and sparse (2 ** 64 positions) and are
-held as the XOR of their positions' codes. A second, dense sketch of 512 bits
-discards pairs whose distance is over the bound; what is left is verified on
-the texts.
+held as the XOR of their positions' codes. Dense sketches, first of 512 bits and
+then of about four bits a shingle, discard pairs whose distance is over the
+bound; what is left is verified on the texts.
 
 Equal sets are one class from the start, so copies cost nothing. Where many
 documents share a word, they meet its smallest member first; only those that
 are not connected by then are compared with each other, so no group is
-expanded into all its pairs and no link is lost.
+expanded into all its pairs and no link is lost. Documents that link share
+k - d words, not just one: each may leave out its k - d - 1 most common words, and
+the rarest word that both have is still there.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ class Bands:
             low.append(low[-1] * den**STEPS // num**STEPS + 1)
         self.low = np.array(low)
         self.differ = 2 * (self.low[1:] - 1) * (den - num) // (den + num)
-        self.spare = np.where(self.differ > 0, 2 + (0.8 * np.sqrt(self.differ)).astype(np.int64), 0)
+        self.spare = np.where(self.differ > 0, 2 + (0.8 * np.sqrt(self.differ) + 0.12 * self.differ).astype(np.int64), 0)
         self.words = self.differ + 1 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -67,9 +69,45 @@ def _marks(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.nd
     return one, two
 
 
+def _fine(row: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
+    """Parity sketches whose size follows the set: the power of two of 4 to 8 bits a shingle; none for sets that 512 bits serve well.
+
+    A larger sketch folds onto a smaller one, so any two compare.
+    """
+    n = np.bincount(row, minlength=rows)
+    size = np.where(n > 128, 1 << np.minimum(np.ceil(np.log2(np.maximum(n, 1) * 4)).astype(np.int64), 22), 0) >> 6
+    first = np.concatenate([[0], np.cumsum(size)])
+    use = size[row] > 0
+    r = row[use]
+    bit = mix(h[use]) & ((size[r] << 6) - 1).astype(np.uint64)
+    words_ = np.zeros(first[-1], np.uint64)
+    np.bitwise_xor.at(words_, first[r] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return pa.array([words_[a:b].tobytes() if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+
+
+def _near(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the (u, v) pairs whose fine sketches do not prove that they are too far apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            keep = np.ones(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("fine_u"), batch.column("fine_v"), strict=True)):
+                if x.is_valid and y.is_valid:
+                    a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                    m = min(len(a), len(b))
+                    a, b = (np.bitwise_xor.reduce(z.reshape(-1, m), axis=0) for z in (a, b))
+                    keep[i] = int(np.bitwise_count(a ^ b).sum()) * (den + num) <= n[i] * (den - num)
+            yield batch.filter(pa.array(keep)).select(["u", "v"])
+
+    side = lambda x: table.filter("n > 0").select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
+    p = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "fine_u", "fine_v")
+    return p.mapInArrow(run, "u long, v long").distinct()
+
+
 def described(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, f1, f2, dense sketch) of every document; f1 and f2 tell sets apart, whatever the order of words."""
-    schema = "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _ROW)
+    schema = "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _ROW) + ", fine binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,19 +119,24 @@ def described(docs: DataFrame, k: int) -> DataFrame:
                 np.bitwise_xor.at(dense, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
                 out = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.bincount(row, minlength=hi - lo), pa.int64())]
                 out += [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (f1, f2, *dense.T)]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n", "f1", "f2", *_ROW])
+                out.append(_fine(row, h, hi - lo))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n", "f1", "f2", *_ROW, "fine"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def _sketch_words(row: np.ndarray, h: np.ndarray, rows: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, home) of the sketch words by which documents meet, in their own band and, if a link can reach it, the next."""
+    """(row, key, code) of the sketch words by which documents meet, in their own band and, if a link can reach it, the next.
+
+    The lowest bit of a code says that the band is the document's own; the others, how many of these words any document
+    that links has too, at least (127 if more).
+    """
     n = np.bincount(row, minlength=rows)
     own = bands.of(np.maximum(n, 1))
     out = []
-    code = mix(h ^ np.uint64(0x3C6EF372FE94F82B))
+    token = mix(h ^ np.uint64(0x3C6EF372FE94F82B))
     spot = mix(h ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(20)
-    for home, band in ((True, own), (False, own + 1)):
+    for home, band in ((1, own), (0, own + 1)):
         k, d = bands.words[band], bands.differ[band]
         use = (n > 0) & (d > 0)
         if not home:
@@ -104,59 +147,67 @@ def _sketch_words(row: np.ndarray, h: np.ndarray, rows: int, bands: Bands) -> tu
         r = row[mine]
         slot = first[r] + (spot[mine] % k[r].astype(np.uint64)).astype(np.int64)
         word, filled = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
-        np.bitwise_xor.at(word, slot, code[mine])
+        np.bitwise_xor.at(word, slot, token[mine])
         filled[slot] = True
         who = np.repeat(np.arange(rows), k)
         part = np.arange(first[-1]) - first[who]
         # empty words say little: they are used only by documents that have so many that no other word may agree
         empty = np.bincount(who[~filled], minlength=rows)
-        keep = filled | (empty >= k - d)[who]
+        most = empty >= k - d
+        keep = filled | most[who]
+        shared = np.minimum(np.where(most, k - d, k - d - empty), 127)
         who, part, word = who[keep], part[keep], word[keep]
         key = mix(word + mix((band[who] * 1_000_003 + part).astype(np.uint64)))
-        out.append((who, key, np.full(len(who), home)))
+        out.append((who, key, (shared[who] * 2 + home).astype(np.uint8)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _groups(key: np.ndarray, ident: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct (key, ident, home), and where each key's run begins; a member at home counts as at home."""
-    order = np.lexsort((~home, ident, key))
-    key, ident, home = key[order], ident[order], home[order]
+def _groups(key: np.ndarray, ident: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct (key, ident) with code, and where each key's run begins; members at home come first."""
+    order = np.lexsort((ident, ~code & 1, key))
+    key, ident, code = key[order], ident[order], code[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-    key, ident, home = key[new], ident[new], home[new]
+    key, ident, code = key[new], ident[new], code[new]
     start = np.ones(len(key), bool)
     start[1:] = key[1:] != key[:-1]
-    return key, ident, home, np.flatnonzero(start)
+    return key, ident, code, np.flatnonzero(start)
 
 
-def _met(key: np.ndarray, ident: np.ndarray, home: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs 2 x m, and 2 x m (key, member) of large groups."""
+def _met(key: np.ndarray, ident: np.ndarray, code: np.ndarray, at: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs 2 x m, and 3 x m (key, member, code) of large groups; keys in ``also`` count as large."""
     size = np.diff(np.concatenate([at, [len(key)]]))
-    pairs, large = [], []
-    for c in np.unique(size[(size > 1) & (size <= SMALL)]):
-        first = at[size == c]
+    large = (size > SMALL) | np.isin(key[at], also)
+    home = (code & 1).astype(bool)
+    pairs, members = [np.empty((2, 0), np.uint64)], [np.empty((3, 0), np.uint64)]
+    for c in np.unique(size[(size > 1) & ~large]):
+        first = at[(size == c) & ~large]
         i, j = np.triu_indices(c, 1)
         a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
         ok = home[a] | home[b]
         pairs.append(np.stack([ident[a[ok]], ident[b[ok]]]))
-    for lo, c in zip(at[size > SMALL], size[size > SMALL], strict=True):
-        part = slice(lo, lo + c)
-        at_home = np.flatnonzero(home[part])
-        if not len(at_home):
-            continue
-        lead, member = ident[lo + at_home[0]], ident[part]
-        pairs.append(np.stack([np.full(c - 1, lead), member[member != lead]]))
-        large.append(np.stack([key[part], member]))
-    empty = np.empty((2, 0), np.uint64)
-    return np.concatenate(pairs, 1) if pairs else empty, np.concatenate(large, 1) if large else empty
+    if large.any():
+        of = np.repeat(np.arange(len(at)), size)
+        m = np.flatnonzero(large[of])
+        lead = at[of[m]]
+        ok = home[lead] & (lead != m)
+        pairs.append(np.stack([ident[lead[ok]], ident[m[ok]]]))
+        members.append(np.stack([key[m], ident[m], code[m].astype(np.uint64)]))
+    return np.concatenate(pairs, 1), np.concatenate(members, 1)
+
+
+_FAT = "bucket int, keys binary, ids binary, codes binary, pairs binary, large binary"
 
 
-_FAT = "bucket int, keys binary, ids binary, homes binary, pairs binary, large binary"
+def _by_bucket(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> list[list[np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [[c[..., order[a:b]] for a, b in zip(edge[:-1], edge[1:], strict=True)] for c in columns]
 
 
 def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
     """Sketch words packed by bucket. In a block of documents, equal sets count once, and a group
-    that is large here already meets here; its smallest member alone goes on."""
+    that is large here already meets here; its first member alone goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,33 +217,24 @@ def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
                 if not len(row):
                     continue
                 ident, _ = _marks(row, h, hi - lo)
-                who, key, home = _sketch_words(row, h, hi - lo, bands)
-                all_.append((key, ident[who], home))
-            if not all_:
+                who, key, code = _sketch_words(row, h, hi - lo, bands)
+                all_.append((key, ident[who], code))
+            if not all_ or not sum(len(x[0]) for x in all_):
                 continue
-            key, ident, home, at = _groups(*[np.concatenate(x) for x in zip(*all_, strict=True)])
+            key, ident, code, at = _groups(*[np.concatenate(x) for x in zip(*all_, strict=True)])
             size = np.diff(np.concatenate([at, [len(key)]]))
             big = np.repeat(size > SMALL, size)
-            pairs, large = np.empty((2, 0), np.uint64), np.empty((2, 0), np.uint64)
+            pairs, large = np.empty((2, 0), np.uint64), np.empty((3, 0), np.uint64)
             if big.any():
-                k2, i2, h2, a2 = _groups(key[big], ident[big], home[big])
-                pairs, large = _met(k2, i2, h2, a2)
-                # the smallest member at home goes on (or the smallest, if none is)
-                lead = np.lexsort((i2, ~h2, k2))
-                lead = lead[np.concatenate([[True], k2[lead][1:] != k2[lead][:-1]])]
-                key, ident, home = (np.concatenate([x[~big], y[lead]]) for x, y in ((key, k2), (ident, i2), (home, h2)))
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, ident, home = key[order], ident[order], home[order]
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            extra = [b""] * buckets, [b""] * buckets
-            spot = int(key[0] % np.uint64(buckets))
-            extra[0][spot], extra[1][spot] = pairs.tobytes(), large.tobytes()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(buckets), pa.int32()),
-                *[pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (key, ident, home)],
-                *[pa.array(x, pa.binary()) for x in extra],
-            ], names=["bucket", "keys", "ids", "homes", "pairs", "large"])
+                first = np.zeros(len(key), bool)
+                first[at] = True
+                pairs, large = _met(key[big], ident[big], code[big], np.flatnonzero(first[big]), key[:0])
+                keep = ~big | first
+                key, ident, code = key[keep], ident[keep], code[keep]
+            spread = lambda x: (x % np.uint64(buckets)).astype(np.int64)
+            cols = _by_bucket(spread(key), buckets, key, ident, code)
+            cols += _by_bucket(spread(pairs[0]), buckets, pairs) + _by_bucket(spread(large[0]), buckets, large)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), *[pa.array([x.tobytes() for x in c], pa.binary()) for c in cols]], names=["bucket", "keys", "ids", "codes", "pairs", "large"])
 
     return docs.select("text").mapInArrow(run, _FAT)
 
@@ -202,16 +244,17 @@ def _joined(b: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    key, ident, home, at = _groups(_joined(table.column("keys"), np.uint64), _joined(table.column("ids"), np.uint64), _joined(table.column("homes"), bool))
-    pairs, large = _met(key, ident, home, at)
-    early = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("pairs").to_pylist()]
-    before = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("large").to_pylist()]
-    pairs, large = np.concatenate([pairs, *early], 1), np.concatenate([large, *before], 1)
+    stacked = lambda c, n: np.concatenate([np.frombuffer(x, np.uint64).reshape(n, -1) for x in table.column(c).to_pylist()], 1)
+    early, before = stacked("pairs", 2), stacked("large", 3)
+    key, ident, code, at = _groups(_joined(table.column("keys"), np.uint64), _joined(table.column("ids"), np.uint64), _joined(table.column("codes"), np.uint8))
+    pairs, large = _met(key, ident, code, at, np.unique(before[0]))
+    pairs, large = np.concatenate([pairs, early], 1), np.concatenate([large, before], 1)
     pairs = pairs[:, pairs[0] != pairs[1]]
     pairs = np.unique(np.sort(pairs, 0), axis=1) if pairs.size else pairs
+    large = np.unique(large, axis=1) if large.size else large
     kind = np.repeat([False, True], [pairs.shape[1], large.shape[1]])
     a, b = (np.concatenate([pairs[i], large[i]]).view(np.int64) for i in (0, 1))
-    return pa.table({"large": pa.array(kind), "a": pa.array(a), "b": pa.array(b)})
+    return pa.table({"large": pa.array(kind), "a": pa.array(a), "b": pa.array(b), "code": pa.array(np.concatenate([np.zeros(pairs.shape[1]), large[2]]), pa.int32(), safe=False)})
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -352,13 +395,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     classes = written(classes, "classes", narrow=True)
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     buckets = max(n_parts(spark), math.ceil(total / 3 / BUCKET))
-    met = written(_emit(docs, k, bands, buckets).groupBy("bucket").applyInArrow(_meet, "large boolean, a long, b long"), "met")
+    met = written(_emit(docs, k, bands, buckets).groupBy("bucket").applyInArrow(_meet, "large boolean, a long, b long, code int"), "met")
     free_shuffles(spark)
     side = lambda x: classes.select(F.col("f1").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"r_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in _ROW])
     far = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _ROW), F.lit(0))
     pairs = met.filter("not large").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter("r_a != r_b")
     pairs = pairs.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (far * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)))
     pairs = written(pairs.select(F.least("r_a", "r_b").alias("u"), F.greatest("r_a", "r_b").alias("v")).distinct(), "pairs", narrow=True)
+    pairs = written(_near(pairs, table, num, den), "pairs", narrow=True)
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = written(text.join(needed, "doc_id", "left_semi"), "texts")
@@ -373,13 +417,18 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     if not more.isEmpty():
         links = links.union(more)
         comp = written(components(links), "connected", narrow=True)
-    large = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("f1")).distinct()
+    large = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("f1"), "code").distinct()
     if not large.isEmpty():
+        # every document leaves out its most common words, one fewer than it shares with any that links
+        often = large.groupBy("key").agg(F.count(F.lit(1)).alias("__size"))
+        w = Window.partitionBy("f1", F.col("code") % 2).orderBy(F.desc("__size"), "key")
+        large = large.join(often, "key").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") >= F.floor(F.col("code") / 2))
         member = large.join(classes, "f1").select("key", F.col("rep").alias("id"), "n", *_ROW)
         listed = member.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
         member = written(member.join(listed, "id"), "members")
 
         def verify(found: DataFrame) -> DataFrame:
+            found = written(_near(found, table, num, den), "pairs", narrow=True)
             wanted = found.select(F.col("u").alias("doc_id")).union(found.select("v")).distinct()
             texts = written(text.join(wanted, "doc_id", "left_semi"), "texts")
             out = written(_verified(found, texts, k, num, den), "more", narrow=True)
