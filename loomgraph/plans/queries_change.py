@@ -1 +1,69 @@
-"""Queries."""
+"""Queries on snapshot changes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.operators import diff
+from loomgraph.plans.projection import projected, with_sql
+from loomgraph.registry import query
+
+_FP = "sha256(regexp_replace({}, '\\s+', ' ', 'g'))"
+_SIDE = "{0}f AS (SELECT *, " + _FP.format("signature") + " AS sig, " + _FP.format("body") + " AS bod, sha256(signature || chr(0) || body) AS own FROM {0})"
+_CHANGES = (
+    with_sql("before", "after") + ", " + _SIDE.format("before") + ", " + _SIDE.format("after") + """, ch AS (SELECT coalesce(b.path, a.path) AS path, coalesce(b.entity_id, a.entity_id) AS entity_id,
+ CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN b.sig <> a.sig THEN 'signature' WHEN b.bod <> a.bod THEN 'body' WHEN b.own <> a.own THEN 'format' WHEN b.line <> a.line THEN 'location' ELSE 'unchanged' END AS category,
+ b.language AS bl, a.language AS al, b.kind AS bk, a.kind AS ak, b.sig AS bs, a.sig AS sa, b.bod AS bb, a.bod AS ab, b.name AS bn, a.name AS an FROM beforef b FULL JOIN afterf a ON b.path = a.path AND b.entity_id = a.entity_id)"""
+)
+
+
+def _changes(spark, sf_dir):
+    b, a = (diff.fingerprinted(projected(spark, sf_dir, x)) for x in ("before", "after"))
+    return diff.aligned(b, a)
+
+
+@query(_CHANGES + " SELECT path, entity_id, category FROM ch")
+def symbol_diff(spark, sf_dir):
+    return _changes(spark, sf_dir).select("path", "entity_id", "category")
+
+
+@query(_CHANGES + " SELECT category, count(*) AS n FROM ch GROUP BY 1")
+def change_summary(spark, sf_dir):
+    return diff.summary(_changes(spark, sf_dir))
+
+
+@query(_CHANGES + """, r AS (SELECT bl AS l, bk AS k, bs AS s, bb AS b, path, entity_id, bn AS name FROM ch WHERE category = 'removed' QUALIFY count(*) OVER (PARTITION BY bl, bk, bs, bb) = 1),
+ d AS (SELECT al AS l, ak AS k, sa AS s, ab AS b, path, entity_id, an AS name FROM ch WHERE category = 'added' QUALIFY count(*) OVER (PARTITION BY al, ak, sa, ab) = 1)
+ SELECT r.entity_id AS before_id, d.entity_id AS after_id, r.path AS before_path, d.path AS after_path, CASE WHEN r.path = d.path THEN 'rename' WHEN r.name = d.name THEN 'move' ELSE 'rename_and_move' END AS relation FROM r JOIN d USING (l, k, s, b)""")
+def rename_candidates(spark, sf_dir):
+    return diff.rename_candidates(_changes(spark, sf_dir))
+
+
+@query(_CHANGES + " SELECT entity_id AS seed, category, CASE category WHEN 'removed' THEN 'before' ELSE 'after' END AS side FROM ch WHERE category IN ('removed', 'added', 'signature', 'body')")
+def impact_seeds(spark, sf_dir):
+    return diff.seeds(_changes(spark, sf_dir))
+
+
+@query(with_sql("before", "after") + " SELECT name, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' ELSE 'common' END AS state FROM (SELECT DISTINCT name FROM before) b FULL JOIN (SELECT DISTINCT name FROM after) a USING (name)")
+def set_changes(spark, sf_dir):
+    return diff.set_changes(projected(spark, sf_dir, "before"), projected(spark, sf_dir, "after"), "name")
+
+
+_HASH = "SELECT s_suppkey AS path, s_nationkey {0} AS local, CAST(floor(s_acctbal) AS BIGINT) % 50 AS bucket, s_suppkey % 3 {1} AS output FROM supplier"
+
+
+@query(f"SELECT path FROM ({_HASH.format('', '')}) WHERE (path, local, bucket, output) NOT IN (SELECT (path, local, bucket, output) FROM ({_HASH.format('% 5', '% 2')}))")
+def incremental_plan(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").createOrReplaceTempView("supplier")
+    return diff.affected(spark.sql(_HASH.format("% 5", "% 2")), spark.sql(_HASH.format("", "")))
+
+
+@query("""WITH g AS (SELECT o_orderkey AS generation, o_custkey AS repo, o_orderdate AS seq, o_totalprice AS bytes, o_orderstatus = 'P' AS root FROM orders),
+ r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq DESC, generation DESC) AS k FROM g)
+ SELECT repo, generation, CASE WHEN root THEN 'root' WHEN k > 5 THEN 'count' WHEN seq < TIMESTAMP '1996-01-01' THEN 'age' END AS reason, root OR k <= 5 AND seq >= TIMESTAMP '1996-01-01' AS kept FROM r""")
+def retention(spark, sf_dir):
+    from loomgraph.streaming.retention import retained
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    g = o.select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("generation"), F.col("o_orderdate").alias("seq"), F.col("o_orderdate").alias("created"), (F.col("o_orderstatus") == "P").alias("root"))
+    return retained(g, keep_last=5, oldest=F.lit("1996-01-01").cast("timestamp")).select("repo", "generation", F.when(F.col("reason").isin("count", "age", "root"), F.col("reason")).alias("reason"), "kept")
