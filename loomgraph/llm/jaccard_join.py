@@ -33,7 +33,7 @@ from loomgraph.llm.textbytes import chunks, distinct, mix, shingles, words
 #: Members of one equal word that are paired all with all; larger groups meet their smallest member.
 SMALL = 8
 #: Longs of the dense sketch; sketch words in a bucket of the join.
-LONGS, BUCKET = 8, 1_500_000
+LONGS, BUCKET = 8, 700_000
 #: A band spans this many steps of the similarity.
 STEPS = 2
 
@@ -286,20 +286,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 #: Members of a large group that one task compares; rounds that look at nearest members only, keys of a
 #: document and partners per key in such a round.
-CHUNK, ROUNDS, KEYS, NEAREST = 4096, 4, 3, 4
+CHUNK, ROUNDS, KEYS, NEAREST = 4096, 2, 3, 4
 
 
 def _cross(num: int, den: int, nearest: int | None):
     """Pairs of members of a group that are not connected and that the dense sketch does not part.
 
-    With ``nearest``, only so many closest ones of each member; else every pair, reported by the smallest key that both have.
+    With ``nearest``, only so many closest ones of each member; else every pair.
     """
 
     def run(table: pa.Table) -> pa.Table:
         col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "two", "chunk", "id", "n", "component")}
         sketch = np.stack([table.column(s).to_numpy(zero_copy_only=False) for s in _ROW], 1).view(np.uint64)
-        lists = table.column("keys").combine_chunks()
-        at, flat = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False)
         order = np.lexsort((col["id"], col["two"], col["one"], col["key"]))
         keys = np.stack([col[c][order] for c in ("key", "one", "two")])
         edge = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [len(order)]])
@@ -309,8 +307,7 @@ def _cross(num: int, den: int, nearest: int | None):
             ids, comp, n, chunk = (col[c][rows] for c in ("id", "component", "n", "chunk"))
             if comp.min() == comp.max():
                 continue
-            across, key = col["one"][rows[0]] != col["two"][rows[0]], col["key"][rows[0]]
-            known: dict[int, frozenset] = {}
+            across = col["one"][rows[0]] != col["two"][rows[0]]
             for s in range(0, len(rows), 256):
                 a = slice(s, s + 256)
                 far = np.zeros((len(ids[a]), len(rows)), np.int64)
@@ -331,11 +328,6 @@ def _cross(num: int, den: int, nearest: int | None):
                     i = i + s
                     ok = ids[i] < ids[j]
                     i, j = i[ok], j[ok]
-                    for x in np.unique(np.concatenate([i, j])).tolist():
-                        if x not in known:
-                            known[x] = frozenset(flat[at[rows[x]] : at[rows[x] + 1]].tolist())
-                    first = np.array([min(known[x] & known[y]) == key for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-                    i, j = i[first], j[first]
                 out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
         pair = np.unique(np.concatenate(out, 1), axis=1)
         return pa.table({"u": pa.array(pair[0], pa.int64()), "v": pa.array(pair[1], pa.int64())})
@@ -343,11 +335,12 @@ def _cross(num: int, den: int, nearest: int | None):
     return run
 
 
-def _completed(members: DataFrame, links: DataFrame, comp: DataFrame, tested: DataFrame, verify, num: int, den: int) -> DataFrame:
+def _completed(members: DataFrame, sketches: DataFrame, links: DataFrame, comp: DataFrame, tested: DataFrame, verify, num: int, den: int) -> DataFrame:
     """Components after all links inside large groups are known.
 
-    ``members`` (key, id, n, sketch, keys). First some rounds look only at each member's nearest unconnected ones, which joins
-    most of a group of near-copies by few pairs; the last looks at every pair that is still apart.
+    ``members`` (key, id), ``sketches`` (id, n, sketch). First some rounds look only at each member's nearest unconnected
+    ones, which joins most of a group of near-copies by few pairs; the last looks at every pair that is still apart.
+    Sketches are attached only to members of groups that are not connected yet.
     """
     n = n_parts(members.sparkSession)
     for k in range(ROUNDS + 1):
@@ -363,15 +356,13 @@ def _completed(members: DataFrame, links: DataFrame, comp: DataFrame, tested: Da
         else:
             w = Window.partitionBy("id").orderBy(F.xxhash64("key", F.lit(k)))
             m = m.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= KEYS).withColumn("one", F.col("chunk")).withColumn("two", F.col("chunk"))
-        m = m.withColumn("g", F.pmod(F.xxhash64("key", "one", "two"), F.lit(4 * n)))
+        m = m.select("key", "id", "component", "chunk", "one", "two").join(sketches, "id").withColumn("g", F.pmod(F.xxhash64("key", "one", "two"), F.lit(4 * n)))
         found = m.groupBy("g").applyInArrow(_cross(num, den, None if last else NEAREST), "u long, v long").distinct()
         found = written(found.join(tested, ["u", "v"], "left_anti"), "crossing", narrow=True)
         if found.isEmpty():
-            if last:
-                break
             continue
         new = verify(found)
-        tested = written(tested.union(found), "tested", narrow=True)
+        tested = tested.union(found)
         if not new.isEmpty():
             links = links.union(new)
             comp = written(components(links), "connected", narrow=True)
@@ -423,9 +414,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
         often = large.groupBy("key").agg(F.count(F.lit(1)).alias("__size"))
         w = Window.partitionBy("f1", F.col("code") % 2).orderBy(F.desc("__size"), "key")
         large = large.join(often, "key").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") >= F.floor(F.col("code") / 2))
-        member = large.join(classes, "f1").select("key", F.col("rep").alias("id"), "n", *_ROW)
-        listed = member.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        member = written(member.join(listed, "id"), "members")
+        member = written(large.join(classes.select("f1", F.col("rep").alias("id")), "f1").select("key", "id").distinct(), "members", narrow=True)
+        sketches = classes.select(F.col("rep").alias("id"), "n", *_ROW)
+        free_shuffles(spark)
 
         def verify(found: DataFrame) -> DataFrame:
             found = written(_near(found, table, num, den), "pairs", narrow=True)
@@ -435,7 +426,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
             dropped(texts)
             return out
 
-        comp = _completed(member, links, comp, pairs, verify, num, den)
+        comp = _completed(member, sketches, links, comp, pairs, verify, num, den)
     rep = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.join(rep, ["n_shingles", "f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
