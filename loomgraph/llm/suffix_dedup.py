@@ -274,7 +274,7 @@ def _found(span: int):
         doc, begin, size = (np.frombuffer(b"".join(r), np.int64) for r in raw[:3])
         data = np.frombuffer(b"".join(raw[3]), np.uint8)
         where = np.repeat(db, [len(x) // 8 for x in raw[0]])
-        if len(doc) > 1:
+        if len(doc):
             offsets = np.concatenate([[0], np.cumsum(size)])
             at = repeats(offsets, data, doc, begin, span)
             if len(at):
