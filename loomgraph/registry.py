@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from loomgraph.plans import queries_change, queries_graph, queries_overlay, queries_text  # noqa: F401
+    from loomgraph.plans import queries_change, queries_evidence, queries_graph, queries_overlay, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
