@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, docs_of, dropped, free_shuffles, n_parts, written
-from loomgraph.llm.textbytes import chunks, distinct, mix, shingles, words
+from loomgraph.llm.textbytes import by_bucket, chunks, distinct, mix, shingles, words
 
 #: Members of one equal word that are paired all with all; larger groups meet their smallest member.
 SMALL = 8
@@ -196,13 +196,8 @@ def _met(key: np.ndarray, ident: np.ndarray, code: np.ndarray, at: np.ndarray, a
     return np.concatenate(pairs, 1), np.concatenate(members, 1)
 
 
-_FAT = "bucket int, keys binary, ids binary, codes binary, pairs binary, large binary"
-
-
-def _by_bucket(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> list[list[np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [[c[..., order[a:b]] for a, b in zip(edge[:-1], edge[1:], strict=True)] for c in columns]
+_FAT_NAMES = ("keys", "ids", "codes", "pairs", "large")
+_FAT = "bucket int, " + ", ".join(f"{n} binary" for n in _FAT_NAMES)
 
 
 def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
@@ -231,10 +226,12 @@ def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
                 pairs, large = _met(key[big], ident[big], code[big], np.flatnonzero(first[big]), key[:0])
                 keep = ~big | first
                 key, ident, code = key[keep], ident[keep], code[keep]
-            spread = lambda x: (x % np.uint64(buckets)).astype(np.int64)
-            cols = _by_bucket(spread(key), buckets, key, ident, code)
-            cols += _by_bucket(spread(pairs[0]), buckets, pairs) + _by_bucket(spread(large[0]), buckets, large)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), *[pa.array([x.tobytes() for x in c], pa.binary()) for c in cols]], names=["bucket", "keys", "ids", "codes", "pairs", "large"])
+            none = [b""]
+            for at_, cols, names in ((key, (key, ident, code), ("keys", "ids", "codes")), (pairs[0], (pairs,), ("pairs",)), (large[0], (large,), ("large",))):
+                there, packed = by_bucket((at_ % np.uint64(buckets)).astype(np.int64), *cols)
+                if len(there):
+                    given = dict(zip(names, packed, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[pa.array(given.get(n, none * len(there)), pa.binary()) for n in _FAT_NAMES]], names=["bucket", *_FAT_NAMES])
 
     return docs.select("text").mapInArrow(run, _FAT)
 

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import docs_of, free_shuffles, n_parts, written
-from loomgraph.llm.textbytes import chunks, prefix_hashes, span_hashes, utf8
+from loomgraph.llm.textbytes import by_bucket, chunks, prefix_hashes, span_hashes
 
 SPAN, ANCHOR = 100, 32
 #: Bytes of text in a bucket of documents, anchors in a bucket of hashes, bytes of anchored text in a part.
-TEXT, HASHES, PART = 8 << 20, 1 << 20, 8 << 20
+TEXT, HASHES, PART = 3 << 20, 1 << 18, 2 << 20
 _POS = np.uint64(27)
 _NULL = -(1 << 63)
 
@@ -64,17 +64,13 @@ def anchored(offsets: np.ndarray, data: np.ndarray, span: int) -> tuple[np.ndarr
     return start, anchor, h[anchor]
 
 
-def _packed(bucket: np.ndarray, count: int, *columns: np.ndarray) -> list[pa.Array]:
-    """For buckets 0 .. count - 1, each column's values as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(count + 1))
-    return [pa.array([c[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for c in (x[order] for x in columns)]
-
-
 def _all(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
+_HASH_NAMES = ("h", "g", "often", "known_h", "known_g")
+
+
 def _anchor_hashes(docs: DataFrame, span: int, buckets: int) -> DataFrame:
     """Distinct (anchor hash, document bucket), packed by hash. What is already repeated in a block of documents
     is reported at once, and only one entry of it goes on."""
@@ -105,30 +101,25 @@ def _anchor_hashes(docs: DataFrame, span: int, buckets: int) -> DataFrame:
             pair[1:] |= g[1:] != g[:-1]
             known = often & pair
             keep = first  # one entry of each hash; those known to repeat are marked
-            bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
-            cols = _packed(bucket, buckets, h[keep], g[keep], often[keep])
-            spread = (h[known] % np.uint64(buckets)).astype(np.int64)
-            cols += _packed(spread, buckets, h[known], g[known])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), *cols], names=["bucket", "h", "g", "often", "known_h", "known_g"])
+            for at, cols, names in ((h[keep], (h[keep], g[keep], often[keep]), _HASH_NAMES[:3]), (h[known], (h[known], g[known]), _HASH_NAMES[3:])):
+                there, packed = by_bucket((at % np.uint64(buckets)).astype(np.int64), *cols)
+                if len(there):
+                    given = dict(zip(names, packed, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[pa.array(given.get(n, [b""] * len(there)), pa.binary()) for n in _HASH_NAMES]], names=["bucket", *_HASH_NAMES])
 
-    return docs.select("db", "text").mapInArrow(run, "bucket int, h binary, g binary, often binary, known_h binary, known_g binary")
+    return docs.select("db", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{n} binary" for n in _HASH_NAMES))
 
 
-def _shared(groups: int):
+def _shared(table: pa.Table) -> pa.Table:
     """Hashes that occur twice at least, packed by document bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        h, g, often = _all(table.column("h"), np.uint64), _all(table.column("g"), np.uint32), _all(table.column("often"), bool)
-        _, which, n = np.unique(h, return_inverse=True, return_counts=True)
-        many = np.bincount(which, weights=often, minlength=len(n)) > 0
-        tell = ((n > 1) | many)[which]
-        h = np.concatenate([h[tell], _all(table.column("known_h"), np.uint64)])
-        g = np.concatenate([g[tell], _all(table.column("known_g"), np.uint32)]).astype(np.int64)
-        (packed,) = _packed(g, groups, h)
-        keep = np.flatnonzero(np.bincount(g, minlength=groups))
-        return pa.table({"db": pa.array(keep, pa.int32()), "h": packed.take(pa.array(keep)), "n": pa.array(np.bincount(g, minlength=groups)[keep], pa.int64())})
-
-    return run
+    h, g, often = _all(table.column("h"), np.uint64), _all(table.column("g"), np.uint32), _all(table.column("often"), bool)
+    _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+    many = np.bincount(which, weights=often, minlength=len(n)) > 0
+    tell = ((n > 1) | many)[which]
+    h = np.concatenate([h[tell], _all(table.column("known_h"), np.uint64)])
+    g = np.concatenate([g[tell], _all(table.column("known_g"), np.uint32)]).astype(np.int64)
+    there, (packed,) = by_bucket(g, h)
+    return pa.table({"db": pa.array(there, pa.int32()), "h": pa.array(packed, pa.binary()), "n": pa.array([len(x) // 8 for x in packed], pa.int64())})
 
 
 def _runs(start: np.ndarray, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,15 +173,14 @@ def _anchored_texts(span: int, parts: int):
         d, s, size, h, at = d[keep], s[keep], size[keep], h[keep], at[keep]
         part = (h % np.uint64(parts)).astype(np.int64)
         o = np.argsort(part, kind="stable")
-        edge = np.searchsorted(part[o], np.arange(parts + 1))
+        there, first = np.unique(part[o], return_index=True)
+        edge = np.append(first, len(o))
         rows = []
         db = int(left.column("db")[0].as_py())
-        for p in range(parts):
-            i = o[edge[p] : edge[p + 1]]
-            if len(i):
-                z = size[i]
-                take = np.repeat(at[i] - np.cumsum(z) + z, z) + np.arange(z.sum())
-                rows.append((p, db, d[i].tobytes(), s[i].tobytes(), z.tobytes(), data[take].tobytes(), b""))
+        for p, lo, hi in zip(there.tolist(), edge[:-1], edge[1:], strict=True):
+            i = o[lo:hi]
+            raw = b"".join(data[x : x + z].tobytes() for x, z in zip(at[i].tolist(), size[i].tolist(), strict=True))
+            rows.append((p, db, d[i].tobytes(), s[i].tobytes(), size[i].tobytes(), raw, b""))
         if len(gone):
             rows.append((db % parts, db, b"", b"", b"", b"", gone.tobytes()))
         return pa.table({n: pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.binary()) for k, n in enumerate(names)})
@@ -319,7 +309,7 @@ def _ranges(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     t = d.select(F.col("__db").alias("db"), F.col("__doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = max(n_parts(spark), math.ceil(size / 35 / HASHES))
     long_ = t.filter(F.octet_length("text") >= span)
-    shared = written(_anchor_hashes(long_, span, buckets).groupBy("bucket").applyInArrow(_shared(groups), "db int, h binary, n long"), "shared")
+    shared = written(_anchor_hashes(long_, span, buckets).groupBy("bucket").applyInArrow(_shared, "db int, h binary, n long"), "shared")
     free_shuffles(spark)
     total = shared.agg(F.sum("n")).first()[0] or 0
     parts = max(n_parts(spark), math.ceil(total * 140 / PART))

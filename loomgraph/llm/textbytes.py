@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; work arrays take about 60 times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20250101))
 #: A random odd base and one random value for each byte.
@@ -131,3 +131,11 @@ def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return row[keep], h[keep]
+
+
+def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The buckets that occur, and each column's values in them as bytes; columns may be stacked rows of values."""
+    order = np.argsort(bucket, kind="stable")
+    there, first = np.unique(bucket[order], return_index=True)
+    edge = np.append(first, len(order))
+    return there, [[np.ascontiguousarray(c[..., order[a:b]]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] for c in columns]
