@@ -48,4 +48,42 @@ SELECT c.doc_id, c.size, c.text_crc32, 'key' AS law, s.shard,
 FROM c JOIN s USING (doc_id)
 """
 
-ORACLES = {"op3_exact_topk": _TOPK, "op5_url_filters": _URL, "op6_sharding": _SHARD}
+_JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS sh FROM w
+), u AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM u x JOIN u y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * i >= 85 * (len(x.sh) + len(y.sh) - i)),
+twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN twoway b ON b.a = r.other)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+"""
+
+_NEAR = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.b FROM reach r JOIN e ON e.a = r.other),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT m.vec_id, (SELECT count(*) FROM e WHERE e.a = m.vec_id) AS n_links, c.component_id, m.vec_id = c.component_id AS kept FROM embeddings m JOIN c ON c.vec_id = m.vec_id
+"""
+
+_REPEATS = """
+WITH d AS (SELECT doc_id, h, (length(h) / 2)::BIGINT AS nb FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+w AS (SELECT doc_id, h, unnest(range(0, nb - 99)) AS s FROM d WHERE nb >= 100),
+f AS (SELECT doc_id, s FROM (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS k FROM w) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM f),
+g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM i),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY doc_id, g),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS gone, count(*) AS spans FROM r GROUP BY 1),
+x AS (SELECT d.doc_id, d.nb, d.h, coalesce(l.a, []::BIGINT[]) AS a, coalesce(l.b, []::BIGINT[]) AS b, coalesce(gone, 0) AS gone, coalesce(spans, 0) AS spans FROM d LEFT JOIN l USING (doc_id))
+SELECT doc_id, nb AS n_bytes, gone AS n_removed, spans AS n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(a) + 2), lambda k:
+  substr(h, 2 * (CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END) + 1, 2 * ((CASE WHEN k <= len(a) THEN a[k] ELSE nb END) - (CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END)))), ''))) AS kept_sha256
+FROM x
+"""
+
+ORACLES = {"op3_exact_topk": _TOPK, "op5_url_filters": _URL, "op6_sharding": _SHARD, "op7_ngram_jaccard_join": _JACCARD, "op8_embedding_near_dedup": _NEAR, "op10_suffix_array_dedup": _REPEATS}
