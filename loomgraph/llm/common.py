@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -87,11 +88,14 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that have ended."""
+    """Let Spark's cleaner drop the shuffle files of plans that have ended: it acts on what the driver's two collectors have found
+    unused, and the first round finds what the second one drops."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def n_parts(spark: SparkSession) -> int:
