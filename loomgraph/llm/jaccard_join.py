@@ -283,7 +283,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 #: Members of a large group that one task compares; rounds that look at nearest members only, keys of a
 #: document and partners per key in such a round.
-CHUNK, ROUNDS, KEYS, NEAREST = 4096, 2, 3, 4
+CHUNK, ROUNDS, KEYS, NEAREST = 4096, 2, 3, 1
 
 
 def _cross(num: int, den: int, nearest: int | None):
