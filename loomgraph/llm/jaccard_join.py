@@ -155,7 +155,8 @@ def _sketch_words(row: np.ndarray, h: np.ndarray, rows: int, bands: Bands) -> tu
         empty = np.bincount(who[~filled], minlength=rows)
         most = empty >= k - d
         keep = filled | most[who]
-        shared = np.minimum(np.where(most, k - d, k - d - empty), 127)
+        # a document that uses its empty words may meet one that does not: nothing but one word is certain then
+        shared = np.minimum(np.where(most, 1, k - d - empty), 127)
         who, part, word = who[keep], part[keep], word[keep]
         key = mix(word + mix((band[who] * 1_000_003 + part).astype(np.uint64)))
         out.append((who, key, (shared[who] * 2 + home).astype(np.uint8)))
