@@ -5,7 +5,7 @@ shingle toggles one bit of one word, so the Hamming distance of two sketches is
 at most the symmetric difference of the sets. Sets that link differ in at most d
 shingles (d follows from the sizes), so at least k - d words are equal. Documents
 meet when a word is equal. Words are wide and sparse (2 ** 64 positions) and are
-held as the XOR of their positions' codes. Dense sketches, first of 512 bits and
+held as the XOR of their positions' codes. Dense sketches, first of 1,024 bits and
 then of about four bits a shingle, discard pairs whose distance is over the
 bound; what is left is verified on the texts.
 
@@ -33,7 +33,7 @@ from loomgraph.llm.textbytes import by_bucket, chunks, distinct, mix, shingles,
 #: Members of one equal word that are paired all with all; larger groups meet their smallest member.
 SMALL = 8
 #: Longs of the dense sketch; sketch words in a bucket of the join.
-LONGS, BUCKET = 8, 700_000
+LONGS, BUCKET = 16, 700_000
 #: A band spans this many steps of the similarity.
 STEPS = 2
 
@@ -70,12 +70,12 @@ def _marks(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.nd
 
 
 def _fine(row: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
-    """Parity sketches whose size follows the set: the power of two of 4 to 8 bits a shingle; none for sets that 512 bits serve well.
+    """Parity sketches whose size follows the set: the power of two of 4 to 8 bits a shingle; none for sets that the other sketch serves well.
 
     A larger sketch folds onto a smaller one, so any two compare.
     """
     n = np.bincount(row, minlength=rows)
-    size = np.where(n > 128, 1 << np.minimum(np.ceil(np.log2(np.maximum(n, 1) * 4)).astype(np.int64), 22), 0) >> 6
+    size = np.where(n > 256, 1 << np.minimum(np.ceil(np.log2(np.maximum(n, 1) * 4)).astype(np.int64), 22), 0) >> 6
     first = np.concatenate([[0], np.cumsum(size)])
     use = size[row] > 0
     r = row[use]
@@ -284,7 +284,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 #: Members of a large group that one task compares; rounds that look at nearest members only, keys of a
 #: document and partners per key in such a round.
-CHUNK, ROUNDS, KEYS, NEAREST = 4096, 2, 3, 1
+CHUNK, ROUNDS, KEYS, NEAREST = 4096, 2, 3, 2
 
 
 def _cross(num: int, den: int, nearest: int | None):

@@ -128,7 +128,7 @@ def features(offsets: np.ndarray, data: np.ndarray, m: dict[str, np.ndarray]) ->
         bucket = ((tri * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
         row = np.searchsorted(offsets, np.arange(len(tri)), "right") - 1
         inside = np.arange(len(tri)) + 3 <= offsets[row + 1]
-        key = np.bincount(row[inside] * BUCKETS + bucket[inside], minlength=0) if rows * BUCKETS < 1 << 24 else None
+        key = np.bincount(row[inside] * BUCKETS + bucket[inside], minlength=0) if rows * BUCKETS < 1 << 21 else None
         if key is None:
             k, number = np.unique(row[inside] * BUCKETS + bucket[inside], return_counts=True)
         else:

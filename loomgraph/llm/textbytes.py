@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; work arrays take about 60 times as much.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20250101))
 #: A random odd base and one random value for each byte.
