@@ -24,7 +24,7 @@ _pow: dict[int, np.ndarray] = {}
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    if len(_pow.get(int(base), ())) < n:
+    if int(base) not in _pow or len(_pow[int(base)]) < n:
         a = np.full(max(n, CHUNK + 4096), base, np.uint64)
         a[0] = 1
         _pow[int(base)] = np.cumprod(a, dtype=np.uint64)
