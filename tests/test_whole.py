@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import registry
 from loomgraph.plans.projection import TABLES
@@ -59,3 +60,24 @@ def test_neighborhood_over_all_lines(spark, run):
 
 def test_communities_hold_every_end(spark, run):
     assert {r.node for r in run("communities")} == {x for r in lines(spark) if r.l_linenumber % 5 == 1 for x in ends(r)}
+
+
+def test_every_item_is_asked_with_its_whole_text(spark, run):
+    far = "x " * 60 + "zanzibar"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.limit(1).withColumns({"doc_id": F.lit(7777).cast("long"), "text": F.lit("zanzibar")})
+    items = spark.createDataFrame([(3, "nothing"), (41, far)], "item_id long, text string")
+    assert [(r.query_id, r.doc_id) for r in run("bm25", documents=docs.unionByName(one), benchmark=items) if r.doc_id == 7777] == [(41, 7777)]
+
+
+def test_context_pack_of_every_item(spark, run):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    one = docs.limit(1).withColumns({"doc_id": F.lit(7777).cast("long"), "text": F.lit("zanzibar")})
+    items = spark.createDataFrame([(41, "x " * 60 + "zanzibar")], "item_id long, text string")
+    assert (41, 7777) in {(r.query_id, r.doc_id) for r in run("context_pack", documents=docs.unionByName(one), benchmark=items)}
+
+
+def test_source_tier_of_late_documents(spark, run):
+    docs = spark.createDataFrame([(500, "one", "src4"), (501, "two", "src5"), (9, "three", "src9")], "doc_id long, text string, source string")
+    items = spark.createDataFrame([(3, "absent")], "item_id long, text string")
+    assert [(r.doc_id, r.tier) for r in sorted(run("retrieval_tiers", documents=docs, benchmark=items), key=lambda r: r.place)] == [(9, 0), (500, 1)]
