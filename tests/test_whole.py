@@ -81,3 +81,9 @@ def test_source_tier_of_late_documents(spark, run):
     docs = spark.createDataFrame([(500, "one", "src4"), (501, "two", "src5"), (9, "three", "src9")], "doc_id long, text string, source string")
     items = spark.createDataFrame([(3, "absent")], "item_id long, text string")
     assert [(r.doc_id, r.tier) for r in sorted(run("retrieval_tiers", documents=docs, benchmark=items), key=lambda r: r.place)] == [(9, 0), (500, 1)]
+
+
+def test_bodies_are_compared_to_their_end(spark, run):
+    doc = lambda i, end: (i, "h" * 20 + "x" * 100_000 + end, "en", "src1", 100_020 + len(end))
+    docs = spark.createDataFrame([doc(46, "one"), doc(92, "two")], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.before_id, r.after_id) for r in run("rename_candidates", documents=docs)) == [(46, 1_000_000_046), (92, 1_000_000_092)]
