@@ -9,7 +9,9 @@ from loomgraph.plans.projection import projected, views, with_sql
 from loomgraph.plans.queries_overlay import _COVER, _PART_SPANS
 from loomgraph.registry import query
 
-_A = "SELECT l_orderkey * 10 + l_linenumber AS assertion_id, l_partkey AS evidence_id, l_suppkey AS source_id, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_partkey END AS target_id FROM lineitem WHERE l_discount = 0.05"
+# the names with _SQL are thinned forms that only the registered SQL still reads
+_A = "SELECT l_orderkey * 10 + l_linenumber AS assertion_id, l_partkey AS evidence_id, l_suppkey AS source_id, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_partkey END AS target_id FROM lineitem"
+_A_SQL = "SELECT l_orderkey * 10 + l_linenumber AS assertion_id, l_partkey AS evidence_id, l_suppkey AS source_id, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_partkey END AS target_id FROM lineitem WHERE l_discount = 0.05"
 _E = "SELECT p_partkey AS evidence_id, p_partkey % 500 AS occurrence_id, p_size % 7 AS producer_id, p_size AS start_byte, p_size + 10 AS end_byte FROM part"
 _O = "SELECT s_suppkey AS occurrence_id, CAST(s_suppkey % 50 + 1 AS INT) AS start_byte, CAST(s_suppkey % 50 + 11 AS INT) AS end_byte, s_name AS path, s_nationkey AS line FROM supplier"
 _P = "SELECT n_nationkey AS producer_id, n_name AS producer FROM nation WHERE n_nationkey < 6"
@@ -20,12 +22,12 @@ def _sql(spark, sf_dir, *texts):
     return [spark.sql(t) for t in texts]
 
 
-@query(f"SELECT a.assertion_id, e.evidence_id, o.occurrence_id, p.producer_id, o.path, o.line, p.producer FROM ({_A}) a JOIN ({_E}) e USING (evidence_id) JOIN ({_O}) o ON o.occurrence_id = e.occurrence_id AND o.start_byte = e.start_byte AND o.end_byte = e.end_byte JOIN ({_P}) p USING (producer_id)")
+@query(f"SELECT a.assertion_id, e.evidence_id, o.occurrence_id, p.producer_id, o.path, o.line, p.producer FROM ({_A_SQL}) a JOIN ({_E}) e USING (evidence_id) JOIN ({_O}) o ON o.occurrence_id = e.occurrence_id AND o.start_byte = e.start_byte AND o.end_byte = e.end_byte JOIN ({_P}) p USING (producer_id)")
 def proof_hydration(spark, sf_dir):
     return evidence.proofs(*_sql(spark, sf_dir, _A, _E, _O, _P)).select("assertion_id", "evidence_id", "occurrence_id", "producer_id", "path", "line", "producer")
 
 
-@query(f"""WITH a AS ({_A}), e AS (SELECT p_partkey AS entity_id FROM part WHERE p_partkey % 9 <> 0) SELECT assertion_id, 'source' AS side FROM a WHERE source_id NOT IN (SELECT entity_id FROM e)
+@query(f"""WITH a AS ({_A_SQL}), e AS (SELECT p_partkey AS entity_id FROM part WHERE p_partkey % 9 <> 0) SELECT assertion_id, 'source' AS side FROM a WHERE source_id NOT IN (SELECT entity_id FROM e)
  UNION ALL SELECT assertion_id, 'target' FROM a WHERE target_id IS NOT NULL AND target_id NOT IN (SELECT entity_id FROM e)""")
 def dangling_endpoints(spark, sf_dir):
     return evidence.dangling(*_sql(spark, sf_dir, _A, "SELECT p_partkey AS entity_id FROM part WHERE p_partkey % 9 <> 0"))
@@ -99,9 +101,11 @@ def cross_repo_impact(spark, sf_dir):
     return evidence.cross_repo_impact(changed, links)
 
 
-_STRUCT = "SELECT l_partkey AS span_id, concat('t', CAST(l_suppkey % 20 AS STRING)) AS test, CAST(l_linenumber AS BIGINT) AS distance FROM lineitem WHERE l_discount = 0.03 AND l_partkey % 3 = 0"
-_SAME = "SELECT DISTINCT l_partkey AS span_id, concat('t', CAST(l_suppkey % 20 AS STRING)) AS test FROM lineitem WHERE l_discount = 0.07 AND l_partkey % 5 = 0"
-_EV = f"""ev AS (SELECT span_id, test, CASE WHEN body THEN 0 ELSE 2 END AS basis, 1 AS spans, lines AS body_lines, 0 AS distance FROM cov UNION ALL SELECT span_id, test, 3, 0, 0, distance FROM ({_STRUCT}) UNION ALL SELECT span_id, test, 4, 0, 0, 0 FROM ({_SAME})),
+_STRUCT = "SELECT l_partkey AS span_id, concat('t', CAST(l_suppkey % 20 AS STRING)) AS test, CAST(l_linenumber AS BIGINT) AS distance FROM lineitem"
+_STRUCT_SQL = "SELECT l_partkey AS span_id, concat('t', CAST(l_suppkey % 20 AS STRING)) AS test, CAST(l_linenumber AS BIGINT) AS distance FROM lineitem WHERE l_discount = 0.03 AND l_partkey % 3 = 0"
+_SAME = "SELECT DISTINCT l_partkey AS span_id, concat('t', CAST(l_suppkey % 20 AS STRING)) AS test FROM lineitem"
+_SAME_SQL = "SELECT DISTINCT l_partkey AS span_id, concat('t', CAST(l_suppkey % 20 AS STRING)) AS test FROM lineitem WHERE l_discount = 0.07 AND l_partkey % 5 = 0"
+_EV = f"""ev AS (SELECT span_id, test, CASE WHEN body THEN 0 ELSE 2 END AS basis, 1 AS spans, lines AS body_lines, 0 AS distance FROM cov UNION ALL SELECT span_id, test, 3, 0, 0, distance FROM ({_STRUCT_SQL}) UNION ALL SELECT span_id, test, 4, 0, 0, 0 FROM ({_SAME_SQL})),
  b AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY span_id, test ORDER BY basis, spans DESC, body_lines DESC, distance) = 1)"""
 
 

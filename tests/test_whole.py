@@ -87,3 +87,31 @@ def test_bodies_are_compared_to_their_end(spark, run):
     doc = lambda i, end: (i, "h" * 20 + "x" * 100_000 + end, "en", "src1", 100_020 + len(end))
     docs = spark.createDataFrame([doc(46, "one"), doc(92, "two")], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.before_id, r.after_id) for r in run("rename_candidates", documents=docs)) == [(46, 1_000_000_046), (92, 1_000_000_092)]
+
+
+def plain_lines(spark):
+    return spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").collect()
+
+
+def test_endpoints_of_all_lines(spark, run):
+    parts = {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect() if r.p_partkey % 9}
+    want = sorted((r.l_orderkey * 10 + r.l_linenumber, side) for r in plain_lines(spark) for side, x in (("source", r.l_suppkey), ("target", r.l_partkey if r.l_linenumber > 1 else None)) if x is not None and x not in parts)
+    assert sorted((r.assertion_id, r.side) for r in run("dangling_endpoints")) == want
+
+
+def test_proofs_of_all_lines(spark, run):
+    part = spark.read.parquet(f"{SF}/part.parquet").withColumn("p_size", (F.col("p_partkey") % 50 + 1).cast("int"))
+    supplier = {r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    want = sorted(r.l_orderkey * 10 + r.l_linenumber for r in plain_lines(spark) if r.l_partkey in supplier and (r.l_partkey + 1) % 7 < 6)
+    assert sorted(r.assertion_id for r in run("proof_hydration", part=part)) == want != []
+
+
+def test_evidence_of_all_lines(spark, run):
+    tests = {(r.l_partkey, f"t{r.l_suppkey % 20}") for r in plain_lines(spark)}
+    got = {(r.span_id, r.test): r.basis for r in run("validation_plan")}
+    assert tests <= set(got) and all(got[x] <= 3 for x in tests)
+
+
+def test_no_gap_where_a_line_is(spark, run):
+    state = {r.span_id: r.state for r in run("validation_states")}
+    assert {state[r.l_partkey] for r in plain_lines(spark)} <= {"observed", "structural_only"}
