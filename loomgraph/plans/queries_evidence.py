@@ -35,10 +35,11 @@ def dangling_endpoints(spark, sf_dir):
 
 _R = "SELECT concat(p_name, '/', p_type) AS callee_name, l_suppkey AS source_id, CAST(l_linenumber AS BIGINT) AS line, l_orderkey AS assertion_id FROM lineitem JOIN part ON p_partkey = l_partkey"
 _T = "SELECT s_suppkey AS entity_id, s_name AS name, s_suppkey % 4 = 0 AS is_test FROM supplier"
-_C = "SELECT DISTINCT concat(p_name, '/', p_type) AS name FROM part WHERE p_partkey < 40"
+_C = "SELECT DISTINCT concat(p_name, '/', p_type) AS name FROM part"
+_C_SQL = _C + " WHERE p_partkey < 40"
 
 
-@query(f"SELECT c.name, t.name AS test, min(r.line) AS line FROM ({_C}) c JOIN ({_R}) r ON r.callee_name = c.name JOIN ({_T}) t ON t.entity_id = r.source_id WHERE is_test GROUP BY 1, 2")
+@query(f"SELECT c.name, t.name AS test, min(r.line) AS line FROM ({_C_SQL}) c JOIN ({_R}) r ON r.callee_name = c.name JOIN ({_T}) t ON t.entity_id = r.source_id WHERE is_test GROUP BY 1, 2")
 def same_name_probe(spark, sf_dir):
     r, t, c = _sql(spark, sf_dir, _R, _T, _C)
     return evidence.same_name_tests(r, t, c)
@@ -49,7 +50,7 @@ def same_name_probe(spark, sf_dir):
  SELECT s.name, count(*) FILTER (r.cands = 0) AS unresolved, count(*) FILTER (r.cands > 1) AS ambiguous, count(*) FILTER (r.cands = 0 OR r.cands > 1) = 0 AS complete FROM (SELECT DISTINCT name FROM symbols WHERE id < 300) s LEFT JOIN r USING (name) GROUP BY 1""")
 def impact_boundaries(spark, sf_dir):
     s = projected(spark, sf_dir, "symbols")
-    return evidence.boundaries(s.filter("id < 300"), resolve.resolved(projected(spark, sf_dir, "refs"), s))
+    return evidence.boundaries(s, resolve.resolved(projected(spark, sf_dir, "refs"), s))
 
 
 _PIECES = "p AS (SELECT source, left(h, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY 1, 2)"

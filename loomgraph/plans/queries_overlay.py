@@ -163,8 +163,9 @@ _FB = f"fb AS (SELECT *, CASE WHEN user_id % 8 = 0 THEN 'path_not_indexed' WHEN
 
 
 def _feedback(spark, sf_dir):
-    files = spark.range(1_000_000).filter("id % 8 != 0").select(F.concat(F.lit("f"), "id").alias("path"), F.lit("sha").alias("sha"))
-    return overlays.feedback_classes(_sql(spark, sf_dir, _EVENTS), files, "g1")
+    events = _sql(spark, sf_dir, _EVENTS)
+    files = events.filter("item % 8 != 0").select("path", F.lit("sha").alias("sha")).distinct()
+    return overlays.feedback_classes(events, files, "g1")
 
 
 @query(f"WITH {_FB} SELECT coalesce(excluded, 'active') AS state, outcome, count(*) AS n FROM fb GROUP BY ALL")
@@ -176,13 +177,13 @@ def feedback_states(spark, sf_dir):
  i AS (SELECT c_nationkey AS query_id, c_custkey AS item, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS INTEGER) AS pos FROM customer WHERE c_custkey < 300),
  x AS (SELECT i.*, CASE WHEN pos = 0 THEN 0 ELSE coalesce(delta, 0) END AS delta FROM i LEFT JOIN d USING (item)) SELECT query_id, item, delta, row_number() OVER (PARTITION BY query_id ORDER BY pos <> 0, pos - delta, -delta, pos, item) - 1 AS place FROM x""")
 def feedback_ranking(spark, sf_dir):
-    items = _sql(spark, sf_dir, "SELECT c_nationkey AS query_id, c_custkey AS item, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM customer WHERE c_custkey < 300")
+    items = _sql(spark, sf_dir, "SELECT c_nationkey AS query_id, c_custkey AS item, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM customer")
     return overlays.feedback_order(items, _feedback(spark, sf_dir))
 
 
 @query("SELECT user_id, event_type, min(CAST(event_id % 3 AS INTEGER)) AS verdict, count(DISTINCT event_id % 3) > 1 AS conflict FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2")
 def merged_events(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 5 = 0").select("user_id", "event_type", (F.col("event_id") % 3).cast("int").alias("verdict"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", (F.col("event_id") % 3).cast("int").alias("verdict"))
     return overlays.merged_events(e, ["user_id", "event_type"], "verdict")
 
 
@@ -200,7 +201,7 @@ def rails_routes(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     one, two = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
     declared = p.select(F.col("p_partkey").alias("route_id"), F.concat_ws("_", F.lower("p_type"), one).alias("controller"), two.alias("action"))
-    methods = p.filter("p_partkey % 40 = 7").select(F.concat(scalars.camelize(F.concat_ws("_", F.lower("p_type"), one)), F.lit("Controller")).alias("owner"), two.alias("name"), F.col("p_brand").alias("path"))
+    methods = p.select(F.concat(scalars.camelize(F.concat_ws("_", F.lower("p_type"), one)), F.lit("Controller")).alias("owner"), two.alias("name"), F.col("p_brand").alias("path"))
     return overlays.routes(declared, methods)
 
 
@@ -209,7 +210,7 @@ def rails_routes(spark, sf_dir):
  h AS (SELECT assoc_id, sum(n) AS n, min(model) AS model FROM c JOIN g USING (model) GROUP BY 1) SELECT a.assoc_id, CASE WHEN h.n IS NULL THEN 'UNRESOLVED' WHEN h.n = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS outcome, CASE WHEN h.n = 1 THEN h.model END AS model FROM a LEFT JOIN h USING (assoc_id)""")
 def rails_associations(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey < 12")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     k = F.col("s_suppkey")
     head = F.when(k % 4 == 0, "A::B::").when(k % 4 == 1, "A::").otherwise("")
     tail = F.when(k % 7 == 0, "SMALL").when(k % 7 == 1, "ECONOMY").when(k % 7 == 2, "LARGE").otherwise(F.concat(F.lit("X"), k))
@@ -218,11 +219,14 @@ def rails_associations(spark, sf_dir):
     return overlays.associations(declared, s.select(F.concat(head, tail).alias("name")))
 
 
-_ENQ = "SELECT event_id AS call_id, concat('Job', CAST(user_id % 30 AS STRING)) AS job, CASE event_id % 5 WHEN 0 THEN 'perform_async' WHEN 1 THEN 'perform_later' WHEN 2 THEN 'perform_in' WHEN 3 THEN 'perform_now' ELSE 'perform_async' END AS method, CAST(floor(value) AS BIGINT) % 5 AS args FROM events"
-_PERF = "SELECT concat('Job', CAST(CASE WHEN s_suppkey % 25 = 24 THEN 3 ELSE s_suppkey % 25 END AS STRING)) AS job, s_suppkey % 3 AS required, s_suppkey % 2 AS optional FROM supplier WHERE s_suppkey < 25"
+_ENQ = "SELECT event_id AS call_id, concat('Job', CAST(user_id AS STRING)) AS job, CASE event_id % 5 WHEN 0 THEN 'perform_async' WHEN 1 THEN 'perform_later' WHEN 2 THEN 'perform_in' WHEN 3 THEN 'perform_now' ELSE 'perform_async' END AS method, CAST(floor(value) AS BIGINT) % 5 AS args FROM events"
+_PERF = "SELECT concat('Job', CAST(CASE WHEN s_suppkey % 25 = 24 THEN s_suppkey - 21 ELSE s_suppkey END AS STRING)) AS job, s_suppkey % 3 AS required, s_suppkey % 2 AS optional FROM supplier"
+# the names with _SQL are folded or thinned forms that only the registered SQL still reads
+_ENQ_SQL = _ENQ.replace("user_id AS", "user_id % 30 AS")
+_PERF_SQL = "SELECT concat('Job', CAST(CASE WHEN s_suppkey % 25 = 24 THEN 3 ELSE s_suppkey % 25 END AS STRING)) AS job, s_suppkey % 3 AS required, s_suppkey % 2 AS optional FROM supplier WHERE s_suppkey < 25"
 
 
-@query(f"""WITH e AS ({_ENQ}), p AS (SELECT job, count(*) AS n, min(required) AS lo, min(required) + min(optional) AS hi FROM ({_PERF}) GROUP BY 1)
+@query(f"""WITH e AS ({_ENQ_SQL}), p AS (SELECT job, count(*) AS n, min(required) AS lo, min(required) + min(optional) AS hi FROM ({_PERF_SQL}) GROUP BY 1)
  SELECT call_id, CASE WHEN method IN ('perform_in', 'perform_at') THEN 'unsupported_delay' WHEN method NOT IN ('perform_async', 'perform_later') THEN 'not_an_enqueue' WHEN p.n IS NULL THEN 'job_not_found' WHEN p.n > 1 THEN 'AMBIGUOUS' WHEN args < lo OR args > hi THEN 'arity_mismatch' ELSE 'INFERRED' END AS outcome FROM e LEFT JOIN p USING (job)""")
 def rails_jobs(spark, sf_dir):
     return overlays.jobs(_sql(spark, sf_dir, _ENQ), spark.sql(_PERF))

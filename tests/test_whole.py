@@ -115,3 +115,54 @@ def test_evidence_of_all_lines(spark, run):
 def test_no_gap_where_a_line_is(spark, run):
     state = {r.span_id: r.state for r in run("validation_states")}
     assert {state[r.l_partkey] for r in plain_lines(spark)} <= {"observed", "structural_only"}
+
+
+def test_all_events_are_merged(spark, run):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        want.setdefault((r.user_id, r.event_type), set()).add(r.event_id % 3)
+    assert {(r.user_id, r.event_type): (r.verdict, r.conflict) for r in run("merged_events")} == {k: (min(v), len(v) > 1) for k, v in want.items()}
+
+
+def test_feedback_of_late_users(spark, run):
+    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("user_id") + 1_000_001)
+    states = {r.state for r in run("feedback_states", events=e)}
+    assert {"active", "path_not_indexed"} <= states
+
+
+def test_late_customers_are_ranked(spark, run):
+    c = spark.read.parquet(f"{SF}/customer.parquet").withColumn("c_custkey", F.col("c_custkey") + 300)
+    assert {r["item"] for r in run("feedback_ranking", customer=c)} == set(range(300, 450))
+
+
+def test_all_declarations_resolve(spark, run):
+    assert all(r.full_name for r in run("ruby_namespace"))
+
+
+def test_all_routes_have_their_action(spark, run):
+    assert {r.outcome for r in run("rails_routes")} <= {"INFERRED", "AMBIGUOUS"}
+
+
+def test_late_models_and_jobs(spark, run):
+    p = spark.read.parquet(f"{SF}/part.parquet").limit(1).withColumns({"p_size": F.lit(1), "p_type": F.lit("X13")})
+    s = spark.read.parquet(f"{SF}/supplier.parquet").limit(1).withColumn("s_suppkey", F.lit(13).cast("long"))
+    assert [(r.outcome, r.model) for r in run("rails_associations", part=p, supplier=s)] == [("INFERRED", "A::X13")]
+
+
+def test_jobs_of_late_suppliers(spark, run):
+    # 49 counts as 28, so Job28 has two performs; Job31 has one of 1 to 2 arguments
+    s = spark.read.parquet(f"{SF}/supplier.parquet").limit(3).withColumn("s_suppkey", F.element_at(F.array(*map(F.lit, (28, 49, 31))), (F.col("s_suppkey") + 1).cast("int")).cast("long"))
+    e = spark.read.parquet(f"{SF}/events.parquet").filter("event_id in (0, 5, 10)").withColumns({"user_id": F.element_at(F.array(*map(F.lit, (28, 31, 32))), (F.col("event_id") / 5 + 1).cast("int")).cast("long"), "value": F.lit(1.5)})
+    assert {r.call_id: r.outcome for r in run("rails_jobs", supplier=s, events=e)} == {0: "AMBIGUOUS", 5: "INFERRED", 10: "job_not_found"}
+
+
+def test_names_of_all_symbols(spark, run):
+    p = spark.read.parquet(f"{SF}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 300)
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + 300)
+    assert {r.name for r in run("impact_boundaries", part=p, lineitem=li)} == {f"{r.p_name}/{r.p_type}/{r.p_size}" for r in p.collect()}
+
+
+def test_probe_of_all_names(spark, run):
+    name = {r.p_partkey: f"{r.p_name}/{r.p_type}" for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    want = {(name[r.l_partkey], r.l_suppkey) for r in plain_lines(spark) if r.l_suppkey % 4 == 0}
+    assert len(run("same_name_probe")) == len(want)
