@@ -217,19 +217,27 @@ def rule_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, keys, "full_outer").select(*keys, F.when(F.col("__b").isNull(), "introduced").when(F.col("__a").isNull(), "resolved").otherwise("persisting").alias("delta"))
 
 
-def span_paths(spans: DataFrame, longest: int = 256) -> DataFrame:
-    """Root-to-leaf chains of span ids: (trace_id, path). ``spans`` (trace_id, span_id, parent_id).
+def span_paths(spans: DataFrame) -> DataFrame:
+    """Root-to-leaf chains of span ids, whole: (trace_id, path). ``spans`` (trace_id, span_id, parent_id).
 
-    Chains double in length each round (every span learns the chain above it), so the rounds grow with the logarithm of the depth.
+    Jumps to the span 1, 2, 4, ... above are written until no span has one; then each leaf's chain is filled from the
+    largest jump down, so rows follow the length of the result. A leaf below a cycle has no root and gives no chain.
     """
     s = spans.select("trace_id", "span_id", "parent_id")
-    known = s.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("__there"))
-    s = s.join(known, ["trace_id", "parent_id"], "left").withColumn("top", F.when(F.col("__there"), F.col("parent_id")))
-    t = kept(s.select("trace_id", "span_id", "top", F.array("span_id").alias("chain")))
-    span = 1
-    while span < longest and not t.filter("top is not null").isEmpty():
-        up = t.select("trace_id", F.col("span_id").alias("top"), F.col("top").alias("__next"), F.col("chain").alias("__above"))
-        t = kept(t.join(up, ["trace_id", "top"], "left").select("trace_id", "span_id", F.col("__next").alias("top"), F.concat(F.coalesce("__above", F.array().cast(dict(t.dtypes)["chain"])), "chain").alias("chain")))
-        span *= 2
-    leaf = spans.select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id is not null").distinct()
-    return t.filter("top is null").join(leaf, ["trace_id", "span_id"], "left_anti").select("trace_id", F.col("chain").alias("path"))
+    known = s.select("trace_id", F.col("span_id").alias("parent_id")).distinct()
+    up = kept(s.join(known, ["trace_id", "parent_id"], "left_semi").select("trace_id", "span_id", F.col("parent_id").alias("above")))
+    most = s.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    jumps: list[DataFrame] = []
+    # a jump over as many spans as the trace has goes round a cycle
+    while 1 << len(jumps) < most and not up.isEmpty():
+        jumps.append(up)
+        far = up.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("__next"))
+        up = kept(up.join(far, ["trace_id", "above"]).select("trace_id", "span_id", F.col("__next").alias("above")))
+    inner = s.select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id is not null").distinct()
+    leaf = s.select("trace_id", "span_id").join(inner, ["trace_id", "span_id"], "left_anti").join(up, ["trace_id", "span_id"], "left_anti")
+    t = kept(leaf.select("trace_id", F.col("span_id").alias("leaf"), "span_id", F.lit(0).cast("long").alias("height")))
+    for k in reversed(range(len(jumps))):
+        more = t.join(jumps[k], ["trace_id", "span_id"]).select("trace_id", "leaf", F.col("above").alias("span_id"), F.col("height") + (1 << k))
+        t = kept(t.union(more))
+    chain = F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("depth"), "span_id")))
+    return t.groupBy("trace_id", "leaf").agg(chain.alias("chain")).select("trace_id", F.col("chain.span_id").alias("path"))

@@ -140,3 +140,19 @@ def test_budget_stops_at_the_first_that_does_not_fit(spark):
 
     d = spark.createDataFrame([(1, 5), (2, 6), (3, 1)], "k int, cost int")
     assert [r.k for r in lookup.within_budget(d, ["k"], F.col("cost"), 10).collect()] == [1]
+
+
+def test_span_paths_are_whole_and_cycles_end(spark):
+    deep = [(1, i, i - 1 if i else None) for i in range(700)]
+    rng = random.Random(5)
+    tree = [(2, i, rng.randrange(i) if i else None) for i in range(60)] + [(2, 99, 77)]
+    cycle = [(3, 1, 2), (3, 2, 1), (3, 3, 2), (3, 4, None)]
+    got = sorted((r.trace_id, list(r.path)) for r in graph.span_paths(spark.createDataFrame(deep + tree + cycle, "trace_id long, span_id long, parent_id long").repartition(3)).collect())
+    above = {(t, s): p for t, s, p in tree}
+    want = [(1, list(range(700))), (2, [99]), (3, [4])]
+    for leaf in set(range(60)) - set(above.values()):
+        path = [leaf]
+        while above[2, path[0]] is not None:
+            path.insert(0, above[2, path[0]])
+        want.append((2, path))
+    assert got == sorted(want)
