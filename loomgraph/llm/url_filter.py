@@ -69,8 +69,8 @@ def node_of(url: Column) -> Column:
 def link_targets(html: Column) -> Column:
     """Array of canonical-link and meta-refresh targets, as written in the page."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(t, "(?i)\\bhref" + _ATTR, 1))
-    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(t, "(?i)\\bhref" + _ATTR, 1))
+    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     all_ = F.array_distinct(F.concat(canonical, refresh))
     # most pages have neither word: no tag is searched for there
     return F.when(html.rlike("(?i)canonical|http-equiv"), F.filter(all_, lambda t: t != "")).otherwise(F.array().cast("array<string>"))

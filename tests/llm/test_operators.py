@@ -333,3 +333,15 @@ def test_vector_edge_cases(spark):
     d = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, None, None), (1, [], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], schema)
     got = embedding_dedup.near_duplicates(d).collect()
     assert len(got) == 6 and {r.component_id for r in got if r.vec_id == 2} == {1}
+
+
+def test_url_links_in_tags_broken_over_lines(spark):
+    rows = [
+        (0, "http://a.com/en/1", None), (1, "http://n.net/de/8", None),
+        (2, "http://h.io/a", '<link\nrel="canonical"\nhref="http://a.com/en/1">'),
+        (3, "http://h.io/b", '<LINK href="http://a.com/en/1"\r\n  rel=canonical>'),
+        (4, "http://h.io/c", "<meta\n http-equiv=refresh\n content='0;\n url=http://org/es/x'>"),
+        (5, "http://h.io/d", '<link\nrel="stylesheet" href="http://a.com/en/1">'),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow"}
