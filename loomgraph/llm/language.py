@@ -209,11 +209,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (``und``: no letter, or nothing learned) go; ``lang`` stays as it was."""
+    """Documents whose language cannot be told go: null text and text without a letter; ``lang`` stays as it was.
+
+    Where no language was learned every prediction is ``und``, and the letters alone decide.
+    """
     model, names = fit(docs), docs.columns
+    learned = bool(model.langs)
 
     def finish(batch: pa.RecordBatch, lang: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-        kept = batch.filter(pa.array(lang != UNKNOWN))
+        kept = batch.filter(pa.array(lang != UNKNOWN) if learned else batch.column(batch.num_columns - 1))
         return pa.RecordBatch.from_arrays(kept.columns[:-2], names=names)
 
     return _predict(docs, model, (docs.schema, docs.columns), finish)

@@ -63,3 +63,8 @@ def test_stages_on_an_empty_table_and_with_more_columns(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).withColumn("good", F.lit(1)).withColumn("db", F.lit("x"))
     assert stage(spark, docs, SF).columns == docs.columns
     assert stage(spark, docs.filter("doc_id < 0"), SF).count() == 0
+
+
+def test_language_stage_without_labels_drops_only_letterless_texts(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "äß", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_stage(spark, docs, SF).collect()) == [1, 4]
