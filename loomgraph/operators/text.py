@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,41 +46,36 @@ def listed(files: DataFrame, folder: str, cap: int = 200) -> DataFrame:
 def searched(files: DataFrame, pattern: str, regex: bool = False, limit: int | None = None) -> DataFrame:
     """(path, line, col, preview): a row per match; case matters only if the pattern has an upper-case letter.
 
-    Lines are filtered in the JVM first; positions come from the matcher itself, on matching lines only.
+    One matcher, the JVM's with Unicode case folding and classes, finds lines, matches and columns: a line is split at its
+    matches, and a match starts after the pieces and matches before it. Patterns that match nothing at all are refused.
     """
     import re
 
     if regex and re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
         raise ValueError("look-around and back references are not supported")
-    fold = not re.search(r"[A-Z]", pattern)
+    if regex and any(m.start() == m.end() for text in ("", "a b") for m in re.finditer(pattern, text)) or not pattern:
+        raise ValueError("a pattern must not match the empty string")
     body = pattern if regex else "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    hit = lines(files).filter(F.col("content").rlike(("(?i)" if fold else "") + body))
-    if not regex:
-        # literal: cut at each match and sum the pieces, all in the JVM
-        low = F.lower("content") if fold else F.col("content")
-        pieces = F.split(low, "\\Q" + (pattern.lower() if fold else pattern) + "\\E", -1)
-        n = len(pattern)
-        starts = F.transform(F.sequence(F.lit(1), F.size("__p") - 1), lambda k: F.aggregate(F.slice("__p", 1, k), F.lit(0), lambda a, x: a + F.length(x)) + (k - 1) * n + 1)
-        d = hit.withColumn("__p", pieces).filter(F.size("__p") > 1).select("path", "line", F.explode(starts).alias("col"), F.substring("content", 1, 120).alias("preview"))
-    else:
-        flags = re.IGNORECASE if fold else 0
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rx = re.compile(pattern, flags)
-            for b in batches:
-                rows = [(p, n, m.start() + 1, t[:120]) for p, n, t in zip(b["path"], b["line"], b["content"], strict=True) for m in rx.finditer(t)]
-                yield pd.DataFrame(rows, columns=["path", "line", "col", "preview"])
-
-        d = hit.mapInPandas(run, f"path {dict(files.dtypes)['path']}, line int, col int, preview string")
+    letters = re.sub(r"\\.", "", pattern) if regex else pattern
+    rx = ("(?U)" if any(c.isupper() for c in letters) else "(?iU)") + "(" + body + ")"
+    hit = lines(files).filter(F.col("content").rlike(rx))
+    hit = hit.withColumn("__p", F.split("content", rx, -1)).withColumn("__m", F.regexp_extract_all("content", F.lit(rx), F.lit(0)))
+    size = lambda a, k: F.aggregate(F.slice(a, 1, k), F.lit(0), lambda n, x: n + F.length(x))
+    starts = F.transform(F.sequence(F.lit(1), F.size("__m")), lambda k: size("__p", k) + size("__m", k - 1) + 1)
+    d = hit.filter(F.size("__m") > 0).select("path", "line", F.explode(starts).alias("col"), F.substring("content", 1, 120).alias("preview"))
     return d.orderBy("path", "line", "col").limit(limit) if limit else d
 
 
-def rationale(files: DataFrame, label: Column | None = None) -> DataFrame:
-    """(path, line, text, label) of comments that give reasons."""
-    d = lines(files.select("path", "text"))
-    d = d.join(files.select("path", "lang").distinct(), "path") if label is None else d
-    d = d.withColumn("label", scalars.rationale_label(F.col("content"), F.col("lang")) if label is None else label).filter(F.col("label").isNotNull())
-    return d.select("path", "line", F.trim("content").alias("text"), "label")
+def rationale_comments(comments: DataFrame) -> DataFrame:
+    """(path, line, text, label) of the comments that give reasons. ``comments`` (path, line, lang, text): whole comments as written."""
+    hit = comments.select("path", "line", scalars.rationale_match(F.col("text"), F.col("lang")).alias("__r")).filter("__r is not null")
+    return hit.select("path", (F.col("line") + F.col("__r.offset")).alias("line"), F.col("__r.text").alias("text"), F.col("__r.label").alias("label"))
+
+
+def rationale(files: DataFrame) -> DataFrame:
+    """Rationale comments of files (path, lang, text): each line that is a comment, or inside a block, counts as one."""
+    d = lines(files.select("path", "text")).join(files.select("path", "lang").distinct(), "path")
+    return rationale_comments(d.filter(F.trim("content").rlike(r"^(#|//|/?\*)")).select("path", "line", "lang", F.col("content").alias("text")))
 
 
 def tokens(text: Column) -> Column:
@@ -113,9 +106,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
 def phrase(docs: DataFrame, query: str) -> DataFrame:
     """(doc_id, n): documents that hold the query's tokens one after another, and how often."""
     d = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), "  "), F.lit(" ")).alias("__t"))
-    want = docs.sparkSession.range(1).select(F.concat(F.lit(" "), F.array_join(tokens(F.lit(query)), "  "), F.lit(" ")).alias("__q"))
-    d = d.crossJoin(F.broadcast(want))
-    n = ((F.length("__t") - F.length(F.replace(F.col("__t"), F.col("__q"), F.lit("")))) / F.length("__q")).cast("long")
+    want = F.concat(F.lit(" "), F.array_join(tokens(F.lit(query)), "  "), F.lit(" "))
+    n = ((F.length("__t") - F.length(F.replace(F.col("__t"), want, F.lit("")))) / F.length(want)).cast("long")
     return d.withColumn("n", n).filter("n > 0").select("doc_id", "n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
 from loomgraph.operators import text
-from loomgraph.plans.projection import projected, with_sql
+from loomgraph.plans.projection import projected, views, with_sql
 from loomgraph.registry import query
 
 _EXT = ", ".join(f"('{k}', '{v}')" for k, v in scalars.LANGUAGES.items())
@@ -43,16 +43,25 @@ def search_text_regex(spark, sf_dir):
     return text.searched(projected(spark, sf_dir, "source_files"), "The [a-z]+ing", regex=True).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_FILES + f""", {_LINES} SELECT path, line, trim(content, ' ') AS text, CASE WHEN starts_with(trim(content, ' '), 'Released under') THEN 'LICENSE' ELSE 'WORK' END AS label FROM ln WHERE regexp_matches(trim(content, ' '), '^(Released under|This work)')""")
+_COMMENTS = """SELECT doc_id AS path, doc_id % 40 AS line, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'ruby' WHEN 2 THEN 'typescript' ELSE 'go' END AS lang,
+ CASE doc_id % 7 WHEN 0 THEN concat('#  plain', chr(10), '# NOTE: ', w) WHEN 1 THEN concat('// WHY: ', w, ' see rfc 0', CAST(doc_id % 900 AS STRING)) WHEN 2 THEN concat('/**', chr(10), ' * ', w, ' ADR-', CAST(doc_id % 300 AS STRING), chr(10), ' */')
+  WHEN 3 THEN concat('#HACK: ', w) WHEN 4 THEN concat('/* a', chr(10), '  * FIXME: ', w, chr(10), ' adr 5 */') WHEN 5 THEN concat('// ', w) ELSE concat('# TODO: ', w) END AS text
+ FROM (SELECT doc_id, {0} AS w FROM documents)"""
+
+
+@query(f"""WITH c AS ({_COMMENTS.format("regexp_replace(left(text, 30), '[^a-z]+', ' ', 'g')")}), l AS (SELECT *, string_split(text, chr(10)) AS s, regexp_extract(text, '(?i)\\b(ADR|RFC)[- ]?(\\d{{1,5}})\\b', ['k', 'd']) AS m FROM c),
+ x AS (SELECT path, line, lang, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS i, CASE WHEN m.k <> '' THEN CASE upper(m.k) WHEN 'ADR' THEN 'ADR-' || lpad(CAST(try_cast(m.d AS INT) AS STRING), 4, '0') ELSE 'RFC-' || try_cast(m.d AS INT) END END AS label FROM l),
+ y AS (SELECT path, line, lang, i, trim(t) AS text, label, CASE WHEN lang IN ('python', 'ruby') AND regexp_matches(trim(t), '^# (NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME):') THEN 0
+   WHEN lang = 'typescript' AND regexp_matches(trim(t), '^(//|\\*) (NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME):') THEN 0 WHEN lang = 'typescript' AND regexp_matches(t, '(?i)\\b(ADR|RFC)[- ]?\\d{{1,5}}\\b') THEN 1 END AS how FROM x)
+ SELECT path, line + i AS line, text, CASE WHEN lang = 'typescript' THEN label END AS label FROM y WHERE how IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY how, i) = 1""")
 def rationale(spark, sf_dir):
-    """The driver's texts hold no comment markers, so other labels stand in for them."""
-    t = F.trim("content")
-    label = F.when(t.startswith("Released under"), "LICENSE").when(t.startswith("This work"), "WORK")
-    return text.rationale(projected(spark, sf_dir, "source_files"), label)
+    """Comments are composed from the documents' words, as the texts hold none."""
+    views(spark, sf_dir)
+    return text.rationale_comments(spark.sql(_COMMENTS.format("regexp_replace(left(text, 30), '[^a-z]+', ' ')")))
 
 
 _TOK = "list_filter(regexp_split_to_array(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format("left(text, 60)")})) AS term FROM benchmark WHERE item_id < 10),
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format("text")})) AS term FROM benchmark),
  d AS (SELECT doc_id, {_TOK.format("text")} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM d),
  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  s AS (SELECT q.query_id, tf.doc_id, -sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2),
@@ -71,7 +80,7 @@ def bm25(spark, sf_dir):
 
 
 @query(f"""WITH {_BM25}, e AS (SELECT query_id, doc_id, 0 AS tier, 0.0 AS score FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON doc_id = query_id * 3 UNION ALL
- SELECT query_id, doc_id, 1, 0.0 FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON source = 'src' || (query_id + 1) WHERE doc_id < 200 UNION ALL SELECT query_id, doc_id, 2, score FROM r WHERE rank <= 20),
+ SELECT query_id, doc_id, 1, 0.0 FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON source = 'src' || (query_id + 1) UNION ALL SELECT query_id, doc_id, 2, score FROM r WHERE rank <= 20),
  b AS (SELECT query_id, doc_id, min(tier) AS tier, arg_min(score, tier) AS score FROM e GROUP BY 1, 2)
  SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9), doc_id) AS place FROM b QUALIFY place <= 50""")
 def retrieval_tiers(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
@@ -25,10 +26,32 @@ def test_line_window(spark):
     assert got == [("a", 2, "2", 4), ("a", 3, "3", 4)]
 
 
+def test_search_uses_one_matcher(spark):
+    f = files(spark, [("a", "École école"), ("b", "x école\nİx école")])
+    assert [(r.path, r.line, r["col"]) for r in text.searched(f, "école").collect()] == [("a", 1, 1), ("a", 1, 7), ("b", 1, 3), ("b", 2, 4)]
+    assert [(r.path, r.line, r["col"]) for r in text.searched(f, r"\wcole", regex=True).collect()] == [("a", 1, 1), ("a", 1, 7), ("b", 1, 3), ("b", 2, 4)]
+    assert [(r.path, r.line, r["col"]) for r in text.searched(f, r"É\w+|x", regex=True).collect()] == [("a", 1, 1), ("b", 1, 1), ("b", 2, 2)]
+    for pattern in ("x*", "", "a|", r"\b"):
+        with pytest.raises(ValueError):
+            text.searched(f, pattern, regex=True)
+
+
 def test_rationale_comments(spark):
-    f = spark.createDataFrame([("a.py", "# NOTE: why\nx = 1  # TODO: no\n# see ADR 7\n#HACK:x", "python"), ("b.ts", "// WHY: z\n * FIXME: y\n# NOTE: no\n/* RFC-0012 */", "typescript")], "path string, text string, lang string")
-    got = [(r.path, r.line, r.label) for r in text.rationale(f).orderBy("path", "line").collect()]
-    assert got == [("a.py", 1, "NOTE"), ("a.py", 3, "ADR-0007"), ("a.py", 4, "HACK"), ("b.ts", 1, "WHY"), ("b.ts", 2, "FIXME"), ("b.ts", 4, "RFC-12")]
+    rows = [
+        ("a.py", 1, "python", "# NOTE: why"), ("a.py", 3, "python", "# see ADR 7"), ("a.py", 4, "python", "#HACK:x"), ("a.rb", 5, "ruby", "#  x\n  # TODO: ADR-1"),
+        ("b.ts", 1, "typescript", "// WHY: z"), ("b.ts", 2, "typescript", "/**\n * FIXME: y\n * adr 12\n */"), ("b.ts", 9, "javascript", "/**\n * see\n * RFC-0012 */"), ("b.ts", 20, "tsx", "# NOTE: no"), ("c.go", 1, "go", "// NOTE: no"),
+    ]
+    got = [tuple(r) for r in text.rationale_comments(spark.createDataFrame(rows, "path string, line int, lang string, text string")).orderBy("path", "line").collect()]
+    assert got == [("a.py", 1, "# NOTE: why", None), ("a.rb", 6, "# TODO: ADR-1", None), ("b.ts", 1, "// WHY: z", None), ("b.ts", 3, "* FIXME: y", "ADR-0012"), ("b.ts", 11, "* RFC-0012 */", "RFC-12")]
+    f = spark.createDataFrame([("a.py", "# NOTE: why\nx = 1  # TODO: no", "python"), ("b.ts", "// WHY: z\n * FIXME: y\n/* RFC-0012 */", "typescript")], "path string, text string, lang string")
+    assert [(r.path, r.line, r.label) for r in text.rationale(f).orderBy("path", "line").collect()] == [("a.py", 1, None), ("b.ts", 1, None), ("b.ts", 2, None), ("b.ts", 3, "RFC-12")]
+
+
+def test_languages_and_skipped_folders(spark):
+    paths = {"a/b.go": "go", "B.Java": "java", "i.htm": "html", "r.markdown": "markdown", "s.css": "scss", "x.mjs": None, "y.json": None, "z.toml": None, "target/a.py": "python", "vendor/a.py": "python", "venv/a.py": "python",
+             "tmp/a.py": None, "a/log/b.py": None, "coverage/x.rb": None, "storage/x.rb": None, "_site/i.html": None, "node_modules/x.js": None, "vendor/bundle/x.rb": "ruby", "tmpx/a.sh": "bash"}
+    got = {r.path: r.lang for r in text.enumerated(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {p: x for p, x in paths.items() if x}
 
 
 def test_phrase_counts_adjacent_words(spark):
