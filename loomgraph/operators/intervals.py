@@ -24,9 +24,10 @@ def _binned(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return d.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
 
 
-def _probing(df: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Each interval once per bin it touches, on every level."""
-    d = df.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in LEVELS])))
+def _probing(df: DataFrame, lo: str, hi: str, above: int = 0) -> DataFrame:
+    """Each interval once per bin it touches, on every level from its own (plus ``above``) up: two bins a level at most."""
+    d = df.withColumn("__own", _level(F.col(lo), F.col(hi)))
+    d = d.withColumn("__level", F.explode(F.filter(F.array(*[F.lit(k) for k in LEVELS]), lambda k: (k > F.col("__own")) if above else (k >= F.col("__own"))))).drop("__own")
     width = F.pow(F.lit(2.0), "__level").cast("long")
     return d.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
 
@@ -41,14 +42,14 @@ def containing(points: DataFrame, intervals: DataFrame, key: str, point: str, lo
 def overlapping(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
     """Inner join: half-open overlap a.start < b.end and max(a.end, a.start + 1) > b.start, with the same key.
 
-    A pair that shares several bins is taken in the first bin that both touch.
+    A pair meets on the level of its wider interval, in the first bin that both touch.
     """
-    l_ = _probing(left.withColumn("__hi", F.greatest(F.col(a[1]), F.col(a[0]) + 1)), a[0], "__hi")
-    r = _binned(right, b[0], b[1])
+    left = left.withColumn("__hi", F.greatest(F.col(a[1]), F.col(a[0]) + 1))
     width = F.pow(F.lit(2.0), F.col("__level")).cast("long")
     first = F.greatest(F.floor(F.col(a[0]) / width), F.floor(F.col(b[0]) / width))
-    met = l_.join(r, [key, "__level", "__bin"])
-    return met.filter((F.col(a[0]) < F.col(b[1])) & (F.col("__hi") > F.col(b[0])) & (F.col("__bin") == first)).drop("__level", "__bin", "__hi")
+    sides = ((_probing(left, a[0], "__hi"), _binned(right, b[0], b[1])), (_binned(left, a[0], "__hi"), _probing(right, b[0], b[1], above=1)))
+    met = [x.join(y, [key, "__level", "__bin"]).filter((F.col(a[0]) < F.col(b[1])) & (F.col("__hi") > F.col(b[0])) & (F.col("__bin") == first)).drop("__level", "__bin", "__hi") for x, y in sides]
+    return met[0].unionByName(met[1])
 
 
 def innermost(points: DataFrame, symbols: DataFrame, ids: list[str], line: str = "line") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.resolve import STRUCTURAL
+from loomgraph.operators.tables import running
 
 EDGE_ORDER = ["source_path", "source_line", "source_col", "callee_name"]
 HERITAGE = ("superclass", "include", "extend", "prepend")
@@ -59,5 +60,7 @@ def within_budget(df: DataFrame, order: list, cost: Column, budget: int, by: lis
     """The prefix of the order (inside ``by``) whose summed cost stays within the budget; nothing after the first row that does not fit."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not by:
+        return running(df, order, cost, "spent").filter(F.col("spent") <= budget)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= budget)

@@ -124,16 +124,18 @@ def provider_links(refs: DataFrame, packages: DataFrame, symbols: DataFrame) ->
     """(ref_id, resolution, path) of import references to another repository's package.
 
     ``refs`` (ref_id, form_ok, shadowed, package, version, module, name, kind); ``packages`` (package, version, available);
-    ``symbols`` (package, module, name, kind, path, reexported, rebound). One fixed precedence.
+    ``symbols`` (package, module, name, kind, path, reexported, rebound); a re-exported row is an import of the provider's
+    module, no declaration. One fixed precedence.
     """
-    pk = packages.groupBy("package").agg(F.min("version").alias("__v"), F.bool_and("available").alias("__av"), F.count(F.lit(1)).alias("__pn"))
-    sy = symbols.groupBy("package", "module", "name").agg(F.count(F.lit(1)).alias("__n"), F.min("kind").alias("__kind"), F.min("path").alias("__path"), F.bool_or("reexported").alias("__re"), F.bool_or("rebound").alias("__rb"))
-    d = refs.join(pk, "package", "left").join(sy, ["package", "module", "name"], "left")
+    pk = packages.groupBy("package", "version").agg(F.bool_or("available").alias("__av"))
+    declared = F.when(~F.col("reexported"), F.struct("kind", "path"))
+    sy = symbols.groupBy("package", "module", "name").agg(F.count(declared).alias("__n"), F.min(declared).alias("__d"), F.bool_or(F.col("rebound") & ~F.col("reexported")).alias("__rb"))
+    d = refs.join(pk, ["package", "version"], "left").join(sy, ["package", "module", "name"], "left")
     res = first_of(
-        (~F.col("form_ok"), "unsupported_reference_form"), (F.col("shadowed"), "local_module_shadow"), (F.col("__v").isNull() | (F.col("version") != F.col("__v")), "version_mismatch"), (~F.col("__av"), "provider_snapshot_unavailable"), (F.col("__pn") > 1, "ambiguous_package"),
-        (F.col("__n").isNull(), "not_declared"), (F.col("__re"), "re_export"), (F.col("__n") > 1, "ambiguous_provider_symbol"), (F.col("kind") != F.col("__kind"), "kind_mismatch"), (F.col("__rb"), "rebound"), default="linked",
+        (~F.col("form_ok"), "unsupported_reference_form"), (F.col("shadowed"), "local_module_shadow"), (F.col("__av").isNull(), "version_mismatch"), (~F.col("__av"), "provider_snapshot_unavailable"),
+        (F.col("__n") > 1, "ambiguous_provider_symbol"), (F.col("__n").isNull(), "not_declared"), (F.col("__n") == 0, "re_export"), (F.col("kind") != F.col("__d.kind"), "kind_mismatch"), (F.col("__rb"), "rebound"), default="linked",
     )
-    return d.select("ref_id", res.alias("resolution"), F.when(res == "linked", F.col("__path")).alias("path"))
+    return d.select("ref_id", res.alias("resolution"), F.when(res == "linked", F.col("__d.path")).alias("path"))
 
 
 def package_binding(wanted: DataFrame, locked: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -14,19 +15,44 @@ _made: list[tuple[SparkSession, str]] = []
 def _folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write ``df`` below spark.checkpoint.dir and read it back: lineage is cut, a lost executor loses nothing, and the write's shuffle files go."""
     path = f"{_folder(df.sparkSession)}/loomgraph-step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = df.sparkSession.conf.get(cleanup, None)
+    df.sparkSession.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.unset(cleanup) if before is None else df.sparkSession.conf.set(cleanup, before)
     _made.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` written with ``name``: a number that grows with the order (not gapless), dealt by ranges, so no task sorts all."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+
+
+def running(df: DataFrame, order: list, cost: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``cost`` up to the row, in a total order; ranges are summed, then shifted."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = kept(df.withColumn("__cost", cost).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    # one row a range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("__part").agg(F.sum("__cost").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("__sum", F.sum("__cost").over(w)).join(F.broadcast(sizes), "__part").withColumn(name, F.col("__sum") + F.col("__shift")).drop("__part", "__sum", "__shift", "__cost")
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:

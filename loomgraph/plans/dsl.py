@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, lookup, resolve
+from loomgraph.operators import evidence, graph, lookup, resolve, text
 
 VERBS = ("callers_of", "definitions_of", "subclasses_of", "god_nodes", "communities", "rationale")
 
@@ -41,8 +41,8 @@ class Engine:
             self._edges = resolve.edges(self.refs, self.symbols)
         return self._edges
 
-    def query(self, text: str) -> DataFrame:
-        verb, arg = parse(text)
+    def query(self, asked: str) -> DataFrame:
+        verb, arg = parse(asked)
         if verb == "callers_of":
             return lookup.callers_of(self.edges, arg)
         if verb == "subclasses_of":
@@ -64,13 +64,21 @@ class Engine:
         return d.orderBy("path", "line", "text")
 
     def operation(self, op: str, **how) -> DataFrame:
-        """Structured operations: neighborhood, path, impact, status."""
+        """Structured operations: status, retrieve, context, neighborhood, edges, outcome, path, impact.
+
+        ``status`` counts the states of ``files`` (lang, state); ``retrieve`` and ``context`` rank ``documents`` for ``queries``;
+        ``neighborhood``, ``edges`` and ``outcome`` are the three results of one bounded traversal.
+        """
         if op == "status":
-            return self.symbols.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "kind")
+            return evidence.status(how["files"])
+        if op == "retrieve":
+            return text.tiered(how["documents"], how["queries"], how.get("exact", []), text.bm25(how["documents"], how["queries"]), how.get("top", 100))
+        if op == "context":
+            return evidence.context_pack(how["documents"], how["queries"], how.get("budget", 16_000))
         if self.assertions is None:
             raise QueryError("INVALID_QUERY", "no assertions were given")
-        if op == "neighborhood":
-            return graph.neighborhood(self.assertions, **how)
+        if op in ("neighborhood", "edges", "outcome"):
+            return graph.traverse(self.assertions, **how)[("neighborhood", "edges", "outcome").index(op)]
         if op == "path":
             return graph.shortest_paths(self.assertions, **how)
         if op == "impact":

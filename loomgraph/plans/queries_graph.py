@@ -10,7 +10,7 @@ from loomgraph.operators.intervals import declared_first, innermost, ordinal
 from loomgraph.plans.projection import projected, with_sql
 from loomgraph.registry import query
 
-CALLEE = "red widget/ECONOMY/28"
+CALLEE = "hot plate/SMALL/16"
 
 _CAND = """cand AS (SELECT lang, name,
   list(struct_pack(path := path, line := line_start, name := name) ORDER BY path, line_start, name) FILTER (kind IN ('method', 'function', 'mixin', 'class', 'module')) AS callable,
@@ -165,7 +165,7 @@ def scope_chain(spark, sf_dir):
 
 
 @query("""WITH rs AS (SELECT p_partkey AS ref_id, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN p_type ELSE p_type || '::' || split_part(p_name, ' ', 1) END AS ns, split_part(p_name, ' ', 2) AS callee FROM part),
-ds AS (SELECT CASE p_size % 3 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN p_type || '::' || split_part(p_name, ' ', 2) ELSE p_type || '::' || split_part(p_name, ' ', 1) || '::' || split_part(p_name, ' ', 2) END AS full_name, p_brand AS path, p_partkey AS line_start FROM part WHERE p_partkey % 37 = 0),
+ds AS (SELECT CASE p_size % 3 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN p_type || '::' || split_part(p_name, ' ', 2) ELSE p_type || '::' || split_part(p_name, ' ', 1) || '::' || split_part(p_name, ' ', 2) END AS full_name, p_brand AS path, p_partkey AS line_start FROM part),
 t AS (SELECT ref_id, unnest(CASE WHEN ns = '' THEN [callee] WHEN contains(ns, '::') THEN [ns || '::' || callee, split_part(ns, '::', 1) || '::' || callee, callee] ELSE [ns || '::' || callee, callee] END) AS full_name, unnest(CASE WHEN ns = '' THEN [0] WHEN contains(ns, '::') THEN [0, 1, 2] ELSE [0, 1] END) AS pos FROM rs),
 f AS (SELECT t.ref_id, t.full_name, t.pos, string_agg(d.path || ':' || d.line_start, ',' ORDER BY d.path, d.line_start) AS candidates FROM t JOIN ds d USING (full_name) GROUP BY t.ref_id, t.full_name, t.pos QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY pos) = 1)
 SELECT r.ref_id, f.full_name, f.candidates FROM rs r LEFT JOIN f USING (ref_id)""")
@@ -196,41 +196,72 @@ def receiver_members(spark, sf_dir):
 
 
 # breadth-first search over supplier chains
-_STEP = "st AS (SELECT {a} AS here, {b} AS there, min(relation) AS relation FROM assertions WHERE relation IN ({r}) AND confidence IN ('EXTRACTED', 'INFERRED') GROUP BY 1, 2)"
+_STEP = "st AS (SELECT {a} AS here, {b} AS there, min(struct_pack(r := relation, i := assertion_id)) AS s FROM assertions WHERE relation IN ({r}) AND confidence IN ('EXTRACTED', 'INFERRED') GROUP BY 1, 2)"
 _STARTS = "('s1'), ('s7'), ('s42')"
 
 
 def _levels(depth: int, starts: str) -> str:
     """Breadth-first levels as one CTE each: node, distance, parent, relation, place."""
-    parts = [f"l0 AS (SELECT x0 AS seed, x0 AS node, 0 AS distance, NULL::VARCHAR AS parent, NULL::VARCHAR AS relation, 1 AS place FROM (VALUES {starts}) v(x0)), s0 AS (SELECT * FROM l0)"]
+    parts = [f"l0 AS (SELECT x0 AS seed, x0 AS node, 0 AS distance, NULL::VARCHAR AS parent, NULL::VARCHAR AS relation, NULL::BIGINT AS assertion_id, 1 AS place FROM (VALUES {starts}) v(x0)), s0 AS (SELECT * FROM l0)"]
     for k in range(1, depth + 1):
-        parts.append(f"""l{k} AS (SELECT seed, node, {k} AS distance, parent, relation, row_number() OVER (PARTITION BY seed ORDER BY pp, relation, node) AS place FROM (
-          SELECT l.seed, st.there AS node, l.place AS pp, st.relation, l.node AS parent FROM l{k - 1} l JOIN st ON st.here = l.node
-          WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.seed = l.seed AND s.node = st.there) QUALIFY row_number() OVER (PARTITION BY l.seed, st.there ORDER BY l.place, st.relation, l.node) = 1)),
+        parts.append(f"""l{k} AS (SELECT seed, node, {k} AS distance, parent, s.r AS relation, s.i AS assertion_id, row_number() OVER (PARTITION BY seed ORDER BY pp, s, node) AS place FROM (
+          SELECT l.seed, st.there AS node, l.place AS pp, st.s, l.node AS parent FROM l{k - 1} l JOIN st ON st.here = l.node
+          WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.seed = l.seed AND s.node = st.there) QUALIFY row_number() OVER (PARTITION BY l.seed, st.there ORDER BY l.place, st.s, l.node) = 1)),
           s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})""")
     return ", ".join(parts)
 
 
-@query(with_sql("assertions") + ", " + _STEP.format(a="source", b="target", r="'call'") + ", " + _levels(3, _STARTS) + " SELECT seed, node, distance, parent, relation FROM s3")
+@query(with_sql("assertions") + ", " + _STEP.format(a="source", b="target", r="'call'") + ", " + _levels(3, _STARTS) + " SELECT seed, node, distance, parent, relation, assertion_id FROM s3")
 def neighborhood(spark, sf_dir):
     starts = spark.createDataFrame([("s1",), ("s7",), ("s42",)], "seed string")
     return graph.neighborhood(projected(spark, sf_dir, "assertions"), starts, 3)
 
 
-@query(with_sql("assertions") + ", " + _STEP.format(a="target", b="source", r="'call', 'import'") + ", " + _levels(2, _STARTS) + " SELECT seed, node, distance, parent, relation FROM s2")
+@query(with_sql("assertions") + ", " + _STEP.format(a="target", b="source", r="'call', 'import'") + ", " + _levels(2, _STARTS) + " SELECT seed, node, distance, parent, relation, assertion_id FROM s2")
 def neighborhood_incoming(spark, sf_dir):
     starts = spark.createDataFrame([("s1",), ("s7",), ("s42",)], "seed string")
     return graph.neighborhood(projected(spark, sf_dir, "assertions"), starts, 2, ("call", "import"), incoming=True)
 
 
-@query(with_sql("assertions") + ", " + _STEP.format(a="source", b="target", r="'call'") + ", " + _levels(8, "('s1'), ('s2'), ('s3')") + """,
- w AS (SELECT x0 AS seed, x1 AS target FROM (VALUES ('s1', 's50'), ('s2', 's60'), ('s3', 'nowhere'), ('s1', 's1')) v(x0, x1)),
- walk(seed, target, node, path, distance) AS (SELECT w.seed, w.target, s.node, s.node, s.distance FROM w JOIN s8 s ON s.seed = w.seed AND s.node = w.target
-   UNION ALL SELECT k.seed, k.target, s.parent, s.parent || ' > ' || k.path, k.distance FROM walk k JOIN s8 s ON s.seed = k.seed AND s.node = k.node WHERE s.parent IS NOT NULL)
- SELECT w.seed, w.target, k.distance, k.path AS nodes, CASE WHEN k.path IS NULL THEN 'no_path' ELSE 'complete' END AS outcome FROM w LEFT JOIN (SELECT * FROM walk WHERE node = seed) k USING (seed, target)""")
+@query(with_sql("assertions") + ", " + _STEP.format(a="source", b="target", r="'call'") + ", " + _levels(3, "('s1'), ('s2'), ('s3'), ('nowhere')") + """,
+ w AS (SELECT x0 AS seed, x1 AS target FROM (VALUES ('s1', 's5'), ('s2', 'p60'), ('s3', 'nowhere'), ('nowhere', 's1'), ('s1', 's1'), ('s2', 's0'), ('s3', 'p7')) v(x0, x1)), ent AS (SELECT source AS e FROM assertions UNION SELECT target FROM assertions),
+ walk(seed, target, node, path, hops, distance) AS (SELECT w.seed, w.target, s.node, s.node, '', s.distance FROM w JOIN s3 s ON s.seed = w.seed AND s.node = w.target
+   UNION ALL SELECT k.seed, k.target, s.parent, s.parent || ' > ' || k.path, s.assertion_id || ',' || k.hops, k.distance FROM walk k JOIN s3 s ON s.seed = k.seed AND s.node = k.node WHERE s.parent IS NOT NULL),
+ o AS (SELECT w.seed, w.target, k.distance, k.path AS nodes, rtrim(k.hops, ',') AS hops, CASE WHEN w.seed NOT IN (SELECT e FROM ent) OR w.target NOT IN (SELECT e FROM ent) THEN 'no_evidence' WHEN k.path IS NOT NULL THEN 'complete' WHEN w.seed IN (SELECT seed FROM l3) THEN 'partial' ELSE 'no_path' END AS outcome
+  FROM w LEFT JOIN (SELECT * FROM walk WHERE node = seed) k USING (seed, target))
+ SELECT seed, target, CASE WHEN outcome = 'complete' THEN distance END AS distance, CASE WHEN outcome = 'complete' THEN nodes END AS nodes, CASE WHEN outcome = 'complete' THEN hops END AS hops, outcome, CASE WHEN outcome = 'partial' THEN 'depth_limit' END AS stop_reason FROM o""")
 def shortest_path(spark, sf_dir):
-    pairs = spark.createDataFrame([("s1", "s50"), ("s2", "s60"), ("s3", "nowhere"), ("s1", "s1")], "seed string, target string")
-    return graph.shortest_paths(projected(spark, sf_dir, "assertions"), pairs).withColumn("nodes", F.array_join("nodes", " > "))
+    pairs = spark.createDataFrame([("s1", "s5"), ("s2", "p60"), ("s3", "nowhere"), ("nowhere", "s1"), ("s1", "s1"), ("s2", "s0"), ("s3", "p7")], "seed string, target string")
+    a = projected(spark, sf_dir, "assertions")
+    entities = a.select(F.col("source").alias("entity_id")).union(a.select("target")).distinct()
+    return graph.shortest_paths(a, pairs, 3, entities).withColumn("nodes", F.array_join("nodes", " > ")).withColumn("hops", F.array_join("hops", ","))
+
+
+# the budgets cut after a fixed number of edges and nodes; the order of examination is that of the levels
+_EXAMINED = """ex AS (SELECT s.seed, (s.distance, s.place, a.relation, a.assertion_id) AS pos, s.distance, a.* FROM s2 s JOIN assertions a ON a.source = s.node WHERE s.distance < 2 AND a.relation = 'call'),
+ er AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pos) AS n FROM ex), nr AS (SELECT s.*, CASE WHEN s.parent IS NOT NULL THEN (p.distance, p.place, s.relation, s.assertion_id) END AS pos, row_number() OVER (PARTITION BY s.seed ORDER BY s.distance, s.place) AS n FROM s2 s LEFT JOIN s2 p ON p.seed = s.seed AND p.node = s.parent),
+ st0 AS (SELECT seed, pos, 'examined_edge_limit' AS reason FROM er WHERE n = 301 UNION ALL SELECT seed, pos, 'visited_node_limit' FROM nr WHERE n = 201), stop AS (SELECT seed, min(pos) AS pos, arg_min(reason, pos) AS reason FROM st0 GROUP BY 1)"""
+_TRAVERSED = with_sql("assertions") + ", " + _STEP.format(a="source", b="target", r="'call'") + ", " + _levels(2, _STARTS) + ", " + _EXAMINED
+
+
+def _traversed(spark, sf_dir):
+    starts = spark.createDataFrame([("s1",), ("s7",), ("s42",)], "seed string")
+    return graph.traverse(projected(spark, sf_dir, "assertions"), starts, 2, max_nodes=200, max_edges=300)
+
+
+@query(_TRAVERSED + " SELECT nr.seed, node, distance, parent, relation, assertion_id FROM nr LEFT JOIN stop USING (seed) WHERE stop.pos IS NULL OR nr.pos IS NULL OR nr.pos < stop.pos")
+def traversal_nodes(spark, sf_dir):
+    return _traversed(spark, sf_dir)[0]
+
+
+@query(_TRAVERSED + " SELECT er.seed, assertion_id, source, target, relation, confidence, distance FROM er LEFT JOIN stop USING (seed) WHERE (stop.pos IS NULL OR er.pos < stop.pos) AND confidence IN ('EXTRACTED', 'INFERRED')")
+def traversal_edges(spark, sf_dir):
+    return _traversed(spark, sf_dir)[1]
+
+
+@query(_TRAVERSED + " SELECT seed, CASE WHEN reason IS NULL AND seed NOT IN (SELECT seed FROM l2) THEN 'complete' ELSE 'partial' END AS outcome, coalesce(reason, CASE WHEN seed IN (SELECT seed FROM l2) THEN 'depth_limit' END) AS stop_reason FROM l0 LEFT JOIN stop USING (seed)")
+def traversal_outcomes(spark, sf_dir):
+    return _traversed(spark, sf_dir)[2]
 
 
 @query("""WITH e AS (SELECT CAST(p_partkey AS STRING) AS entity_id, p_name AS name FROM part), w(wanted) AS (VALUES ('17'), ('small ring'), ('no such'), ((SELECT min(p_name) FROM part))),
@@ -245,7 +276,7 @@ def endpoint_resolution(spark, sf_dir):
 @query()
 def communities(spark, sf_dir):
     """Order-dependent by definition: no SQL form; the tests compare with one loop over the whole graph."""
-    a = projected(spark, sf_dir, "assertions").filter("confidence = 'EXTRACTED'")
+    a = projected(spark, sf_dir, "assertions").filter("confidence in ('EXTRACTED', 'INFERRED')")
     links = a.select(F.col("source").alias("a"), F.col("target").alias("b"))
     return graph.communities(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), links)
 

@@ -60,7 +60,83 @@ def test_shortest_paths_on_random_graphs(spark):
             assert r.outcome == "complete" and r.distance == k and r.nodes[0] == s and r.nodes[-1] == t and len(r.nodes) == k + 1
             assert all(y in step.get(x, ()) for x, y in zip(r.nodes, r.nodes[1:]))
         else:
-            assert r.outcome == "no_path" and r.nodes is None
+            assert r.outcome == ("partial" if level else "no_path") and r.stop_reason == ("depth_limit" if level else None) and r.nodes is None
+
+
+def walked(rows, seed, depth, max_nodes=None, max_edges=None):
+    """One queue over the assertions (source, target, relation, confidence, id): what a bounded search returns."""
+    out = {}
+    for s, t, rel, conf, i in rows:
+        if rel in ("call", "import"):
+            out.setdefault(s, []).append((rel, i, t, conf))
+    nodes, edges, examined, queue = {seed: 0}, [], 0, [seed]
+    while queue:
+        if nodes[queue[0]] >= depth:
+            return nodes, edges, "depth_limit"
+        for rel, i, t, conf in sorted(out.get(queue[0], [])):
+            if examined == max_edges:
+                return nodes, edges, "examined_edge_limit"
+            examined += 1
+            if conf == "AMBIGUOUS" or t is None:
+                continue
+            if t not in nodes:
+                if len(nodes) == max_nodes:
+                    return nodes, edges, "visited_node_limit"
+                nodes[t] = nodes[queue[0]] + 1
+                queue.append(t)
+            edges.append(i)
+        queue.pop(0)
+    return nodes, edges, None
+
+
+@pytest.mark.parametrize("max_nodes, max_edges", [(None, None), (5, None), (None, 9), (6, 12), (40, 14)])
+def test_traversal_against_one_queue(spark, max_nodes, max_edges):
+    rng = random.Random(11)
+    rows = [(f"n{rng.randrange(20)}", rng.choice([None] + [f"n{j}" for j in range(20)]), rng.choice(["call", "import", "include"]), rng.choice(["EXTRACTED", "INFERRED", "AMBIGUOUS"]), i) for i in range(90)]
+    a = spark.createDataFrame(rows, "source string, target string, relation string, confidence string, assertion_id long").repartition(3)
+    seeds = [f"n{i}" for i in range(0, 20, 3)] + ["absent"]
+    for depth in (2, 30):
+        got = [x.collect() for x in graph.traverse(a, spark.createDataFrame([(s,) for s in seeds], "seed string"), depth, ("call", "import"), max_nodes=max_nodes, max_edges=max_edges)]
+        for s in seeds:
+            nodes, edges, reason = walked(rows, s, depth, max_nodes, max_edges)
+            assert {r.node: r.distance for r in got[0] if r.seed == s} == nodes
+            assert sorted(r.assertion_id for r in got[1] if r.seed == s) == sorted(edges)
+            assert [(r.outcome, r.stop_reason) for r in got[2] if r.seed == s] == [("partial" if reason else "complete", reason)]
+
+
+def test_path_outcomes(spark):
+    chain = [(f"c{i}", f"c{i + 1}", "call", "EXTRACTED", i) for i in range(12)] + [("x", "y", "call", "INFERRED", 50)]
+    a = spark.createDataFrame(chain, "source string, target string, relation string, confidence string, assertion_id long")
+    pairs = spark.createDataFrame([("c0", "c8"), ("c0", "c10"), ("c0", "y"), ("x", "c0"), ("x", "gone"), ("x", "y"), ("y", "y")], "seed string, target string")
+    entities = spark.createDataFrame([(f"c{i}",) for i in range(13)] + [("x",), ("y",)], "entity_id string")
+    got = {(r.seed, r.target): (r.outcome, r.stop_reason, r.distance, r.hops) for r in graph.shortest_paths(a, pairs, 8, entities).collect()}
+    assert got == {
+        ("c0", "c8"): ("complete", None, 8, list(range(8))), ("c0", "c10"): ("partial", "depth_limit", None, None), ("c0", "y"): ("partial", "depth_limit", None, None), ("x", "c0"): ("no_path", None, None, None),
+        ("x", "gone"): ("no_evidence", None, None, None), ("x", "y"): ("complete", None, 1, [50]), ("y", "y"): ("complete", None, 0, []),
+    }
+
+
+def test_propagation_passes_over_settled_nodes_only():
+    """The short cut against the loop that visits every node in every pass."""
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randrange(1, 60)
+        around = [set() for _ in range(n)]
+        for _ in range(rng.randrange(0, 3 * n)):
+            a, b = rng.randrange(n), rng.randrange(n)
+            if a != b:
+                around[a].add(b)
+                around[b].add(a)
+        label = list(range(n))
+        for _ in range(100):
+            before = list(label)
+            for i, x in enumerate(around):
+                if x:
+                    seen = [label[j] for j in x]
+                    label[i] = min(seen, key=lambda y: (-seen.count(y), y))
+            if label == before:
+                break
+        assert graph.propagate([sorted(x) for x in around]) == label
 
 
 def test_range_joins_against_all_pairs(spark):
@@ -71,6 +147,8 @@ def test_range_joins_against_all_pairs(spark):
     s = spark.createDataFrame(span, "sid int, path string, lo long, hi long")
     got = {(r.pid, r.sid) for r in intervals.containing(p, s, "path", "line", "lo", "hi").collect()}
     assert got == {(a, b) for a, x, n in point for b, y, lo, hi in span if x == y and lo <= n <= hi}
+    wide = [(900, "p0", 0, 1 << 40), (901, "p0", -5, 1 << 23)]
+    span, s = span + wide, s.union(spark.createDataFrame(wide, s.schema))
     half = s.withColumnRenamed("sid", "rid").withColumnRenamed("lo", "from").withColumnRenamed("hi", "to")
     got = [(r.sid, r.rid) for r in intervals.overlapping(s, half, "path", ("lo", "hi"), ("from", "to")).collect()]
     want = {(a, b) for a, x, lo, hi in span for b, y, f, t in span if x == y and lo < t and max(hi, lo + 1) > f}
@@ -101,7 +179,12 @@ def test_confidence_tiers_and_verbs(spark):
     top = e.query("god_nodes:").first()
     assert top["name"] == "ApplicationRepository" and top["in_degree"] == 2
     assert e.query("communities:").count() > 0
-    assert e.operation("status").count() == 2
+    states = spark.createDataFrame([("python", "indexed"), ("python", "failed"), ("ruby", "indexed")], "lang string, state string")
+    assert {(x.lang, x.indexed, x.failed, x.complete) for x in e.operation("status", files=states).collect()} == {("python", 1, 1, False), ("ruby", 1, 0, True)}
+    docs = spark.createDataFrame([(1, "zebra crossing", "a", "x"), (2, "plain", "b", "y")], "doc_id long, text string, path string, owner string")
+    ask = spark.createDataFrame([(7, "zebra", 1)], "query_id long, query string, anchor long")
+    assert [x.doc_id for x in e.operation("retrieve", documents=docs, queries=ask).collect()] == [1]
+    assert e.operation("context", documents=docs, queries=ask).count() >= 1
     shaped = lookup.shaped(e.edges).collect()
     assert all((x.target is None) == (x.confidence == "AMBIGUOUS") and (x.candidates is None) == (x.confidence != "AMBIGUOUS") for x in shaped)
 
@@ -140,6 +223,12 @@ def test_budget_stops_at_the_first_that_does_not_fit(spark):
 
     d = spark.createDataFrame([(1, 5), (2, 6), (3, 1)], "k int, cost int")
     assert [r.k for r in lookup.within_budget(d, ["k"], F.col("cost"), 10).collect()] == [1]
+    many = spark.range(500).withColumn("cost", F.col("id") % 7).repartition(5)
+    want, spent = [], 0
+    for i in range(500):
+        spent += i % 7
+        want += [(i, spent)] * (spent <= 900)
+    assert sorted((r.id, r.spent) for r in lookup.within_budget(many, ["id"], F.col("cost"), 900).collect()) == want
 
 
 def test_span_paths_are_whole_and_cycles_end(spark):
