@@ -1,7 +1,7 @@
 """Fact tables projected from the driver's star-schema tables.
 
 Each projection is one SELECT that both Spark SQL and DuckDB read, so a query
-and its SQL check start from the same rows, but for those in ``SQL_FORMS``.
+and its SQL check start from the same rows.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ PROJECTIONS = {
         concat('Brand#', CAST(1 + l_suppkey % 25 AS STRING)) AS path, l_partkey AS line, l_linenumber AS col
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
     # supplier -> part -> supplier chains: odd lines lead to the part, even lines back
-    "assertions": """SELECT DISTINCT CASE WHEN l_linenumber % 2 = 1 THEN concat('s', CAST(l_suppkey AS STRING)) ELSE concat('p', CAST(l_partkey AS STRING)) END AS source,
+    "assertions": """SELECT min(l_orderkey * 10 + l_linenumber) AS assertion_id, CASE WHEN l_linenumber % 2 = 1 THEN concat('s', CAST(l_suppkey AS STRING)) ELSE concat('p', CAST(l_partkey AS STRING)) END AS source,
         CASE WHEN l_linenumber % 2 = 1 THEN concat('p', CAST(l_partkey AS STRING)) ELSE concat('s', CAST(l_suppkey AS STRING)) END AS target,
         CASE l_linenumber % 3 WHEN 0 THEN 'import' ELSE 'call' END AS relation,
         CASE l_linenumber % 5 WHEN 0 THEN 'AMBIGUOUS' WHEN 1 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence
-        FROM lineitem""",
+        FROM lineitem GROUP BY ALL""",
     "source_files": """SELECT concat(CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' WHEN doc_id % 13 = 0 THEN '.git/' ELSE '' END, source, '/', lang, '/f', CAST(doc_id AS STRING),
         CASE doc_id % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.rb' WHEN 2 THEN '.ts' WHEN 3 THEN '.md' WHEN 4 THEN '.bin' WHEN 5 THEN '.go' ELSE '' END) AS path, text FROM documents""",
     "commit_paths": """SELECT o_orderkey AS commit_id, CASE WHEN o_orderpriority = '5-LOW' THEN 2 ELSE 1 END AS parents,
@@ -45,22 +45,6 @@ PROJECTIONS = {
         CAST(floor(value * 4) AS BIGINT) + user_id % 3 AS line_to, event_type AS test FROM events""",
 }
 
-#: Registered SQL still reads these thinned or cut forms; where rows are lost by that, the queries do not equal it.
-SQL_FORMS = PROJECTIONS | {
-    "assertions": """SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS source, concat('s', CAST((l_partkey * 7 + l_suppkey) % 1000 AS STRING)) AS target,
-        CASE l_linenumber % 3 WHEN 0 THEN 'import' ELSE 'call' END AS relation,
-        CASE l_linenumber % 5 WHEN 0 THEN 'AMBIGUOUS' WHEN 1 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence
-        FROM lineitem WHERE l_discount = 0.1 AND l_linenumber <= 4""",
-    "before": """SELECT doc_id AS entity_id, source AS path, lang AS language, CASE doc_id % 3 WHEN 0 THEN 'class' ELSE 'function' END AS kind,
-        CAST(doc_id AS STRING) AS name, substring(text, 1, 20) AS signature, substring(text, 21, 100000) AS body, doc_id % 50 AS line
-        FROM documents WHERE doc_id % 10 <> 0""",
-    "after": """SELECT CASE WHEN doc_id % 23 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS entity_id, source AS path, lang AS language,
-        CASE doc_id % 3 WHEN 0 THEN 'class' ELSE 'function' END AS kind, CASE WHEN doc_id % 23 = 0 THEN concat('n', CAST(doc_id AS STRING)) ELSE CAST(doc_id AS STRING) END AS name,
-        concat(CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END, substring(text, 1, 20)) AS signature,
-        concat(substring(text, 21, 100000), CASE WHEN doc_id % 5 = 0 THEN ' x' ELSE '' END) AS body, doc_id % 50 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS line
-        FROM documents WHERE doc_id % 10 <> 1""",
-}
-
 
 def views(spark: SparkSession, sf_dir: str) -> None:
     """Name the parquet tables for SQL."""
@@ -78,4 +62,4 @@ def projected(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_sql(*names: str) -> str:
     """WITH clause of these projections, for DuckDB."""
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL_FORMS[n]})" for n in names)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({PROJECTIONS[n]})" for n in names)

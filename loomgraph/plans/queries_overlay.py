@@ -115,9 +115,9 @@ _PSYM = """SELECT concat('pkg', CAST(s_suppkey % 6 AS STRING)) AS package, CASE
  CASE s_suppkey % 3 WHEN 0 THEN 'class' ELSE 'function' END AS kind, s_name AS path, s_suppkey % 11 = 0 AS reexported, s_suppkey % 13 = 0 AS rebound FROM supplier"""
 
 
-@query(f"""WITH r AS ({_PREFS}), k AS (SELECT package, min(version) AS v, bool_and(available) AS av, count(*) AS n FROM ({_PKGS}) GROUP BY 1), s AS (SELECT package, module, name, count(*) AS n, min(kind) AS kind, min(path) AS path, bool_or(reexported) AS re, bool_or(rebound) AS rb FROM ({_PSYM}) GROUP BY 1, 2, 3),
- x AS (SELECT ref_id, s.path, CASE WHEN NOT form_ok THEN 'unsupported_reference_form' WHEN shadowed THEN 'local_module_shadow' WHEN k.v IS NULL OR version <> k.v THEN 'version_mismatch' WHEN NOT av THEN 'provider_snapshot_unavailable' WHEN k.n > 1 THEN 'ambiguous_package' WHEN s.n IS NULL THEN 'not_declared' WHEN re THEN 're_export' WHEN s.n > 1 THEN 'ambiguous_provider_symbol'
-  WHEN r.kind <> s.kind THEN 'kind_mismatch' WHEN rb THEN 'rebound' ELSE 'linked' END AS resolution FROM r LEFT JOIN k USING (package) LEFT JOIN s ON s.package = r.package AND s.module = r.module AND s.name = r.name) SELECT ref_id, resolution, CASE WHEN resolution = 'linked' THEN path END AS path FROM x""")
+@query(f"""WITH r AS ({_PREFS}), k AS (SELECT package, version, bool_or(available) AS av FROM ({_PKGS}) GROUP BY 1, 2), s AS (SELECT package, module, name, count(*) FILTER (NOT reexported) AS n, arg_min(kind, (kind, path)) FILTER (NOT reexported) AS kind, arg_min(path, (kind, path)) FILTER (NOT reexported) AS path, bool_or(rebound AND NOT reexported) AS rb FROM ({_PSYM}) GROUP BY 1, 2, 3),
+ x AS (SELECT ref_id, s.path, CASE WHEN NOT form_ok THEN 'unsupported_reference_form' WHEN shadowed THEN 'local_module_shadow' WHEN av IS NULL THEN 'version_mismatch' WHEN NOT av THEN 'provider_snapshot_unavailable' WHEN s.n > 1 THEN 'ambiguous_provider_symbol' WHEN s.n IS NULL THEN 'not_declared' WHEN s.n = 0 THEN 're_export'
+  WHEN r.kind <> s.kind THEN 'kind_mismatch' WHEN rb THEN 'rebound' ELSE 'linked' END AS resolution FROM r LEFT JOIN k USING (package, version) LEFT JOIN s ON s.package = r.package AND s.module = r.module AND s.name = r.name) SELECT ref_id, resolution, CASE WHEN resolution = 'linked' THEN path END AS path FROM x""")
 def cross_repo_links(spark, sf_dir):
     return overlays.provider_links(_sql(spark, sf_dir, _PREFS), spark.sql(_PKGS), spark.sql(_PSYM))
 
@@ -174,14 +174,14 @@ def feedback_states(spark, sf_dir):
 
 
 @query(f"""WITH {_FB}, d AS (SELECT item, CAST(least(3, count(DISTINCT (artifact, selector))) AS INTEGER) AS delta FROM fb WHERE excluded IS NULL AND outcome = 'passed' GROUP BY 1),
- i AS (SELECT c_nationkey AS query_id, c_custkey AS item, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS INTEGER) AS pos FROM customer WHERE c_custkey < 300),
+ i AS (SELECT c_nationkey AS query_id, c_custkey AS item, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS INTEGER) AS pos FROM customer),
  x AS (SELECT i.*, CASE WHEN pos = 0 THEN 0 ELSE coalesce(delta, 0) END AS delta FROM i LEFT JOIN d USING (item)) SELECT query_id, item, delta, row_number() OVER (PARTITION BY query_id ORDER BY pos <> 0, pos - delta, -delta, pos, item) - 1 AS place FROM x""")
 def feedback_ranking(spark, sf_dir):
     items = _sql(spark, sf_dir, "SELECT c_nationkey AS query_id, c_custkey AS item, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM customer")
     return overlays.feedback_order(items, _feedback(spark, sf_dir))
 
 
-@query("SELECT user_id, event_type, min(CAST(event_id % 3 AS INTEGER)) AS verdict, count(DISTINCT event_id % 3) > 1 AS conflict FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2")
+@query("SELECT user_id, event_type, min(CAST(event_id % 3 AS INTEGER)) AS verdict, count(DISTINCT event_id % 3) > 1 AS conflict FROM events GROUP BY 1, 2")
 def merged_events(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", (F.col("event_id") % 3).cast("int").alias("verdict"))
     return overlays.merged_events(e, ["user_id", "event_type"], "verdict")
@@ -194,7 +194,7 @@ def evaluation_fold(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT p_partkey AS route_id, lower(p_type) || '_' || split_part(p_name, ' ', 1) AS controller, split_part(p_name, ' ', 2) AS action FROM part),
- m AS (SELECT upper(p_type[1]) || lower(p_type)[2:] || upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || 'Controller' AS owner, split_part(p_name, ' ', 2) AS name, p_brand AS path FROM part WHERE p_partkey % 40 = 7),
+ m AS (SELECT upper(p_type[1]) || lower(p_type)[2:] || upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || 'Controller' AS owner, split_part(p_name, ' ', 2) AS name, p_brand AS path FROM part),
  g AS (SELECT owner, name, count(DISTINCT path) AS n, min(path) AS path FROM m GROUP BY 1, 2), x AS (SELECT r.*, upper(controller[1]) || split_part(controller, '_', 1)[2:] || upper(split_part(controller, '_', 2)[1]) || split_part(controller, '_', 2)[2:] || 'Controller' AS owner FROM r)
  SELECT route_id, CASE WHEN x.owner NOT IN (SELECT owner FROM m) THEN 'CONTROLLER_NOT_FOUND' WHEN g.n IS NULL THEN 'ACTION_NOT_FOUND' WHEN g.n > 1 THEN 'AMBIGUOUS' ELSE 'INFERRED' END AS outcome, CASE WHEN g.n = 1 THEN g.path END AS path FROM x LEFT JOIN g ON g.owner = x.owner AND g.name = x.action""")
 def rails_routes(spark, sf_dir):
@@ -205,7 +205,7 @@ def rails_routes(spark, sf_dir):
     return overlays.routes(declared, methods)
 
 
-@query("""WITH a AS (SELECT p_partkey AS assoc_id, CASE p_size % 3 WHEN 0 THEN 'A::B' WHEN 1 THEN 'A' ELSE 'C' END AS owner, p_type AS name FROM part), m AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'A::B::' WHEN 1 THEN 'A::' ELSE '' END || CASE s_suppkey % 7 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'LARGE' ELSE 'X' || s_suppkey END AS name FROM supplier WHERE s_suppkey < 12),
+@query("""WITH a AS (SELECT p_partkey AS assoc_id, CASE p_size % 3 WHEN 0 THEN 'A::B' WHEN 1 THEN 'A' ELSE 'C' END AS owner, p_type AS name FROM part), m AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'A::B::' WHEN 1 THEN 'A::' ELSE '' END || CASE s_suppkey % 7 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'LARGE' ELSE 'X' || s_suppkey END AS name FROM supplier),
  c AS (SELECT DISTINCT assoc_id, unnest(CASE owner WHEN 'A::B' THEN ['A::B::' || name, 'A::' || name, name] ELSE [owner || '::' || name, name] END) AS model FROM a), g AS (SELECT name AS model, count(*) AS n FROM m GROUP BY 1),
  h AS (SELECT assoc_id, sum(n) AS n, min(model) AS model FROM c JOIN g USING (model) GROUP BY 1) SELECT a.assoc_id, CASE WHEN h.n IS NULL THEN 'UNRESOLVED' WHEN h.n = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS outcome, CASE WHEN h.n = 1 THEN h.model END AS model FROM a LEFT JOIN h USING (assoc_id)""")
 def rails_associations(spark, sf_dir):
@@ -221,12 +221,9 @@ def rails_associations(spark, sf_dir):
 
 _ENQ = "SELECT event_id AS call_id, concat('Job', CAST(user_id AS STRING)) AS job, CASE event_id % 5 WHEN 0 THEN 'perform_async' WHEN 1 THEN 'perform_later' WHEN 2 THEN 'perform_in' WHEN 3 THEN 'perform_now' ELSE 'perform_async' END AS method, CAST(floor(value) AS BIGINT) % 5 AS args FROM events"
 _PERF = "SELECT concat('Job', CAST(CASE WHEN s_suppkey % 25 = 24 THEN s_suppkey - 21 ELSE s_suppkey END AS STRING)) AS job, s_suppkey % 3 AS required, s_suppkey % 2 AS optional FROM supplier"
-# the names with _SQL are folded or thinned forms that only the registered SQL still reads
-_ENQ_SQL = _ENQ.replace("user_id AS", "user_id % 30 AS")
-_PERF_SQL = "SELECT concat('Job', CAST(CASE WHEN s_suppkey % 25 = 24 THEN 3 ELSE s_suppkey % 25 END AS STRING)) AS job, s_suppkey % 3 AS required, s_suppkey % 2 AS optional FROM supplier WHERE s_suppkey < 25"
 
 
-@query(f"""WITH e AS ({_ENQ_SQL}), p AS (SELECT job, count(*) AS n, min(required) AS lo, min(required) + min(optional) AS hi FROM ({_PERF_SQL}) GROUP BY 1)
+@query(f"""WITH e AS ({_ENQ}), p AS (SELECT job, count(*) AS n, min(required) AS lo, min(required) + min(optional) AS hi FROM ({_PERF}) GROUP BY 1)
  SELECT call_id, CASE WHEN method IN ('perform_in', 'perform_at') THEN 'unsupported_delay' WHEN method NOT IN ('perform_async', 'perform_later') THEN 'not_an_enqueue' WHEN p.n IS NULL THEN 'job_not_found' WHEN p.n > 1 THEN 'AMBIGUOUS' WHEN args < lo OR args > hi THEN 'arity_mismatch' ELSE 'INFERRED' END AS outcome FROM e LEFT JOIN p USING (job)""")
 def rails_jobs(spark, sf_dir):
     return overlays.jobs(_sql(spark, sf_dir, _ENQ), spark.sql(_PERF))
