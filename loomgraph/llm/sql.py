@@ -11,19 +11,35 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-_URL = """
-WITH p AS (
-  SELECT page_id,
-    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages
-), rules(verdict, h, p) AS (
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# pages and the targets of their canonical links and refreshes are joined by reachability; the smallest verdict of a component is allow, if any member has it
+_URL = rf"""
+WITH RECURSIVE rules(verdict, h, p) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), tag AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM pages
+), raw AS (
+  SELECT DISTINCT url, CASE WHEN regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END AS t FROM tag
+), full_ AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN root || t
+    ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS target
+  FROM (SELECT url, t, regexp_extract(url, '^([^:/?#]*):', 1) AS scheme, regexp_extract(url, '^([^:/?#]*):', 1) || '://' || regexp_extract(url, '://([^/?#]*)', 1) AS root,
+    regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM raw WHERE t <> '' AND url IS NOT NULL)
+), u AS (
+  SELECT url, {_LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")} AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS rest
+  FROM (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT target FROM full_)
 ), fit AS (
-  SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
-  FROM p JOIN rules r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY page_id
-)
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN fit f USING (page_id)
+  SELECT url, arg_min(r.h || r.p, (-length(r.h || r.p), r.verdict, r.h || r.p)) AS rule, arg_min(r.verdict, (-length(r.h || r.p), r.verdict, r.h || r.p)) AS verdict
+  FROM u JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY url
+), n AS (SELECT u.*, host || rest AS node, rule, verdict FROM u LEFT JOIN fit USING (url)
+), e AS (SELECT a.node AS a, b.node AS b FROM full_ JOIN n a ON a.url = full_.url JOIN n b ON b.url = full_.target WHERE a.host <> '' AND b.host <> ''
+), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach(node, other) AS (SELECT a, a FROM both_ UNION SELECT r.node, x.b FROM reach r JOIN both_ x ON x.a = r.other
+), alias AS (SELECT r.node, min(n.verdict) AS verdict FROM reach r JOIN n ON n.node = r.other AND n.host <> '' GROUP BY 1)
+SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, n.rule, coalesce(n.verdict, alias.verdict, 'allow') AS verdict
+FROM pages p LEFT JOIN n USING (url) LEFT JOIN alias ON alias.node = n.node AND n.host <> ''
 """
 
 # CRC-32 of UTF-8 bytes has no DuckDB function, so it is folded byte by byte over an expression

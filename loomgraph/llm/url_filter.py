@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, written
@@ -23,8 +23,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Rules become one expression; a longer list needs another design.
-MOST_RULES = 2000
+#: So many rules become one expression; more are joined.
+INLINE = 64
 
 _ATTR = r"""\s*=\s*["']?([^"'\s>]+)"""
 
@@ -49,8 +49,6 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits; of equally long ones allow comes first, then the text's order."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     best = sorted(set(rules), key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1] + r[2]))
     whens = [
@@ -60,10 +58,33 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.coalesce(*whens, found) if whens else found
 
 
-def node_of(url: Column) -> Column:
-    """What identifies a resource: host, path and query, without scheme and fragment; null without a host."""
-    key = F.concat(host_of(url), F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^#]*)", 1))
-    return F.when(host_of(url) != "", key)
+def ruled(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """``urls`` (host, path, ...) with ``__r``: the struct (rule, verdict) of each row, or null.
+
+    A table of rules (verdict, host, path), or more than ``INLINE`` of them, is met by equality only: each suffix of a
+    host finds the lengths of its rules' paths, and the path cut to such a length finds the rule.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= INLINE:
+            return urls.withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    rules = rules.groupBy(F.col("host").alias("__h"), F.col("path").alias("__p")).agg(F.min("verdict").alias("__v"))  # "allow" < "block"
+    sizes = rules.groupBy("__h").agg(F.collect_set(F.length("__p")).alias("__sizes"))
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    found = urls.select("host", "path").distinct().withColumn("__h", F.explode(suffixes)).join(sizes, "__h")
+    found = found.withColumn("__n", F.explode("__sizes")).withColumn("__p", F.substring(F.col("path"), F.lit(1), F.col("__n"))).filter(F.length("__p") == F.col("__n")).join(rules, ["__h", "__p"])
+    text = F.concat("__h", "__p")
+    best = found.groupBy("host", "path").agg(F.min(F.struct((-F.length(text)).alias("n"), F.col("__v").alias("verdict"), text.alias("rule"))).alias("__b"))
+    best = best.select(F.col("host").alias("__bh"), F.col("path").alias("__bp"), F.struct("__b.rule", "__b.verdict").alias("__r"))
+    return urls.join(best, (F.col("host") == F.col("__bh")) & (F.col("path") == F.col("__bp")), "left").drop("__bh", "__bp")
+
+
+def parsed(urls: DataFrame) -> DataFrame:
+    """``urls`` (url, ...) with host, path and node: what identifies a resource (host, path and query, without scheme and fragment; null without a host)."""
+    u = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    rest = F.regexp_extract(_after_scheme(F.col("url")), r"^[^/?#]*([^#]*)", 1)
+    return u.withColumn("node", F.when(F.col("host") != "", F.concat("host", rest)))
 
 
 def link_targets(html: Column) -> Column:
@@ -89,42 +110,39 @@ def resolved(base: Column, target: Column) -> Column:
     )
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, component) of every page.
 
-    ``redirects`` may add (from_url, to_url) pairs from a crawl log. Null or
-    odd URLs have empty host and path, no rule and no aliases, and are allowed.
-    Null html has no links. Repeated rows are each judged. Other columns are
-    ignored. With no links at all no component is computed and the query is a
-    single narrow scan; ``component`` is then null.
+    ``rules`` are (verdict, host, path) triples or a table of them, of any number. ``redirects`` may add (from_url, to_url)
+    pairs from a crawl log. Null or odd URLs have empty host and path, no rule and no aliases, and are allowed. Null html has
+    no links. Repeated rows are each judged; an empty table gives an empty result. Other columns, whatever their names, are
+    ignored. With no links at all no component is computed and the query is a single narrow scan; ``component`` is then null.
     """
-    url, html = F.col("url"), F.col("html")
-    d = pages.select("page_id", url, html)
-    raw = written(d.select(url.alias("from_url"), F.explode(link_targets(html)).alias("to")), "links", narrow=True)  # few rows; keeps later filters off the tag search
+    d = pages.select("page_id", "url", "html")
+    # few rows; written, so that what follows is not computed inside the tag search
+    raw = written(d.select(F.col("url").alias("from_url"), F.explode(link_targets(F.col("html"))).alias("to")), "targets", narrow=True)
     links = raw.select("from_url", resolved(F.col("from_url"), F.col("to")).alias("to_url"))
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url"))
-    links = links.select(F.col("from_url"), F.col("to_url"), node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).filter("a is not null and b is not null and a != b").distinct()
-    links = written(links, "aliases", narrow=True)
-    plain = d.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    plain = plain.withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
+    links = written(links.filter("from_url is not null and to_url is not null"), "links", narrow=True)
+    plain = parsed(d.select("page_id", "url"))
     own = [F.col("page_id"), F.col("host"), F.col("path"), F.col("__r.rule").alias("rule")]
     if links.isEmpty():
-        return plain.select(*own, F.coalesce(F.col("__r.verdict"), F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("component"))
+        return ruled(plain, rules).select(*own, F.coalesce(F.col("__r.verdict"), F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("component"))
+    urls = written(parsed(links.select(F.col("from_url").alias("url")).union(links.select("to_url")).distinct()).filter("node is not null"), "aliases", narrow=True)
     # nodes are named by a 64-bit hash for the component search only where it is unique
-    ends = links.select(F.col("from_url").alias("u"), F.col("a").alias("node")).union(links.select("to_url", "b")).distinct()
-    ids = written(ends.select("node").distinct().withColumn("id", F.xxhash64("node")), "nodes", narrow=True)
+    ids = written(urls.select("node").distinct().withColumn("id", F.xxhash64("node")), "nodes", narrow=True)
     if ids.count() != ids.select("id").distinct().count():
-        from pyspark.sql import Window
-
         twice = F.row_number().over(Window.partitionBy("id").orderBy("node"))
         ids = written(ids.withColumn("id", F.when(twice == 1, F.col("id")).otherwise(F.xxhash64("node", twice))), "nodes", narrow=True)
-    edges = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("i")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
+    named = written(urls.join(ids, "node").select("url", "id"), "named", narrow=True)
+    end = lambda u, i: named.select(F.col("url").alias(u), F.col("id").alias(i))
+    edges = links.join(end("from_url", "i"), "from_url").join(end("to_url", "j"), "to_url").select("i", "j")
     comp = written(components(edges).join(ids, "id").select("node", "component"), "aliased", narrow=True)
-    ruled = ends.withColumn("__r", rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)).select("node", F.col("__r.verdict").alias("v")).filter("v is not null").distinct()
-    decided = comp.join(ruled, "node").groupBy("component").agg(F.min("v").alias("__v"))  # "allow" < "block"
+    known = ruled(urls.select("node", "host", "path").distinct(), rules).select("node", F.col("__r.verdict").alias("v")).filter("v is not null")
+    decided = comp.join(known, "node").groupBy("component").agg(F.min("v").alias("__v"))  # "allow" < "block"
     by_node = comp.join(decided, "component", "left").select("node", "component", "__v")
-    return plain.join(by_node, "node", "left").select(*own, F.coalesce(F.col("__r.verdict"), F.col("__v"), F.lit("allow")).alias("verdict"), "component")
+    return ruled(plain, rules).join(by_node, "node", "left").select(*own, F.coalesce(F.col("__r.verdict"), F.col("__v"), F.lit("allow")).alias("verdict"), "component")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
