@@ -1,13 +1,15 @@
 """Operator 9, best-fit packing of documents into token sequences: bulk-synchronous rounds.
 
-Lengths and gaps are integers of at most the capacity, so the range-sorted
-documents form at most ``capacity`` runs of equal length, and the gaps too. One
-distributed aggregate yields the runs; the rounds sweep runs, not rows: from the
-longest run down, each run's documents go to the successor gaps (the smallest
-that hold them, in ascending order), as many as there are; documents that want
-the same gaps are resolved by rank, gaps shrink, and the sweep repeats. What
-finds no gap opens sequences. Rows then look their place up by (length, rank);
-ranks are numbered in a distributed way, so no task holds a whole run.
+Documents are numbered once by (length, rank), in a distributed way. Every round
+range-sorts the gaps of the open sequences and sweeps both lists from the largest
+size down: gaps are pushed on a stack, and a document takes the topmost one, which
+is its successor, the smallest gap that still holds it. The stack is never built:
+a gap's slot and the slot that a document takes follow from sizes' counts (at most
+``capacity`` numbers each) and from ranks, so documents that want the same gap are
+told apart by rank, and one window over (slot, size) matches all of them. Gaps
+shrink, and rounds go on; documents that no gap holds open sequences, as many as
+they need at least. Where a length has more documents than there are gaps, equally
+long ones go together, so rounds follow the documents a sequence holds, not copies.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import docs_of, ranked, written
@@ -116,75 +119,99 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES + ", ids binary" * ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Places for ``counts[length]`` pieces of each length, and the number of sequences.
+#: Gaps of one size that are ranked in one task, about; part of a sequence that documents of one length may take in a round.
+RUN, SHARE = 50_000, 8
 
-    Rows are (length, first rank, how many, first sequence, offset): consecutive
-    ranks of a length go to consecutive sequences. The number of rows depends on
-    the capacity, not on the number of pieces.
+
+def sweep(gaps: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of one round, from the counts of gaps and of documents by size.
+
+    Returns the first slot of each size's gaps; by length: how many documents go together, how many such units find a gap,
+    and the slot of the first (the next ones follow downwards); and the counts of gaps after the round.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # of each size: (first sequence, how many)
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    for size in sorted(counts, reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            moved: list[tuple[int, int, int]] = []
-            for gap in range(size, capacity + 1):
-                while left and gaps[gap]:
-                    first, n = gaps[gap].pop()
-                    take = min(n, left)
-                    if take < n:
-                        gaps[gap].append((first + take, n - take))
-                    out.append((size, rank, take, first, capacity - gap))
-                    moved.append((gap - size, first, take))
-                    rank, left = rank + take, left - take
-                if not left:
-                    break
-            for gap, first, n in moved:
-                gaps[gap].append((first, n))
-            if left and not moved:
-                each = capacity // size
-                bins = -(-left // each)
-                for layer in range(each):
-                    n = min(bins, left)
-                    if not n:
-                        break
-                    out.append((size, rank, n, opened, layer * size))
-                    rank, left = rank + n, left - n
-                    after = bins - n if layer else 0
-                    if after:
-                        gaps[capacity - layer * size].append((opened + n, after))
-                    last, filled = layer, n
-                gaps[capacity - (last + 1) * size].append((opened, filled))
-                opened += bins
-    return np.array(out, np.int64).reshape(-1, 5), opened
+    capacity = len(gaps) - 1
+    size = np.arange(capacity + 1)
+    together = np.maximum(1, np.minimum(left // max(1, gaps.sum()), capacity // SHARE // np.maximum(size, 1)))
+    units, wide = left // together, together * size
+    order = np.argsort(-wide, kind="stable")
+    order = order[(units[order] > 0) & (order > 0)]
+    base, found, top, after = (np.zeros(capacity + 1, np.int64) for _ in range(4))
+    stack: list[list[int]] = []  # (size, gaps left of it)
+    height, at = 0, capacity
+    for n in [*order.tolist(), 0]:
+        while at >= wide[n]:
+            base[at], height = height, height + gaps[at]
+            if gaps[at]:
+                stack.append([at, int(gaps[at])])
+            at -= 1
+        if n:
+            top[n], found[n] = height - 1, min(height, units[n])
+            height, taken = height - found[n], int(found[n])
+            while taken:
+                k = min(taken, stack[-1][1])
+                after[stack[-1][0] - wide[n]] += k
+                taken, stack[-1][1] = taken - k, stack[-1][1] - k
+                if not stack[-1][1]:
+                    stack.pop()
+    for at, k in stack:
+        after[at] += k
+    return base, together, found, top, after
+
+
+def _counts(df: DataFrame, column: str, capacity: int) -> np.ndarray:
+    """Rows of each length; at most ``capacity`` lengths."""
+    out = np.zeros(capacity + 1, np.int64)
+    for r in df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).limit(capacity + 1).collect():
+        out[r[0]] = r["n"]
+    return out
 
 
 def place(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Append sequence_id and offset to a written table of pieces."""
     spark = table.sparkSession
-    # at most `capacity` rows
-    runs = {int(r["length"]): int(r["n"]) for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).limit(capacity + 1).collect()}
-    rows, _ = plan(runs, capacity)
-    if len(rows) > capacity * capacity:
-        raise RuntimeError("the packing plan is over its bound")
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    sent = spark.sparkContext.broadcast(rows)
-    sub = F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.col("ids_crc32").cast("string"))), 1, 3)
-    numbered = ranked(table, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], sub, "__rank_in_run")
     names = table.columns
-    schema = table.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = sent.value
-        keys = (r[:, 0] << 44) + r[:, 1]
-        for batch in batches:
-            rank = batch.column("__rank_in_run").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, (batch.column("length").to_numpy(zero_copy_only=False) << 44) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(r[at, 3] + rank - r[at, 1]), pa.array(r[at, 4])], names=[*names, "sequence_id", "offset"])
-
-    return numbered.mapInArrow(run, schema)
+    sub = F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.col("ids_crc32").cast("string"))), 1, 3)
+    docs = written(ranked(table, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], sub, "__rank"), "ranked")
+    left = _counts(docs, "length", capacity)
+    first = np.zeros(capacity + 1, np.int64)
+    size = np.arange(capacity + 1)
+    gaps = np.zeros(capacity + 1, np.int64)
+    bins, opened, placed = None, 0, []
+    by_size = "__size int, __base long"
+    by_length = "__length int, __first long, __together long, __found long, __top long"
+    while left.any():
+        none = left * (size > (np.flatnonzero(gaps).max() if gaps.any() else 0))  # documents that no gap holds
+        if none.any():
+            more = max(int(none[size > capacity // 2].sum()), -(-int((none * size).sum()) // capacity))
+            fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
+            bins = fresh if bins is None else bins.unionByName(fresh)
+            opened, gaps = opened + more, gaps + more * (size == capacity)
+        parts = max(1, -(-int(gaps.max()) // RUN))
+        if parts == 1:
+            ranks = bins.withColumn("__rank", F.row_number().over(Window.partitionBy("gap").orderBy("sequence_id")).cast("long") - 1)
+        else:
+            ranks = ranked(bins, ["gap"], [F.col("sequence_id")], F.pmod(F.xxhash64("sequence_id"), F.lit(parts)), "__rank")
+        base, together, found, top, after = sweep(gaps, left)
+        live, some = np.flatnonzero(gaps), np.flatnonzero(found)
+        slots = F.broadcast(spark.createDataFrame([(int(s), int(base[s])) for s in live], by_size))
+        takes = F.broadcast(spark.createDataFrame([(int(s), int(first[s]), int(together[s]), int(found[s]), int(top[s])) for s in some], by_length))
+        null = lambda c: F.lit(None).cast(dict(table.dtypes)[c]).alias(c)
+        push = ranks.join(slots, F.col("gap") == F.col("__size")).select(*map(null, names), (F.col("__base") + F.col("__rank")).alias("__slot"), F.col("gap").alias("__wide"), F.lit(0).alias("__in"), F.col("sequence_id").alias("__bin"), "gap")
+        step = F.col("__rank") - F.col("__first")
+        take = docs.join(takes, F.col("length") == F.col("__length")).filter((step >= 0) & (step < F.col("__found") * F.col("__together")))
+        pop = take.select(*names, (F.col("__top") - F.floor(step / F.col("__together"))).alias("__slot"), (F.col("length") * F.col("__together")).alias("__wide"), (step % F.col("__together") * F.col("length")).alias("__in"), F.lit(None).cast("long").alias("__bin"), F.lit(None).cast("long").alias("gap"))
+        w = Window.partitionBy("__slot").orderBy(F.desc("__wide"), F.col("__bin").isNull(), "length", "__in")
+        met = push.unionByName(pop).withColumn("sequence_id", F.last("__bin", True).over(w)).withColumn("offset", capacity - F.last("gap", True).over(w) + F.col("__in"))
+        met = met.withColumn("gap", F.col("gap") - F.coalesce(F.when(F.lead("__bin").over(w).isNull(), F.lead("__wide").over(w)), F.lit(0)))
+        done = written(met.select(*names, "sequence_id", F.col("offset").cast("long").alias("offset"), F.when(F.col("__bin").isNotNull(), F.col("gap")).alias("gap")), "round", narrow=True)
+        placed.append(done.filter("gap is null").drop("gap"))
+        first, left = first + found * together, left - found * together
+        least = int(np.flatnonzero(left)[0]) if left.any() else capacity + 1
+        gaps = after * (size >= least)
+        bins = done.filter(F.col("gap") >= least).select("sequence_id", "gap")
+    if not placed:
+        return docs.drop("__rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    return reduce(DataFrame.unionByName, placed)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
