@@ -6,7 +6,10 @@ query. Each partition selects its own best k, and these are merged. All rows
 are scored: there is no index and no bound that prunes.
 
 Queries travel to the candidates in waves of at most ``WAVE`` rows (a checked,
-fixed size), so candidates are never shuffled and the driver holds one wave.
+fixed size), so candidates are never shuffled and the driver holds one wave: each
+wave's best rows are written before the next wave is fetched. A task streams over
+its candidates whatever their number, so few long tasks read them: each returns
+k rows a query.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import written
+
 #: Queries of one wave; 64 weights of 8 bytes make 25 MB.
 WAVE = 50_000
 #: Candidates in a block of postings, and queries that share a dense array.
@@ -63,6 +68,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, wave: int = WA
     spark = candidates.sparkSession
     cand = candidates.select("vec_id", "w").filter("vec_id is not null and w is not null")
     asked = queries.select("vec_id", "w").filter("vec_id is not null and w is not null").groupBy("vec_id").agg(F.max("w").alias("w"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     waves = max(1, -(-asked.count() // wave))
     found = None
     for i in range(waves):
@@ -72,10 +78,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, wave: int = WA
         q_ids = rows["vec_id"].to_numpy()
         order = np.argsort(q_ids)
         q_rows = [np.asarray(rows["w"][int(j)].as_py(), np.int64) for j in order]
-        part = _scored(cand, spark.sparkContext.broadcast((q_ids[order], q_rows)), k)
+        asked_now = spark.sparkContext.broadcast((q_ids[order], q_rows))
+        part = _scored(cand.coalesce(4 * spark.sparkContext.defaultParallelism), asked_now, k)
+        part = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if waves > 1:
+            part = written(part, "wave", narrow=True)
+            asked_now.destroy()
         found = part if found is None else found.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found
 
 
 def _scored(cand: DataFrame, asked, k: int) -> DataFrame:
