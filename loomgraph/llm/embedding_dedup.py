@@ -11,7 +11,8 @@ The number of filters follows the size of the largest label, so that a filter
 holds about ``HELD`` unrelated vectors at every scale, and the expected number of
 filters shared by a linked pair stays the same. Fuller filters are cut into
 chunks, and pairs of chunks are tasks of bounded size; tasks return counts and
-forest edges, not pairs.
+forest edges, not pairs. Rows with equal label and vector are one class from the
+start and count by their number, so copies meet nothing twice.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, free_shuffles, written
+from loomgraph.llm.common import components, written
 
 THRESHOLD = 0.93
 #: Unrelated vectors in a filter; chance that a pair at the threshold shares none, as planned.
@@ -104,11 +105,11 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-_DECODED = "vec_id long, label long, dim int, vec binary, filters array<long>"
+_DECODED = "vec_id long, label long, rows long, dim int, wide boolean, vec binary, filters array<long>"
 
 
 def decoded(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Valid vectors (vec_id, label, embedding) with their filters."""
+    """Valid vectors (vec_id, label, rows, embedding) with their filters; a vector keeps the precision that it came in."""
     z, blocks, count = design(n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,10 @@ def decoded(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
                     x = _matrix(b.column("embedding"), dim)
                     row, at = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), made[dim], z)
                     offsets = np.searchsorted(row, np.arange(len(x) + 1))
-                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(np.full(len(x), dim, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int64()))], names=["vec_id", "label", "dim", "vec", "filters"])
+                    short = x.astype(np.float32)
+                    wide = not (short == x).all()
+                    columns = [b.column("vec_id"), b.column("label"), b.column("rows"), pa.array(np.full(len(x), dim, np.int32)), pa.array([wide] * len(x)), pa.array([v.tobytes() for v in (x if wide else short)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int64()))], names=["vec_id", "label", "rows", "dim", "wide", "vec", "filters"])
 
     return vectors.mapInArrow(run, _DECODED)
 
@@ -143,7 +147,7 @@ def forest(mask: np.ndarray) -> np.ndarray:
 
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "label", "dim", "filter", "one", "two", "chunk")}
+        cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "label", "rows", "dim", "wide", "filter", "one", "two", "chunk")}
         order = np.lexsort((cols["vec_id"], cols["two"], cols["one"], cols["filter"], cols["dim"], cols["label"]))
         cols = {k: v[order] for k, v in cols.items()}
         vec = table.column("vec").combine_chunks()
@@ -156,7 +160,7 @@ def _verify(threshold: float):
             if hi - lo < 2:
                 continue
             rows, ids = order[lo:hi], cols["vec_id"][lo:hi]
-            x = np.stack([np.frombuffer(vec[int(r)].as_buffer(), np.float64) for r in rows])
+            x = np.stack([np.frombuffer(vec[int(r)].as_buffer(), np.float64 if w else np.float32).astype(np.float64) for r, w in zip(rows, cols["wide"][lo:hi], strict=True)])
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             mask = x @ x.T >= threshold
             mask &= ids[:, None] != ids[None, :]
@@ -166,7 +170,7 @@ def _verify(threshold: float):
             linked = np.flatnonzero(mask.any(1))
             if not len(linked):
                 continue
-            mask, ids, rows = mask[np.ix_(linked, linked)], ids[linked], rows[linked]
+            mask, ids, rows, many = mask[np.ix_(linked, linked)], ids[linked], rows[linked], cols["rows"][lo:hi][linked]
             # smaller filters that a pair has in common
             mine = [flat[at[r] : at[r + 1]] for r in rows]
             small = [m[m < cols["filter"][lo]] for m in mine]
@@ -175,7 +179,7 @@ def _verify(threshold: float):
                 has = np.zeros((len(rows), len(names)), np.float32)
                 has[np.repeat(np.arange(len(rows)), [len(s) for s in small]), which] = 1
                 mask &= (has @ has.T) == 0
-            n = mask.sum(1)
+            n = mask @ many
             comp = forest(mask)
             out_u.append(ids)
             out_v.append(ids[comp])
@@ -196,9 +200,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Two rows link if their labels are equal and not null, they have equally many
     dimensions, different vec_ids, and a cosine of ``threshold`` or more. Null,
     zero, or non-finite vectors, and those with null components, link with
-    nothing: n_links 0, their own component, kept. Rows that repeat a vec_id are
-    vectors of their own that share its result. An empty table gives an empty
-    result; other columns are ignored.
+    nothing: n_links 0, their own component, kept. Rows equal in vec_id, label
+    and vector count once; a vec_id of several vectors has the links of all. An
+    empty table gives an empty result; other columns are ignored.
     """
     e = F.col("embedding")
     odd = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
@@ -210,7 +214,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     alone = own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not largest:
         return alone
-    table = written(decoded(valid, largest, threshold), "filters")
+    same = ["label", "embedding"]
+    members = valid.distinct()
+    classes = written(members.groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("rows")), "classes")
+    more = classes.filter("rows > 1").withColumnRenamed("vec_id", "first")
+    copies = written(members.join(more, same).select("vec_id", "first", "rows"), "copies", narrow=True)
+    table = written(decoded(classes, largest, threshold), "filters")
     total = table.agg(F.sum(F.size("filters"))).first()[0]
     each = table.withColumn("filter", F.explode("filters"))
     full = written(each.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 2 * CHUNK), "full", narrow=True)
@@ -224,10 +233,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     groups = max(1, -(-total // GROUP))
     each = each.withColumn("g", F.pmod(F.xxhash64("label", "dim", "filter", "one", "two"), F.lit(groups)))
     found = written(each.groupBy("g").applyInArrow(_verify(threshold), "u long, v long, n long"), "joined", narrow=True)
-    free_shuffles(table.sparkSession)
-    links = found.groupBy("u").agg(F.sum("n").alias("n")).filter("n > 0")
-    comp = components(found.filter("u != v").select("u", "v"))
-    out = own.join(links.withColumnRenamed("u", "vec_id"), "vec_id", "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    # a row links with what its class links with, and with the other rows of the class
+    per = classes.filter("rows = 1").select("vec_id", F.col("vec_id").alias("first"), "rows").union(copies)
+    links = per.join(found.groupBy(F.col("u").alias("first")).agg(F.sum("n").alias("n")), "first", "left")
+    links = links.groupBy("vec_id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n")).filter("n > 0")
+    comp = components(found.filter("u != v").select("u", "v").union(copies.select("vec_id", "first").filter("vec_id != first")))
+    out = own.join(links, "vec_id", "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     c = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(F.col("vec_id") == c, F.lit(True)).alias("kept"))
 
