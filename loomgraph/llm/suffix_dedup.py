@@ -10,7 +10,10 @@ every round inserts one symbol (column) per document, outward from the anchor,
 and updates the ranks of all texts by (rank so far, new symbol). Two texts keep
 equal ranks for as long as their common prefix reaches. A string is the pair of
 its left and its right rank; of equal strings all but the first are removed.
-Columns are in memory: a part has a bounded size.
+Columns are in memory: a part has a bounded size. Parts that grow beyond it, by
+an anchor in very many contexts, are told apart by whole strings instead: their
+strings are named by 128 bits, each name's first place is an aggregate that is
+combined before the shuffle, and an equi-join finds the later ones.
 
 The corpus-wide Burrows-Wheeler transform is not formed: inserting one symbol per
 document takes as many passes over the corpus as the longest document has
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import docs_of, free_shuffles, n_parts, written
+from loomgraph.llm.common import docs_of, dropped, n_parts, written
 from loomgraph.llm.textbytes import by_bucket, chunks, prefix_hashes, span_hashes
 
 SPAN, ANCHOR = 100, 32
-#: Bytes of text in a bucket of documents, anchors in a bucket of hashes, bytes of anchored text in a part.
-TEXT, HASHES, PART = 3 << 20, 1 << 18, 2 << 20
+#: Bytes of text in a bucket of documents, anchors in a bucket of hashes, bytes of anchored text in a part (on average, at most).
+TEXT, HASHES, PART, MOST = 3 << 20, 1 << 18, 1 << 20, 4 << 20
+#: A longer text is looked at in pieces of so many bytes.
+PIECE = 1 << 20
 _POS = np.uint64(27)
 _NULL = -(1 << 63)
 
@@ -45,8 +50,6 @@ def anchored(offsets: np.ndarray, data: np.ndarray, span: int) -> tuple[np.ndarr
     size = np.diff(offsets)
     if not (size >= span).any():
         return none, none, np.empty(0, np.uint64)
-    if n >= 1 << int(_POS):
-        raise ValueError("a text is too long")
     m = n - ANCHOR + 1
     at = np.arange(m)
     h = span_hashes(prefix_hashes(data), at, at + ANCHOR)
@@ -64,6 +67,17 @@ def anchored(offsets: np.ndarray, data: np.ndarray, span: int) -> tuple[np.ndarr
     return start, anchor, h[anchor]
 
 
+def _pieces(column: pa.Array, span: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, first byte, offsets, bytes) of runs of rows; a long text comes in pieces that overlap by span - 1 bytes, so each string is in one."""
+    for lo, hi, offsets, data in chunks(column):
+        if hi - lo > 1 or len(data) <= PIECE:
+            yield lo, 0, offsets, data
+            continue
+        for at in range(0, len(data) - span + 1, PIECE):
+            part = data[at : at + PIECE + span - 1]
+            yield lo, at, np.array([0, len(part)]), part
+
+
 def _all(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
@@ -79,7 +93,7 @@ def _anchor_hashes(docs: DataFrame, span: int, buckets: int) -> DataFrame:
         for batch in batches:
             group = batch.column("db").to_numpy(zero_copy_only=False)
             hs, gs = [], []
-            for lo, _, offsets, data in chunks(batch.column("text")):
+            for lo, _, offsets, data in _pieces(batch.column("text"), span):
                 start, anchor, h = anchored(offsets, data, span)
                 if not len(start):
                     continue
@@ -130,7 +144,7 @@ def _runs(start: np.ndarray, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray
     return first, np.append(first[1:], len(start)) - 1
 
 
-_TEXTS = "part int, db int, doc binary, start binary, size binary, data binary, gone binary"
+_TEXTS = "part int, db int, bytes long, doc binary, text binary, start binary, size binary, data binary, gone binary"
 
 
 def _anchored_texts(span: int, parts: int):
@@ -139,10 +153,10 @@ def _anchored_texts(span: int, parts: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shared = np.unique(_all(right.column("h"), np.uint64))
-        doc = left.column("doc").to_numpy().astype(np.int64)
+        doc, mark_ = (left.column(c).to_numpy().astype(np.int64) for c in ("doc", "th"))
         found: list[tuple[np.ndarray, ...]] = []
         if len(shared) and left.num_rows:
-            for lo, _, offsets, data in chunks(left.column("text")):
+            for lo, from_, offsets, data in _pieces(left.column("text"), span):
                 start, anchor, h = anchored(offsets, data, span)
                 if not len(start):
                     continue
@@ -157,20 +171,21 @@ def _anchored_texts(span: int, parts: int):
                 mark = span_hashes(prefix_hashes(data), begin, end)
                 size = end - begin
                 take = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-                found.append((doc[lo + row[a]], begin - offsets[row[a]], size, h[a], mark, data[take]))
-        names = ["part", "db", "doc", "start", "size", "data", "gone"]
+                found.append((doc[lo + row[a]], mark_[lo + row[a]], from_ + begin - offsets[row[a]], size, h[a], mark, data[take]))
+        names = ["part", "db", "bytes", "doc", "text", "start", "size", "data", "gone"]
+        kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6
         if not found:
-            return pa.table({n: pa.array([], pa.int32() if n in ("part", "db") else pa.binary()) for n in names})
-        d, s, size, h, mark, data = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+        d, x, s, size, h, mark, data = (np.concatenate(c) for c in zip(*found, strict=True))
         at = np.cumsum(size) - size
-        order = np.lexsort((s, d, size, mark))
+        order = np.lexsort((s, x, d, size, mark))
         same = np.zeros(len(order), bool)
         same[1:] = (mark[order][1:] == mark[order][:-1]) & (size[order][1:] == size[order][:-1])
         lead = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))]
-        later = order[same & ((d[order] != d[lead]) | (s[order] != s[lead]))]
-        gone = np.stack([d[later], s[later], s[later] + size[later]], 1).astype(np.int64)
+        later = order[same & ((d[order] != d[lead]) | (x[order] != x[lead]) | (s[order] != s[lead]))]
+        gone = np.stack([d[later], x[later], s[later], s[later] + size[later]], 1).astype(np.int64)
         keep = np.sort(order[~same])
-        d, s, size, h, at = d[keep], s[keep], size[keep], h[keep], at[keep]
+        d, x, s, size, h, at = d[keep], x[keep], s[keep], size[keep], h[keep], at[keep]
         part = (h % np.uint64(parts)).astype(np.int64)
         o = np.argsort(part, kind="stable")
         there, first = np.unique(part[o], return_index=True)
@@ -179,11 +194,11 @@ def _anchored_texts(span: int, parts: int):
         db = int(left.column("db")[0].as_py())
         for p, lo, hi in zip(there.tolist(), edge[:-1], edge[1:], strict=True):
             i = o[lo:hi]
-            raw = b"".join(data[x : x + z].tobytes() for x, z in zip(at[i].tolist(), size[i].tolist(), strict=True))
-            rows.append((p, db, d[i].tobytes(), s[i].tobytes(), size[i].tobytes(), raw, b""))
+            raw = b"".join(data[y : y + z].tobytes() for y, z in zip(at[i].tolist(), size[i].tolist(), strict=True))
+            rows.append((p, db, len(raw), d[i].tobytes(), x[i].tobytes(), s[i].tobytes(), size[i].tobytes(), raw, b""))
         if len(gone):
-            rows.append((db % parts, db, b"", b"", b"", b"", gone.tobytes()))
-        return pa.table({n: pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.binary()) for k, n in enumerate(names)})
+            rows.append((db % parts, db, 0, b"", b"", b"", b"", b"", gone.tobytes()))
+        return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
 
     return run
 
@@ -200,7 +215,13 @@ def repeats(offsets: np.ndarray, data: np.ndarray, doc: np.ndarray, begin: np.nd
     Row i of the collection is a stretch of document doc[i] from its byte
     begin[i]; equal strings must all be in the collection.
     """
-    start, anchor, _ = anchored(offsets, data, span)
+    found, lo = [], 0
+    while lo < len(doc):  # rows of about PIECE / 4 bytes at once
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PIECE // 4, "right")) - 1)
+        at, a, _ = anchored(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], span)
+        found.append((at + offsets[lo], a + offsets[lo]))
+        lo = hi
+    start, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(start):
         return start
     reach = span - ANCHOR
@@ -252,6 +273,11 @@ def repeats(offsets: np.ndarray, data: np.ndarray, doc: np.ndarray, begin: np.nd
     return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
+def _ids(doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Numbers in the order of (doc, text hash); equal pairs have equal ones."""
+    return np.unique(np.stack([doc, text], 1), axis=0, return_inverse=True)[1].ravel()
+
+
 def _found(span: int):
     """Byte ranges to remove, packed by document bucket."""
 
@@ -260,13 +286,13 @@ def _found(span: int):
         db = table.column("db").to_numpy().astype(np.int64)
         gone = table.column("gone").to_pylist()
         rows += [(int(b), g) for b, g in zip(db, gone, strict=True) if g]
-        raw = [table.column(c).to_pylist() for c in ("doc", "start", "size", "data")]
-        doc, begin, size = (np.frombuffer(b"".join(r), np.int64) for r in raw[:3])
-        data = np.frombuffer(b"".join(raw[3]), np.uint8)
+        raw = [table.column(c).to_pylist() for c in ("doc", "text", "start", "size", "data")]
+        doc, text, begin, size = (np.frombuffer(b"".join(r), np.int64) for r in raw[:4])
+        data = np.frombuffer(b"".join(raw[4]), np.uint8)
         where = np.repeat(db, [len(x) // 8 for x in raw[0]])
         if len(doc):
             offsets = np.concatenate([[0], np.cumsum(size)])
-            at = repeats(offsets, data, doc, begin, span)
+            at = repeats(offsets, data, _ids(doc, text), begin, span)
             if len(at):
                 row = np.searchsorted(offsets, at, "right") - 1
                 new = np.ones(len(at), bool)
@@ -274,7 +300,7 @@ def _found(span: int):
                 i = np.flatnonzero(new)
                 j = np.append(i[1:], len(at)) - 1
                 r = row[i]
-                span_ = np.stack([doc[r], begin[r] + at[i] - offsets[r], begin[r] + at[j] - offsets[r] + span], 1).astype(np.int64)
+                span_ = np.stack([doc[r], text[r], begin[r] + at[i] - offsets[r], begin[r] + at[j] - offsets[r] + span], 1).astype(np.int64)
                 for b in np.unique(where[r]):
                     rows.append((int(b), span_[where[r] == b].tobytes()))
         return pa.table({"db": pa.array([r[0] for r in rows], pa.int32()), "gone": pa.array([r[1] for r in rows], pa.binary())})
@@ -282,40 +308,78 @@ def _found(span: int):
     return run
 
 
+def _by_strings(texts: DataFrame, span: int) -> DataFrame:
+    """Byte ranges to remove (db, gone), from the names of all strings of anchored texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            db = batch.column("db").to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                doc, text, start, size = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("doc", "text", "start", "size"))
+                data = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8)
+                many = size - span + 1
+                at = np.repeat(np.cumsum(size) - size - np.cumsum(many) + many, many) + np.arange(many.sum())
+                prefix = prefix_hashes(data)
+                one = span_hashes(prefix, at, at + span)
+                two = span_hashes(prefix, at, at + span // 2) * np.uint64(0x9E3779B97F4A7C15) + span_hashes(prefix, at + span // 2, at + span)
+                inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cols = [np.full(len(at), db[i], np.int32), np.repeat(doc, many), np.repeat(text, many), np.repeat(start, many) + inside, one.view(np.int64), two.view(np.int64)]
+                for lo in range(0, len(at), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=["db", "doc", "text", "start", "one", "two"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            db, doc, text, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("db", "doc", "text", "start"))
+            there, (gone,) = by_bucket(db.astype(np.int64), np.stack([doc, text, start, start + span]).astype(np.int64))
+            gone = [np.frombuffer(g, np.int64).reshape(4, -1).T.tobytes() for g in gone]
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(gone, pa.binary())], names=["db", "gone"])
+
+    strings = written(texts.filter("bytes > 0").mapInArrow(run, "db int, doc long, text long, start long, one long, two long"), "strings")
+    place = F.struct("doc", "text", "start")
+    first = strings.groupBy("one", "two").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).filter("__first != __last").drop("__last")
+    later = strings.join(first, ["one", "two"]).filter(place != F.col("__first")).select("db", "doc", "text", "start")
+    return later.mapInArrow(packed, "db int, gone binary")
+
+
 def _covered(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, offsets, bytes, whether removed) of runs of rows of ``left``."""
-    gone = _all(right.column("gone"), np.int64).reshape(-1, 3)
-    gone = gone[np.argsort(gone[:, 0], kind="stable")]
-    doc = left.column("doc").to_numpy().astype(np.int64)
+    gone = _all(right.column("gone"), np.int64).reshape(-1, 4)
+    doc, text = (left.column(c).to_numpy().astype(np.int64) for c in ("doc", "th"))
+    ids = _ids(np.concatenate([doc, gone[:, 0]]), np.concatenate([text, gone[:, 1]]))
+    doc, of = ids[: len(doc)], ids[len(doc) :]
+    order = np.argsort(of, kind="stable")
+    of, gone = of[order], gone[order]
     for lo, hi, offsets, data in chunks(left.column("text")):
         edge = np.zeros(len(data) + 1, np.int32)
         for i in range(lo, hi):
-            a, b = np.searchsorted(gone[:, 0], doc[i], "left"), np.searchsorted(gone[:, 0], doc[i], "right")
+            a, b = np.searchsorted(of, doc[i], "left"), np.searchsorted(of, doc[i], "right")
             if a < b:
-                n = offsets[i - lo + 1] - offsets[i - lo]
-                np.add.at(edge, offsets[i - lo] + np.minimum(gone[a:b, 1], n), 1)
-                np.add.at(edge, offsets[i - lo] + np.minimum(gone[a:b, 2], n), -1)
+                np.add.at(edge, offsets[i - lo] + gone[a:b, 2], 1)
+                np.add.at(edge, offsets[i - lo] + gone[a:b, 3], -1)
         yield lo, hi, offsets, data, np.cumsum(edge[:-1]) > 0
 
 
 def _ranges(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their bucket (db) and doc_id (doc, null as the smallest), and the ranges to remove by bucket."""
+    """Documents with their bucket (__db), doc_id (__doc, null as the smallest) and text hash (__th), and the ranges to remove by bucket."""
     spark = docs.sparkSession
-    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    size = size or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(n_parts(spark), math.ceil(size / TEXT))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
-    d = docs.withColumn("__doc", doc).withColumn("__db", F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int"))
-    t = d.select(F.col("__db").alias("db"), F.col("__doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))).withColumn("__th", F.xxhash64("text"))
+    d = d.withColumn("__db", F.pmod(F.xxhash64("__doc", "__th"), F.lit(groups)).cast("int"))
     buckets = max(n_parts(spark), math.ceil(size / 35 / HASHES))
-    long_ = t.filter(F.octet_length("text") >= span)
+    long_ = d.filter(F.octet_length("text") >= span).select(F.col("__db").alias("db"), F.col("__doc").alias("doc"), F.col("__th").alias("th"), "text")
     shared = written(_anchor_hashes(long_, span, buckets).groupBy("bucket").applyInArrow(_shared, "db int, h binary, n long"), "shared")
-    free_shuffles(spark)
     total = shared.agg(F.sum("n")).first()[0] or 0
     parts = max(n_parts(spark), math.ceil(total * 140 / PART))
-    texts = long_.groupBy("db").cogroup(shared.groupBy("db")).applyInArrow(_anchored_texts(span, parts), _TEXTS)
-    gone = written(texts.groupBy("part").applyInArrow(_found(span), "db int, gone binary"), "ranges")
-    free_shuffles(spark)
+    texts = written(long_.groupBy("db").cogroup(shared.groupBy("db")).applyInArrow(_anchored_texts(span, parts), _TEXTS), "stretches")
+    over = written(texts.groupBy("part").agg(F.sum("bytes").alias("__b")).filter(F.col("__b") > MOST).select("part"), "over", narrow=True)
+    if over.isEmpty():
+        gone = written(texts.groupBy("part").applyInArrow(_found(span), "db int, gone binary"), "ranges")
+    else:
+        rest = texts.join(over.withColumn("__over", F.lit(True)), "part", "left")
+        same = rest.filter("__over is null or bytes = 0").drop("__over").groupBy("part").applyInArrow(_found(span), "db int, gone binary")
+        gone = written(same.unionByName(_by_strings(rest.filter("__over").drop("__over"), span)), "ranges")
+    dropped(shared, texts, over)
     return d, gone
 
 
@@ -324,13 +388,18 @@ def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     A byte goes if a string of ``span`` bytes around it also starts earlier: in
     a smaller doc_id, or in the same document; null counts as the smallest
-    doc_id, null text as empty. Rows that repeat a doc_id are one document as
-    far as order goes, so a string at the same place of both stays. Overlaps
-    count; strings never cross documents. An empty table gives an empty result;
-    other columns are ignored.
+    doc_id, null text as empty. Rows that repeat a doc_id and its text are one
+    document as far as order goes, so a string at the same place of both stays;
+    rows of one doc_id with different texts are documents in an order of their
+    own. Overlaps count; strings never cross documents. Texts may have any
+    length. An empty table gives an empty result; other columns are ignored.
     """
     d, gone = _ranges(docs, span)
-    t = d.select(F.col("__db").alias("db"), "doc_id", F.col("__doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < span
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    text = F.coalesce("text", F.lit(""))
+    few = d.filter(short).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), zero("n_removed"), zero("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    t = d.filter(~short).select(F.col("__db").alias("db"), "doc_id", F.col("__doc").alias("doc"), F.col("__th").alias("th"), "text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -349,14 +418,18 @@ def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
         cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
         return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols[:3], strict=True)}, "kept_sha256": pa.array(cols[3], pa.string())})
 
-    return t.groupBy("db").cogroup(gone.groupBy("db")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = t.groupBy("db").cogroup(gone.groupBy("db")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.unionByName(few)
 
 
 def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` with repeated strings cut out of the text: characters all of whose bytes go. ``n_chars``, if there, is set anew."""
     d, gone = _ranges(docs, span)
     names = docs.columns
-    t = d.select(F.col("__db").alias("db"), F.col("__doc").alias("doc"), F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"])
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < span
+    kind = dict(docs.dtypes)
+    few = d.filter(short).select(*[F.length("text").cast(kind[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    t = d.filter(~short).select(F.col("__db").alias("db"), F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"])
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -379,7 +452,7 @@ def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 cols.append(left.column(f"c{i}"))
         return pa.table(cols, names=names)
 
-    return t.groupBy("db").cogroup(gone.groupBy("db")).applyInArrow(run, schema)
+    return t.groupBy("db").cogroup(gone.groupBy("db")).applyInArrow(run, schema).union(few)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
