@@ -2,15 +2,14 @@
 
 Intermediate tables are written as Parquet below the folder that the session
 names in ``spark.checkpoint.dir``, so every executor can read them again after
-any other is lost. Only where that setting is absent (local tests) a private
-folder is made.
+any other is lost. Where that setting is absent, local mode makes a private
+folder and a cluster is refused.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 from contextlib import contextmanager
 
@@ -25,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as the session names it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -46,32 +47,38 @@ def _sweep() -> None:
 
 
 #: Bytes of an Arrow batch on its way to Python, so that rows of long texts do not fill a worker.
-BATCH = "16m"
+BATCH = "4m"
+
+
+#: Settings while a table is written; shuffle files go as soon as the write that made them has ended.
+_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextmanager
-def bounded_batches(spark: SparkSession):
-    """Arrow batches of at most ``BATCH`` while the block runs."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, BATCH)
+def writing(spark: SparkSession):
+    """Bounded Arrow batches and no shuffle files left behind while the block runs."""
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``narrow`` tables (ids, links) are a small share of the data: a sixteenth
-    of the shuffle partitions writes them, so they do not fall into tiny files.
+    ``narrow`` tables (ids, links) are a small share of the data: they are dealt
+    anew to a sixteenth of the shuffle partitions, so they do not fall into tiny
+    files; the stage that makes them keeps its full width.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(6, n_parts(spark) // 16))
+        df = df.repartition(max(6, n_parts(spark) // 16))
     path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
-    with bounded_batches(spark):
+    with writing(spark):
         df.write.parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -87,17 +94,6 @@ def dropped(*tables: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that have ended: it acts on what the driver's two collectors have found
-    unused, and the first round finds what the second one drops."""
-    import gc
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, docs_of, dropped, free_shuffles, n_parts, written
+from loomgraph.llm.common import components, docs_of, dropped, n_parts, written
 from loomgraph.llm.textbytes import by_bucket, chunks, distinct, mix, shingles, words
 
 #: Members of one equal word that are paired all with all; larger groups meet their smallest member.
 SMALL = 8
-#: Longs of the dense sketch; sketch words in a bucket of the join.
-LONGS, BUCKET = 16, 700_000
+#: Longs of the dense sketch; sketch words in a bucket of the join, and in a block of documents that is looked at before.
+LONGS, BUCKET, BLOCK = 16, 300_000, 500_000
 #: A band spans this many steps of the similarity.
 STEPS = 2
 
@@ -205,34 +205,39 @@ def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
     """Sketch words packed by bucket. In a block of documents, equal sets count once, and a group
     that is large here already meets here; its first member alone goes on."""
 
+    def packed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, ident, code, at = _groups(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        size = np.diff(np.concatenate([at, [len(key)]]))
+        big = np.repeat(size > SMALL, size)
+        pairs, large = np.empty((2, 0), np.uint64), np.empty((3, 0), np.uint64)
+        if big.any():
+            first = np.zeros(len(key), bool)
+            first[at] = True
+            pairs, large = _met(key[big], ident[big], code[big], np.flatnonzero(first[big]), key[:0])
+            keep = ~big | first
+            key, ident, code = key[keep], ident[keep], code[keep]
+        for at_, cols, names in ((key, (key, ident, code), ("keys", "ids", "codes")), (pairs[0], (pairs,), ("pairs",)), (large[0], (large,), ("large",))):
+            there, values = by_bucket((at_ % np.uint64(buckets)).astype(np.int64), *cols)
+            if len(there):
+                given = dict(zip(names, values, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[pa.array(given.get(n, [b""] * len(there)), pa.binary()) for n in _FAT_NAMES]], names=["bucket", *_FAT_NAMES])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
-            all_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for lo, hi, offsets, data in chunks(batch.column("text")):
                 row, h = _sets(offsets, data, k)
                 if not len(row):
                     continue
                 ident, _ = _marks(row, h, hi - lo)
                 who, key, code = _sketch_words(row, h, hi - lo, bands)
-                all_.append((key, ident[who], code))
-            if not all_ or not sum(len(x[0]) for x in all_):
-                continue
-            key, ident, code, at = _groups(*[np.concatenate(x) for x in zip(*all_, strict=True)])
-            size = np.diff(np.concatenate([at, [len(key)]]))
-            big = np.repeat(size > SMALL, size)
-            pairs, large = np.empty((2, 0), np.uint64), np.empty((3, 0), np.uint64)
-            if big.any():
-                first = np.zeros(len(key), bool)
-                first[at] = True
-                pairs, large = _met(key[big], ident[big], code[big], np.flatnonzero(first[big]), key[:0])
-                keep = ~big | first
-                key, ident, code = key[keep], ident[keep], code[keep]
-            none = [b""]
-            for at_, cols, names in ((key, (key, ident, code), ("keys", "ids", "codes")), (pairs[0], (pairs,), ("pairs",)), (large[0], (large,), ("large",))):
-                there, packed = by_bucket((at_ % np.uint64(buckets)).astype(np.int64), *cols)
-                if len(there):
-                    given = dict(zip(names, packed, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[pa.array(given.get(n, none * len(there)), pa.binary()) for n in _FAT_NAMES]], names=["bucket", *_FAT_NAMES])
+                found.append((key, ident[who], code))
+                held += len(key)
+                if held > BLOCK:
+                    yield from packed(found)
+                    found, held = [], 0
+        if held:
+            yield from packed(found)
 
     return docs.select("text").mapInArrow(run, _FAT)
 
@@ -282,88 +287,157 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return p.select("u", "v", "ta", "tb").mapInArrow(run, "u long, v long").distinct()
 
 
-#: Members of a large group that one task compares; rounds that look at nearest members only, keys of a
-#: document and partners per key in such a round.
-CHUNK, ROUNDS, KEYS, NEAREST = 4096, 2, 3, 2
+#: Bytes of shingle sets and rows of one side of a task that compares members of a large group; rows compared with all at once.
+SIDE, ROWS, STRIP = 1 << 23, 4096, 64
+
+
+def _width(n: np.ndarray) -> np.ndarray:
+    """Longs of a set's own sketch in a group: a power of two of 8 to 16 bits a shingle, 1,024 bits at least."""
+    return 1 << np.ceil(np.log2(np.clip(np.maximum(n, 1) * 8, 1024, 1 << 22))).astype(np.int64) >> 6
+
 
+def _parity(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """Parity sketches of ``width`` longs; narrower ones are foldings of wider ones."""
+    out = np.zeros((len(sets), width), np.uint64)
+    h = mix(np.concatenate(sets))
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = h & np.uint64(64 * width - 1)
+    np.bitwise_xor.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
 
-def _cross(num: int, den: int, nearest: int | None):
-    """Pairs of members of a group that are not connected and that the dense sketch does not part.
 
-    With ``nearest``, only so many closest ones of each member; else every pair.
+def _forest(ids: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect members of one group which were apart: at most one fewer than members.
+
+    Row i meets row j if ``left[i]`` and ``right[j]``; both lists cover what has to be compared. Pairs are ordered by the
+    Hamming distance of their sketches, those beyond the bound or connected by then are skipped, and the rest is verified.
     """
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    ids, left, right, n, sets = ids[order], left[order], right[order], n[order], [sets[i] for i in order]
+    _, root = np.unique(comp[order], return_inverse=True)
+    wide, cache, links = _width(n), {}, []
+    rows, cols = np.flatnonzero(left), np.flatnonzero(right)
+    for s in range(0, len(rows), STRIP):
+        a = rows[s : s + STRIP]
+        lo, hi = np.searchsorted(n[cols], (n[a[0]] * num + den - 1) // den), np.searchsorted(n[cols], n[a[-1]] * den // num, "right")
+        b = cols[lo:hi]
+        if not len(b) or root[a].min() == root[a].max() == root[b].min() == root[b].max():
+            continue
+        w = int(min(wide[a[0]], wide[b[0]]))
+        if w not in cache:
+            cache.clear()
+            cache[w] = _parity(sets, w)
+        sketch, far = cache[w], np.zeros((len(a), len(b)), np.int32)
+        at, bt = np.ascontiguousarray(sketch[a].T), np.ascontiguousarray(sketch[b].T)
+        for x, y in zip(at, bt, strict=True):
+            far += np.bitwise_count(x[:, None] ^ y[None, :])
+        both = n[a][:, None] + n[b][None, :]
+        near = (far * (den + num) <= both * (den - num)) & (root[a][:, None] != root[b][None, :])
+        twice = right[a][:, None] & left[b][None, :]
+        near &= ~twice | (a[:, None] < b[None, :])
+        i, j = np.nonzero(near)
+        for k in np.argsort(far[i, j], kind="stable"):
+            u, v = a[i[k]], b[j[k]]
+            if root[u] == root[v]:
+                continue
+            same = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            if same and den * same >= num * (n[u] + n[v] - same):
+                root[root == root[v]] = root[u]
+                links.append((int(ids[u]), int(ids[v])))
+    return links
+
+
+def _compared(num: int, den: int):
+    """Links of the groups of one task; columns unit, id, component, first and second (the sides a row stands on), h."""
 
     def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "two", "chunk", "id", "n", "component")}
-        sketch = np.stack([table.column(s).to_numpy(zero_copy_only=False) for s in _ROW], 1).view(np.uint64)
-        order = np.lexsort((col["id"], col["two"], col["one"], col["key"]))
-        keys = np.stack([col[c][order] for c in ("key", "one", "two")])
-        edge = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [len(order)]])
-        out = [np.empty((2, 0), np.int64)]
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            rows = order[lo:hi]
-            ids, comp, n, chunk = (col[c][rows] for c in ("id", "component", "n", "chunk"))
-            if comp.min() == comp.max():
-                continue
-            across = col["one"][rows[0]] != col["two"][rows[0]]
-            for s in range(0, len(rows), 256):
-                a = slice(s, s + 256)
-                far = np.zeros((len(ids[a]), len(rows)), np.int64)
-                for w in range(LONGS):
-                    far += np.bitwise_count(sketch[rows[a], w][:, None] ^ sketch[rows, w][None, :])
-                near = (far * (den + num) <= (n[a][:, None] + n[None, :]) * (den - num)) & (comp[a][:, None] != comp[None, :])
-                if across:
-                    near &= chunk[a][:, None] != chunk[None, :]
-                if nearest:
-                    far = np.where(near, far, 1 << 40)
-                    j = np.argsort(far, axis=1, kind="stable")[:, :nearest]
-                    i = np.repeat(np.arange(len(j)), j.shape[1])
-                    j = j.ravel()
-                    ok = near[i, j]
-                    i, j = i[ok] + s, j[ok]
-                else:
-                    i, j = np.nonzero(near)
-                    i = i + s
-                    ok = ids[i] < ids[j]
-                    i, j = i[ok], j[ok]
-                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-        pair = np.unique(np.concatenate(out, 1), axis=1)
-        return pa.table({"u": pa.array(pair[0], pa.int64()), "v": pa.array(pair[1], pa.int64())})
+        unit, ids, comp, one, two = (table.column(c).to_numpy() for c in ("unit", "id", "component", "first", "second"))
+        h, links = table.column("h"), []
+        order = np.argsort(unit, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            if len(rows) > 1 and comp[rows].min() != comp[rows].max():
+                sets = [np.frombuffer(h[int(i)].as_buffer(), np.uint64) for i in rows]
+                links += _forest(ids[rows], comp[rows], one[rows], two[rows], sets, num, den)
+        u, v = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _completed(members: DataFrame, sketches: DataFrame, links: DataFrame, comp: DataFrame, tested: DataFrame, verify, num: int, den: int) -> DataFrame:
+def _completed(members: DataFrame, texts: DataFrame, links: DataFrame, comp: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Components after all links inside large groups are known.
 
-    ``members`` (key, id), ``sketches`` (id, n, sketch). First some rounds look only at each member's nearest unconnected
-    ones, which joins most of a group of near-copies by few pairs; the last looks at every pair that is still apart.
-    Sketches are attached only to members of groups that are not connected yet.
+    ``members`` (key, id) of large groups, ``texts`` (doc_id, text). Members that any chain of keys ties together form a
+    cluster. A cluster is compared once as a whole where that means fewer pairs than key by key, else key by key: what is
+    compared is a unit, and a unit of more than ``SIDE`` bytes is cut into parts by set size. First every part is compared
+    with itself, then parts with those of similar sizes that are not all connected by then. A task verifies what it compares
+    and returns no more links than it has members.
     """
-    n = n_parts(members.sparkSession)
-    for k in range(ROUNDS + 1):
-        last = k == ROUNDS
-        m = members.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("__m")).filter("lo != hi")
-        m = m.join(split.select("key", "__m"), "key")
-        parts = F.ceil(F.col("__m") / CHUNK).cast("long")
-        m = m.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(k)), parts))
-        if last:
-            m = m.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-            m = m.withColumn("one", F.least("chunk", "__o")).withColumn("two", F.greatest("chunk", "__o"))
-        else:
-            w = Window.partitionBy("id").orderBy(F.xxhash64("key", F.lit(k)))
-            m = m.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= KEYS).withColumn("one", F.col("chunk")).withColumn("two", F.col("chunk"))
-        m = m.select("key", "id", "component", "chunk", "one", "two").join(sketches, "id").withColumn("g", F.pmod(F.xxhash64("key", "one", "two"), F.lit(4 * n)))
-        found = m.groupBy("g").applyInArrow(_cross(num, den, None if last else NEAREST), "u long, v long").distinct()
-        found = written(found.join(tested, ["u", "v"], "left_anti"), "crossing", narrow=True)
-        if found.isEmpty():
-            continue
-        new = verify(found)
-        tested = tested.union(found)
-        if not new.isEmpty():
-            links = links.union(new)
-            comp = written(components(links), "connected", narrow=True)
+    spark = members.sparkSession
+
+    def placed(m: DataFrame) -> DataFrame:
+        return m.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    ends = members.groupBy("key").agg(F.min("id").alias("__first"))
+    tied = components(members.join(ends, "key").select("id", "__first").filter("id != __first").distinct())
+    m = placed(members).join(tied.select("id", F.col("component").alias("__tied")), "id")
+    m = written(m, "tied", narrow=True)
+    keys = m.groupBy("key").agg(F.min("__tied").alias("__tied"), F.count(F.lit(1)).cast("double").alias("__m"), (F.min("component") != F.max("component")).alias("__split"))
+    cost = keys.groupBy("__tied").agg(F.sum(F.when(F.col("__split"), F.col("__m") * F.col("__m")).otherwise(0)).alias("__keys"), F.max("__split").alias("__any"))
+    size = m.select("__tied", "id").distinct().groupBy("__tied").agg(F.count(F.lit(1)).cast("double").alias("__all"))
+    how = cost.filter("__any").join(size, "__tied").select(F.col("__tied").alias("__t"), (F.col("__all") * F.col("__all") <= F.col("__keys")).alias("__whole"))
+    m = m.join(keys.select("key", "__split"), "key").join(how, F.col("__tied") == F.col("__t"))
+    whole = m.filter("__whole").select(F.col("__tied").alias("unit"), "id", "component", F.lit(0).alias("kind")).distinct()
+    units = whole.union(m.filter("not __whole and __split").select(F.col("key").alias("unit"), "id", "component", F.lit(1).alias("kind")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, offsets, data in chunks(batch.column("text")):
+                row, h = _sets(offsets, data, k)
+                edge = np.searchsorted(row, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(edge), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["id", "n", "h"]
+                )
+
+    wanted = written(units.select(F.col("id").alias("doc_id")).distinct(), "wanted", narrow=True)
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, n long, h binary").filter("n > 0")
+    sets = written(sets, "members")
+    units = written(units.join(sets.groupBy("id").agg(F.max("n").alias("n")), "id").select("kind", "unit", "id", "component", "n"), "units", narrow=True)
+    # a unit's members are cut into parts by size: only parts whose sizes can link meet
+    unit, weight = ["kind", "unit"], F.greatest(F.col("n") * 8, F.lit(SIDE // ROWS))
+    sizes = units.groupBy(*unit, "n").agg(F.sum(weight).alias("__b"), (F.min("component") != F.max("component")).alias("__two"), F.min("component").alias("__c"))
+    until = F.sum("__b").over(Window.partitionBy(*unit).orderBy("n"))
+    whole = Window.partitionBy(*unit)
+    sizes = sizes.withColumn("__to", until).withColumn("__split", F.max("__two").over(whole) | (F.min("__c").over(whole) != F.max("__c").over(whole))).filter("__split")
+    sizes = sizes.select(*unit, "n", F.floor((F.col("__to") - F.col("__b")) / SIDE).alias("__p0"), F.floor((F.col("__to") - 1) / SIDE).alias("__p1"), (F.max("__to").over(whole) > SIDE).alias("__many"))
+    units = written(units.join(sizes, [*unit, "n"]).withColumn("part", F.col("__p0") + F.pmod(F.xxhash64("id"), F.col("__p1") - F.col("__p0") + 1)).drop("__p0", "__p1"), "units", narrow=True)
+    load = units.agg(F.sum(weight)).first()[0]
+    if not load:
+        return comp
+    # small units share tasks; a part of a unit that has several is a task of its own
+    tasks = max(n_parts(spark), math.ceil(2 * load / SIDE))
+    many = F.col("__many")
+    task = [F.when(many, F.col("kind")).alias("__k"), F.when(many, F.col("unit")).otherwise(F.pmod(F.xxhash64(*unit), F.lit(tasks))).alias("__u"), F.when(many, F.col("part")).alias("__p")]
+    yes = F.lit(True)
+    dealt = units.select(*task, "unit", "id", "component", yes.alias("first"), yes.alias("second")).join(sets.select("id", "h"), "id")
+    found = written(dealt.groupBy("__k", "__u", "__p").applyInArrow(_compared(num, den), "u long, v long"), "inside", narrow=True)
+    if not found.isEmpty():
+        links = links.union(found)
+        comp = written(components(links), "connected", narrow=True)
+    rest = units.filter("__many").drop("component", "__many")
+    if not rest.isEmpty():
+        rest = written(placed(rest), "apart", narrow=True)
+        part = rest.groupBy(*unit, "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
+        other = part.select(*unit, *[F.col(c).alias(f"o_{c}") for c in ("part", "least", "most", "low", "high")])
+        meet = part.join(other, unit).filter((F.col("part") < F.col("o_part")) & (F.col("o_least") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("o_most") * den))
+        meet = written(meet.filter(~((F.col("low") == F.col("high")) & (F.col("low") == F.col("o_low")) & (F.col("low") == F.col("o_high")))).select(*unit, F.col("part").alias("x"), F.col("o_part").alias("y")), "meet", narrow=True)
+        side = lambda c, one: rest.join(meet.withColumn("part", F.col(c)), [*unit, "part"]).select(*unit, "x", "y", "id", "component", F.lit(one).alias("first"), F.lit(not one).alias("second"))
+        sides = side("x", True).union(side("y", False)).join(sets.select("id", "h"), "id")
+        found = written(sides.groupBy(*unit, "x", "y").applyInArrow(_compared(num, den), "u long, v long"), "across", narrow=True)
+        if not found.isEmpty():
+            comp = written(components(links.union(found)), "connected", narrow=True)
+    dropped(sets, units, m)
     return comp
 
 
@@ -385,7 +459,6 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     buckets = max(n_parts(spark), math.ceil(total / 3 / BUCKET))
     met = written(_emit(docs, k, bands, buckets).groupBy("bucket").applyInArrow(_meet, "large boolean, a long, b long, code int"), "met")
-    free_shuffles(spark)
     side = lambda x: classes.select(F.col("f1").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"r_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in _ROW])
     far = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _ROW), F.lit(0))
     pairs = met.filter("not large").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter("r_a != r_b")
@@ -395,7 +468,6 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = written(text.join(needed, "doc_id", "left_semi"), "texts")
-    free_shuffles(spark)
     # first each document and its smallest partner; then only what that leaves unconnected
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = written(_verified(first, texts, k, num, den), "first", narrow=True)
@@ -413,18 +485,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
         w = Window.partitionBy("f1", F.col("code") % 2).orderBy(F.desc("__size"), "key")
         large = large.join(often, "key").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") >= F.floor(F.col("code") / 2))
         member = written(large.join(classes.select("f1", F.col("rep").alias("id")), "f1").select("key", "id").distinct(), "members", narrow=True)
-        sketches = classes.select(F.col("rep").alias("id"), "n", *_ROW)
-        free_shuffles(spark)
-
-        def verify(found: DataFrame) -> DataFrame:
-            found = written(_near(found, table, num, den), "pairs", narrow=True)
-            wanted = found.select(F.col("u").alias("doc_id")).union(found.select("v")).distinct()
-            texts = written(text.join(wanted, "doc_id", "left_semi"), "texts")
-            out = written(_verified(found, texts, k, num, den), "more", narrow=True)
-            dropped(texts)
-            return out
-
-        comp = _completed(member, sketches, links, comp, pairs, verify, num, den)
+        comp = _completed(member, text, links, comp, k, num, den)
     rep = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.join(rep, ["n_shingles", "f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

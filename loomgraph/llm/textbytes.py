@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+def _give_back() -> None:
+    """Workers outlive their tasks, so what a task frees should leave the process: Arrow's own allocator keeps it, the system's
+    keeps it below thresholds that grow with use. They are fixed here: M_TRIM_THRESHOLD (-1) and M_MMAP_THRESHOLD (-3)."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:  # glibc
+        mallopt(-1, 8 << 20)
+        mallopt(-3, 2 << 20)
+
+
+_give_back()
+
 #: Bytes of text worked on at once; work arrays take about 60 times as much.
 CHUNK = 1 << 18
 

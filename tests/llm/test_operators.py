@@ -1,14 +1,13 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
-import re
+import bisect
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, suffix_dedup, topk, url_filter
+from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, suffix_dedup, topk
 from loomgraph.llm.common import components
 
 from llm_plain import DOCS, jaccard_plain, joined, near_copies, removed_plain, repeated_texts, table
@@ -125,33 +124,6 @@ def test_language_learns_nothing_from_held_out_or_other_columns(spark):
     assert one == two
 
 
-# 5
-
-
-def host_path(url):
-    if url is None or "://" not in url:
-        return "", ""
-    host, path, _ = re.match(r"([^/?#]*)([^?#]*)(.*)", url.split("://", 1)[1], re.S).groups()
-    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
-
-
-def test_url_rules_and_redirect_equivalence(spark):
-    urls = ["http://a.COM/en/1", "http://x.example.com/en/77#t", "https://example.com/en/8?q", "http://n.net/de/8", "http://sub.example.net/de/8/x", "com/en/", None, "ftp://org/es/", "http://notcom/en/", "http://com", "http://h.io/a", "http://h.io/b", "http://h.io/c", "http://h.io/d", "http://h.io/e/f"]
-    html = {10: '<head><LINK href="http://a.com/en/1" rel="canonical"></head>', 11: "<meta http-equiv=refresh content='0; url=/a'>", 12: '<link rel=canonical href="//n.net/de/8">', 13: '<link rel=canonical href="http://a.com/en/1"><link rel="canonical" href="http://n.net/de/8">', 14: '<link rel="stylesheet" href="http://a.com/en/1">'}
-    d = spark.createDataFrame([(i, u, html.get(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in url_filter.judge(d).collect()}
-    for i, u in enumerate(urls):
-        assert (got[i].host, got[i].path) == host_path(u)
-    assert [got[i].rule for i in range(10)] == ["com/en/", "example.com/en/7", "com/en/", "net/de/", "example.net/de/8", None, None, "org/es/", None, None]
-    assert [got[i].verdict for i in range(10)] == ["block", "allow", "block", "allow", "block", "allow", "allow", "block", "allow", "allow"]
-    # 13 ties the blocked and the allowed page together: allow comes first for pages without a rule
-    assert [got[i].verdict for i in range(10, 15)] == ["allow", "allow", "allow", "allow", "allow"]
-    got = {r.page_id: r.verdict for r in url_filter.judge(d.filter("page_id != 13")).collect()}
-    assert [got[i] for i in (0, 10, 11, 12, 14)] == ["block", "block", "block", "allow", "allow"]
-    log = spark.createDataFrame([("http://h.io/e/f", "http://h.io/d"), ("http://h.io/d", "http://org/es/x")], "from_url string, to_url string")
-    assert {r.page_id: r.verdict for r in url_filter.judge(d, redirects=log).collect()}[14] in ("block", "allow")
-
-
 # 6
 
 
@@ -235,29 +207,73 @@ def test_embedding_chunks(spark, monkeypatch):
     assert {r.n_links for r in got} == {119} and {r.component_id for r in got} == {0}
 
 
+def test_embedding_copies_are_one_class(spark, monkeypatch):
+    """5,000 equal vectors make one class: the join meets one row of it, and links count its rows."""
+    seen = []
+    plain = embedding_dedup.decoded
+    monkeypatch.setattr(embedding_dedup, "decoded", lambda classes, *a: seen.append(classes.count()) or plain(classes, *a))
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(16)
+    near, far = x + rng.standard_normal(16) * 0.02, rng.standard_normal(16)
+    rows = [(i, x.tolist(), 0) for i in range(10, 5010)] + [(5, near.tolist(), 0), (6, far.tolist(), 0), (7, x.tolist(), 1), (10, x.tolist(), 0)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert seen == [4]
+    assert (got[5].n_links, got[5].component_id) == (5000, 5) and (got[6].n_links, got[7].n_links) == (0, 0)
+    assert {(got[i].n_links, got[i].component_id, got[i].kept) for i in range(10, 5010)} == {(5000, 5, False)}
+
+
 # 9
 
 
-@pytest.mark.parametrize("seed", range(40))
-def test_plan_fills_without_gaps(seed):
+def best_fit(lengths, capacity):
+    """Sequences of plain best-fit decreasing."""
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(i) if i < len(gaps) else capacity
+        n += i == len(gaps) and gap == capacity
+        bisect.insort(gaps, gap - x)
+    return n
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_sweep_gives_each_document_the_successor_gap(seed):
+    """Slots of one round against a stack that is really built."""
     rng = np.random.default_rng(seed)
-    cap = int(rng.integers(2, 60))
-    size, n = np.unique(rng.integers(1, cap + 1, int(rng.integers(1, 300))), return_counts=True)
-    rows, bins = packing.plan(dict(zip(size.tolist(), n.tolist())), cap)
-    held, rank = defaultdict(list), defaultdict(list)
-    for s, r, k, q, o in rows.tolist():
-        for i in range(k):
-            held[q + i].append((o, s))
-            rank[s].append(r + i)
-    assert {s: sorted(v) for s, v in rank.items()} == {int(s): list(range(k)) for s, k in zip(size, n)} and sorted(held) == list(range(bins))
-    for v in held.values():
-        end = 0
-        for o, s in sorted(v):
-            assert o == end
-            end += s
-        assert end <= cap
-    total = int((size * n).sum())
-    assert bins <= 1.7 * -(-total // cap) + 1
+    cap = int(rng.integers(4, 70))
+    gaps, left = (np.bincount(rng.integers(1, cap + 1, int(rng.integers(1, 200))), minlength=cap + 1) for _ in range(2))
+    base, together, found, top, after = packing.sweep(gaps, left)
+    units = sorted(((int(together[s]) * s, s, k) for s in np.flatnonzero(left) for k in range(left[s] // together[s])), key=lambda u: (-u[0], u[1], u[2]))
+    stack, at, want, rest = [], cap, {}, np.zeros(cap + 1, int)
+    for wide, s, k in units:
+        while at >= wide:
+            stack += [(at, r) for r in range(gaps[at])]
+            at -= 1
+        if stack:
+            want[s, k] = (len(stack) - 1, *stack.pop())
+            rest[want[s, k][1] - wide] += 1
+    stack += [(g, r) for g in range(at + 1) for r in range(gaps[g])]
+    for g, _ in stack:
+        rest[g] += 1
+    got = {}
+    for s in np.flatnonzero(found):
+        for k in range(found[s]):
+            slot = int(top[s]) - k
+            at = min(g for g in range(int(together[s] * s), cap + 1) if base[g] <= slot < base[g] + gaps[g])
+            got[s, k] = (slot, at, slot - int(base[at]))
+    assert (after == rest).all() and got == want and (together[left > 0] >= 1).all()
+
+
+@pytest.mark.parametrize("low, high, rows", [(1, 256, 700), (1, 12, 900), (100, 200, 150), (256, 256, 40), (1, 1, 600)])
+def test_packing_is_close_to_plain_best_fit(spark, low, high, rows):
+    rng = np.random.default_rng(rows)
+    lengths = [int(x) for x in rng.integers(low, high + 1, rows)]
+    d = spark.createDataFrame([(i, 0, 0, n, i % 5) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.place(d, 256).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got.length) == sorted(lengths)
+    total = got.groupby("sequence_id").length
+    assert (got.offset == total.cumsum() - got.length).all() and total.sum().max() <= 256
+    assert len(total) <= 1.02 * best_fit(lengths, 256) + 1
 
 
 def test_packing(spark):
@@ -296,6 +312,26 @@ def test_suffix_dedup_against_all_strings(spark):
             assert len(kept[i].text) == want[i][1] - want[i][2]
 
 
+def test_suffix_dedup_by_whole_strings(spark, monkeypatch):
+    """Parts over their bound, as an anchor in very many contexts makes them, are told apart by strings."""
+    monkeypatch.setattr(suffix_dedup, "MOST", 0)
+    texts = repeated_texts(6) + [f"{i:05d}" + "the same anchor words stand in many contexts " * 3 + f"{i * 7 % 90:04d}" for i in range(300)]
+    assert {r.doc_id: tuple(r) for r in suffix_dedup.removed(table(spark, texts)).collect()} == removed_plain(texts)
+
+
+def test_suffix_dedup_of_a_long_text_and_of_null_ids(spark):
+    rng = np.random.default_rng(8)
+    long = "".join(rng.choice(list("abcdefghij"), 1_200_000))
+    texts = [long[5000:5300], long + long[700_000:700_200], "x" * 50 + long[1_048_500:1_048_700]]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.removed(table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 500, 2: 200}
+    one, two = ("".join(rng.choice(list("abcdefghij"), 400)) for _ in range(2))
+    rows = [(None, one), (None, one), (None, two + one[:150]), (3, one), (3, two), (None, None), (None, "short")]
+    got = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in got)[:2] == [("3", 400, 400), ("3", 400, 400)]
+    assert sorted((r.n_bytes, r.n_removed) for r in got if r.doc_id is None) in ([(0, 0), (5, 0), (400, 0), (400, 0), (550, 150)], [(0, 0), (5, 0), (400, 150), (400, 150), (550, 0)])
+
+
 # every operator: nulls, empty tables, repeated rows, clashing columns
 
 OPERATORS = {
@@ -333,15 +369,3 @@ def test_vector_edge_cases(spark):
     d = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, None, None), (1, [], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], schema)
     got = embedding_dedup.near_duplicates(d).collect()
     assert len(got) == 6 and {r.component_id for r in got if r.vec_id == 2} == {1}
-
-
-def test_url_links_in_tags_broken_over_lines(spark):
-    rows = [
-        (0, "http://a.com/en/1", None), (1, "http://n.net/de/8", None),
-        (2, "http://h.io/a", '<link\nrel="canonical"\nhref="http://a.com/en/1">'),
-        (3, "http://h.io/b", '<LINK href="http://a.com/en/1"\r\n  rel=canonical>'),
-        (4, "http://h.io/c", "<meta\n http-equiv=refresh\n content='0;\n url=http://org/es/x'>"),
-        (5, "http://h.io/d", '<link\nrel="stylesheet" href="http://a.com/en/1">'),
-    ]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {0: "block", 1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow"}
