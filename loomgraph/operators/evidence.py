@@ -106,6 +106,24 @@ def validation_plan(spans: DataFrame, executions: DataFrame, structural: DataFra
     return plan, state
 
 
+def retrieval_coverage(files: DataFrame) -> DataFrame:
+    """(reason, files, bytes) of what retrieval covers and leaves out: reason null for sources that are searched.
+
+    ``files`` (path, state, content): a file that is not indexed counts as ``observation_`` and its state, an indexed one
+    whose bytes are no UTF-8 as ``non_utf8``.
+    """
+    reason = F.when(F.col("state") != "indexed", F.concat(F.lit("observation_"), "state")).when(~F.is_valid_utf8(F.col("content").cast("string")), "non_utf8")
+    return files.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"))
+
+
+def binding_units(*paths: DataFrame) -> DataFrame:
+    """(path): each path of the given tables (files, rationale comments, references, imports) once."""
+    out = paths[0].select("path")
+    for p in paths[1:]:
+        out = out.union(p.select("path"))
+    return out.filter("path is not null").distinct()
+
+
 def context_pack(docs: DataFrame, queries: DataFrame, budget: int, most: int = 128) -> DataFrame:
     """(query_id, doc_id, place, spent): retrieved texts in diversity order, whole ones only, as long as they fit ``budget`` bytes.
 

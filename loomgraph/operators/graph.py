@@ -271,10 +271,11 @@ def impact(assertions: DataFrame, seeds: DataFrame, depth: int = 3, relations: S
 
 
 def rule_check(file_edges: DataFrame, files: DataFrame, rules: DataFrame, boundaries: DataFrame, depth: int = 16) -> DataFrame:
-    """Reachability rules: (rule_id, outcome, violations, first_source, first_target).
+    """Reachability rules: (rule_id, outcome, violations, first_source, first_target, reasons).
 
     ``rules`` (rule_id, from_prefix, to_prefix); ``file_edges`` (source, target); ``files`` (path); ``boundaries`` (path):
     files whose imports are not fully known. Outcome: violated > incomplete_due_to_budget > unknown > satisfied_within_scope.
+    ``reasons`` maps each reason why a search is not whole (depth_limit, import_boundary) to true.
     """
     a = file_edges.select("source", "target", F.lit("import").alias("relation"), F.lit("EXTRACTED").alias("confidence")).distinct()
     start = files.select(F.col("path").alias("seed")).join(rules.select("rule_id", "from_prefix"), F.col("seed").startswith(F.col("from_prefix")))
@@ -286,7 +287,8 @@ def rule_check(file_edges: DataFrame, files: DataFrame, rules: DataFrame, bounda
     vague = met.join(boundaries.select(F.col("path").alias("node")).distinct(), "node", "left_semi").groupBy("rule_id").agg(F.lit(True).alias("__vague"))
     r = rules.join(bad, "rule_id", "left").join(deep, "rule_id", "left").join(vague, "rule_id", "left")
     outcome = F.when(F.col("violations") > 0, "violated").when(F.col("__deep"), "incomplete_due_to_budget").when(F.col("__vague"), "unknown").otherwise("satisfied_within_scope")
-    return r.select("rule_id", outcome.alias("outcome"), F.coalesce("violations", F.lit(0)).alias("violations"), F.col("__w.seed").alias("first_source"), F.col("__w.node").alias("first_target"))
+    reasons = F.map_filter(F.create_map(F.lit("depth_limit"), F.coalesce("__deep", F.lit(False)), F.lit("import_boundary"), F.coalesce("__vague", F.lit(False))), lambda k, v: v)
+    return r.select("rule_id", outcome.alias("outcome"), F.coalesce("violations", F.lit(0)).alias("violations"), F.col("__w.seed").alias("first_source"), F.col("__w.node").alias("first_target"), reasons.alias("reasons"))
 
 
 def rule_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -117,6 +117,17 @@ def contract_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select(*keys, kind.alias("kind")).filter("kind is not null")
 
 
+#: Kinds of contract findings.
+FINDING_KINDS = ("operation_removed", "newly_required_parameter", "review_required", "operation_added")
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """(kind, n, action) of every kind of finding, those that do not occur with 0."""
+    kinds = findings.sparkSession.createDataFrame([(k, "informational" if k == "operation_added" else "review") for k in FINDING_KINDS], "kind string, action string")
+    n = findings.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(n, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "action")
+
+
 # packages
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import spans
 from loomgraph.operators import evidence, resolve
 from loomgraph.plans.projection import projected, views, with_sql
 from loomgraph.plans.queries_overlay import _COVER, _PART_SPANS
@@ -123,6 +124,42 @@ def validation_states(spark, sf_dir):
     return _plan(spark, sf_dir)[1]
 
 
+@query(f"""SELECT CASE WHEN s <> 'indexed' THEN 'observation_' || s WHEN doc_id % 31 = 0 THEN 'non_utf8' END AS reason, count(*) AS files, CAST(sum(octet_length(encode(text)) + CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bytes FROM (SELECT doc_id, text, {_STATE} AS s FROM documents) GROUP BY 1""")
+def retrieval_coverage(spark, sf_dir):
+    (f,) = _sql(spark, sf_dir, f"SELECT doc_id AS path, {_STATE} AS state, CASE WHEN doc_id % 31 = 0 THEN concat(encode(text, 'UTF-8'), X'FF') ELSE encode(text, 'UTF-8') END AS content FROM documents")
+    return evidence.retrieval_coverage(f)
+
+
+@query("SELECT source AS path FROM documents UNION SELECT 'c' || doc_id FROM labels UNION SELECT 'p' || page_id % 50 FROM pages")
+def binding_units(spark, sf_dir):
+    return evidence.binding_units(*_sql(spark, sf_dir, "SELECT source AS path FROM documents", "SELECT concat('c', CAST(doc_id AS STRING)) AS path FROM labels", "SELECT concat('p', CAST(page_id % 50 AS STRING)) AS path FROM pages"))
+
+
+@query(r"""WITH d AS (SELECT doc_id AS path, regexp_extract_all(text, '(?s)(.*?)(\r\n|\r|\n|$)') AS x, text FROM documents WHERE length(text) > 0),
+ s AS (SELECT path, unnest(x) AS piece, generate_subscripts(x, 1) AS line FROM d), o AS (SELECT path, line, octet_length(encode(piece)) AS n, octet_length(encode(regexp_replace(piece, '[\r\n]+$', ''))) AS m FROM s)
+ SELECT path, line, CAST(start AS BIGINT) AS start_byte, CAST(start + m AS BIGINT) AS end_byte FROM (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY line) - n AS start FROM o) WHERE n > 0""")
+def line_spans(spark, sf_dir):
+    return spans.line_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(left(hex(encode(text)), 2 * CAST(doc_id % 900 AS INTEGER)), '..'), lambda x: x = '0A')) + 1 AS line FROM documents WHERE text IS NOT NULL""")
+def span_lines(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    return d.select("doc_id", spans.line_at(F.col("text"), F.col("doc_id") % 900).alias("line"))
+
+
+_COLUMN = "CASE doc_id % 3 WHEN 0 THEN 'utf8' WHEN 1 THEN 'utf16' ELSE 'utf32' END AS encoding, doc_id % 40 AS col, concat(substring(text, 1, 20), CASE doc_id % 4 WHEN 0 THEN '😀é' ELSE 'ü' END, substring(text, 21, 10)) AS line"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_COLUMN} FROM documents WHERE text IS NOT NULL), c AS (SELECT *, list_transform(range(1, length(line) + 1), lambda i: octet_length(encode(substr(line, i, 1)))) AS b FROM d),
+ u AS (SELECT *, list_transform(b, lambda x: CASE WHEN encoding = 'utf8' THEN x WHEN encoding = 'utf16' AND x = 4 THEN 2 ELSE 1 END) AS w FROM c),
+ k AS (SELECT *, list_filter(range(0, len(w) + 1), lambda i: coalesce(list_sum(w[1:i]), 0) >= col)[1] AS hit FROM u)
+ SELECT doc_id, CASE WHEN hit IS NOT NULL AND coalesce(list_sum(w[1:hit]), 0) = col THEN CAST(coalesce(list_sum(b[1:hit]), 0) AS BIGINT) END AS byte, CASE WHEN hit IS NULL THEN 'position_out_of_line' WHEN coalesce(list_sum(w[1:hit]), 0) > col THEN 'position_not_on_boundary' END AS reason FROM k""")
+def column_bytes(spark, sf_dir):
+    (d,) = _sql(spark, sf_dir, f"SELECT doc_id, {_COLUMN} FROM documents WHERE text IS NOT NULL")
+    return d.select("doc_id", spans.column_to_byte(F.col("line"), F.col("col"), F.col("encoding")).alias("x")).select("doc_id", "x.byte", "x.reason")
+
+
 @query()
 def context_pack(spark, sf_dir):
     """Built on the diversity order, which has no SQL form."""

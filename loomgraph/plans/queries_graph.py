@@ -289,13 +289,15 @@ _RULES = "rules AS (SELECT x0 AS rule_id, x1 AS from_prefix, x2 AS to_prefix FRO
  m AS (SELECT seed, node, min(d) AS d FROM reach GROUP BY 1, 2), met AS (SELECT r.rule_id, m.seed, m.node, m.d, starts_with(m.node, r.to_prefix) AS bad FROM rules r JOIN m ON starts_with(m.seed, r.from_prefix)),
  v AS (SELECT rule_id, count(*) AS n, min(lpad(seed, 9, ' ') || '|' || lpad(node, 9, ' ')) AS w0, arg_min(seed, (seed, node)) AS s, arg_min(node, (seed, node)) AS t FROM met WHERE bad AND d > 0 GROUP BY 1)
  SELECT r.rule_id, CASE WHEN v.n > 0 THEN 'violated' WHEN EXISTS (SELECT 1 FROM met JOIN fe ON fe.source = met.node WHERE met.rule_id = r.rule_id AND met.d = 4) THEN 'incomplete_due_to_budget'
-   WHEN EXISTS (SELECT 1 FROM met JOIN b ON b.path = met.node WHERE met.rule_id = r.rule_id) THEN 'unknown' ELSE 'satisfied_within_scope' END AS outcome, coalesce(v.n, 0) AS violations, v.s AS first_source, v.t AS first_target FROM rules r LEFT JOIN v USING (rule_id)""")
+   WHEN EXISTS (SELECT 1 FROM met JOIN b ON b.path = met.node WHERE met.rule_id = r.rule_id) THEN 'unknown' ELSE 'satisfied_within_scope' END AS outcome, coalesce(v.n, 0) AS violations, v.s AS first_source, v.t AS first_target,
+   concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM met JOIN fe ON fe.source = met.node WHERE met.rule_id = r.rule_id AND met.d = 4) THEN 'depth_limit' END, CASE WHEN EXISTS (SELECT 1 FROM met JOIN b ON b.path = met.node WHERE met.rule_id = r.rule_id) THEN 'import_boundary' END) AS reasons FROM rules r LEFT JOIN v USING (rule_id)""")
 def architecture_rules(spark, sf_dir):
     a = projected(spark, sf_dir, "assertions")
     fe = a.filter("relation = 'import'").select("source", "target").distinct()
     files = fe.select(F.col("source").alias("path")).union(fe.select("target")).distinct()
     rules = spark.createDataFrame([("r1", "s10", "s99"), ("r2", "s2", "s3"), ("r3", "zz", "s1"), ("r4", "s5", "q")], "rule_id string, from_prefix string, to_prefix string")
-    return graph.rule_check(fe, files, rules, a.filter("confidence = 'AMBIGUOUS'").select(F.col("source").alias("path")), 4)
+    checked = graph.rule_check(fe, files, rules, a.filter("confidence = 'AMBIGUOUS'").select(F.col("source").alias("path")), 4)
+    return checked.withColumn("reasons", F.array_join(F.array_sort(F.map_keys("reasons")), ","))
 
 
 @query(with_sql("assertions") + """, b AS (SELECT DISTINCT relation AS rule_id, source, target FROM assertions WHERE confidence <> 'EXTRACTED'), a AS (SELECT DISTINCT relation AS rule_id, source, target FROM assertions WHERE confidence <> 'INFERRED')

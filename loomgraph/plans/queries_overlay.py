@@ -108,6 +108,14 @@ def contract_diff(spark, sf_dir):
     return overlays.contract_changes(side("before"), side("after"))
 
 
+@query(f"""WITH b AS (SELECT path, method, count(*) AS n, min(nreq) AS req, min(digest) AS dig, bool_and(complete) AS ok FROM ({_contract('before')}) GROUP BY 1, 2), a AS (SELECT path, method, count(*) AS n, min(nreq) AS req, min(digest) AS dig, bool_and(complete) AS ok FROM ({_contract('after')}) GROUP BY 1, 2),
+ f AS (SELECT CASE WHEN coalesce(b.n, 1) > 1 OR coalesce(a.n, 1) > 1 OR NOT coalesce(b.ok, true) OR NOT coalesce(a.ok, true) THEN 'review_required'
+ WHEN a.n IS NULL THEN 'operation_removed' WHEN b.n IS NULL THEN 'operation_added' WHEN a.req > b.req THEN 'newly_required_parameter' WHEN a.dig <> b.dig THEN 'review_required' END AS kind FROM b FULL JOIN a ON a.path = b.path AND a.method = b.method)
+ SELECT k.kind, (SELECT count(*) FROM f WHERE f.kind = k.kind) AS n, k.action FROM (VALUES ('operation_removed', 'review'), ('newly_required_parameter', 'review'), ('review_required', 'review'), ('operation_added', 'informational')) k(kind, action)""")
+def contract_counts(spark, sf_dir):
+    return overlays.finding_counts(contract_diff(spark, sf_dir))
+
+
 _PREFS = """SELECT p_partkey AS ref_id, p_size % 13 <> 0 AS form_ok, p_size % 17 = 1 AS shadowed, concat('pkg', CAST(p_partkey % 7 AS STRING)) AS package, CASE p_partkey % 9 WHEN 0 THEN '2.0' ELSE '1.0' END AS version,
  p_type AS module, concat('n', CAST(p_size % 20 AS STRING)) AS name, CASE p_partkey % 2 WHEN 0 THEN 'class' ELSE 'function' END AS kind FROM part"""
 _PKGS = "SELECT concat('pkg', CAST(n_nationkey AS STRING)) AS package, '1.0' AS version, n_nationkey <> 4 AS available FROM nation WHERE n_nationkey < 6 UNION ALL SELECT 'pkg3' AS package, '1.0' AS version, true AS available FROM region WHERE r_regionkey = 0"

@@ -7,6 +7,7 @@ does not parse gives a row with ``reason`` and nothing else; it never stops the
 from __future__ import annotations
 
 import ast
+import hashlib
 import io
 import json
 import re
@@ -81,6 +82,51 @@ def rule_documents(files: DataFrame) -> DataFrame:
 # Python parsers, one file at a time
 
 
+#: Bounds of a table map.
+_MAP_FORMAT, _MAP_BYTES, _MAP_ENTRIES, _TABLE_BYTES = "rails-table-map.v1", 1 << 20, 10_000, 64
+
+
+def rails_table_map(files: DataFrame) -> DataFrame:
+    """(path, sha256, model, table, reason) of operator documents ``{"format", "models": {"Class::Name": "table"}}``.
+
+    A document is taken whole or refused whole: too_large, invalid_json (which duplicate keys and a byte order mark are too),
+    unsupported_format, schema, too_many_entries, malformed_model or malformed_table.
+    """
+
+    def once(pairs: list[tuple]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key occurs twice")
+        return dict(pairs)
+
+    def reason_of(raw: bytes) -> tuple[str | None, dict]:
+        if len(raw) > _MAP_BYTES:
+            return "too_large", {}
+        try:
+            doc = json.loads(raw.decode("utf-8"), object_pairs_hook=once)
+        except (ValueError, RecursionError):
+            return "invalid_json", {}
+        if isinstance(doc, dict) and doc.get("format", _MAP_FORMAT) != _MAP_FORMAT:
+            return "unsupported_format", {}
+        if not isinstance(doc, dict) or set(doc) != {"format", "models"} or not isinstance(doc["models"], dict):
+            return "schema", {}
+        models = doc["models"]
+        if len(models) > _MAP_ENTRIES:
+            return "too_many_entries", {}
+        for name, table in sorted(models.items()):
+            if not re.fullmatch(r"[A-Z][A-Za-z0-9_]*(::[A-Z][A-Za-z0-9_]*)*", name):
+                return "malformed_model", {}
+            if not isinstance(table, str) or len(table) > _TABLE_BYTES or not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", table):
+                return "malformed_table", {}
+        return None, models
+
+    def parse(path: str, text: str) -> list[tuple]:
+        raw = (text or "").encode()
+        reason, models = reason_of(raw)
+        return [(path, hashlib.sha256(raw).hexdigest(), *kv, None) for kv in models.items()] if reason is None else [(path, None, None, None, reason)]
+
+    return _per_file(files, "text", "path string, sha256 string, model string, table string, reason string", parse)
+
+
 def canonical(value: object) -> str:
     """JSON with sorted keys, no spaces, non-ASCII kept; NaN is refused."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)

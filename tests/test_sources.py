@@ -38,6 +38,18 @@ def test_rule_documents(spark):
     assert {r.path: r.reason for r in d.collect() if r.path != "1"} == {"2": "unsupported_format", "3": "not_a_rule_document"}
 
 
+def test_rails_table_map(spark):
+    doc = lambda **models: json.dumps({"format": "rails-table-map.v1", "models": models})
+    rows = [("ok", json.dumps({"format": "rails-table-map.v1", "models": {"A::B": "a_bs", "C": "cs"}})), ("json", "{"), ("twice", '{"format": "rails-table-map.v1", "models": {"A": "x", "A": "y"}}'), ("bom", "\ufeff" + doc()),
+            ("format", json.dumps({"format": "v9", "models": {}})), ("schema", json.dumps({"models": {}})), ("list", "[]"), ("model", doc(a="x")), ("table", doc(A="x y")), ("long", doc(A="x" * 65)), ("big", " " * (1 << 20) + doc()), ("null", None)]
+    got = readers.rails_table_map(texts(spark, *rows)).collect()
+    assert {(r.model, r.table) for r in got if r.reason is None} == {("A::B", "a_bs"), ("C", "cs")}
+    assert {r.path: r.reason for r in got if r.reason} == {
+        "json": "invalid_json", "twice": "invalid_json", "bom": "invalid_json", "format": "unsupported_format", "schema": "schema", "list": "schema", "model": "malformed_model", "table": "malformed_table", "long": "malformed_table",
+        "big": "too_large", "null": "invalid_json",
+    }
+
+
 def test_junit(spark):
     xml = "<r><testcase classname='a.C' name='ok'/><testcase classname='a.C' name='no'><failure/></testcase><testcase classname='a.C' name='s'><skipped/></testcase><testcase classname='a.C' name='d'/><testcase classname='a.C' name='d'/></r>"
     d = readers.junit_xml(texts(spark, ("j", xml), ("bad", "<r"), ("dtd", "<!DOCTYPE x><r/>")))

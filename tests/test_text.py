@@ -93,3 +93,47 @@ def test_scalars(spark):
     d = spark.createDataFrame([("a/b_c", "pkg/Name.PY", "My..Pkg_x", "a%2Fb+c", "x~1y~0z", "t.py::C::m[1]")], "c string, p string, n string, u string, j string, s string")
     r = d.select(scalars.camelize(F.col("c")).alias("c"), scalars.language(F.col("p")).alias("l"), scalars.package_name(F.col("n")).alias("n"), scalars.percent_decoded(F.col("u")).alias("u"), scalars.pointer_token(F.col("j")).alias("j"), scalars.without_params(F.col("s")).alias("s")).first()
     assert tuple(r) == ("A::BC", "python", "my-pkg-x", "a/b+c", "x/y~z", "t.py::C::m")
+
+
+def test_line_spans_and_columns(spark):
+    from loomgraph.functions import spans
+
+    texts = ["a\nbc\r\n\rd", "", None, "\n", "é\u2028x\n\n", "x\r", "\r\n\r\n", "no end"]
+    f = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    got = {}
+    for r in spans.line_spans(f).orderBy("path", "line").collect():
+        got.setdefault(r.path, []).append((r.start_byte, r.end_byte))
+    assert got == {0: [(0, 1), (2, 4), (6, 6), (7, 8)], 3: [(0, 0)], 4: [(0, 6), (7, 7)], 5: [(0, 1)], 6: [(0, 0), (2, 2)], 7: [(0, 6)]}
+    rows = [("aé\U0001f600b", n, e) for e in ("utf8", "utf16", "utf32") for n in range(10)]
+    d = spark.createDataFrame(rows, "line string, col int, encoding string")
+    got = {(r.encoding, r.col): (r.x.byte, r.x.reason) for r in d.select("encoding", "col", spans.column_to_byte(F.col("line"), F.col("col"), F.col("encoding")).alias("x")).collect()}
+    code = {"utf8": lambda s: len(s.encode()), "utf16": lambda s: len(s.encode("utf-16-le")) // 2, "utf32": len}
+    for line, n, e in rows:
+        at = {code[e](line[:k]): len(line[:k].encode()) for k in range(len(line) + 1)}
+        assert got[e, n] == ((at[n], None) if n in at else (None, "position_out_of_line" if n > max(at) else "position_not_on_boundary"))
+    d = spark.createDataFrame([("é\nb\n\nc", i) for i in range(8)], "t string, b int")
+    assert [r.n for r in d.select("b", spans.line_at(F.col("t"), F.col("b")).alias("n")).orderBy("b").collect()] == [1, 1, 1, 2, 2, 3, 4, 4]
+
+
+def test_guards(spark):
+    import time
+
+    from loomgraph.operators.guards import WorkStopped, deadline, within
+
+    assert within(spark.range(5), 5, "row_limit").count() == 5
+    with pytest.raises(WorkStopped, match="row_limit"):
+        within(spark.range(6), 5, "row_limit")
+    with deadline(spark, 60):
+        assert spark.range(10).count() == 10
+    began = time.time()
+    with pytest.raises(WorkStopped, match="deadline"), deadline(spark, 1):
+        spark.range(1 << 40).selectExpr("sum(hash(id))").collect()
+    assert time.time() - began < 30 and spark.range(3).count() == 3
+
+
+def test_retrieval_coverage_and_units(spark):
+    from loomgraph.operators import evidence
+
+    f = spark.createDataFrame([("a", "indexed", bytearray(b"x")), ("b", "failed", bytearray(b"yy")), ("c", "indexed", bytearray(b"\xff")), ("d", "indexed", bytearray(b"zz"))], "path string, state string, content binary")
+    assert {r.reason: (r.files, r.bytes) for r in evidence.retrieval_coverage(f).collect()} == {None: (2, 3), "observation_failed": (1, 2), "non_utf8": (1, 1)}
+    assert sorted(r.path for r in evidence.binding_units(f, spark.createDataFrame([("a",), ("q",), (None,)], "path string")).collect()) == ["a", "b", "c", "d", "q"]
