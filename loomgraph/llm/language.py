@@ -208,16 +208,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs_of(spark, sf_dir))
 
 
+#: A prediction below this score tells no language.
+LEAST = 0.3
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go: null text and text without a letter; ``lang`` stays as it was.
+    """Documents whose language cannot be told go: null text, text without a letter, predictions below ``LEAST``.
 
-    Where no language was learned every prediction is ``und``, and the letters alone decide.
+    ``lang`` of the others becomes the predicted language, so wrong and missing labels are mended. Where no language was
+    learned every prediction is ``und``, the letters alone decide, and ``lang`` stays as it was.
     """
     model, names = fit(docs), docs.columns
     learned = bool(model.langs)
 
     def finish(batch: pa.RecordBatch, lang: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-        kept = batch.filter(pa.array(lang != UNKNOWN) if learned else batch.column(batch.num_columns - 1))
-        return pa.RecordBatch.from_arrays(kept.columns[:-2], names=names)
+        told = pa.array((lang != UNKNOWN) & (score >= LEAST)) if learned else batch.column(batch.num_columns - 1)
+        kept, lang = batch.filter(told), pa.array(lang, pa.string()).filter(told)
+        columns = [lang.cast(c.type) if learned and n == "lang" else c for n, c in zip(names, kept.columns[:-2], strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return _predict(docs, model, (docs.schema, docs.columns), finish)

@@ -86,6 +86,31 @@ def test_pieces_find_the_best_path_and_round_trip(spark):
     assert {r.doc_id: r.text for r in again.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_pieces_equal_the_library(spark, tmp_path):
+    """The default file's pieces read as unigrams by the library itself. The file holds scores of -1e9, between which the
+    library's single precision cannot tell paths apart, so scores are scaled to where it can; nothing is trained."""
+    import pyarrow as pa
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(pieces.default_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for x in model.pieces:
+        if x.type == 1:
+            x.score = max(x.score, -32768.0) / 4096
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    library, p = sentencepiece.SentencePieceProcessor(model_file=path), pieces.loaded(path)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 0").collect()]
+    lines = [x for t in texts for x in t.split("\n") if x and len(x) < 2000] + ["日本 \U0001f600x", "a  b   c", "é" * 40, "hest entebest"]
+    at, ids = p.encode(pa.array(lines))
+    assert len(lines) > 1500
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(x) for x in lines]
+
+
 # 3
 
 

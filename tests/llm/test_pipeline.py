@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomgraph.llm.jaccard_join import jaccard_stage
-from loomgraph.llm.language import language_stage
+from loomgraph.llm.language import identify, language_stage
 from loomgraph.llm.quality import classify, quality_stage
 from loomgraph.llm.suffix_dedup import suffix_stage
 from llm_plain import jaccard_plain, near_copies, removed_plain, repeated_texts, table
@@ -40,6 +40,10 @@ def test_language_stage_drops_texts_without_letters(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(table(spark, ["123 ...", None, ""], 10**9))
     kept = language_stage(spark, docs, SF)
     assert kept.filter(F.col("doc_id") >= 10**9).count() == 0 and kept.count() == docs.count() - 3
+    said = identify(docs).select("doc_id", "lang_pred").join(kept.select("doc_id", "lang"), "doc_id")
+    assert said.count() == kept.count() and said.filter("not (lang <=> lang_pred)").count() == 0
+    unlabelled = docs.withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    assert language_stage(spark, unlabelled, SF).filter("lang is null").count() == 0
 
 
 def test_jaccard_stage_keeps_one_of_each_group(spark):
