@@ -150,10 +150,13 @@ def test_language_against_a_plain_version(spark):
     langs = {(a, b): machine(known[a], known[b]) for a, b in combinations(sorted(known), 2) if FAMILY[a] == FAMILY[b]}
     got = {r.doc_id: r for r in language.identify(d).collect()}
     assert len(got) == len(rows)
+    off = []
     for r in rows:
         want = ("und", 0.0)
         if r.doc_id in x:
             f, p = winner(sorted(by), families, x[r.doc_id])
             lang, q = winner([k for k in sorted(known) if FAMILY[k] == f], {k: v for k, v in langs.items() if FAMILY[k[0]] == f}, x[r.doc_id])
             want = (lang, p * q)
-        assert got[r.doc_id].lang_pred == want[0] and abs(got[r.doc_id].score - want[1]) < 5e-3, r
+        off.append((got[r.doc_id].lang_pred != want[0], abs(got[r.doc_id].score - want[1])))
+    # a document near a hinge may count in one order of summation and not in the other
+    assert not any(x[0] for x in off) and max(x[1] for x in off) < 0.05 and np.mean([x[1] for x in off]) < 1e-3
