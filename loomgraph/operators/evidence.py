@@ -144,10 +144,12 @@ def raw_changes(log: DataFrame) -> DataFrame:
     its paths; paths that are no relative UTF-8 paths are left out.
     """
     parts = F.filter(F.split("raw", "\\x00"), lambda p: p != "")
-    d = log.select("commit_id", "parents", F.posexplode(parts).alias("i", "part"), parts.alias("all"))
-    head = F.col("part").startswith(":")
-    back = lambda k: F.when(F.col("i") >= k, F.element_at("all", (F.col("i") - k + 1).cast("int")))
-    owner = F.when(~head, F.coalesce(F.when(back(1).startswith(":"), back(1)), F.when(back(2).startswith(":"), back(2))))
+    d = log.select("commit_id", "parents", parts.alias("all"))
+    # each part goes on with the two before it only
+    near = F.transform("all", lambda x, i: F.struct(x.alias("part"), F.get("all", i - 1).alias("one"), F.get("all", i - 2).alias("two")))
+    d = d.select("commit_id", "parents", F.inline(near))
+    head, one, two = F.col("part").startswith(":"), F.col("one"), F.col("two")
+    owner = F.when(~head, F.coalesce(F.when(one.startswith(":"), one), F.when(two.startswith(":"), two)))
     f = F.split(F.substring(owner, 2, 1 << 20), " ")
     return d.filter(owner.isNotNull()).select("commit_id", "parents", F.col("part").alias("path"), F.when(f[1] == "000000", f[0]).otherwise(f[1]).alias("mode"), F.substring(f[4], 1, 1).alias("status")).filter(scalars.relative_path(F.col("path")))
 

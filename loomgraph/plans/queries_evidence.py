@@ -182,12 +182,12 @@ def history_records(spark, sf_dir):
     return evidence.raw_changes(*_sql(spark, sf_dir, _RAW))
 
 
-@query("""SELECT DISTINCT 'run' || doc_id % 5 AS run, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 't' || doc_id % 11 END AS test, source AS path, doc_id % 40 AS line, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'run' ELSE 'setup' END AS phase FROM documents""")
+@query("""SELECT DISTINCT 'run' || doc_id // 50 AS run, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 't' || doc_id % 11 END AS test, source AS path, doc_id % 40 AS line, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'run' ELSE 'setup' END AS phase FROM documents""")
 def coverage_import(spark, sf_dir):
-    """Reports are composed from the table and read back through the importer."""
+    """Reports of fifty documents each are composed from the table and read back through the importer."""
     from loomgraph.sources.readers import coverage_json
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 5).alias("r"), "source", (F.col("doc_id") % 40).alias("line"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("t"), F.col("doc_id") % 11, F.lit("|"), F.when(F.col("doc_id") % 2 == 0, "run").otherwise("setup"))).alias("c"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(F.col("doc_id") / 50).alias("r"), "source", (F.col("doc_id") % 40).alias("line"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("t"), F.col("doc_id") % 11, F.lit("|"), F.when(F.col("doc_id") % 2 == 0, "run").otherwise("setup"))).alias("c"))
     lines = d.groupBy("r", "source", "line").agg(F.sort_array(F.collect_set("c")).alias("cs")).groupBy("r", "source").agg(F.map_from_entries(F.collect_list(F.struct(F.col("line").cast("string"), "cs"))).alias("contexts"))
     runs = lines.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("contexts")))).alias("files"))
     files = runs.select(F.concat(F.lit("run"), "r").alias("path"), F.to_json(F.struct(F.struct(F.lit(3).alias("format")).alias("meta"), "files")).alias("text"))
@@ -207,11 +207,11 @@ def otlp_import(spark, sf_dir):
     return o.select("artifact", "trace_id", "span_id", "name", F.col("start_nano").cast("string").alias("start_text"), F.col("attributes")["props"].alias("attribute"))
 
 
-@query("SELECT 'r' || doc_id % 9 AS path, 'a.C' AS classname, 'n' || doc_id AS name, CASE toxic WHEN 0 THEN 'passed' ELSE 'failed' END AS outcome, NULL::VARCHAR AS reason FROM labels")
+@query("SELECT 'r' || doc_id // 50 AS path, 'a.C' AS classname, 'n' || doc_id AS name, CASE toxic WHEN 0 THEN 'passed' ELSE 'failed' END AS outcome, NULL::VARCHAR AS reason FROM labels")
 def junit_import(spark, sf_dir):
-    """Reports are composed from the labels and read back through the importer."""
+    """Reports of fifty documents each are composed from the labels and read back through the importer."""
     from loomgraph.sources.readers import junit_xml
 
     case = F.concat(F.lit("<testcase classname='a.C' name='n"), F.col("doc_id"), F.when(F.col("toxic") == 0, "'/>").otherwise("'><failure/></testcase>"))
-    d = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.concat(F.lit("r"), F.col("doc_id") % 9).alias("path"), case.alias("c"))
+    d = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.concat(F.lit("r"), F.floor(F.col("doc_id") / 50)).alias("path"), case.alias("c"))
     return junit_xml(d.groupBy("path").agg(F.concat(F.lit("<s>"), F.array_join(F.collect_list("c"), ""), F.lit("</s>")).alias("text")))
