@@ -37,6 +37,12 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole at ``path``."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:

@@ -387,7 +387,9 @@ def _completed(members: DataFrame, texts: DataFrame, links: DataFrame, comp: Dat
     cost = keys.groupBy("__tied").agg(F.sum(F.when(F.col("__split"), F.col("__m") * F.col("__m")).otherwise(0)).alias("__keys"), F.max("__split").alias("__any"))
     size = m.select("__tied", "id").distinct().groupBy("__tied").agg(F.count(F.lit(1)).cast("double").alias("__all"))
     how = cost.filter("__any").join(size, "__tied").select(F.col("__tied").alias("__t"), (F.col("__all") * F.col("__all") <= F.col("__keys")).alias("__whole"))
-    m = m.join(keys.select("key", "__split"), "key").join(how, F.col("__tied") == F.col("__t"))
+    # what holds for a cluster reaches the members by their keys, so that no task gets a whole cluster
+    of_key = keys.join(how, F.col("__tied") == F.col("__t")).select("key", "__split", "__whole")
+    m = m.join(of_key, "key")
     whole = m.filter("__whole").select(F.col("__tied").alias("unit"), "id", "component", F.lit(0).alias("kind")).distinct()
     units = whole.union(m.filter("not __whole and __split").select(F.col("key").alias("unit"), "id", "component", F.lit(1).alias("kind")))
 
@@ -465,7 +467,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     pairs = pairs.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (far * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)))
     pairs = written(pairs.select(F.least("r_a", "r_b").alias("u"), F.greatest("r_a", "r_b").alias("v")).distinct(), "pairs", narrow=True)
     pairs = written(_near(pairs, table, num, den), "pairs", narrow=True)
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    # written first: where few texts are needed, the plan sees it and does not move all of them
+    needed = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "needed", narrow=True)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = written(text.join(needed, "doc_id", "left_semi"), "texts")
     # first each document and its smallest partner; then only what that leaves unconnected

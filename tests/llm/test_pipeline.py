@@ -26,7 +26,37 @@ def test_stages_return_documents_and_keep_clean_ones(spark, tmp_path):
             before = out.count()
         docs = out
     assert docs.select("doc_id").distinct().count() == before
-    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+    whole = corpus_pipeline.run(spark, SF)
+    rows = lambda d: sorted(map(tuple, d.drop("sequence_id", "offset").collect()))
+    assert rows(whole) == rows(docs)
+
+
+def test_a_run_goes_on_where_another_stopped(spark, tmp_path, monkeypatch):
+    called = []
+
+    def stage(name, out):
+        return name, lambda spark, docs, sf_dir: called.append(name) or out(docs)
+
+    def lost(docs):
+        raise RuntimeError("lost")
+
+    one, two = stage("one", lambda d: d.filter("doc_id < 100")), stage("two", lambda d: d.filter("doc_id < 50"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [one, stage("two", lost)])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, SF, str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [one, two])
+    assert corpus_pipeline.run(spark, SF, str(tmp_path)).count() == 50 and called == ["one", "two", "two"]
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    rows = [(1, "one two", "en", None, 7), (1, "one two", "en", None, 7), (2, None, None, None, None), (None, "three four", "de", "s", 10), (3, "", "en", "s", 0), (4, "lorem ipsum dolor " * 20000, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for i, some in enumerate(([], rows)):
+        spark.createDataFrame(some, schema).withColumn("good", F.lit("x")).write.parquet(f"{tmp_path}/{i}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/0").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/1")
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert {r.doc_id for r in got.collect()} <= {1, 3, 4, None}
 
 
 def test_quality_stage_keeps_what_the_classifier_calls_good(spark):
