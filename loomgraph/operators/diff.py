@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: a declaration of fewer tokens says too little to be found again elsewhere.
+LEAST_TOKENS = 6
+
+
 def fingerprinted(entities: DataFrame) -> DataFrame:
-    """Adds sha256 of signature, body and the two together with white space folded (``own``)."""
+    """Adds sha256 of signature, body and the two together with white space folded (``own``), and whether the body, or the
+    signature where there is none, has ``LEAST_TOKENS`` words and signs (``telling``)."""
+    token = r"(?:\w++|[^\w\s])"
+    told = F.when(F.col("body") != "", F.col("body")).otherwise(F.col("signature")).rlike(token + r"(?:\s*+" + token + "){%d}" % (LEAST_TOKENS - 1))
+    entities = entities.withColumn("telling", told)
     flat = lambda c: F.sha2(F.regexp_replace(F.col(c), r"\s+", " "), 256)
     return entities.withColumn("signature_sha", flat("signature")).withColumn("body_sha", flat("body")).withColumn("own_sha", F.sha2(F.concat("signature", F.lit("\0"), "body"), 256))
 
@@ -17,7 +25,7 @@ def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
 
     added, removed, unknown (a side has no fingerprint), else the first that differs of signature, body, format, location; else unchanged.
     """
-    cols = ["language", "kind", "name", "line", "signature_sha", "body_sha", "own_sha"]
+    cols = ["language", "kind", "name", "line", "signature_sha", "body_sha", "own_sha", "telling"]
     side = lambda df, s: df.select("path", "entity_id", *[F.col(c).alias(f"{s}_{c}") for c in cols], F.lit(True).alias(f"__{s}"))
     j = side(before, "before").join(side(after, "after"), ["path", "entity_id"], "full_outer")
     differs = lambda c: F.col(f"before_{c}") != F.col(f"after_{c}")
@@ -41,13 +49,14 @@ def summary(changes: DataFrame) -> DataFrame:
 def rename_candidates(changes: DataFrame) -> DataFrame:
     """Removed and added entities with equal language, kind and fingerprints, unique on both sides: rename, move, or both.
 
-    They are reported beside added and removed, never merged.
+    Declarations of fewer than ``LEAST_TOKENS`` tokens are none. Candidates are reported beside added and removed, never merged.
     """
     keys = ["language", "kind", "signature_sha", "body_sha"]
 
     def side(category: str, s: str) -> DataFrame:
-        d = changes.filter(F.col("category") == category).select(*[F.col(f"{s}_{k}").alias(k) for k in keys], F.col("path").alias(f"{s}_path"), F.col("entity_id").alias(f"{s}_id"), F.col(f"{s}_name").alias(f"{s}_name"))
-        return d.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("__n = 1").drop("__n")
+        d = changes.filter((F.col("category") == category) & F.col(f"{s}_telling")).select(*[F.col(f"{s}_{k}").alias(k) for k in keys], F.struct(F.col("path"), "entity_id", F.col(f"{s}_name").alias("name")).alias("__e"))
+        one = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__e").alias("__e")).filter("__n = 1")
+        return one.select(*keys, F.col("__e.path").alias(f"{s}_path"), F.col("__e.entity_id").alias(f"{s}_id"), F.col("__e.name").alias(f"{s}_name"))
 
     j = side("removed", "before").join(side("added", "after"), keys)
     same_path, same_name = F.col("before_path") == F.col("after_path"), F.col("before_name") == F.col("after_name")

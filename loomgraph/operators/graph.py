@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.intervals import declared_first
 from loomgraph.operators.lookup import confident
+from loomgraph.operators.resolve import STRUCTURAL
 from loomgraph.operators.tables import kept, placed
 
 NODE = ["path", "line", "name"]
 
 
 def degrees(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """In, out and total degree per node (path, line, name) over confident edges, highest total first.
+    """In, out and total degree and kind per node (path, line, name) over confident edges, highest total first.
 
     An edge without target is skipped; one whose source does not resolve still counts for its target.
     """
@@ -26,9 +27,17 @@ def degrees(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     out = src.groupBy("path", F.col("source_line_start").alias("line"), F.col("source_name").alias("name")).agg(F.count(F.lit(1)).alias("out_degree"))
     in_ = e.groupBy(F.col("target_path").alias("path"), F.col("target_line").alias("line"), F.col("target_name").alias("name")).agg(F.count(F.lit(1)).alias("in_degree"))
     d = in_.join(out, NODE, "full_outer").select(*NODE, F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
+    kinds = symbols.groupBy("path", F.col("line_start").alias("line"), "name").agg(F.min("kind").alias("kind"))
+    d = d.join(kinds, NODE, "left")
     return d.withColumn("degree", F.col("in_degree") + F.col("out_degree")).orderBy(F.desc("degree"), *NODE)
 
 
+def degree_basis(edges: DataFrame) -> DataFrame:
+    """One row: what :func:`degrees` looked at (analysis_basis, resolved_edge_count) and left out (ambiguous_edges_excluded)."""
+    sure = F.col("confidence").isin("EXTRACTED", "INFERRED") & F.col("relation").isin(*STRUCTURAL)
+    return edges.agg(F.lit("confident_edges").alias("analysis_basis"), F.count_if(sure).alias("resolved_edge_count"), F.count_if(F.col("confidence") == "AMBIGUOUS").alias("ambiguous_edges_excluded"))
+
+
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach. ``nodes`` (node), ``links`` (a, b)."""
     e = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
@@ -135,6 +144,20 @@ def quality(members: DataFrame, links: DataFrame) -> DataFrame:
     return total.crossJoin(members.agg(F.countDistinct("community").alias("communities"))).select(F.bround(F.col("q"), 6).alias("modularity"), F.bround(F.col("c"), 6).alias("coverage"), "communities")
 
 
+def adjusted_rand(one: DataFrame, two: DataFrame) -> DataFrame:
+    """One row (ari): adjusted Rand index of two groupings (node, community) of the same nodes, 6 places, half even; 1 if both are trivial."""
+    pairs = lambda n: F.sum(n * (n - 1) / 2)
+    n = F.col("n").cast("double")
+    cell = one.select("node", F.col("community").alias("a")).join(two.select("node", F.col("community").alias("b")), "node").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    both = cell.agg(pairs(n).alias("both"), F.sum(n).alias("all"))
+    side = lambda c: cell.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs(n).alias(f"in_{c}"))
+    # one row each
+    t = both.crossJoin(side("a")).crossJoin(side("b"))
+    expected = F.col("in_a") * F.col("in_b") / F.nullif(F.col("all") * (F.col("all") - 1) / 2, F.lit(0.0))
+    most = (F.col("in_a") + F.col("in_b")) / 2
+    return t.select(F.bround(F.coalesce((F.col("both") - expected) / F.nullif(most - expected, F.lit(0.0)), F.lit(1.0)), 6).alias("ari"))
+
+
 def _steps(assertions: DataFrame, relations: Sequence[str], incoming: bool) -> DataFrame:
     """Assertions of these relations as steps (here, there, relation, assertion_id, confidence); without ids, the node stepped on stands for one."""
     here, there = ("target", "source") if incoming else ("source", "target")
@@ -291,11 +314,21 @@ def rule_check(file_edges: DataFrame, files: DataFrame, rules: DataFrame, bounda
     return r.select("rule_id", outcome.alias("outcome"), F.coalesce("violations", F.lit(0)).alias("violations"), F.col("__w.seed").alias("first_source"), F.col("__w.node").alias("first_target"), reasons.alias("reasons"))
 
 
-def rule_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Violations (rule_id, source, target) of two sides: introduced, resolved or persisting."""
+def rule_delta(before: DataFrame, after: DataFrame, exhaustive: DataFrame | None = None) -> DataFrame:
+    """Violations (rule_id, source, target) of two sides: introduced, resolved or persisting.
+
+    ``exhaustive`` (rule_id, before, after) tells whose search of a rule was whole: what only the after side has is introduced
+    only if the before side is, and the other way round; else delta is null. What both have persists in any case.
+    """
     keys = ["rule_id", "source", "target"]
     b, a = before.select(*keys).distinct().withColumn("__b", F.lit(1)), after.select(*keys).distinct().withColumn("__a", F.lit(1))
-    return b.join(a, keys, "full_outer").select(*keys, F.when(F.col("__b").isNull(), "introduced").when(F.col("__a").isNull(), "resolved").otherwise("persisting").alias("delta"))
+    both = b.join(a, keys, "full_outer")
+    known = [F.lit(True), F.lit(True)]
+    if exhaustive is not None:
+        both = both.join(exhaustive.select("rule_id", F.col("before").alias("__was"), F.col("after").alias("__now")), "rule_id", "left")
+        known = [F.coalesce(c, F.lit(False)) for c in ("__was", "__now")]
+    one = F.when(F.col("__b").isNull(), F.when(known[0], "introduced")).when(F.col("__a").isNull(), F.when(known[1], "resolved")).otherwise("persisting")
+    return both.select(*keys, one.alias("delta"))
 
 
 def span_paths(spans: DataFrame) -> DataFrame:

@@ -73,18 +73,29 @@ def trace_summary(spans: DataFrame) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("trace_id").alias("traces"), F.count_if(F.col("place") == "root").alias("roots"), F.count_if(F.col("place") == "boundary").alias("orphans"))
 
 
+#: How a span is linked to the sources, or why not.
+LINKAGES = ("linked_symbol", "linked_file", "missing", "malformed", "build_mismatch", "path_outside_root", "file_not_in_snapshot", "file_not_indexed", "line_out_of_range")
+
+
+def linkage_counts(links: DataFrame) -> DataFrame:
+    """(linkage, spans) of every class of :func:`linkage`, those that do not occur with 0."""
+    every = links.sparkSession.createDataFrame([(x,) for x in LINKAGES], "linkage string")
+    n = links.groupBy("linkage").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(n, "linkage", "left").select("linkage", F.coalesce("n", F.lit(0)).cast("long").alias("spans"))
+
+
 # history
 
 
-def commit_classes(commits: DataFrame, bulk: int, prefixes: tuple[str, ...] = (), names: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Eligible (commit_id, path) rows, and (commit_id, n, class): merge, bulk, empty, single or pair.
+def commit_classes(commits: DataFrame, bulk: int, prefixes: tuple[str, ...] = (), names: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), most_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Eligible (commit_id, path) rows, and (commit_id, n, class): merge, oversized, bulk, empty, single or pair.
 
-    Generated paths and links to other repositories (mode 160000) go before the size is taken.
+    With ``most_bytes`` a commit whose diff (column diff_bytes) is larger is oversized. Generated paths and links to other repositories (mode 160000) go before the size is taken.
     """
     keep = ~scalars.generated(F.col("path"), prefixes, names, suffixes) & (F.col("mode") != "160000")
-    per = commits.groupBy("commit_id").agg(F.max("parents").alias("parents"), F.countDistinct(F.when(keep, F.col("path"))).alias("n"))
-    per = per.withColumn("class", first_of((F.col("parents") > 1, "merge"), (F.col("n") > bulk, "bulk"), (F.col("n") == 0, "empty"), (F.col("n") == 1, "single"), default="pair"))
-    return commits.filter(keep).select("commit_id", "path").distinct(), per.drop("parents")
+    per = commits.groupBy("commit_id").agg(F.max("parents").alias("parents"), F.countDistinct(F.when(keep, F.col("path"))).alias("n"), F.max((F.col("diff_bytes") > most_bytes) if most_bytes is not None else F.lit(False)).alias("__large"))
+    per = per.withColumn("class", first_of((F.col("parents") > 1, "merge"), (F.col("__large"), "oversized"), (F.col("n") > bulk, "bulk"), (F.col("n") == 0, "empty"), (F.col("n") == 1, "single"), default="pair"))
+    return commits.filter(keep).select("commit_id", "path").distinct(), per.drop("parents", "__large")
 
 
 def co_change(commits: DataFrame, bulk: int, **generated) -> DataFrame:
@@ -180,15 +191,17 @@ def decision_links(mappings: DataFrame, documents: DataFrame, entities: DataFram
 def drift(mappings: DataFrame, changes: DataFrame, documents: DataFrame) -> DataFrame:
     """(mapping_id, outcome, reason): whether the decision behind a declaration needs a look.
 
-    ``changes`` (entity_id, category, failed); ``documents`` (path, changed). A changed source with an unchanged decision is
-    review_needed; what is not known is unknown_history; a missing decision is unresolved.
+    ``changes`` (entity_id, category, failed, and if known path_partial and ordinal_shift); ``documents`` (path, changed). A
+    changed source with an unchanged decision is review_needed; what is not known, or named by a number among siblings that
+    shifted, is unknown_history; a missing decision is unresolved.
     """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in changes.columns else F.lit(False)
     d = mappings.join(changes, "entity_id", "left").join(documents.withColumn("__doc", F.lit(True)), "path", "left")
     reason = first_of(
-        (F.col("failed"), "file_failed"), (F.col("category").isNull(), "unconfirmed"), (F.col("category") == "unknown", "change_unknown"), (F.col("category") == "removed", "target_removed"), (F.col("__doc").isNull(), "document_missing"),
+        (F.col("failed"), "file_failed"), (F.col("category").isNull(), "unconfirmed"), (F.col("category") == "unknown", "change_unknown"), (flag("path_partial"), "path_partial"), (flag("ordinal_shift"), "ordinal_shift"), (F.col("category") == "removed", "target_removed"), (F.col("__doc").isNull(), "document_missing"),
         (F.col("category").isin("signature", "body") & ~F.col("changed"), "source_changed"), (F.col("category").isin("signature", "body"), "both_changed"), default="source_unchanged",
     )
-    outcome = first_of((reason.isin("file_failed", "unconfirmed", "change_unknown"), "unknown_history"), (reason.isin("target_removed", "document_missing"), "unresolved"), (reason == "source_changed", "review_needed"), default="no_finding")
+    outcome = first_of((reason.isin("file_failed", "unconfirmed", "change_unknown", "path_partial", "ordinal_shift"), "unknown_history"), (reason.isin("target_removed", "document_missing"), "unresolved"), (reason == "source_changed", "review_needed"), default="no_finding")
     return d.select("mapping_id", outcome.alias("outcome"), reason.alias("reason"))
 
 
@@ -269,8 +282,9 @@ def recommendations(evidence: DataFrame) -> DataFrame:
     """(span_id, test, basis, rank): the best basis of each test for a span, ranked.
 
     ``evidence`` (span_id, test, basis 0 to 4, spans, body_lines, distance): observed after in the body, observed before in the
-    body, observed otherwise, structural reverse path, same name.
+    body, observed otherwise, structural reverse path, same name. ``category_weight``, if there, comes before the distance.
     """
-    best = evidence.groupBy("span_id", "test").agg(F.min(F.struct("basis", (-F.col("spans")).alias("s"), (-F.col("body_lines")).alias("b"), "distance")).alias("e"))
+    weight = F.col("category_weight") if "category_weight" in evidence.columns else F.lit(0)
+    best = evidence.groupBy("span_id", "test").agg(F.min(F.struct("basis", (-F.col("spans")).alias("s"), (-F.col("body_lines")).alias("b"), weight.alias("w"), "distance")).alias("e"))
     w = Window.partitionBy("span_id").orderBy("e", "test")
     return best.withColumn("rank", F.row_number().over(w)).select("span_id", "test", F.col("e.basis").alias("basis"), "rank")

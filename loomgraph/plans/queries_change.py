@@ -9,11 +9,11 @@ from loomgraph.plans.projection import projected, with_sql
 from loomgraph.registry import query
 
 _FP = "sha256(regexp_replace({}, '\\s+', ' ', 'g'))"
-_SIDE = "{0}f AS (SELECT *, " + _FP.format("signature") + " AS sig, " + _FP.format("body") + " AS bod, sha256(signature || chr(0) || body) AS own FROM {0})"
+_SIDE = "{0}f AS (SELECT *, len(regexp_extract_all(CASE WHEN body <> '' THEN body ELSE signature END, '\\w+|[^\\w\\s]')) >= 6 AS tell, " + _FP.format("signature") + " AS sig, " + _FP.format("body") + " AS bod, sha256(signature || chr(0) || body) AS own FROM {0})"
 _CHANGES = (
     with_sql("before", "after") + ", " + _SIDE.format("before") + ", " + _SIDE.format("after") + """, ch AS (SELECT coalesce(b.path, a.path) AS path, coalesce(b.entity_id, a.entity_id) AS entity_id,
  CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN b.sig <> a.sig THEN 'signature' WHEN b.bod <> a.bod THEN 'body' WHEN b.own <> a.own THEN 'format' WHEN b.line <> a.line THEN 'location' ELSE 'unchanged' END AS category,
- b.language AS bl, a.language AS al, b.kind AS bk, a.kind AS ak, b.sig AS bs, a.sig AS sa, b.bod AS bb, a.bod AS ab, b.name AS bn, a.name AS an FROM beforef b FULL JOIN afterf a ON b.path = a.path AND b.entity_id = a.entity_id)"""
+ b.language AS bl, a.language AS al, b.kind AS bk, a.kind AS ak, b.sig AS bs, a.sig AS sa, b.bod AS bb, a.bod AS ab, coalesce(b.tell, false) AS bt, coalesce(a.tell, false) AS atl, b.name AS bn, a.name AS an FROM beforef b FULL JOIN afterf a ON b.path = a.path AND b.entity_id = a.entity_id)"""
 )
 
 
@@ -32,8 +32,8 @@ def change_summary(spark, sf_dir):
     return diff.summary(_changes(spark, sf_dir))
 
 
-@query(_CHANGES + """, r AS (SELECT bl AS l, bk AS k, bs AS s, bb AS b, path, entity_id, bn AS name FROM ch WHERE category = 'removed' QUALIFY count(*) OVER (PARTITION BY bl, bk, bs, bb) = 1),
- d AS (SELECT al AS l, ak AS k, sa AS s, ab AS b, path, entity_id, an AS name FROM ch WHERE category = 'added' QUALIFY count(*) OVER (PARTITION BY al, ak, sa, ab) = 1)
+@query(_CHANGES + """, r AS (SELECT bl AS l, bk AS k, bs AS s, bb AS b, path, entity_id, bn AS name FROM ch WHERE category = 'removed' AND bt QUALIFY count(*) OVER (PARTITION BY bl, bk, bs, bb) = 1),
+ d AS (SELECT al AS l, ak AS k, sa AS s, ab AS b, path, entity_id, an AS name FROM ch WHERE category = 'added' AND atl QUALIFY count(*) OVER (PARTITION BY al, ak, sa, ab) = 1)
  SELECT r.entity_id AS before_id, d.entity_id AS after_id, r.path AS before_path, d.path AS after_path, CASE WHEN r.path = d.path THEN 'rename' WHEN r.name = d.name THEN 'move' ELSE 'rename_and_move' END AS relation FROM r JOIN d USING (l, k, s, b)""")
 def rename_candidates(spark, sf_dir):
     return diff.rename_candidates(_changes(spark, sf_dir))

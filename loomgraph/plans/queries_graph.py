@@ -116,11 +116,16 @@ def source_declaration(spark, sf_dir):
 @query(_WITH + f""", {_CONF}, {_DECL}, o AS (SELECT d.path, d.source_line_start AS line, d.source_name AS name, count(*) AS out_degree FROM conf c
   JOIN decl d ON d.path = c.source_path AND d.line = c.source_line AND d.source_name = c.source_name AND d.source_kind = c.source_kind WHERE c.target_path IS NOT NULL GROUP BY ALL),
  i AS (SELECT target_path AS path, target_line AS line, target_name AS name, count(*) AS in_degree FROM conf WHERE target_path IS NOT NULL GROUP BY ALL)
- SELECT path, line, name, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) + coalesce(out_degree, 0) AS degree FROM i FULL JOIN o USING (path, line, name)""")
+ SELECT path, line, name, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) + coalesce(out_degree, 0) AS degree, kind FROM i FULL JOIN o USING (path, line, name) LEFT JOIN (SELECT path, line_start AS line, name, min(kind) AS kind FROM symbols GROUP BY ALL) USING (path, line, name)""")
 def god_nodes(spark, sf_dir):
     return graph.degrees(_edges(spark, sf_dir), projected(spark, sf_dir, "symbols"))
 
 
+@query(_WITH + f", {_CONF} SELECT 'confident_edges' AS analysis_basis, (SELECT count(*) FROM conf) AS resolved_edge_count, (SELECT count(*) FROM edges WHERE confidence = 'AMBIGUOUS') AS ambiguous_edges_excluded")
+def degree_basis(spark, sf_dir):
+    return graph.degree_basis(_edges(spark, sf_dir))
+
+
 @query(_WITH + """, top AS (SELECT source_path, source_line, source_col, callee_name, relation, row_number() OVER (ORDER BY source_path, source_line, source_col, callee_name, relation) AS k FROM edges)
   SELECT source_path, source_line, source_col, callee_name, relation, (SELECT max(k) FROM top WHERE k <= 201) > 200 AS truncated, 200 AS returned_count FROM top WHERE k <= 200""")
 def truncation_flags(spark, sf_dir):

@@ -237,10 +237,10 @@ def rails_jobs(spark, sf_dir):
     return overlays.jobs(_sql(spark, sf_dir, _ENQ), spark.sql(_PERF))
 
 
-_EVID = "SELECT l_suppkey AS span_id, concat('t', CAST(l_partkey % 40 AS STRING)) AS test, l_linenumber % 5 AS basis, CAST(l_quantity AS BIGINT) AS spans, l_orderkey % 7 AS body_lines, l_partkey % 3 AS distance FROM lineitem"
+_EVID = "SELECT l_suppkey AS span_id, (l_suppkey + l_partkey) % 3 AS category_weight, concat('t', CAST(l_partkey % 40 AS STRING)) AS test, l_linenumber % 5 AS basis, CAST(l_quantity AS BIGINT) AS spans, l_orderkey % 7 AS body_lines, l_partkey % 3 AS distance FROM lineitem"
 
 
-@query(f"""WITH e AS (SELECT * FROM ({_EVID}) QUALIFY row_number() OVER (PARTITION BY span_id, test ORDER BY basis, spans DESC, body_lines DESC, distance) = 1)
- SELECT span_id, test, basis, row_number() OVER (PARTITION BY span_id ORDER BY basis, spans DESC, body_lines DESC, distance, test) AS rank FROM e""")
+@query(f"""WITH e AS (SELECT * FROM ({_EVID}) QUALIFY row_number() OVER (PARTITION BY span_id, test ORDER BY basis, spans DESC, body_lines DESC, category_weight, distance) = 1)
+ SELECT span_id, test, basis, row_number() OVER (PARTITION BY span_id ORDER BY basis, spans DESC, body_lines DESC, category_weight, distance, test) AS rank FROM e""")
 def recommendation_ranking(spark, sf_dir):
     return overlays.recommendations(_sql(spark, sf_dir, _EVID))

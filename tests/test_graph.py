@@ -245,3 +245,54 @@ def test_span_paths_are_whole_and_cycles_end(spark):
             path.insert(0, above[2, path[0]])
         want.append((2, path))
     assert got == sorted(want)
+
+
+def test_adjusted_rand(spark):
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for groups in (1, 3, 12):
+        a, b = ({i: rng.randrange(groups) for i in range(40)} for _ in range(2))
+        pairs = list(combinations(range(40), 2))
+        both = sum(a[i] == a[j] and b[i] == b[j] for i, j in pairs)
+        in_a, in_b = (sum(x[i] == x[j] for i, j in pairs) for x in (a, b))
+        expected, most = in_a * in_b / len(pairs), (in_a + in_b) / 2
+        want = 1.0 if most == expected else (both - expected) / (most - expected)
+        got = graph.adjusted_rand(*[spark.createDataFrame(list(x.items()), "node long, community long") for x in (a, b)]).first().ari
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_rule_delta_of_searches_that_are_not_whole(spark):
+    kind = "rule_id string, source string, target string"
+    before = spark.createDataFrame([("r", "a", "b"), ("r", "c", "d"), ("q", "a", "b")], kind)
+    after = spark.createDataFrame([("r", "a", "b"), ("r", "e", "f"), ("p", "x", "y")], kind)
+    whole = spark.createDataFrame([("r", True, False), ("q", False, True)], "rule_id string, before boolean, after boolean")
+    got = lambda d: {(r.rule_id, r.source): r.delta for r in d.collect()}
+    assert got(graph.rule_delta(before, after)) == {("r", "a"): "persisting", ("r", "c"): "resolved", ("r", "e"): "introduced", ("q", "a"): "resolved", ("p", "x"): "introduced"}
+    assert got(graph.rule_delta(before, after, whole)) == {("r", "a"): "persisting", ("r", "c"): None, ("r", "e"): "introduced", ("q", "a"): "resolved", ("p", "x"): None}
+
+
+def test_changes_that_say_too_little(spark):
+    from loomgraph.operators import diff
+
+    kind = "entity_id long, path string, language string, kind string, name string, signature string, body string, line int"
+    row = lambda i, path, body, sig="f(x)": (i, path, "python", "function", f"n{i}", sig, body, 1)
+    before = spark.createDataFrame([row(1, "a", "return a + b * c"), row(2, "a", "pass"), row(3, "a", "", "def g(x, y):"), row(4, "a", "x = y = z = w"), row(5, "a", "x = y = z = w")], kind)
+    after = spark.createDataFrame([row(11, "a", "return  a + b * c"), row(12, "b", "pass"), row(13, "b", "", "def g(x, y):"), row(14, "b", "x = y = z = w")], kind)
+    got = diff.rename_candidates(diff.aligned(diff.fingerprinted(before), diff.fingerprinted(after))).collect()
+    assert {(r.before_id, r.after_id, r.relation) for r in got} == {(1, 11, "rename"), (3, 13, "rename_and_move")}
+
+
+def test_classes_of_commits_links_and_drift(spark):
+    from loomgraph.operators import overlays
+
+    rows = [(1, 2, "a", "100644", 5), (2, 1, "a", "100644", 50), (3, 1, "a", "100644", 5), (3, 1, "b", "100644", 5), (4, 1, "gen/x", "100644", 5), (5, 1, "a", "100644", 5)] + [(6, 1, f"p{i}", "100644", 9) for i in range(4)]
+    c = spark.createDataFrame(rows, "commit_id int, parents int, path string, mode string, diff_bytes long")
+    got = {r.commit_id: r["class"] for r in overlays.commit_classes(c, 3, ("gen/",), most_bytes=10)[1].collect()}
+    assert got == {1: "merge", 2: "oversized", 3: "pair", 4: "empty", 5: "single", 6: "bulk"}
+    n = {r.linkage: r.spans for r in overlays.linkage_counts(spark.createDataFrame([("linked_file",), ("missing",), ("missing",)], "linkage string")).collect()}
+    assert n == {x: {"linked_file": 1, "missing": 2}.get(x, 0) for x in overlays.LINKAGES}
+    m = spark.createDataFrame([(i, i, "d") for i in range(4)], "mapping_id int, entity_id int, path string")
+    ch = spark.createDataFrame([(0, "body", False, False, True), (1, "body", False, True, True), (2, "removed", False, False, True), (3, "body", False, False, None)], "entity_id int, category string, failed boolean, path_partial boolean, ordinal_shift boolean")
+    got = {r.mapping_id: (r.outcome, r.reason) for r in overlays.drift(m, ch, spark.createDataFrame([("d", False)], "path string, changed boolean")).collect()}
+    assert got == {0: ("unknown_history", "ordinal_shift"), 1: ("unknown_history", "path_partial"), 2: ("unknown_history", "ordinal_shift"), 3: ("review_needed", "source_changed")}

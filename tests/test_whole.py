@@ -84,7 +84,7 @@ def test_source_tier_of_late_documents(spark, run):
 
 
 def test_bodies_are_compared_to_their_end(spark, run):
-    doc = lambda i, end: (i, "h" * 20 + "x" * 100_000 + end, "en", "src1", 100_020 + len(end))
+    doc = lambda i, end: (i, "h" * 20 + "x " * 50_000 + end, "en", "src1", 100_020 + len(end))
     docs = spark.createDataFrame([doc(46, "one"), doc(92, "two")], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.before_id, r.after_id) for r in run("rename_candidates", documents=docs)) == [(46, 1_000_000_046), (92, 1_000_000_092)]
 
