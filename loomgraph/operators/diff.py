@@ -20,17 +20,24 @@ def fingerprinted(entities: DataFrame) -> DataFrame:
     return entities.withColumn("signature_sha", flat("signature")).withColumn("body_sha", flat("body")).withColumn("own_sha", F.sha2(F.concat("signature", F.lit("\0"), "body"), 256))
 
 
-def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
+def aligned(before: DataFrame, after: DataFrame, failed: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
     """Full outer alignment on (path, entity_id) with a category each.
 
-    added, removed, unknown (a side has no fingerprint), else the first that differs of signature, body, format, location; else unchanged.
+    unknown (a side has no fingerprint, or the file is one of ``failed``: a side could not read it), added, removed, else the
+    first that differs of signature, body, format, location; else unchanged. Entities of files that are the ``same`` bytes on
+    both sides take no part: they are unchanged without being compared. Both tables have a path column.
     """
+    if same is not None:
+        before, after = (df.join(same.select("path").distinct(), "path", "left_anti") for df in (before, after))
     cols = ["language", "kind", "name", "line", "signature_sha", "body_sha", "own_sha", "telling"]
     side = lambda df, s: df.select("path", "entity_id", *[F.col(c).alias(f"{s}_{c}") for c in cols], F.lit(True).alias(f"__{s}"))
     j = side(before, "before").join(side(after, "after"), ["path", "entity_id"], "full_outer")
     differs = lambda c: F.col(f"before_{c}") != F.col(f"after_{c}")
+    if failed is not None:
+        j = j.join(failed.select("path", F.lit(True).alias("__failed")).distinct(), "path", "left")
     category = (
-        F.when(F.col("__before").isNull(), "added")
+        F.when(F.col("__failed") if failed is not None else F.lit(False), "unknown")
+        .when(F.col("__before").isNull(), "added")
         .when(F.col("__after").isNull(), "removed")
         .when(F.col("before_own_sha").isNull() | F.col("after_own_sha").isNull(), "unknown")
         .when(differs("signature_sha"), "signature")
@@ -39,7 +46,7 @@ def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(differs("line"), "location")
         .otherwise("unchanged")
     )
-    return j.withColumn("category", category).drop("__before", "__after")
+    return j.withColumn("category", category).drop("__before", "__after", "__failed")
 
 
 def summary(changes: DataFrame) -> DataFrame:

@@ -31,14 +31,39 @@ def covered_spans(executions: DataFrame, spans: DataFrame) -> DataFrame:
     return met.groupBy("path", "span_id", "test").agg(F.sum(F.greatest(lines, F.lit(1))).alias("lines"), F.bool_or(body).alias("body"))
 
 
-def coverage_state(spans: DataFrame, covered: DataFrame, observed_files: DataFrame, stale_files: DataFrame) -> DataFrame:
-    """(path, span_id, state) by precedence: executed, declaration_only, no_observation_in_span, stale_only, no_coverage_source."""
+def coverage_state(spans: DataFrame, covered: DataFrame, observed_files: DataFrame, stale_files: DataFrame, listed_files: DataFrame | None = None) -> DataFrame:
+    """(path, span_id, state) by precedence: not_applicable, unsupported_language, observation_limit, executed, declaration_only,
+    no_observation_in_span, no_observation_in_file, stale_only, no_coverage_source.
+
+    ``spans`` may tell whether a span is applicable, its language supported, and its observations cut off (limited).
+    ``listed_files`` are files that a source knows, with or without observations.
+    """
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in spans.columns else F.lit(default)
+    listed = observed_files if listed_files is None else listed_files
     c = covered.groupBy("path", "span_id").agg(F.bool_or("body").alias("__body"))
     d = spans.join(c, ["path", "span_id"], "left").join(observed_files.select("path", F.lit(True).alias("__seen")).distinct(), "path", "left").join(stale_files.select("path", F.lit(True).alias("__stale")).distinct(), "path", "left")
-    state = first_of((F.coalesce("__body", F.lit(False)), "executed"), (F.col("__body").isNotNull(), "declaration_only"), (F.col("__seen"), "no_observation_in_span"), (F.col("__stale"), "stale_only"), default="no_coverage_source")
+    d = d.join(listed.select("path", F.lit(True).alias("__listed")).distinct(), "path", "left")
+    state = first_of(
+        (~flag("applicable", True), "not_applicable"), (~flag("supported", True), "unsupported_language"), (flag("limited", False), "observation_limit"), (F.coalesce("__body", F.lit(False)), "executed"), (F.col("__body").isNotNull(), "declaration_only"),
+        (F.col("__seen"), "no_observation_in_span"), (F.col("__listed"), "no_observation_in_file"), (F.col("__stale"), "stale_only"), default="no_coverage_source",
+    )
     return d.select("path", "span_id", state.alias("state"))
 
 
+#: Why a span without observed tests has none, by coverage state and by structural state.
+COVERAGE_REASONS = {
+    "no_observation_in_span": "no_observation_in_span", "no_observation_in_file": "no_observation_in_file", "no_coverage_source": "no_coverage_source", "observation_limit": "observation_limit",
+    "unsupported_language": "unsupported_language", "stale_only": "stale_coverage_only", "declaration_only": "declaration_only_execution",
+}
+STRUCTURAL_REASONS = {"none": "no_structural_test", "incomplete": "structural_discovery_incomplete", "unsupported_language": "unsupported_language"}
+
+
+def gap_reasons(coverage: Column, structural: Column) -> Column:
+    """Sorted array of the reasons that a coverage state and a structural state (found, incomplete, unsupported_language, none) give."""
+    name = lambda names, c: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(name(COVERAGE_REASONS, coverage), name(STRUCTURAL_REASONS, structural)))))
+
+
 def observations(rows: DataFrame) -> DataFrame:
     """(test, path, line, phases): the sorted set of phases in which a test ran a line; no test: the line is unattributed."""
     return rows.groupBy("test", "path", "line").agg(F.sort_array(F.collect_set("phase")).alias("phases"))
@@ -106,6 +131,25 @@ def co_change(commits: DataFrame, bulk: int, **generated) -> DataFrame:
     return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"), F.sort_array(F.collect_list("commit_id")).alias("commits"))
 
 
+def history_gaps(commits: DataFrame, parents: DataFrame, start: object) -> DataFrame:
+    """(commit_id, parent_id): links of the window's commits to parents that the listing lacks. ``start`` lies outside the window."""
+    known = commits.select(F.col("commit_id").alias("parent_id")).distinct()
+    inside = parents.join(commits.select("commit_id").distinct(), "commit_id", "left_semi")
+    return inside.filter(F.col("parent_id") != F.lit(start)).join(known, "parent_id", "left_anti").select("commit_id", "parent_id")
+
+
+def co_change_overlay(commits: DataFrame, parents: DataFrame, start: object, bulk: int, truncated: bool = False, **generated) -> tuple[DataFrame, list[str]]:
+    """Co-change records of the window after ``start``, and the reasons why they are withheld.
+
+    A history that is not whole supports no count: where a parent is missing (object_missing) or the listing was cut off
+    (commit_budget_exhausted) there are no records at all. ``parents`` (commit_id, parent_id).
+    """
+    window = commits.filter(F.col("commit_id") != F.lit(start))
+    reasons = ["commit_budget_exhausted"] * truncated + ["object_missing"] * (not history_gaps(window, parents, start).isEmpty())
+    records = co_change(window, bulk, **generated)
+    return (records.limit(0) if reasons else records), sorted(reasons)
+
+
 # contracts
 
 

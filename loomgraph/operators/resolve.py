@@ -134,16 +134,19 @@ def relative_imports(imports: DataFrame, modules: DataFrame, exports: DataFrame)
     folder = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     i = imports.withColumn("__dir", folder).withColumn("__keep", F.size("__dir") - (F.col("level") - 1))
     base = F.slice(F.col("__dir"), 1, F.greatest(F.col("__keep"), F.lit(0)))
-    i = i.withColumn("__base", F.concat(base, F.col("module"))).withColumn("__pkg", F.array_join("__dir", "/"))
-    inits = modules.filter(F.col("path").endswith("__init__.py")).select(F.regexp_replace("path", r"/?__init__\.py$", "").alias("__p"), F.lit(True).alias("__is"))
-    i = i.join(inits.select(F.col("__p").alias("__pkg"), F.col("__is").alias("__has")), "__pkg", "left")
+    i = i.withColumn("__base", F.concat(base, F.col("module")))
+    # the file's own folder and every folder above it that the level climbs through
+    inits = modules.filter(F.col("path").endswith("__init__.py")).select(F.regexp_replace("path", r"/?__init__\.py$", "").alias("__pkg")).distinct()
+    climbed = F.transform(F.sequence(F.lit(0), F.least(F.greatest(F.col("level"), F.lit(1)), F.greatest(F.size("__dir"), F.lit(1))) - 1), lambda k: F.array_join(F.slice("__dir", 1, F.greatest(F.size("__dir") - k, F.lit(0))), "/"))
+    bare = i.select("import_id", F.explode(climbed).alias("__pkg")).join(inits, "__pkg", "left_anti").select("import_id", F.lit(True).alias("__bare")).distinct()
+    i = i.join(bare, "import_id", "left")
     stem = modules.select(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"(^|/)__init__$", "").alias("__stem"), F.col("path").alias("__file"))
     hits = stem.groupBy("__stem").agg(F.count(F.lit(1)).alias("__n"), F.min("__file").alias("__file"))
     i = i.withColumn("__stem", F.array_join("__base", "/")).join(hits, "__stem", "left")
     e = exports.groupBy(F.col("path").alias("__file"), "name").agg(F.count(F.lit(1)).alias("__m"), F.min("line_start").alias("__line"), F.bool_or("blocked").alias("__blocked"), F.bool_or("conditional").alias("__cond"))
     i = i.join(e, ["__file", "name"], "left")
     reason = (
-        F.when(F.col("__has").isNull(), "no_package")
+        F.when(F.col("__bare"), "no_package")
         .when(F.col("__keep") < 1, "outside_package")
         .when(F.col("__n").isNull(), "missing_module")
         .when(F.col("__n") > 1, "ambiguous_module")

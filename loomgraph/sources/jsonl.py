@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import scalars
+
 FORMAT = "loomgraph-records-1"
 
 
@@ -45,17 +47,27 @@ def export(records: DataFrame, path: str) -> None:
 
 
 def load(spark, path: str) -> DataFrame:
-    """(type, id, payload) of an export; ValueError if anything was changed, lost or doubled."""
+    """(type, id, payload) of an export; ValueError if anything was changed, lost, doubled, put in another order, or names a path
+    that is not relative and normalised."""
     head = json.loads(spark.read.text(f"{path}/header").first()[0])
     if head.get("format") != FORMAT:
         raise ValueError("unsupported_format")
-    raw = spark.read.text(f"{path}/lines").select(F.from_json("value", "id string, type string").alias("r"), F.col("value").alias("line"))
-    d = raw.select("r.type", "r.id", "line", F.get_json_object("line", "$.payload").alias("payload"))
+    raw = spark.read.text(f"{path}/lines").select(F.from_json("value", "id string, type string").alias("r"), F.col("value").alias("line"), F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    d = raw.select("r.type", "r.id", "line", F.get_json_object("line", "$.payload").alias("payload"), "__file", "__at")
     if d.filter("id is null or type is null").limit(1).count():
         raise ValueError("malformed_line")
-    twice = d.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("type", "id"))).filter("__n > 1")
-    if twice.limit(1).count():
+    if d.groupBy("type", "id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").limit(1).count():
         raise ValueError("duplicate_record")
+    # inside a file each line comes after the one before it; files are ranges of the order, one row each
+    key = F.struct("type", "id")
+    before = F.lag(key).over(Window.partitionBy("__file").orderBy("__at"))
+    ends = d.groupBy("__file").agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    last = F.max("__hi").over(Window.orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1))
+    if d.withColumn("__before", before).filter(F.col("__before") >= key).limit(1).count() or ends.withColumn("__last", last).filter("__last >= __lo").limit(1).count():
+        raise ValueError("order_mismatch")
+    place = F.get_json_object("payload", "$.path")
+    if d.filter(place.isNotNull() & ~scalars.relative_path(place)).limit(1).count():
+        raise ValueError("unsafe_path")
     again = record_lines(d.select("type", "payload"))
     if again.join(d, ["type", "id"], "left_anti").limit(1).count():
         raise ValueError("identity_mismatch")

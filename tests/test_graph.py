@@ -296,3 +296,47 @@ def test_classes_of_commits_links_and_drift(spark):
     ch = spark.createDataFrame([(0, "body", False, False, True), (1, "body", False, True, True), (2, "removed", False, False, True), (3, "body", False, False, None)], "entity_id int, category string, failed boolean, path_partial boolean, ordinal_shift boolean")
     got = {r.mapping_id: (r.outcome, r.reason) for r in overlays.drift(m, ch, spark.createDataFrame([("d", False)], "path string, changed boolean")).collect()}
     assert got == {0: ("unknown_history", "ordinal_shift"), 1: ("unknown_history", "path_partial"), 2: ("unknown_history", "ordinal_shift"), 3: ("review_needed", "source_changed")}
+
+
+def test_relative_imports_need_an_initialiser_at_each_level(spark):
+    i = spark.createDataFrame([(1, "a/b/c/m.py", 3, ["x"], "f"), (2, "a/b/c/m.py", 2, ["y"], "f"), (3, "p/q/m.py", 2, ["x"], "f")], "import_id int, path string, level int, module array<string>, name string")
+    m = spark.createDataFrame([(p,) for p in ("a/__init__.py", "a/b/c/__init__.py", "a/x.py", "a/b/y.py", "p/__init__.py", "p/q/__init__.py", "p/x.py")], "path string")
+    e = spark.createDataFrame([("a/x.py", "f", 1, False, False), ("a/b/y.py", "f", 2, False, False), ("p/x.py", "f", 3, False, False)], "path string, name string, line_start int, blocked boolean, conditional boolean")
+    assert {r.import_id: (r.target_line, r.reason) for r in resolve.relative_imports(i, m, e).collect()} == {1: (None, "no_package"), 2: (None, "no_package"), 3: (3, None)}
+
+
+def test_failed_and_unchanged_files(spark):
+    from loomgraph.operators import diff
+
+    kind = "entity_id long, path string, language string, kind string, name string, signature string, body string, line int"
+    row = lambda i, path, body: (i, path, "python", "function", "n", "f(x)", body, 1)
+    b, a = (diff.fingerprinted(spark.createDataFrame(x, kind)) for x in ([row(1, "a", "x"), row(2, "b", "x"), row(3, "c", "x")], [row(1, "a", "y"), row(4, "b", "x"), row(3, "c", "x")]))
+    one = lambda p: spark.createDataFrame([(p,)], "path string")
+    got = diff.aligned(b, a, failed=one("b"), same=one("c")).collect()
+    assert {(r.entity_id, r.category) for r in got} == {(1, "body"), (2, "unknown"), (4, "unknown")}
+
+
+def test_coverage_states_and_gap_reasons(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import overlays
+
+    spans = spark.createDataFrame([("a", 1, True, True, False), ("a", 2, False, True, False), ("a", 3, True, False, False), ("a", 4, True, True, True), ("a", 5, True, True, False), ("a", 6, True, True, False), ("b", 7, True, True, False), ("c", 8, True, True, False), ("d", 9, True, True, False)], "path string, span_id int, applicable boolean, supported boolean, limited boolean")
+    covered = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 4, True), ("a", 5, False)], "path string, span_id int, body boolean")
+    files = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
+    got = {r.span_id: r.state for r in overlays.coverage_state(spans, covered, files("a"), files("c"), files("a", "b")).collect()}
+    assert got == {1: "executed", 2: "not_applicable", 3: "unsupported_language", 4: "observation_limit", 5: "declaration_only", 6: "no_observation_in_span", 7: "no_observation_in_file", 8: "stale_only", 9: "no_coverage_source"}
+    d = spark.createDataFrame([("stale_only", "none"), ("executed", "found"), ("unsupported_language", "unsupported_language"), ("declaration_only", "incomplete")], "c string, s string")
+    assert [r.g for r in d.select(overlays.gap_reasons(F.col("c"), F.col("s")).alias("g")).collect()] == [["no_structural_test", "stale_coverage_only"], [], ["unsupported_language"], ["declaration_only_execution", "structural_discovery_incomplete"]]
+
+
+def test_incomplete_history_gives_no_records(spark):
+    from loomgraph.operators import overlays
+
+    c = spark.createDataFrame([(i, 1, p, "100644") for i in (1, 2, 3) for p in ("a", "b")], "commit_id int, parents int, path string, mode string")
+    whole = spark.createDataFrame([(3, 2), (2, 1), (1, 0)], "commit_id int, parent_id int")
+    records, reasons = overlays.co_change_overlay(c, whole, 1, 50)
+    assert [(r.a, r.b, r.support) for r in records.collect()] == [("a", "b", 2)] and reasons == []
+    records, reasons = overlays.co_change_overlay(c, spark.createDataFrame([(3, 2), (2, 9)], "commit_id int, parent_id int"), 1, 50)
+    assert records.collect() == [] and reasons == ["object_missing"]
+    assert overlays.co_change_overlay(c, whole, 1, 50, truncated=True)[1] == ["commit_budget_exhausted"]

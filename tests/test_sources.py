@@ -171,3 +171,20 @@ def test_retention(spark):
     g = spark.createDataFrame([("r", i, i, i, i == 1, 10) for i in range(1, 7)], "repo string, generation int, seq int, created int, root boolean, bytes int")
     kept = {r.generation for r in retained(g, 4, F.lit(4), most_bytes=30).filter("kept").collect()}
     assert kept == {1, 5, 6}
+
+
+def test_import_refuses_other_orders_and_unsafe_paths(spark, tmp_path):
+    rec = spark.createDataFrame([("entity", json.dumps({"path": f"src/{i}.py", "n": i})) for i in range(30)], "type string, payload string")
+    jsonl.export(rec, str(tmp_path / "x"))
+    assert jsonl.load(spark, str(tmp_path / "x")).count() == 30
+    part = max((tmp_path / "x" / "lines").glob("part-*"), key=lambda f: f.stat().st_size)
+    kept = part.read_text().splitlines()
+    part.write_text("\n".join(reversed(kept)) + "\n")
+    (tmp_path / "x" / "lines" / f".{part.name}.crc").unlink(missing_ok=True)
+    if len(kept) > 1:
+        with pytest.raises(ValueError, match="order_mismatch"):
+            jsonl.load(spark, str(tmp_path / "x"))
+    for i, bad in enumerate(("/abs.py", "a/../b.py", "a//b.py")):
+        jsonl.export(spark.createDataFrame([("entity", json.dumps({"path": bad}))], "type string, payload string"), str(tmp_path / str(i)))
+        with pytest.raises(ValueError, match="unsafe_path"):
+            jsonl.load(spark, str(tmp_path / str(i)))
