@@ -223,13 +223,13 @@ def counterfactual(files: DataFrame, diff: str) -> DataFrame:
     spark = files.sparkSession
     named = spark.createDataFrame([(c["old"], c["new"], json.dumps(c["hunks"])) for c in changes], "old string, new string, hunks string")
     new = named.filter("old is null").select(F.col("new").alias("path"), F.lit("").alias("text"), "hunks")
-    old = files.select("path", "text").join(F.broadcast(named.filter("old is not null").withColumnRenamed("old", "path")), "path").filter("new is not null").select(F.col("new").alias("path"), "text", "hunks")
+    old = files.select("path", "text").join(named.filter("old is not null").withColumnRenamed("old", "path"), "path").filter("new is not null").select(F.col("new").alias("path"), "text", "hunks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "text": [patched(t, json.loads(h)) for t, h in zip(b["text"], b["hunks"], strict=True)]})
 
-    return files.select("path", "text").join(F.broadcast(named.select(F.col("old").alias("path"))), "path", "left_anti").unionByName(old.unionByName(new).mapInPandas(run, "path string, text string"))
+    return files.select("path", "text").join(named.select(F.col("old").alias("path")), "path", "left_anti").unionByName(old.unionByName(new).mapInPandas(run, "path string, text string"))
 
 
 def normal_name(name: str) -> str:
