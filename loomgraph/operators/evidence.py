@@ -48,10 +48,12 @@ def boundaries(names: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame, line: Column, by: list[str]) -> DataFrame:
-    """Content digest of each group's record lines, whatever their order: lines are digested in 256 pieces by their own hash, then the pieces."""
-    h = F.sha2(line, 256)
-    piece = df.select(*by, h.alias("__h")).groupBy(*by, F.substring("__h", 1, 2).alias("__p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__h")), ""), 256).alias("__d"))
-    return piece.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("__p", "__d"))), ""), 256).alias("digest"))
+    """Content digest of each group's record lines, whatever their order: a tree of 65,536 pieces by the lines' own hash, 256 of
+    them to a branch, so that a piece is a small share of the largest group."""
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
+    leaf = df.select(*by, F.sha2(line, 256).alias("__h")).groupBy(*by, F.substring("__h", 1, 4).alias("__p")).agg(joined("__h").alias("__d"))
+    branch = leaf.groupBy(*by, F.substring("__p", 1, 2).alias("__b")).agg(joined(F.concat("__p", "__d")).alias("__d"))
+    return branch.groupBy(*by).agg(joined(F.concat("__b", "__d")).alias("digest"))
 
 
 def status(files: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators.intervals import declared_first
 from loomgraph.operators.lookup import confident
 from loomgraph.operators.resolve import STRUCTURAL
-from loomgraph.operators.tables import kept, placed
+from loomgraph.operators.tables import kept, placed, released
 
 NODE = ["path", "line", "name"]
 
@@ -51,7 +51,8 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = kept(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct())
+        done, e = e, kept(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct())
+        released(done)
 
 
 def propagate(neighbours: list[list[int]], passes: int = 100) -> list[int]:
@@ -352,6 +353,7 @@ def span_paths(spans: DataFrame) -> DataFrame:
     t = kept(leaf.select("trace_id", F.col("span_id").alias("leaf"), "span_id", F.lit(0).cast("long").alias("height")))
     for k in reversed(range(len(jumps))):
         more = t.join(jumps[k], ["trace_id", "span_id"]).select("trace_id", "leaf", F.col("above").alias("span_id"), F.col("height") + (1 << k))
-        t = kept(t.union(more))
+        done, t = t, kept(t.union(more))
+        released(done, jumps[k])
     chain = F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("depth"), "span_id")))
     return t.groupBy("trace_id", "leaf").agg(chain.alias("chain")).select("trace_id", F.col("chain.span_id").alias("path"))

@@ -33,7 +33,22 @@ def kept(df: DataFrame) -> DataFrame:
     finally:
         df.sparkSession.conf.unset(cleanup) if before is None else df.sparkSession.conf.set(cleanup, before)
     _made.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_kept_path", None):
+            _remove(df.sparkSession, path)
+            _made[:] = [x for x in _made if x[1] != path]
 
 
 def placed(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -57,8 +72,6 @@ def running(df: DataFrame, order: list, cost: Column, name: str) -> DataFrame:
 def _sweep() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session is gone
             return

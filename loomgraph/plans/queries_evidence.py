@@ -51,7 +51,8 @@ def impact_boundaries(spark, sf_dir):
     return evidence.boundaries(s, resolve.resolved(projected(spark, sf_dir, "refs"), s))
 
 
-_PIECES = "p AS (SELECT source, left(h, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY 1, 2)"
+_PIECES = """q AS (SELECT source, left(h, 4) AS q, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY 1, 2),
+ p AS (SELECT source, left(q, 2) AS p, sha256(string_agg(q || d, '' ORDER BY q || d)) AS d FROM q GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_PIECES} SELECT source, sha256(string_agg(p || d, '' ORDER BY p || d)) AS digest FROM p GROUP BY 1")
