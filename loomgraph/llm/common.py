@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,21 +144,26 @@ def components(edges: DataFrame) -> DataFrame:
     one task; tables are written between rounds.
     """
     a, b = edges.columns[:2]
-    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u != v").distinct()
-    e = written(e, "links", narrow=True)
+
+    def step(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The written edges, and what tells whether they have changed, counted while they are written."""
+        seen = Observation()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "links", narrow=True)
+        return out, (seen.get["n"], seen.get["sum"])
+
+    e, now = step(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u != v").distinct())
     mark = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now[0] == 0 or tuple(now) == mark:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        mark = tuple(now)
+    while now[0] and now != mark:
+        mark = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct()
-        done, e = e, written(small, "links", narrow=True)
+        done = e
+        e, now = step(small)
         dropped(done)
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
 LONG, INT, STR, BIN = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType()
