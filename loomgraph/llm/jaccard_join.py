@@ -10,11 +10,12 @@ then of about four bits a shingle, discard pairs whose distance is over the
 bound; what is left is verified on the texts.
 
 Equal sets are one class from the start, so copies cost nothing. Where many
-documents share a word, they meet its smallest member first; only those that
-are not connected by then are compared with each other, so no group is
-expanded into all its pairs and no link is lost. Documents that link share
-k - d words, not just one: each may leave out its k - d - 1 most common words, and
-the rarest word that both have is still there.
+documents share a word, they meet its smallest member first; those that are not
+connected by then are tied into clusters and compared in blocks of bounded size,
+sketch against sketch, nearest first. A block verifies what it compares and gives
+a forest of links, so no group is written out as its pairs and no link is lost.
+Documents that link share k - d words, not just one: each may leave out its
+k - d - 1 most common words, and the rarest word that both have is still there.
 """
 
 from __future__ import annotations
