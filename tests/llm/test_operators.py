@@ -131,6 +131,14 @@ def test_topk_with_ties_odd_vectors_and_waves(spark):
     assert few.count() == 2 and topk.top_k(e.filter("vec_id < 0"), e.filter("vec_id < 0")).count() == 0
 
 
+def test_topk_of_repeated_rows(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (1, [0.5]), (1, [0.5]), (100, [2.0]), (200, None), (None, [1.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.quantised("embedding").alias("w"), F.lit("x").alias("rank"))
+    got = sorted(tuple(r) for r in topk.top_k(e, e.filter("vec_id % 100 = 0")).collect())
+    one = 1024 * 1024
+    assert got == [(0, 1, 100, 2 * one), (0, 2, 1, one // 2), (0, 3, 1, one // 2), (100, 1, 0, 2 * one), (100, 2, 0, 2 * one), (100, 3, 1, one), (100, 4, 1, one)]
+
+
 # 4
 
 
@@ -198,6 +206,25 @@ def test_jaccard_chain_of_many_near_copies(spark):
     assert got == jaccard_plain(texts, 4, 85, 100)
 
 
+def test_jaccard_group_of_texts_that_share_most_words(spark, monkeypatch):
+    """One passage makes up most of every text, so all share words, but few link; the group is compared in many parts."""
+    monkeypatch.setattr(jaccard_join, "SIDE", 60_000)
+    monkeypatch.setattr(jaccard_join, "ROWS", 40)
+    rng = np.random.default_rng(12)
+    passage = [f"p{x}" for x in range(170)]
+    texts = []
+    for i in range(300):
+        if i % 10 == 7:
+            w = texts[int(rng.integers(0, len(texts)))].split()
+            w[int(rng.integers(0, len(w)))] = f"e{i}"
+        else:
+            w = passage + [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(55, 75)))]
+        texts.append(" ".join(w))
+    want = jaccard_plain(texts, 5, 8, 10)
+    assert 20 < len(texts) - len({c for *_, c in want}) < 40
+    assert {tuple(r) for r in jaccard_join.jaccard_components(table(spark, texts), 5, 8, 10).collect()} == want
+
+
 # 8
 
 
