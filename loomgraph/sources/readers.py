@@ -545,7 +545,9 @@ def _packed(value: object) -> list[int]:
 
 
 def scip_occurrences(files: DataFrame) -> DataFrame:
-    """(index, document, symbol, line, col, is_definition, reason) of SCIP indexes; local symbols are keyed by their document."""
+    """(index, document, symbol, line, col, is_definition, end_line, end_col, encoding, reason) of SCIP indexes; local symbols are
+    keyed by their document. Lines count from 1, columns from 0 in units of the document's encoding (utf8, utf16, utf32, or null
+    where the index does not say)."""
 
     def parse(path: str, raw: bytes) -> list[tuple]:
         try:
@@ -555,6 +557,7 @@ def scip_occurrences(files: DataFrame) -> DataFrame:
                     continue
                 parts = list(wire(doc))
                 name = next(bytes(v).decode() for f, _, v in parts if f == 1)
+                encoding = {1: "utf8", 2: "utf16", 3: "utf32"}.get(next((v for f, _, v in parts if f == 6), 0))
                 for f, _, occ in parts:
                     if f != 2:
                         continue
@@ -569,12 +572,71 @@ def scip_occurrences(files: DataFrame) -> DataFrame:
                             roles = v
                     if symbol.startswith("local "):
                         symbol = f"{name}:{symbol}"
-                    out.append((path, name, symbol, where[0] + 1, where[1], bool(roles & 1), None))
+                    end = where[2:] if len(where) > 3 else [where[0], where[2]] if len(where) == 3 else where[:2]
+                    out.append((path, name, symbol, where[0] + 1, where[1], bool(roles & 1), end[0] + 1, end[1], encoding, None))
             return out
         except (ValueError, UnicodeDecodeError, StopIteration, IndexError) as e:
-            return [(path, None, None, None, None, None, str(e) or "malformed_index")]
+            return [(path, None, None, None, None, None, None, None, None, str(e) or "malformed_index")]
 
-    return _per_file(files, "content", "index string, document string, symbol string, line int, col int, is_definition boolean, reason string", parse)
+    return _per_file(files, "content", "index string, document string, symbol string, line int, col int, is_definition boolean, end_line int, end_col int, encoding string, reason string", parse)
+
+
+#: What ends a line for the producers of SCIP indexes.
+_SCIP_LINES = re.compile("\r\n|[\n\r\u2028\u2029]")
+
+
+def scip_byte_ranges(occurrences: DataFrame, files: DataFrame, digests: DataFrame, encoding: str | None = None) -> DataFrame:
+    """(document, symbol, is_definition, line, start_byte, end_byte, reason): occurrences as byte ranges of the sources.
+
+    ``files`` (path, text); ``digests`` (path, sha256): the bytes that the index was made of. ``encoding`` stands in where a
+    document names none. Reasons: document_missing, digest_mismatch, unsupported_encoding, position_out_of_line and
+    position_not_on_boundary. A file and its occurrences meet in one task; files are read once.
+    """
+
+    def column(segment: str, at: int, code: str) -> int | str:
+        if code == "utf32":
+            return len(segment[:at].encode()) if at <= len(segment) else "position_out_of_line"
+        raw = segment.encode("utf-8" if code == "utf8" else "utf-16-le")
+        cut = at if code == "utf8" else 2 * at
+        if cut > len(raw):
+            return "position_out_of_line"
+        try:
+            return len(raw[:cut].decode("utf-8" if code == "utf8" else "utf-16-le").encode())
+        except UnicodeDecodeError:
+            return "position_not_on_boundary"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        text = None if right.empty else right["text"].iloc[0] or ""
+        agreed = not right.empty and right["sha256"].iloc[0] == hashlib.sha256(text.encode()).hexdigest()
+        starts, ends, offset = [0], [], []
+        body, mark = (text[1:], 3) if text and text[0] == "\ufeff" else (text or "", 0)
+        for m in _SCIP_LINES.finditer(body):
+            ends.append(m.start())
+            starts.append(m.end())
+        ends.append(len(body))
+        for a, b in zip(starts, [*starts[1:], len(body)], strict=True):
+            offset.append(mark)
+            mark += len(body[a:b].encode())
+
+        def byte(line: int, at: int, code: str) -> int | str:
+            if line > len(starts):
+                return "position_out_of_line"
+            found = column(body[starts[line - 1] : ends[line - 1]], at, code)
+            return found if isinstance(found, str) else offset[line - 1] + found
+
+        rows = []
+        for r in left.itertuples():
+            code = r.encoding or encoding
+            why = "document_missing" if text is None else "digest_mismatch" if not agreed else "unsupported_encoding" if code not in ("utf8", "utf16", "utf32") else None
+            ends_ = (None, None) if why else (byte(int(r.line), int(r.col), code), byte(int(r.end_line), int(r.end_col), code))
+            why = why or next((x for x in ends_ if isinstance(x, str)), None)
+            rows.append((r.document, r.symbol, r.is_definition, r.line, *((None, None) if why else ends_), why))
+        out = pd.DataFrame(rows, columns=["document", "symbol", "is_definition", "line", "start_byte", "end_byte", "reason"])
+        return out.astype({"start_byte": "Int64", "end_byte": "Int64"})
+
+    ok = occurrences.filter("reason is null").select("document", "symbol", "is_definition", "line", "col", "end_line", "end_col", "encoding")
+    named = files.join(digests.select("path", "sha256"), "path", "left").select(F.col("path").alias("document"), "text", "sha256").join(ok.select("document").distinct(), "document", "left_semi")
+    return ok.groupBy("document").cogroup(named.groupBy("document")).applyInPandas(run, "document string, symbol string, is_definition boolean, line int, start_byte long, end_byte long, reason string")
 
 
 def scip_references(occurrences: DataFrame) -> DataFrame:

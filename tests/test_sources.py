@@ -188,3 +188,21 @@ def test_import_refuses_other_orders_and_unsafe_paths(spark, tmp_path):
         jsonl.export(spark.createDataFrame([("entity", json.dumps({"path": bad}))], "type string, payload string"), str(tmp_path / str(i)))
         with pytest.raises(ValueError, match="unsafe_path"):
             jsonl.load(spark, str(tmp_path / str(i)))
+
+
+def test_scip_byte_ranges(spark):
+    import hashlib
+
+    text = {"a.py": "x = 1\r\né\U0001f600name = x\n\u2028last", "b.py": "\ufeffab\n", "c.py": "changed", "d.py": "q"}
+    rows = [
+        ("a.py", "s", 1, 0, 1, 1, "utf8"), ("a.py", "n8", 2, 6, 2, 10, "utf8"), ("a.py", "n16", 2, 3, 2, 7, "utf16"), ("a.py", "n32", 2, 2, 2, 6, "utf32"), ("a.py", "half", 2, 2, 2, 7, "utf16"), ("a.py", "mid", 2, 1, 2, 6, "utf8"),
+        ("a.py", "far", 1, 0, 1, 6, "utf8"), ("a.py", "down", 9, 0, 9, 1, "utf8"), ("a.py", "after", 4, 0, 4, 4, "utf32"), ("a.py", "both", 1, 4, 2, 2, "utf32"), ("b.py", "bom", 1, 0, 1, 2, None), ("c.py", "sha", 1, 0, 1, 1, "utf8"), ("gone.py", "no", 1, 0, 1, 1, "utf8"), ("d.py", "odd", 1, 0, 1, 1, "ebcdic"),
+    ]
+    o = spark.createDataFrame([(d, s, True, a, b, c, e, code, None) for d, s, a, b, c, e, code in rows], "document string, symbol string, is_definition boolean, line int, col int, end_line int, end_col int, encoding string, reason string")
+    f = spark.createDataFrame(list(text.items()), "path string, text string")
+    sha = spark.createDataFrame([(p, hashlib.sha256(("old" if p == "c.py" else x).encode()).hexdigest()) for p, x in text.items()], "path string, sha256 string")
+    got = {r.symbol: (r.start_byte, r.end_byte, r.reason) for r in readers.scip_byte_ranges(o, f, sha, "utf16").collect()}
+    raw = text["a.py"].encode()
+    assert {s: raw[got[s][0] : got[s][1]].decode() for s in ("s", "n8", "n16", "n32", "after", "both")} == {"s": "x", "n8": "name", "n16": "name", "n32": "name", "after": "last", "both": "1\r\né\U0001f600"}
+    assert got["bom"] == (3, 5, None)
+    assert {s: w for s, (_, _, w) in got.items() if w} == {"half": "position_not_on_boundary", "mid": "position_not_on_boundary", "far": "position_out_of_line", "down": "position_out_of_line", "sha": "digest_mismatch", "no": "document_missing", "odd": "unsupported_encoding"}
