@@ -17,9 +17,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import scalars
+
 
 def _per_file(files: DataFrame, column: str, schema: str, parse: Callable[[str, object], list[tuple]]) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
@@ -79,6 +81,60 @@ def rule_documents(files: DataFrame) -> DataFrame:
     return d.select("path", F.col("rule.id").alias("rule_id"), F.col("rule.relation").alias("relation"), F.col("rule.from").alias("sources"), F.col("rule.to").alias("targets"), reason.alias("reason"))
 
 
+_SHA = r"^[0-9a-f]{64}$"
+_DECISIONS = "struct<format: int, mappings: array<struct<mapping_id: string, decision_id: string, document: struct<path: string, sha256: string>, span: struct<start_byte: bigint, end_byte: bigint, sha256: string>, target: struct<entity_id: string, path: string, kind: string, name: string>>>>"
+
+
+def decision_mappings(files: DataFrame) -> DataFrame:
+    """(file, mapping_id, decision_id, path, sha, start, stop, span_sha, entity_id, target_path, target_kind, target_name, reason) of
+    documents that tie spans of decision records to declarations.
+
+    Reasons: not_a_mapping_document, unsupported_format, missing_id, duplicate_mapping (an id that the document holds twice),
+    unsafe_path, invalid_span, malformed_digest, missing_target.
+    """
+    d = files.select(F.col("path").alias("file"), F.from_json("text", _DECISIONS).alias("r")).select("file", "r", F.posexplode_outer("r.mappings").alias("pos", "m"))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("file", "m.mapping_id")) > 1  # a document's own entries
+    text = lambda c: F.coalesce(c, F.lit("")) != ""
+    reason = (
+        F.when(F.col("r").isNull() | F.col("r.mappings").isNull(), "not_a_mapping_document")
+        .when(F.coalesce("r.format", F.lit(-1)) != 1, "unsupported_format")
+        .when(~text(F.col("m.mapping_id")) | ~text(F.col("m.decision_id")), "missing_id")
+        .when(twice, "duplicate_mapping")
+        .when(~F.coalesce(scalars.relative_path(F.col("m.document.path")) & scalars.relative_path(F.col("m.target.path")), F.lit(False)), "unsafe_path")
+        .when(~F.coalesce((F.col("m.span.start_byte") >= 0) & (F.col("m.span.start_byte") < F.col("m.span.end_byte")), F.lit(False)), "invalid_span")
+        .when(~F.coalesce(F.col("m.document.sha256").rlike(_SHA) & F.col("m.span.sha256").rlike(_SHA), F.lit(False)), "malformed_digest")
+        .when(~text(F.col("m.target.kind")) | ~text(F.col("m.target.name")), "missing_target")
+    )
+    names = {"mapping_id": "m.mapping_id", "decision_id": "m.decision_id", "path": "m.document.path", "sha": "m.document.sha256", "start": "m.span.start_byte", "stop": "m.span.end_byte", "span_sha": "m.span.sha256",
+             "entity_id": "m.target.entity_id", "target_path": "m.target.path", "target_kind": "m.target.kind", "target_name": "m.target.name"}
+    return d.withColumn("reason", reason).select("file", *[F.col(c).alias(n) for n, c in names.items()], "reason")
+
+
+_PACKAGES = "struct<format: int, repositories: array<string>, consumer: struct<lock_sha256: string, environment: string>, packages: array<struct<coordinate: string, package_snapshot_sha256: string, source_prefix: string>>>"
+
+
+def package_mappings(files: DataFrame) -> DataFrame:
+    """(file, lock_sha256, environment, coordinate, package_sha256, source_prefix, reason) of documents that tie a consumer's locked
+    packages to provider snapshots.
+
+    Reasons: not_a_mapping_document, unsupported_format, missing_consumer, missing_coordinate, duplicate_coordinate,
+    malformed_digest, unsafe_prefix (empty, or a relative folder that ends in a slash, is safe).
+    """
+    d = files.select(F.col("path").alias("file"), F.from_json("text", _PACKAGES).alias("r")).select("file", "r", F.explode_outer("r.packages").alias("p"))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("file", "p.coordinate")) > 1
+    prefix = F.col("p.source_prefix")
+    reason = (
+        F.when(F.col("r").isNull() | F.col("r.packages").isNull(), "not_a_mapping_document")
+        .when(F.coalesce("r.format", F.lit(-1)) != 1, "unsupported_format")
+        .when(~F.coalesce(F.col("r.consumer.lock_sha256").rlike(_SHA), F.lit(False)) | F.col("r.consumer.environment").isNull(), "missing_consumer")
+        .when(F.coalesce("p.coordinate", F.lit("")) == "", "missing_coordinate")
+        .when(twice, "duplicate_coordinate")
+        .when(~F.coalesce(F.col("p.package_snapshot_sha256").rlike(_SHA), F.lit(False)), "malformed_digest")
+        .when(~F.coalesce((prefix == "") | (prefix.endswith("/") & scalars.relative_path(F.regexp_replace(prefix, "/$", ""))), F.lit(False)), "unsafe_prefix")
+    )
+    return d.select("file", F.col("r.consumer.lock_sha256").alias("lock_sha256"), F.col("r.consumer.environment").alias("environment"), F.col("p.coordinate").alias("coordinate"), F.col("p.package_snapshot_sha256").alias("package_sha256"), prefix.alias("source_prefix"), reason.alias("reason"))
+
+
 # Python parsers, one file at a time
 
 

@@ -206,3 +206,23 @@ def test_scip_byte_ranges(spark):
     assert {s: raw[got[s][0] : got[s][1]].decode() for s in ("s", "n8", "n16", "n32", "after", "both")} == {"s": "x", "n8": "name", "n16": "name", "n32": "name", "after": "last", "both": "1\r\né\U0001f600"}
     assert got["bom"] == (3, 5, None)
     assert {s: w for s, (_, _, w) in got.items() if w} == {"half": "position_not_on_boundary", "mid": "position_not_on_boundary", "far": "position_out_of_line", "down": "position_out_of_line", "sha": "digest_mismatch", "no": "document_missing", "odd": "unsupported_encoding"}
+
+
+def test_decision_mappings(spark):
+    sha = "0" * 64
+    entry = lambda i, **other: {"mapping_id": i, "decision_id": "ADR-1", "document": {"path": "docs/a.md", "sha256": sha}, "span": {"start_byte": 0, "end_byte": 9, "sha256": sha}, "target": {"entity_id": "e", "path": "a.py", "kind": "class", "name": "A"}} | other
+    ok = [entry("ok"), entry(""), entry("two"), entry("two"), entry("up", document={"path": "../a.md", "sha256": sha}), entry("span", span={"start_byte": 4, "end_byte": 4, "sha256": sha}), entry("sha", document={"path": "a.md", "sha256": "x"}), entry("target", target={"path": "a.py"})]
+    rows = [("m", json.dumps({"format": 1, "mappings": ok})), ("f", json.dumps({"format": 2, "mappings": ok[:1]})), ("bad", "{"), ("other", "{}")]
+    got = [(r.file, r.mapping_id, r.reason) for r in readers.decision_mappings(texts(spark, *rows)).collect()]
+    assert {(i, w) for f, i, w in got if f == "m"} == {("ok", None), ("", "missing_id"), ("two", "duplicate_mapping"), ("up", "unsafe_path"), ("span", "invalid_span"), ("sha", "malformed_digest"), ("target", "missing_target")}
+    assert {(f, w) for f, _, w in got if f != "m"} == {("f", "unsupported_format"), ("bad", "not_a_mapping_document"), ("other", "not_a_mapping_document")}
+
+
+def test_package_mappings(spark):
+    sha = "a" * 64
+    entry = lambda c, digest=sha, prefix="src/": {"coordinate": c, "package_snapshot_sha256": digest, "source_prefix": prefix}
+    doc = {"format": 1, "repositories": ["r"], "consumer": {"lock_sha256": sha, "environment": "e"}, "packages": [entry("a"), entry("b", prefix=""), entry(""), entry("c"), entry("c"), entry("d", "x"), entry("e", prefix="src"), entry("f", prefix="/src/")]}
+    rows = [("m", json.dumps(doc)), ("none", json.dumps(doc | {"consumer": {}, "packages": [entry("z")]})), ("bad", "[]")]
+    got = {(r.file, r.coordinate, r.reason) for r in readers.package_mappings(texts(spark, *rows)).collect()}
+    assert {(c, w) for f, c, w in got if f == "m"} == {("a", None), ("b", None), ("", "missing_coordinate"), ("c", "duplicate_coordinate"), ("d", "malformed_digest"), ("e", "unsafe_prefix"), ("f", "unsafe_prefix")}
+    assert {(f, w) for f, _, w in got if f != "m"} == {("none", "missing_consumer"), ("bad", "not_a_mapping_document")}
