@@ -512,7 +512,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A doc_id that is repeated stays once.
     """
     found = written(jaccard_components(docs, 5, 8, 10), "components", narrow=True)
-    goes = found.filter("doc_id != component_id").select("doc_id").distinct()
+    goes = written(found.filter("doc_id != component_id").select("doc_id").distinct(), "goes", narrow=True)
     kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
     twice = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("doc_id")
     if twice.isEmpty():
