@@ -197,6 +197,20 @@ def neighborhood(assertions: DataFrame, starts: DataFrame, depth: int = 3, relat
     return _searched(_steps(assertions, relations, incoming), starts, depth, confidences).drop("place")
 
 
+def reached(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, distance) over ``edges`` (source, target) from every start: a search whose order does not matter, so levels are
+    neither sorted nor given parents."""
+    step = kept(edges.select(F.col("source").alias("here"), F.col("target").alias("__node")).distinct())
+    seen = level = kept(starts.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")))
+    for k in range(1, depth + 1):
+        met = level.select("seed", F.col("node").alias("here")).join(step, "here").select("seed", F.col("__node").alias("node")).distinct()
+        level = kept(met.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(k)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
 def traverse(assertions: DataFrame, starts: DataFrame, depth: int = 3, relations: Sequence[str] = ("call",), confidences: Sequence[str] = ("EXTRACTED", "INFERRED"), incoming: bool = False,
              max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and outcome of a bounded neighborhood of each seed.
@@ -301,9 +315,9 @@ def rule_check(file_edges: DataFrame, files: DataFrame, rules: DataFrame, bounda
     files whose imports are not fully known. Outcome: violated > incomplete_due_to_budget > unknown > satisfied_within_scope.
     ``reasons`` maps each reason why a search is not whole (depth_limit, import_boundary) to true.
     """
-    a = file_edges.select("source", "target", F.lit("import").alias("relation"), F.lit("EXTRACTED").alias("confidence")).distinct()
+    a = file_edges.select("source", "target").distinct()
     start = files.select(F.col("path").alias("seed")).join(rules.select("rule_id", "from_prefix"), F.col("seed").startswith(F.col("from_prefix")))
-    reach = kept(neighborhood(a, start.select("seed").distinct(), depth, ["import"]))
+    reach = reached(a, start.select("seed").distinct(), depth)
     met = start.join(reach, "seed").join(rules.select("rule_id", "to_prefix"), "rule_id")
     met = kept(met.select("rule_id", "seed", "node", "distance", F.col("node").startswith(F.col("to_prefix")).alias("__bad")))
     bad = met.filter("__bad and distance > 0").groupBy("rule_id").agg(F.count(F.lit(1)).alias("violations"), F.min(F.struct("seed", "node")).alias("__w"))

@@ -88,9 +88,7 @@ def checked(files: DataFrame, rules: Sequence[Rule], depth: int = 16) -> tuple[D
     edges = kept(edges)
     spark = files.sparkSession
     starts = kept(files.select("path", F.array_compact(F.array(*[F.when(_any(F.col("path"), r.sources), r.rule_id) for r in rules])).alias("__r")).filter(F.size("__r") > 0).select(F.col("path").alias("seed"), F.explode("__r").alias("rule_id")))
-    a = edges.select("source", "target", F.lit("import").alias("relation"), F.lit("EXTRACTED").alias("confidence"))
-    reach = kept(graph.neighborhood(a, starts.select("seed").distinct(), depth, ["import"]))
-    met = starts.join(reach.select("seed", "node", "distance"), "seed")
+    met = starts.join(graph.reached(edges, starts.select("seed").distinct(), depth), "seed")
     bad = reduce(lambda x, y: x | y, [(F.col("rule_id") == r.rule_id) & _any(F.col("node"), r.targets) for r in rules], F.lit(False))
     violations = kept(met.filter(bad & (F.col("distance") > 0)).select("rule_id", F.col("seed").alias("source"), F.col("node").alias("target")))
     deep = met.filter(F.col("distance") == depth).join(edges.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select("rule_id", F.lit(True).alias("__deep")).distinct()
