@@ -134,6 +134,27 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], sub: Column, na
     return d.join(sizes, on).withColumn(name, F.col("__rank") + F.col("__shift")).select(*df.columns, name)
 
 
+def positions(df: DataFrame, group: list[str], order: list[str], name: str, total: str) -> DataFrame:
+    """Append ``name``, a gapless number from 0 inside ``group`` (never null) by ``order``, and ``total``, the group's rows.
+
+    Rows are dealt by ranges of (group, order) and sorted in their range, so a
+    hot group spreads over tasks; ranges are shifted by the sizes of those
+    before them. ``df`` is computed twice: give a written table.
+    """
+    from pyspark.sql import Window
+
+    keys = [*group, *order]
+    d = written(df.repartitionByRange(n_parts(df.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__id", 33)
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range and group in it
+    sizes = d.groupBy(*group, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    sizes = sizes.select(*group, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__n").over(whole).alias(total))
+    out = d.withColumn("__part", part).join(sizes, [*group, "__part"])
+    return out.select(*df.columns, (F.col("__id") + F.col("__shift")).alias(name), total)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the long pairs in the first two columns: (id, component).
 
