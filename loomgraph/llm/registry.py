@@ -1,4 +1,4 @@
-"""The ten operators' queries and their SQL."""
+"""The operators' queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, suffix_dedup, topk, url_filter
+from loomgraph.llm import chat, embedding_dedup, jaccard_join, language, manifest, packing, pieces, quality, resample, sharding, suffix_dedup, topk, url_filter
 from loomgraph.llm.sql import ORACLES
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+        "op11_importance_resampling": resample.op11_importance_resampling,
+        "op12_merkle_manifest": manifest.op12_merkle_manifest,
+        "op13_chat_formatting": chat.op13_chat_formatting,
     }
 
 
