@@ -34,7 +34,9 @@ from loomgraph.llm.textbytes import by_bucket, chunks, distinct, mix, shingles,
 #: Members of one equal word that are paired all with all; larger groups meet their smallest member.
 SMALL = 8
 #: Longs of the dense sketch; sketch words in a bucket of the join, and in a block of documents that is looked at before.
-LONGS, BUCKET, BLOCK = 16, 300_000, 500_000
+LONGS, BUCKET, BLOCK = 16, 200_000, 300_000
+#: Bit of a code: its document stands for a group that is large in its task. The bits below hold the rest of the code.
+STANDS = 128
 #: A band spans this many steps of the similarity.
 STEPS = 2
 
@@ -130,7 +132,7 @@ def _sketch_words(row: np.ndarray, h: np.ndarray, rows: int, bands: Bands) -> tu
     """(row, key, code) of the sketch words by which documents meet, in their own band and, if a link can reach it, the next.
 
     The lowest bit of a code says that the band is the document's own; the others, how many of these words any document
-    that links has too, at least (127 if more).
+    that links has too, at least (63 if more).
     """
     n = np.bincount(row, minlength=rows)
     own = bands.of(np.maximum(n, 1))
@@ -157,7 +159,7 @@ def _sketch_words(row: np.ndarray, h: np.ndarray, rows: int, bands: Bands) -> tu
         most = empty >= k - d
         keep = filled | most[who]
         # a document that uses its empty words may meet one that does not: nothing but one word is certain then
-        shared = np.minimum(np.where(most, 1, k - d - empty), 127)
+        shared = np.minimum(np.where(most, 1, k - d - empty), 63)
         who, part, word = who[keep], part[keep], word[keep]
         key = mix(word + mix((band[who] * 1_000_003 + part).astype(np.uint64)))
         out.append((who, key, (shared[who] * 2 + home).astype(np.uint8)))
@@ -166,7 +168,7 @@ def _sketch_words(row: np.ndarray, h: np.ndarray, rows: int, bands: Bands) -> tu
 
 def _groups(key: np.ndarray, ident: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct (key, ident) with code, and where each key's run begins; members at home come first."""
-    order = np.lexsort((ident, ~code & 1, key))
+    order = np.lexsort((code < STANDS, ident, ~code & 1, key))
     key, ident, code = key[order], ident[order], code[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
@@ -176,10 +178,15 @@ def _groups(key: np.ndarray, ident: np.ndarray, code: np.ndarray) -> tuple[np.nd
     return key, ident, code, np.flatnonzero(start)
 
 
-def _met(key: np.ndarray, ident: np.ndarray, code: np.ndarray, at: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs 2 x m, and 3 x m (key, member, code) of large groups; keys in ``also`` count as large."""
+def _members(key: np.ndarray, ident: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.stack([key, ident, (code & (STANDS - 1)).astype(np.uint64)])
+
+
+def _met(key: np.ndarray, ident: np.ndarray, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs 2 x m, and 3 x m (key, member, code) of large groups; a group with a member that stands for others is large."""
     size = np.diff(np.concatenate([at, [len(key)]]))
-    large = (size > SMALL) | np.isin(key[at], also)
+    stands = np.logical_or.reduceat(code >= STANDS, at) if len(at) else np.zeros(0, bool)
+    large = (size > SMALL) | stands
     home = (code & 1).astype(bool)
     pairs, members = [np.empty((2, 0), np.uint64)], [np.empty((3, 0), np.uint64)]
     for c in np.unique(size[(size > 1) & ~large]):
@@ -194,7 +201,7 @@ def _met(key: np.ndarray, ident: np.ndarray, code: np.ndarray, at: np.ndarray, a
         lead = at[of[m]]
         ok = home[lead] & (lead != m)
         pairs.append(np.stack([ident[lead[ok]], ident[m[ok]]]))
-        members.append(np.stack([key[m], ident[m], code[m].astype(np.uint64)]))
+        members.append(_members(key[m], ident[m], code[m]))
     return np.concatenate(pairs, 1), np.concatenate(members, 1)
 
 
@@ -202,29 +209,55 @@ _FAT_NAMES = ("keys", "ids", "codes", "pairs", "large")
 _FAT = "bucket int, " + ", ".join(f"{n} binary" for n in _FAT_NAMES)
 
 
-def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
-    """Sketch words packed by bucket. In a block of documents, equal sets count once, and a group
-    that is large here already meets here; its first member alone goes on."""
+class _Hot:
+    """The keys of a task's large groups, each with the member that went on for it, and whether that one is at home."""
+
+    def __init__(self):
+        self.key, self.lead, self.home = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+
+    def add(self, key: np.ndarray, lead: np.ndarray, home: np.ndarray) -> None:
+        at = np.searchsorted(self.key, key)
+        self.key, self.lead, self.home = np.insert(self.key, at, key), np.insert(self.lead, at, lead), np.insert(self.home, at, home)
 
-    def packed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, ident, code, at = _groups(*[np.concatenate(x) for x in zip(*found, strict=True)])
-        size = np.diff(np.concatenate([at, [len(key)]]))
+    def split(self, key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are of a known group, and the pairs of those with its first member."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.empty((2, 0), np.uint64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        seen = self.key[at] == key
+        use = seen & self.home[at] & (self.lead[at] != ident)
+        return seen, np.stack([self.lead[at[use]], ident[use]])
+
+
+def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
+    """Sketch words packed by bucket. Blocks of documents are looked at before: equal sets count once, and a group that is
+    large in one meets there. One member of it goes on for the whole task, marked, so what a word's bucket gets does not
+    follow the group; the members are dealt evenly over all buckets."""
+
+    def packed(found: list[tuple[np.ndarray, ...]], hot: _Hot) -> Iterator[pa.RecordBatch]:
+        key, ident, code, _ = _groups(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        seen, late = hot.split(key, ident)
+        members = _members(key[seen], ident[seen], code[seen])
+        key, ident, code = key[~seen], ident[~seen], code[~seen]
+        first = np.append(True, key[1:] != key[:-1])[: len(key)]
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(key)))
         big = np.repeat(size > SMALL, size)
-        pairs, large = np.empty((2, 0), np.uint64), np.empty((3, 0), np.uint64)
-        if big.any():
-            first = np.zeros(len(key), bool)
-            first[at] = True
-            pairs, large = _met(key[big], ident[big], code[big], np.flatnonzero(first[big]), key[:0])
-            keep = ~big | first
-            key, ident, code = key[keep], ident[keep], code[keep]
-        for at_, cols, names in ((key, (key, ident, code), ("keys", "ids", "codes")), (pairs[0], (pairs,), ("pairs",)), (large[0], (large,), ("large",))):
+        pairs, large = _met(key[big], ident[big], code[big], np.flatnonzero(first[big]))
+        hot.add(key[big & first], ident[big & first], (code[big & first] & 1).astype(bool))
+        code = np.where(big, code | STANDS, code).astype(np.uint8)
+        keep = ~big | first
+        key, ident, code = key[keep], ident[keep], code[keep]
+        pairs, large = np.concatenate([pairs, late], 1), np.concatenate([large, members], 1)
+        even = mix(large[0] ^ mix(large[1]))
+        for at_, cols, names in ((key, (key, ident, code), ("keys", "ids", "codes")), (pairs[0] ^ pairs[1], (pairs,), ("pairs",)), (even, (large,), ("large",))):
             there, values = by_bucket((at_ % np.uint64(buckets)).astype(np.int64), *cols)
             if len(there):
                 given = dict(zip(names, values, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[pa.array(given.get(n, [b""] * len(there)), pa.binary()) for n in _FAT_NAMES]], names=["bucket", *_FAT_NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+        found, held, hot = [], 0, _Hot()
         for batch in batches:
             for lo, hi, offsets, data in chunks(batch.column("text")):
                 row, h = _sets(offsets, data, k)
@@ -235,10 +268,10 @@ def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
                 found.append((key, ident[who], code))
                 held += len(key)
                 if held > BLOCK:
-                    yield from packed(found)
+                    yield from packed(found, hot)
                     found, held = [], 0
         if held:
-            yield from packed(found)
+            yield from packed(found, hot)
 
     return docs.select("text").mapInArrow(run, _FAT)
 
@@ -251,16 +284,19 @@ def _meet(table: pa.Table) -> pa.Table:
     stacked = lambda c, n: np.concatenate([np.frombuffer(x, np.uint64).reshape(n, -1) for x in table.column(c).to_pylist()], 1)
     early, before = stacked("pairs", 2), stacked("large", 3)
     key, ident, code, at = _groups(_joined(table.column("keys"), np.uint64), _joined(table.column("ids"), np.uint64), _joined(table.column("codes"), np.uint8))
-    pairs, large = _met(key, ident, code, at, np.unique(before[0]))
+    pairs, large = _met(key, ident, code, at)
     pairs, large = np.concatenate([pairs, early], 1), np.concatenate([large, before], 1)
     pairs = pairs[:, pairs[0] != pairs[1]]
     pairs = np.unique(np.sort(pairs, 0), axis=1) if pairs.size else pairs
-    large = np.unique(large, axis=1) if large.size else large
     kind = np.repeat([False, True], [pairs.shape[1], large.shape[1]])
     a, b = (np.concatenate([pairs[i], large[i]]).view(np.int64) for i in (0, 1))
     return pa.table({"large": pa.array(kind), "a": pa.array(a), "b": pa.array(b), "code": pa.array(np.concatenate([np.zeros(pairs.shape[1]), large[2]]), pa.int32(), safe=False)})
 
 
+#: Partners that one copy of a text meets, about.
+MEET = 500
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the (u, v) pairs that link, by the sets of their texts."""
 
@@ -284,7 +320,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 yield b.filter(pa.array((den * both >= num * total) & (both > 0))).select(["u", "v"])
 
     t = texts.select(F.col("doc_id").alias("__d"), "text")
-    p = pairs.join(t.select(F.col("__d").alias("v"), F.col("text").alias("tb")), "v").join(t.select(F.col("__d").alias("u"), F.col("text").alias("ta")), "u")
+    # the first of a large group meets all its members: its text goes to as many places as they need
+    places = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("__places"))
+    p = pairs.join(places, "u").withColumn("__place", F.pmod(F.xxhash64("v"), F.col("__places"))).drop("__places")
+    ta = t.join(places, F.col("__d") == F.col("u")).select("u", F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__places") - 1)).alias("__place"))
+    p = p.join(t.select(F.col("__d").alias("v"), F.col("text").alias("tb")), "v").join(ta, ["u", "__place"])
     return p.select("u", "v", "ta", "tb").mapInArrow(run, "u long, v long").distinct()
 
 

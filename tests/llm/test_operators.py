@@ -225,6 +225,28 @@ def test_jaccard_group_of_texts_that_share_most_words(spark, monkeypatch):
     assert {tuple(r) for r in jaccard_join.jaccard_components(table(spark, texts), 5, 8, 10).collect()} == want
 
 
+def test_a_buckets_size_does_not_follow_a_groups(spark):
+    """Near copies of one text: what stands in a word's bucket is one member for each task, the others are dealt evenly."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    most, spread = [], []
+    for n in (1000, 4000):
+        texts = []
+        for i in range(n):
+            w = list(base)
+            w[int(rng.integers(300))] = f"own{i}"
+            texts.append(" ".join(w))
+        docs = table(spark, texts).coalesce(2)
+        rows = jaccard_join._emit(docs, 5, jaccard_join.Bands(8, 10), 400).groupBy("bucket").agg(*[F.sum(F.length(c)).alias(c) for c in ("keys", "pairs", "large")]).toPandas()
+        most.append(rows["keys"].max())
+        spread.append((rows[["pairs", "large"]].max() / rows[["pairs", "large"]].mean()).max())
+    # words with an own shingle are keys too and follow the documents; they fall evenly
+    assert most[1] < 4.5 * most[0] and spread[1] < 2.5
+    docs = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 300, 2)] * 3
+    got = jaccard_join.jaccard_components(table(spark, docs), 5, 8, 10)
+    assert {tuple(r) for r in got.collect()} == jaccard_plain(docs, 5, 8, 10)
+
+
 # 8
 
 
