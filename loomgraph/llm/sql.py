@@ -102,4 +102,60 @@ SELECT doc_id, nb AS n_bytes, gone AS n_removed, spans AS n_spans, sha256(unhex(
 FROM x
 """
 
-ORACLES = {"op3_exact_topk": _TOPK, "op5_url_filters": _URL, "op6_sharding": _SHARD, "op7_ngram_jaccard_join": _JACCARD, "op8_embedding_near_dedup": _NEAR, "op10_suffix_array_dedup": _REPEATS}
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(range(length({0}) // 2), lambda i: ('0x' || {0}[2 * i + 1 : 2 * i + 2])::BIGINT), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
+
+_RESAMPLE = rf"""
+WITH t AS (SELECT {_CRC_TABLE} AS crc), d AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM documents
+), b AS (SELECT unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+k AS (SELECT f, {_CRC.format("h")} % 10000 AS bucket FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM d UNION SELECT f FROM b)), t),
+raw AS (SELECT bucket, count(*) AS s FROM d JOIN k USING (f) GROUP BY 1), aim AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM raw LEFT JOIN aim USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS w FROM d JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+s AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(w, 0)::BIGINT AS weight,
+  coalesce(w, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE n_features >= 20)
+SELECT s.*, r.rank FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.rank <= (SELECT 10 * count(*) // 100 FROM r)
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0} END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# levels of each source's tree, then of the tree over the sources' roots; a leaf's path is what stands beside it in the runs above it
+_MERKLE = f"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS crc), d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '0' || source END AS g, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf,
+    CASE WHEN {_CRC.format("k")} % 2 = 0 THEN sha256({_LEAF} || {_FIELD.format("replace(text, chr(10), '')")}) ELSE sha256({_LEAF} || {_FIELD.format("text")}) END AS now
+  FROM (SELECT *, hex(encode(doc_id::VARCHAR)) AS k FROM documents), t
+), l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+low(g, level, pos, n, h) AS (
+  SELECT g, 0, pos, n, leaf FROM l UNION ALL SELECT g, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY g, level, pos // 3
+), sub AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+top(level, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM sub UNION ALL SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 3
+), beside AS (
+  SELECT l.g, l.pos AS leaf_pos, x.level AS step, x.pos < l.pos // (3 ** x.level)::BIGINT AS before, x.pos <> l.pos // (3 ** x.level)::BIGINT AS other, x.pos, x.h
+  FROM l JOIN low x ON x.g = l.g AND x.n > 1 AND x.pos // 3 = l.pos // (3 ** (x.level + 1))::BIGINT
+), above AS (
+  SELECT s.g, x.level + 1000 AS step, x.pos < s.pos // (3 ** x.level)::BIGINT AS before, x.pos <> s.pos // (3 ** x.level)::BIGINT AS other, x.pos, x.h
+  FROM sub s JOIN top x ON x.n > 1 AND x.pos // 3 = s.pos // (3 ** (x.level + 1))::BIGINT
+), p AS (SELECT * FROM beside UNION ALL SELECT l.g, l.pos, step, before, other, a.pos, h FROM l JOIN above a USING (g)),
+r AS (SELECT g, leaf_pos, step, coalesce(string_agg(h, '' ORDER BY pos) FILTER (before), '') AS a, coalesce(string_agg(h, '' ORDER BY pos) FILTER (other AND NOT before), '') AS b FROM p GROUP BY ALL),
+w AS (SELECT g, leaf_pos AS pos, string_agg(a || b, '' ORDER BY step) AS path, list(a || '|' || b ORDER BY step) AS steps FROM r GROUP BY 1, 2),
+f AS (SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(path, '')) AS proof_sha256,
+  list_reduce([now] || coalesce(steps, []), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM l JOIN sub s USING (g) LEFT JOIN w ON w.g = l.g AND w.pos = l.pos)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+_MARKS = "(length({0}) - length(replace({0}, chr(92), '')) + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: length(x) - 2)), 0) + (length({0}) - length(replace({0}, '</turn>', ''))) // 7)"
+_CHAT = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + length(role) + length(regexp_replace(role, '[^:#<' || chr(92) || chr(92) || ']', '', 'g')) + length(text) + {_MARKS.format("text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLES = {"op3_exact_topk": _TOPK, "op5_url_filters": _URL, "op6_sharding": _SHARD, "op7_ngram_jaccard_join": _JACCARD, "op8_embedding_near_dedup": _NEAR, "op10_suffix_array_dedup": _REPEATS, "op11_importance_resampling": _RESAMPLE, "op12_merkle_manifest": _MERKLE, "op13_chat_formatting": _CHAT}
