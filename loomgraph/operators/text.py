@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,37 +81,47 @@ def rationale(files: DataFrame) -> DataFrame:
     return rationale_comments(d.filter(F.trim("content").rlike(r"^(#|//|/?\*)")).select("path", "line", "lang", F.col("content").alias("text")))
 
 
+def _folding() -> tuple[str, str]:
+    """Characters and what they become: letters with a canonical decomposition into a letter and marks become that letter in lower case; the marks that are left go."""
+    plain, marks = {}, []
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind == "Mn":
+            marks.append(c)
+        elif kind[0] == "L" and (d := unicodedata.normalize("NFD", c)) != c and all(unicodedata.category(x) == "Mn" for x in d[1:]):
+            plain[c] = d[0].lower()
+    return "".join(plain) + "".join(marks), "".join(plain.values())
+
+
+_FOLDED = _folding()
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, marks removed: letters with diacritics count as plain ones."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-cased runs of letters, digits and private-use characters; letters with diacritics count as plain ones, combining marks are left out."""
+    plain = F.translate(F.lower(text), *_FOLDED)
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top: int = 100) -> DataFrame:
-    """(query_id, doc_id, rank, score): lower is better, as a negated BM25; ties by doc_id.
+    """(query_id, doc_id, rank, score) of the best documents of each query (query_id, query): lower is better, as a negated BM25; ties by doc_id.
 
-    Postings are aggregated per (term, doc) before any join, and only terms of the queries are kept.
+    The queries' terms are indexed and searched, see :mod:`loomgraph.operators.index`.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = q.select("term").distinct()
-    d = docs.select("doc_id", tokens(F.col("text")).alias("__t"))
-    size = d.select("doc_id", F.size("__t").cast("long").alias("len"))
-    stats = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    tf = d.select("doc_id", F.size("__t").alias("len"), F.explode("__t").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    s = tf.join(df, "term").crossJoin(F.broadcast(stats)).join(q, "term").groupBy("query_id", "doc_id").agg((-F.sum(part)).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "doc_id", "rank", "score")
+    from loomgraph.operators import index
+
+    asked = queries.select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
+    return index.search(index.build(docs, asked, k1=k1, b=b), queries, top)
 
 
 def phrase(docs: DataFrame, query: str) -> DataFrame:
-    """(doc_id, n): documents that hold the query's tokens one after another, and how often."""
-    d = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), "  "), F.lit(" ")).alias("__t"))
-    want = F.concat(F.lit(" "), F.array_join(tokens(F.lit(query)), "  "), F.lit(" "))
-    n = ((F.length("__t") - F.length(F.replace(F.col("__t"), want, F.lit("")))) / F.length(want)).cast("long")
-    return d.withColumn("n", n).filter("n > 0").select("doc_id", "n")
+    """(doc_id, n): documents that hold the query's tokens one after another, and how often; from an index of these tokens' positions."""
+    from loomgraph.operators import index
+
+    words = docs.sparkSession.range(1).select(tokens(F.lit(query))).first()[0]
+    if not words:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n")).limit(0)
+    return index.phrase(index.build(docs, sorted(set(words)), positions=True), words)
 
 
 def tiered(docs: DataFrame, queries: DataFrame, exact: list[tuple[str, str]], ranked: DataFrame, top: int = 100) -> DataFrame:

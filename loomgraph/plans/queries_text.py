@@ -60,7 +60,7 @@ def rationale(spark, sf_dir):
     return text.rationale_comments(spark.sql(_COMMENTS.format("regexp_replace(left(text, 30), '[^a-z]+', ' ')")))
 
 
-_TOK = "list_filter(regexp_split_to_array(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_TOK = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t: t <> '')"
 _BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format("text")})) AS term FROM benchmark),
  d AS (SELECT doc_id, {_TOK.format("text")} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM d),
  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
