@@ -81,8 +81,3 @@ def set_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Keys that were added, removed or kept."""
     o, n = old.select(key).distinct().withColumn("__o", F.lit(1)), new.select(key).distinct().withColumn("__n", F.lit(1))
     return o.join(n, key, "full_outer").select(key, F.when(F.col("__o").isNull(), "added").when(F.col("__n").isNull(), "removed").otherwise("common").alias("state"))
-
-
-def affected(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Paths of ``new`` (path, local, bucket, output) that cannot reuse ``old``: any of the three hashes differs."""
-    return new.join(old, ["path", "local", "bucket", "output"], "left_anti").select("path")

@@ -13,18 +13,29 @@ STRUCTURAL = ("call", "construct", "superclass", "include", "extend", "prepend")
 REF_KEY = ["lang", "callee_name", "relation", "qualified", "path", "line", "col"]
 
 
-def candidates(symbols: DataFrame) -> DataFrame:
-    """One row per (lang, name): its callable and its heritable declarations, each an ordered array.
+def declared(symbols: DataFrame) -> DataFrame:
+    """One row per (lang, name): how many callable and heritable declarations it has, the first of each, and all of them in order.
 
-    Arrays are built once per name and not per reference, so the join below is one to many.
+    Columns that a plan does not use are not aggregated: counts and firsts need no arrays.
     """
     one = F.struct("path", F.col("line_start").alias("line"), "name")
-    listed = lambda kinds: F.sort_array(F.collect_list(F.when(F.col("kind").isin(*kinds), one)))
-    return (
-        symbols.filter(F.col("kind").isin(*CALLABLE))
-        .groupBy("lang", "name")
-        .agg(listed(CALLABLE).alias("__callable"), listed(HERITABLE).alias("__heritable"), F.bool_and(F.col("kind").isin(*HERITABLE)).alias("__types"))
-    )
+    of = lambda kinds: F.when(F.col("kind").isin(*kinds), one)
+    sides = (("callable", CALLABLE), ("heritable", HERITABLE))
+    by = [x for n, kinds in sides for x in (F.count(of(kinds)).alias(f"__n_{n}"), F.min(of(kinds)).alias(f"__1_{n}"), F.sort_array(F.collect_list(of(kinds))).alias(f"__{n}"))]
+    return symbols.filter(F.col("kind").isin(*CALLABLE)).groupBy("lang", "name").agg(*by, F.bool_and(F.col("kind").isin(*HERITABLE)).alias("__types"))
+
+
+def _graded(refs: DataFrame, table: DataFrame) -> DataFrame:
+    """References with the number of their candidates, the one target if there is one, and confidence; all columns of ``table`` stay."""
+    r = refs.join(table.withColumnRenamed("name", "callee_name"), ["lang", "callee_name"], "left")
+    call = F.col("relation") == "call"
+    pick = lambda p: F.when(call, F.col(f"{p}callable")).otherwise(F.col(f"{p}heritable"))
+    made = call & F.coalesce("__types", F.lit(False))
+    n = F.coalesce(pick("__n_"), F.lit(0))
+    sure = F.col("qualified") | (n > 0) & (made | ~call)
+    tier = F.when((n == 1) & sure, "EXTRACTED").when(n == 1, "INFERRED").when(n > 1, "AMBIGUOUS")
+    r = r.withColumn("__n", n).withColumn("__target", F.when(n == 1, pick("__1_"))).withColumn("resolved_relation", F.when(made, "construct").otherwise(F.col("relation")))
+    return r.withColumn("confidence", tier).withColumn("unresolved_reason", F.when(n == 0, "no_visible_target"))
 
 
 def resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -33,30 +44,44 @@ def resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     ``confidence``: EXTRACTED (one candidate, qualified), INFERRED (one), AMBIGUOUS (several), null with
     ``unresolved_reason`` (none). A call whose candidates are all classes or modules is a qualified construct.
     """
-    c = candidates(symbols).withColumnRenamed("name", "callee_name")
-    r = refs.join(c, ["lang", "callee_name"], "left")
-    empty = F.array().cast(c.schema["__callable"].dataType)
+    table = declared(symbols)
+    r = _graded(refs, table)
+    empty = F.array().cast(table.schema["__callable"].dataType)
     found = F.coalesce(F.when(F.col("relation") == "call", F.col("__callable")).otherwise(F.col("__heritable")), empty)
-    made = (F.col("relation") == "call") & F.coalesce("__types", F.lit(False))
-    r = r.withColumn("candidates", found).withColumn("qualified_", F.col("qualified") | (F.size(found) > 0) & (made | (F.col("relation") != "call")))
-    r = r.withColumn("resolved_relation", F.when(made, "construct").otherwise(F.col("relation")))
-    n = F.size("candidates")
-    tier = F.when((n == 1) & F.col("qualified_"), "EXTRACTED").when(n == 1, "INFERRED").when(n > 1, "AMBIGUOUS")
-    return r.withColumn("confidence", tier).withColumn("unresolved_reason", F.when(n == 0, "no_visible_target")).drop("__callable", "__heritable", "__types", "qualified_")
-
-
-def edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The edge table: resolved references with their innermost source symbol and target."""
-    r = resolved(refs, symbols).filter(F.col("confidence").isNotNull())
-    r = innermost(r, symbols, ["path", "line"])
-    t = F.when(F.size("candidates") == 1, F.element_at("candidates", 1))
+    return r.withColumn("candidates", found).select(*refs.columns, "candidates", "resolved_relation", "confidence", "unresolved_reason")
+
+
+def edges(refs: DataFrame, symbols: DataFrame, around: DataFrame | None = None, candidates: bool = True) -> DataFrame:
+    """The edge table: resolved references with their innermost source symbol and target.
+
+    Only counts and single targets take part in the joins; ambiguous references meet their candidates last, and not at all
+    without ``candidates`` (the column is null then). ``around`` has the symbols that may surround a reference, if not all.
+    """
+    table = declared(symbols)
+    r = _graded(refs, table.drop("__callable", "__heritable")).filter(F.col("confidence").isNotNull())
+    r = innermost(r.select(*refs.columns, "resolved_relation", "confidence", "__target"), symbols if around is None else around, ["path", "line"])
+    kind = table.schema["__callable"].dataType
+    if candidates:
+        many = table.filter("__n_callable > 1").select("lang", F.col("name").alias("callee_name"), F.lit("AMBIGUOUS").alias("confidence"), "__callable", "__heritable")
+        r = r.join(many, ["lang", "callee_name", "confidence"], "left")
+        listed = F.when(F.col("relation") == "call", F.col("__callable")).otherwise(F.col("__heritable"))
+    else:
+        listed = F.lit(None).cast(kind)
+    t = F.col("__target")
     return r.select(
         F.col("resolved_relation").alias("relation"), F.col("path").alias("source_path"), F.col("line").alias("source_line"), F.col("col").alias("source_col"),
         "source_name", "source_kind", "callee_name", "confidence", t["path"].alias("target_path"), t["line"].alias("target_line"), t["name"].alias("target_name"),
-        F.when(F.size("candidates") > 1, F.col("candidates")).alias("candidates"), "lang",
+        F.when(F.col("confidence") == "AMBIGUOUS", listed).alias("candidates"), "lang",
     )
 
 
+def edges_for(refs: DataFrame, symbols: DataFrame, candidates: bool = True) -> DataFrame:
+    """Edges of some references: only the declarations of their names and the symbols of their files take part."""
+    names = refs.select("lang", F.col("callee_name").alias("name")).distinct()
+    near = symbols.join(refs.select("path").distinct(), "path", "left_semi")
+    return edges(refs, symbols.join(names, ["lang", "name"], "left_semi"), near, candidates)
+
+
 def unresolved(refs: DataFrame, edge_table: DataFrame) -> DataFrame:
     """References without an edge. A call also matches a construct edge: calls are one key on both sides, so the anti join is a hash join."""
     merged = lambda c: F.when(c == "construct", F.lit("call")).otherwise(c)
@@ -76,21 +101,24 @@ def visible(refs: DataFrame, declarations: DataFrame, blockers: DataFrame) -> Da
     Adds ``candidates`` and ``reason``: unsupported_scope, unknown_import_alias, shadowed_noncallable, no_visible_target.
     """
     r = refs.select("ref_id", "path", "callee_name", F.posexplode("scopes").alias("pos", "scope"))
-    d = declarations.groupBy("path", "scope", F.col("name").alias("callee_name")).agg(F.sort_array(F.collect_list(F.struct("path", F.col("line_start").alias("line"), F.col("name")))).alias("found"))
+    named = declarations.withColumnRenamed("name", "callee_name")
+    d = named.groupBy("path", "scope", "callee_name").agg(F.lit(True).alias("found"))
     rank = F.when(F.col("binding_kind") == "unsupported", 0).when(F.col("binding_kind") == "import", 2).otherwise(1)
     b = blockers.filter("name != '*'").groupBy("path", "scope", F.col("name").alias("callee_name")).agg(F.min(rank).alias("__block"))
     star = blockers.filter("name = '*'").select("path", "scope", F.lit(0).alias("__star")).distinct()
     r = r.join(d, ["path", "scope", "callee_name"], "left").join(b, ["path", "scope", "callee_name"], "left").join(star, ["path", "scope"], "left")
     r = r.withColumn("block", F.coalesce("__star", "__block")).filter("found is not null or block is not null")
-    first = r.groupBy("ref_id").agg(F.min_by(F.struct("found", "block"), "pos").alias("__f"))
-    out = refs.join(first, "ref_id", "left")
+    # the deciding scope first; its declarations join it last
+    first = r.groupBy("ref_id").agg(F.min_by(F.struct("found", "block", "scope"), "pos").alias("__f"))
+    listed = named.groupBy("path", F.col("scope").alias("__scope"), "callee_name").agg(F.sort_array(F.collect_list(F.struct("path", F.col("line_start").alias("line"), F.col("callee_name").alias("name")))).alias("__found"))
+    out = refs.join(first, "ref_id", "left").withColumn("__scope", F.when(F.col("__f.block").isNull(), F.col("__f.scope"))).join(listed, ["path", "__scope", "callee_name"], "left")
     reason = (
         F.when(F.col("__f").isNull(), "no_visible_target")
         .when(F.col("__f.block") == 0, "unsupported_scope")
         .when(F.col("__f.block") == 2, "unknown_import_alias")
         .when(F.col("__f.block") == 1, "shadowed_noncallable")
     )
-    return out.withColumn("candidates", F.when(F.col("__f.block").isNull(), F.col("__f.found"))).withColumn("reason", reason).drop("__f")
+    return out.select(*refs.columns, F.col("__found").alias("candidates"), reason.alias("reason"))
 
 
 def namespaced(refs: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -102,9 +130,10 @@ def namespaced(refs: DataFrame, declarations: DataFrame) -> DataFrame:
     tried = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.concat_ws("::", F.array_join(F.slice(parts, 1, F.size(parts) - k), "::"), F.col("callee_name")))
     tried = F.transform(tried, lambda t: F.regexp_replace(t, "^::", ""))
     r = refs.select("ref_id", F.posexplode(tried).alias("pos", "full_name"))
+    # the deepest name first; its declarations join it last
+    first = r.join(declarations.select("full_name").distinct(), "full_name", "left_semi").groupBy("ref_id").agg(F.min_by("full_name", "pos").alias("full_name"))
     d = declarations.groupBy("full_name").agg(F.sort_array(F.collect_list(F.struct("path", F.col("line_start").alias("line")))).alias("candidates"))
-    first = r.join(d, "full_name").groupBy("ref_id").agg(F.min_by(F.struct("full_name", "candidates"), "pos").alias("__f"))
-    return refs.join(first, "ref_id", "left").select(*refs.columns, F.col("__f.full_name").alias("full_name"), F.col("__f.candidates").alias("candidates"))
+    return refs.join(first, "ref_id", "left").join(d, "full_name", "left").select(*refs.columns, "full_name", "candidates")
 
 
 def members(refs: DataFrame, types: DataFrame, declared: DataFrame) -> DataFrame:

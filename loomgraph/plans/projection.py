@@ -20,6 +20,14 @@ PROJECTIONS = {
         CASE l_linenumber % 4 WHEN 2 THEN 'construct' WHEN 3 THEN 'superclass' ELSE 'call' END AS relation, l_returnflag = 'R' AS qualified,
         concat('Brand#', CAST(1 + l_suppkey % 25 AS STRING)) AS path, l_partkey AS line, l_linenumber AS col
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    # the same in files of ten parts each
+    "file_symbols": f"""SELECT p_partkey AS id, 'python' AS lang, {_NAME} AS name,
+        CASE p_size % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'module' WHEN 2 THEN 'function' WHEN 3 THEN 'method' ELSE 'variable' END AS kind,
+        concat(p_brand, '/', CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS STRING), '.py') AS path, p_partkey AS line_start, p_partkey + p_size AS line_end FROM part""",
+    "file_refs": """SELECT DISTINCT 'python' AS lang, concat(p_name, '/', p_type, '/', CAST(p_size + l_linenumber % 2 AS STRING)) AS callee_name,
+        CASE l_linenumber % 4 WHEN 2 THEN 'construct' WHEN 3 THEN 'superclass' ELSE 'call' END AS relation, l_returnflag = 'R' AS qualified,
+        concat('Brand#', CAST(1 + l_suppkey % 25 AS STRING), '/', CAST(CAST(floor(l_partkey / 10) AS BIGINT) AS STRING), '.py') AS path, l_partkey AS line, l_linenumber AS col
+        FROM lineitem JOIN part ON p_partkey = l_partkey""",
     # supplier -> part -> supplier chains: odd lines lead to the part, even lines back
     "assertions": """SELECT min(l_orderkey * 10 + l_linenumber) AS assertion_id, CASE WHEN l_linenumber % 2 = 1 THEN concat('s', CAST(l_suppkey AS STRING)) ELSE concat('p', CAST(l_partkey AS STRING)) END AS source,
         CASE WHEN l_linenumber % 2 = 1 THEN concat('p', CAST(l_partkey AS STRING)) ELSE concat('s', CAST(l_suppkey AS STRING)) END AS target,

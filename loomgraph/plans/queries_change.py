@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import diff
-from loomgraph.plans.projection import projected, with_sql
+from loomgraph.plans.edges_sql import EDGES_SQL
+from loomgraph.plans.projection import PROJECTIONS, projected, with_sql
 from loomgraph.registry import query
 
 _FP = "sha256(regexp_replace({}, '\\s+', ' ', 'g'))"
@@ -49,13 +50,55 @@ def set_changes(spark, sf_dir):
     return diff.set_changes(projected(spark, sf_dir, "before"), projected(spark, sf_dir, "after"), "name")
 
 
-_HASH = "SELECT s_suppkey AS path, s_nationkey {0} AS local, CAST(floor(s_acctbal) AS BIGINT) % 50 AS bucket, s_suppkey % 3 {1} AS output FROM supplier"
+#: A nation is a project and a supplier a file; digests are taken by the engine that runs the text.
+_UNIT = """SELECT s_nationkey AS project, concat('src/f', CAST(s_suppkey AS STRING), '.py') AS path, {language} AS language, {sha}({local}{end} AS local, {sha}({bucket}{end} AS bucket, {sha}({output}{end} AS output FROM supplier WHERE {where}"""
+_KEY = "concat('{0}', CAST({1} AS STRING))"
 
 
-@query(f"SELECT path FROM ({_HASH.format('', '')}) WHERE (path, local, bucket, output) NOT IN (SELECT (path, local, bucket, output) FROM ({_HASH.format('% 5', '% 2')}))")
+def _units(spark_sql: bool) -> list[str]:
+    """The stored witness, the one of the old tables, and the new one: some files change, come or go; some projects have no
+    stored witness, a tampered one, or outputs that are not what they were."""
+    sha, end = ("sha2", ", 256)") if spark_sql else ("sha256", ")")
+    key = lambda k, c: _KEY.format(k, c)
+    when = lambda test, k, c: f"CASE WHEN {test} THEN {key(k + '2', c)} ELSE {key(k, c)} END"
+    old = {"language": "'python'", "local": key("l", "s_suppkey"), "bucket": key("b", "s_nationkey"), "output": key("o", "s_suppkey"), "where": "s_suppkey % 17 <> 0"}
+    stored = old | {"output": when("s_nationkey % 6 = 1 AND s_suppkey % 7 = 0", "o", "s_suppkey"), "where": "s_suppkey % 17 <> 0 AND s_nationkey % 6 <> 2"}
+    new = {"language": "CASE WHEN s_suppkey % 13 = 0 THEN 'ruby' ELSE 'python' END", "local": when("s_suppkey % 5 = 0", "l", "s_suppkey"), "bucket": when("s_nationkey % 7 = 3", "b", "s_nationkey"),
+           "output": when("s_nationkey % 6 = 0 AND s_suppkey % 3 = 0", "o", "s_suppkey"), "where": "s_suppkey % 11 <> 0"}
+    return [_UNIT.format(sha=sha, end=end, **x) for x in (stored, old, new)]
+
+
+_S, _O, _N = _units(False)
+
+
+@query(f"""WITH s AS ({_S}), o AS ({_O}), n AS ({_N}), d AS (SELECT *, s.path IS NOT NULL AS has_s, o.path IS NOT NULL AS has_o, n.path IS NOT NULL AS has_n,
+  s.local IS NOT DISTINCT FROM o.local AND s.bucket IS NOT DISTINCT FROM o.bucket AND s.output IS NOT DISTINCT FROM o.output AS sound, coalesce(n.language = o.language AND n.local = o.local AND n.bucket = o.bucket, false) AS held,
+  n.output IS DISTINCT FROM o.output AS other FROM s FULL JOIN o USING (project, path) FULL JOIN n USING (project, path)),
+ p AS (SELECT project, CASE WHEN NOT bool_or(has_s) THEN 'missing_witness' WHEN NOT bool_or(has_o) THEN 'unknown_dependency_inputs' WHEN NOT bool_and(sound) THEN 'invalid_witness' WHEN bool_or(held AND other) THEN 'unavailable_prior_outputs' ELSE 'complete_dependency_match' END AS reason FROM d GROUP BY project)
+ SELECT project, path, CASE WHEN NOT has_n THEN 'removed' WHEN held AND reason = 'complete_dependency_match' THEN 'reused' ELSE 'selected' END AS action, CASE reason WHEN 'complete_dependency_match' THEN 'affected' ELSE 'full' END AS mode, reason FROM d JOIN p USING (project)""")
 def incremental_plan(spark, sf_dir):
+    from loomgraph.operators import incremental
+
     spark.read.parquet(f"{sf_dir}/supplier.parquet").createOrReplaceTempView("supplier")
-    return diff.affected(spark.sql(_HASH.format("% 5", "% 2")), spark.sql(_HASH.format("", "")))
+    return incremental.plan(*map(spark.sql, _units(True)), by=["project"])
+
+
+@query("WITH RECURSIVE symbols AS (" + PROJECTIONS["file_symbols"] + "), refs AS (" + PROJECTIONS["file_refs"] + "), " + EDGES_SQL + " SELECT * FROM edges")
+def incremental_edges(spark, sf_dir):
+    """The edge table after an update that adds, changes and removes files and renames declarations: it equals the one built anew."""
+    from loomgraph.operators import incremental, resolve
+    from loomgraph.operators.tables import kept
+
+    refs, symbols = projected(spark, sf_dir, "file_refs"), projected(spark, sf_dir, "file_symbols")
+    gone = F.concat(F.lit("old/"), "path")
+    was_refs = refs.filter("line % 31 != 7").withColumn("qualified", F.col("qualified") != (F.col("line") % 41 == 3)).withColumn("path", F.when(F.col("line") % 53 < 10, gone).otherwise(F.col("path")))
+    was_symbols = symbols.withColumn("name", F.when(F.col("id") % 211 == 0, F.concat("name", F.lit("~"))).otherwise(F.col("name")))
+    files = lambda r, s: r.select("path", F.col("lang").alias("language")).union(s.select("path", "lang")).distinct()
+    old = kept(resolve.edges(was_refs, was_symbols))
+    before = kept(incremental.witness(files(was_refs, was_symbols), was_refs, was_symbols, old))
+    planned = kept(incremental.plan(before, before, incremental.witness(files(refs, symbols), refs, symbols, old)))
+    e = incremental.maintained(old, planned, refs, symbols)
+    return e.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["path"], c["line"])), ","))
 
 
 @query("""WITH g AS (SELECT o_orderkey AS generation, o_custkey AS repo, o_orderdate AS seq, o_totalprice AS bytes, o_orderstatus = 'P' AS root FROM orders),
