@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators.intervals import declared_first
 from loomgraph.operators.lookup import confident
 from loomgraph.operators.resolve import STRUCTURAL
-from loomgraph.operators.tables import kept, placed, released
+from loomgraph.operators.tables import counted, kept, placed, released
 
 NODE = ["path", "line", "name"]
 
@@ -40,10 +41,10 @@ def degree_basis(edges: DataFrame) -> DataFrame:
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach. ``nodes`` (node), ``links`` (a, b)."""
-    e = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    e, *now = counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), mark)
     last = None
     while True:
-        now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now[0] == 0 or now == last:
             return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
         last = now
@@ -51,7 +52,8 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        done, e = e, kept(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct())
+        done = e
+        e, *now = counted(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct(), mark)
         released(done)
 
 
@@ -88,17 +90,22 @@ def propagate(neighbours: list[list[int]], passes: int = 100) -> list[int]:
     return label
 
 
-def communities(nodes: DataFrame, links: DataFrame, passes: int = 100) -> DataFrame:
+#: Links of a component that one task takes; larger components go in waves.
+TASK_LINKS = 20_000
+
+
+def communities(nodes: DataFrame, links: DataFrame, passes: int = 100, most: int = TASK_LINKS) -> DataFrame:
     """(node, community): deterministic asynchronous label propagation over the undirected, simple graph.
 
-    Labels never leave a connected component and the visiting order inside one is that of the whole graph, so
-    running components apart gives the same result as one loop over all nodes. Communities are numbered by their
-    smallest member. One component is one task: the order of visits makes the operator sequential inside it.
+    Labels never leave a connected component and the visiting order inside one is that of the whole graph, so components may
+    run apart: those of at most ``most`` links as groups, each in one task, larger ones in waves over all tasks (:func:`waves`).
+    Both give what one loop over all nodes gives. Communities are numbered by their smallest member.
     """
-    simple = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
-    comp = connected(nodes, simple)
-    n = comp.select("component", "node", F.lit(None).cast(dict(comp.dtypes)["node"]).alias("other"))
+    simple = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
+    comp = kept(connected(nodes, simple))
     e = simple.join(comp.withColumnRenamed("node", "a"), "a").select("component", F.col("a").alias("node"), F.col("b").alias("other"))
+    large = kept(e.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("component"))
+    n = comp.select("component", "node", F.lit(None).cast(dict(comp.dtypes)["node"]).alias("other"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf["node"][pdf["other"].isna()])
@@ -115,12 +122,88 @@ def communities(nodes: DataFrame, links: DataFrame, passes: int = 100) -> DataFr
         return pd.DataFrame({"node": names, "lead": [names[first[x]] for x in label]})
 
     kind = dict(comp.dtypes)["node"]
-    found = kept(n.unionByName(e).groupBy("component").applyInPandas(run, f"node {kind}, lead {kind}"))
+    found = n.unionByName(e).join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"node {kind}, lead {kind}")
+    if not large.isEmpty():
+        label = waves(e.join(large, "component", "left_semi").select(F.col("node").alias("a"), F.col("other").alias("b")), passes)
+        lead = label.groupBy("label").agg(F.min("node").alias("lead"))
+        found = found.unionByName(label.join(lead, "label").select("node", "lead"))
+    found = kept(found)
     # leads are few compared with nodes, but still ordered without one task for all: by ranges
     leads = numbered(found.select("lead").distinct(), "lead", "community")
     return found.join(leads, "lead").select("node", "community")
 
 
+def _layers(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(node, layer) and the number of layers: a node's layer follows those of all smaller nodes it is linked to.
+
+    ``pairs`` (node, other) has both directions. Nodes of one layer are never linked, so in a pass they may move together.
+    """
+    rest = kept(pairs.filter("other < node"))
+    first = kept(pairs.select("node").distinct().join(rest.select("node").distinct(), "node", "left_anti").withColumn("layer", F.lit(0)))
+    done, last, k = first, first, 0
+    while not rest.isEmpty():
+        k += 1
+        left = kept(rest.join(last.select(F.col("node").alias("other")), "other", "left_anti").select("node", "other"))
+        last = kept(rest.select("node").distinct().join(left.select("node").distinct(), "node", "left_anti").withColumn("layer", F.lit(k)))
+        released(rest)
+        rest, done = left, done.unionByName(last)
+    return kept(done), k + 1
+
+
+def _labelled(labels: DataFrame, moved: list[DataFrame]) -> DataFrame:
+    """The labels as they stand after these moves; a node moves once in a pass."""
+    if not moved:
+        return labels
+    new = reduce(DataFrame.unionByName, moved).withColumnRenamed("label", "__new")
+    return labels.join(new, "node", "left").select("node", F.coalesce("__new", "label").alias("label"))
+
+
+def waves(links: DataFrame, passes: int = 100) -> DataFrame:
+    """(node, label) of asynchronous label propagation in node order, in waves over all tasks: exactly what :func:`propagate` gives.
+
+    In a pass a node moves after all smaller neighbours, so nodes move layer by layer, each layer by one join of its links with
+    the labels as they stand. A node whose neighbours kept their labels since its last move would choose the same again: after
+    the first pass only nodes around a changed label are looked at, and a layer without any costs nothing. Jobs follow the
+    layers, which are as many as the longest chain of links in ascending order has nodes.
+    """
+    pairs = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
+    pairs = kept(pairs)
+    layer, layers = _layers(pairs)
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a layer's links lie together, so reading one layer reads its share only
+    around = kept(pairs.join(layer, "node").repartitionByRange(n, "layer", "node").sortWithinPartitions("layer", "node"))
+    released(pairs)
+    labels = kept(layer.select("node", F.col("node").alias("label")))
+    before: dict[int, DataFrame] = {}
+    for number in range(passes):
+        moved: dict[int, DataFrame] = {}
+        for k in range(layers):
+            mine = around.filter(F.col("layer") == k).select("node", "other")
+            if number:
+                news = [d for i, d in before.items() if i > k] + [d for i, d in moved.items() if i < k]
+                if not news:
+                    continue
+                changed = reduce(DataFrame.unionByName, [d.select(F.col("node").alias("other")) for d in news])
+                stale = mine.join(changed, "other", "left_semi").select("node").distinct()
+                mine = mine.join(stale, "node", "left_semi")
+            now = _labelled(labels, list(moved.values()))
+            count = mine.join(now.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+            best = count.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label"))
+            # this layer's own labels are those of the pass before
+            new = best.join(labels.withColumnRenamed("label", "__old"), "node").filter("label != __old").select("node", "label")
+            new, some = counted(new)
+            if some:
+                moved[k] = new
+            else:
+                released(new)
+        if not moved:
+            break
+        after = kept(_labelled(labels, list(moved.values())))
+        released(labels, *before.values())
+        labels, before = after, moved
+    return labels
+
+
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Gapless numbers from 0 in the order of a distinct column: sorted ranges are counted, then shifted."""
     spark = df.sparkSession
@@ -197,20 +280,6 @@ def neighborhood(assertions: DataFrame, starts: DataFrame, depth: int = 3, relat
     return _searched(_steps(assertions, relations, incoming), starts, depth, confidences).drop("place")
 
 
-def reached(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, distance) over ``edges`` (source, target) from every start: a search whose order does not matter, so levels are
-    neither sorted nor given parents."""
-    step = kept(edges.select(F.col("source").alias("here"), F.col("target").alias("__node")).distinct())
-    seen = level = kept(starts.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")))
-    for k in range(1, depth + 1):
-        met = level.select("seed", F.col("node").alias("here")).join(step, "here").select("seed", F.col("__node").alias("node")).distinct()
-        level = kept(met.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(k)))
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen
-
-
 def traverse(assertions: DataFrame, starts: DataFrame, depth: int = 3, relations: Sequence[str] = ("call",), confidences: Sequence[str] = ("EXTRACTED", "INFERRED"), incoming: bool = False,
              max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and outcome of a bounded neighborhood of each seed.
@@ -308,27 +377,6 @@ def impact(assertions: DataFrame, seeds: DataFrame, depth: int = 3, relations: S
     return out.select("node", "b.distance", "b.seed", "b.category", "reached_from_seeds").orderBy("distance", "node")
 
 
-def rule_check(file_edges: DataFrame, files: DataFrame, rules: DataFrame, boundaries: DataFrame, depth: int = 16) -> DataFrame:
-    """Reachability rules: (rule_id, outcome, violations, first_source, first_target, reasons).
-
-    ``rules`` (rule_id, from_prefix, to_prefix); ``file_edges`` (source, target); ``files`` (path); ``boundaries`` (path):
-    files whose imports are not fully known. Outcome: violated > incomplete_due_to_budget > unknown > satisfied_within_scope.
-    ``reasons`` maps each reason why a search is not whole (depth_limit, import_boundary) to true.
-    """
-    a = file_edges.select("source", "target").distinct()
-    start = files.select(F.col("path").alias("seed")).join(rules.select("rule_id", "from_prefix"), F.col("seed").startswith(F.col("from_prefix")))
-    reach = reached(a, start.select("seed").distinct(), depth)
-    met = start.join(reach, "seed").join(rules.select("rule_id", "to_prefix"), "rule_id")
-    met = kept(met.select("rule_id", "seed", "node", "distance", F.col("node").startswith(F.col("to_prefix")).alias("__bad")))
-    bad = met.filter("__bad and distance > 0").groupBy("rule_id").agg(F.count(F.lit(1)).alias("violations"), F.min(F.struct("seed", "node")).alias("__w"))
-    deep = met.filter(F.col("distance") == depth).join(a.select(F.col("source").alias("node")).distinct(), "node", "left_semi").groupBy("rule_id").agg(F.lit(True).alias("__deep"))
-    vague = met.join(boundaries.select(F.col("path").alias("node")).distinct(), "node", "left_semi").groupBy("rule_id").agg(F.lit(True).alias("__vague"))
-    r = rules.join(bad, "rule_id", "left").join(deep, "rule_id", "left").join(vague, "rule_id", "left")
-    outcome = F.when(F.col("violations") > 0, "violated").when(F.col("__deep"), "incomplete_due_to_budget").when(F.col("__vague"), "unknown").otherwise("satisfied_within_scope")
-    reasons = F.map_filter(F.create_map(F.lit("depth_limit"), F.coalesce("__deep", F.lit(False)), F.lit("import_boundary"), F.coalesce("__vague", F.lit(False))), lambda k, v: v)
-    return r.select("rule_id", outcome.alias("outcome"), F.coalesce("violations", F.lit(0)).alias("violations"), F.col("__w.seed").alias("first_source"), F.col("__w.node").alias("first_target"), reasons.alias("reasons"))
-
-
 def rule_delta(before: DataFrame, after: DataFrame, exhaustive: DataFrame | None = None) -> DataFrame:
     """Violations (rule_id, source, target) of two sides: introduced, resolved or persisting.
 

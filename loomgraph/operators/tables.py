@@ -5,14 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
 
-def _folder(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,7 +26,7 @@ def _folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """Write ``df`` below spark.checkpoint.dir and read it back: lineage is cut, a lost executor loses nothing, and the write's shuffle files go."""
-    path = f"{_folder(df.sparkSession)}/loomgraph-step-{uuid.uuid4().hex}"
+    path = f"{shared(df.sparkSession)}/loomgraph-step-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = df.sparkSession.conf.get(cleanup, None)
     df.sparkSession.conf.set(cleanup, "true")
@@ -38,6 +40,35 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, *more: Column) -> tuple:
+    """The written table, its number of rows and further aggregates, taken while it is written."""
+    seen = Observation()
+    names = [f"__{i}" for i in range(len(more))]
+    out = kept(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(n) for c, n in zip(more, names, strict=True)]))
+    return out, seen.get["n"], *[seen.get[n] for n in names]
+
+
+#: Rows of a side that is copied to every task.
+SIDE_ROWS = 100_000
+
+
+def bounded(df: DataFrame, most: int = SIDE_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``most`` rows, else as it is; it is counted up to the bound."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+@contextmanager
+def together(spark: SparkSession):
+    """While the block runs, tables that are dealt by some of a join's keys meet where they are."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

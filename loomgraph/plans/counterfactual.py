@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
 from loomgraph.operators import diff, graph
+from loomgraph.operators import rules as checking
 from loomgraph.operators.tables import kept
 from loomgraph.sources import readers
 
@@ -88,17 +89,10 @@ def checked(files: DataFrame, rules: Sequence[Rule], depth: int = 16) -> tuple[D
     edges = kept(edges)
     spark = files.sparkSession
     starts = kept(files.select("path", F.array_compact(F.array(*[F.when(_any(F.col("path"), r.sources), r.rule_id) for r in rules])).alias("__r")).filter(F.size("__r") > 0).select(F.col("path").alias("seed"), F.explode("__r").alias("rule_id")))
-    met = starts.join(graph.reached(edges, starts.select("seed").distinct(), depth), "seed")
-    bad = reduce(lambda x, y: x | y, [(F.col("rule_id") == r.rule_id) & _any(F.col("node"), r.targets) for r in rules], F.lit(False))
-    violations = kept(met.filter(bad & (F.col("distance") > 0)).select("rule_id", F.col("seed").alias("source"), F.col("node").alias("target")))
-    deep = met.filter(F.col("distance") == depth).join(edges.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select("rule_id", F.lit(True).alias("__deep")).distinct()
-    odd = met.join(vague.select(F.col("path").alias("node")), "node", "left_semi").select("rule_id", F.lit(True).alias("__vague")).distinct()
-    n = violations.groupBy("rule_id").agg(F.count(F.lit(1)).alias("__n"))
-    r = spark.createDataFrame([(r.rule_id,) for r in rules], "rule_id string").join(n, "rule_id", "left").join(deep, "rule_id", "left").join(odd, "rule_id", "left")
-    whole = F.col("__deep").isNull() & F.col("__vague").isNull()
-    outcome = F.when(F.col("__n") > 0, "violated").when(F.col("__deep"), "incomplete_due_to_budget").when(F.col("__vague"), "unknown").otherwise("satisfied_within_scope")
-    reasons = F.map_filter(F.create_map(F.lit("depth_limit"), F.coalesce("__deep", F.lit(False)), F.lit("import_boundary"), F.coalesce("__vague", F.lit(False))), lambda k, v: v)
-    return violations, r.select("rule_id", outcome.alias("outcome"), whole.alias("exhaustive"), reasons.alias("reasons"))
+    aims = reduce(DataFrame.unionByName, [files.filter(_any(F.col("path"), r.targets)).select(F.lit(r.rule_id).alias("rule_id"), "path") for r in rules])
+    found = checking.check(edges, starts.select("rule_id", F.col("seed").alias("path")), aims, vague, depth)
+    states = checking.outcomes(spark.createDataFrame([(r.rule_id,) for r in rules], "rule_id string"), found)
+    return kept(checking.violations(found)), states.select("rule_id", "outcome", "exhaustive", "reasons")
 
 
 def run(files: DataFrame, patch: str, rules: Sequence[Rule] = (), depth: int = 16) -> Outcome:

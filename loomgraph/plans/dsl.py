@@ -41,12 +41,16 @@ class Engine:
             self._edges = resolve.edges(self.refs, self.symbols)
         return self._edges
 
+    def edges_to(self, name: str) -> DataFrame:
+        """Edges of the references to one name; other references take no part in the binding."""
+        return resolve.edges_for(self.refs.filter(F.col("callee_name") == name), self.symbols)
+
     def query(self, asked: str) -> DataFrame:
         verb, arg = parse(asked)
         if verb == "callers_of":
-            return lookup.callers_of(self.edges, arg)
+            return lookup.callers_of(self.edges_to(arg.rpartition("#")[2]), arg)
         if verb == "subclasses_of":
-            return lookup.subclasses_of(self.edges, arg)
+            return lookup.subclasses_of(self.edges_to(arg), arg)
         if verb == "definitions_of":
             s = lookup.search_symbol(self.symbols, arg).select(F.lit("symbol").alias("fact"), "path", F.col("line_start").cast("long").alias("line"), "name", "kind")
             r = lookup.references_to(self.refs, arg).select(F.lit("ref").alias("fact"), "path", F.col("line").cast("long").alias("line"), F.col("callee_name").alias("name"), F.col("relation").alias("kind"))

@@ -5,41 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, lookup, resolve
+from loomgraph.operators import graph, lookup, resolve, rules
 from loomgraph.operators.intervals import declared_first, innermost, ordinal
+from loomgraph.plans.edges_sql import CANDIDATES, EDGES_SQL, INNERMOST
 from loomgraph.plans.projection import projected, with_sql
 from loomgraph.registry import query
 
 CALLEE = "hot plate/SMALL/16"
 
-_CAND = """cand AS (SELECT lang, name,
-  list(struct_pack(path := path, line := line_start, name := name) ORDER BY path, line_start, name) FILTER (kind IN ('method', 'function', 'mixin', 'class', 'module')) AS callable,
-  list(struct_pack(path := path, line := line_start, name := name) ORDER BY path, line_start, name) FILTER (kind IN ('class', 'module')) AS heritable,
-  bool_and(kind IN ('class', 'module')) AS types
-  FROM symbols WHERE kind IN ('method', 'function', 'mixin', 'class', 'module') GROUP BY lang, name),
-res AS (SELECT r.*, coalesce(CASE WHEN relation = 'call' THEN callable ELSE heritable END, []) AS cands, relation = 'call' AND coalesce(types, false) AS made
-  FROM refs r LEFT JOIN cand c ON c.lang = r.lang AND c.name = r.callee_name),
-tier AS (SELECT *, CASE WHEN len(cands) = 1 AND (qualified OR made OR relation <> 'call') THEN 'EXTRACTED' WHEN len(cands) = 1 THEN 'INFERRED' WHEN len(cands) > 1 THEN 'AMBIGUOUS' END AS confidence,
-  CASE WHEN made THEN 'construct' ELSE relation END AS rel2 FROM res)"""
-_INNER = """src AS (SELECT path, line, name AS source_name, kind AS source_kind FROM (
-  SELECT p.path, p.line, s.name, s.kind, row_number() OVER (PARTITION BY p.path, p.line ORDER BY s.line_end - s.line_start, s.line_start DESC, s.name, s.kind) AS n
-  FROM (SELECT DISTINCT path, line FROM refs) p JOIN symbols s ON s.path = p.path AND s.line_start <= p.line AND p.line <= s.line_end) WHERE n = 1)"""
-_EDGES = (
-    _CAND + ", " + _INNER + """, edges AS (SELECT rel2 AS relation, t.path AS source_path, t.line AS source_line, t.col AS source_col, source_name, source_kind, callee_name, confidence,
-  CASE WHEN len(cands) = 1 THEN cands[1].path END AS target_path, CASE WHEN len(cands) = 1 THEN cands[1].line END AS target_line, CASE WHEN len(cands) = 1 THEN cands[1].name END AS target_name,
-  CASE WHEN len(cands) > 1 THEN array_to_string(list_transform(cands, lambda c: c.path || ':' || c.line), ',') END AS candidates, lang
-  FROM tier t LEFT JOIN src s ON s.path = t.path AND s.line = t.line WHERE confidence IS NOT NULL)"""
-)
-_WITH = with_sql("symbols", "refs") + ", " + _EDGES
+_WITH = with_sql("symbols", "refs") + ", " + EDGES_SQL
 _STRUCT = "('call', 'construct', 'superclass', 'include', 'extend', 'prepend')"
 _CONF = f"conf AS (SELECT * FROM edges WHERE confidence IN ('EXTRACTED', 'INFERRED') AND relation IN {_STRUCT})"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = resolve.edges(projected(spark, sf_dir, "refs"), projected(spark, sf_dir, "symbols"))
+def _listed(e: DataFrame) -> DataFrame:
     return e.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["path"], c["line"])), ","))
 
 
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(resolve.edges(projected(spark, sf_dir, "refs"), projected(spark, sf_dir, "symbols")))
+
+
+def _bare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges for what does not look at candidates."""
+    return resolve.edges(projected(spark, sf_dir, "refs"), projected(spark, sf_dir, "symbols"), candidates=False)
+
+
+def _edges_to(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _listed(resolve.edges_for(projected(spark, sf_dir, "refs").filter(F.col("callee_name") == name), projected(spark, sf_dir, "symbols")))
+
+
 @query(_WITH + " SELECT * FROM edges")
 def edges(spark, sf_dir):
     return _edges(spark, sf_dir)
@@ -47,14 +42,15 @@ def edges(spark, sf_dir):
 
 @query(_WITH + f" SELECT * FROM edges WHERE callee_name = '{CALLEE}' AND relation IN ('call', 'construct')")
 def callers_of(spark, sf_dir):
-    return lookup.callers_of(_edges(spark, sf_dir), "Any#" + CALLEE)
+    return lookup.callers_of(_edges_to(spark, sf_dir, CALLEE), "Any#" + CALLEE)
 
 
 @query(_WITH + " SELECT * FROM edges WHERE callee_name = (SELECT min(callee_name) FROM edges WHERE relation = 'superclass') AND relation IN ('superclass', 'include', 'extend', 'prepend')")
 def subclasses_of(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    first = e.filter("relation = 'superclass'").agg(F.min("callee_name")).first()[0]
-    return lookup.subclasses_of(e, first or "")
+    # the first name with an heir: a reference that some class or module answers
+    heir = projected(spark, sf_dir, "symbols").filter("kind in ('class', 'module')").select("lang", F.col("name").alias("callee_name"))
+    first = projected(spark, sf_dir, "refs").filter("relation = 'superclass'").join(heir, ["lang", "callee_name"], "left_semi").agg(F.min("callee_name")).first()[0] or ""
+    return lookup.subclasses_of(_edges_to(spark, sf_dir, first), first)
 
 
 @query(with_sql("symbols") + f" SELECT * FROM symbols WHERE name = '{CALLEE}'")
@@ -69,7 +65,7 @@ def definitions_references(spark, sf_dir):
 
 @query(_WITH + f", {_CONF} SELECT relation, confidence, count(*) AS n, count(DISTINCT callee_name) AS names FROM conf GROUP BY ALL")
 def confident_edges(spark, sf_dir):
-    return lookup.confident(_edges(spark, sf_dir)).groupBy("relation", "confidence").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("callee_name").alias("names"))
+    return lookup.confident(_bare(spark, sf_dir)).groupBy("relation", "confidence").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("callee_name").alias("names"))
 
 
 @query(_WITH + " SELECT relation, source_path, source_line, source_col, callee_name, CASE WHEN confidence <> 'AMBIGUOUS' THEN target_path || ':' || target_line || ':' || target_name END AS target, CASE WHEN confidence = 'AMBIGUOUS' THEN candidates END AS candidates FROM edges")
@@ -78,7 +74,7 @@ def edge_shapes(spark, sf_dir):
     return t.select("relation", "source_path", "source_line", "source_col", "callee_name", F.when(F.col("target").isNotNull(), F.concat_ws(":", "target.path", "target.line", "target.name")).alias("target"), "candidates")
 
 
-@query(with_sql("symbols", "refs") + f", {_CAND} SELECT coalesce(confidence, 'UNRESOLVED') AS tier, rel2 AS relation, count(*) AS n FROM tier GROUP BY ALL")
+@query(with_sql("symbols", "refs") + f", {CANDIDATES} SELECT coalesce(confidence, 'UNRESOLVED') AS tier, rel2 AS relation, count(*) AS n FROM tier GROUP BY ALL")
 def confidence_tiers(spark, sf_dir):
     r = resolve.resolved(projected(spark, sf_dir, "refs"), projected(spark, sf_dir, "symbols"))
     return r.groupBy(F.coalesce("confidence", F.lit("UNRESOLVED")).alias("tier"), F.col("resolved_relation").alias("relation")).agg(F.count(F.lit(1)).alias("n"))
@@ -86,17 +82,17 @@ def confidence_tiers(spark, sf_dir):
 
 @query(_WITH + " SELECT count(*) AS ambiguous FROM edges WHERE confidence = 'AMBIGUOUS'")
 def ambiguous_edge_count(spark, sf_dir):
-    return _edges(spark, sf_dir).filter("confidence = 'AMBIGUOUS'").agg(F.count(F.lit(1)).alias("ambiguous"))
+    return _bare(spark, sf_dir).filter("confidence = 'AMBIGUOUS'").agg(F.count(F.lit(1)).alias("ambiguous"))
 
 
 @query(_WITH + """ SELECT r.relation, count(*) AS n FROM refs r WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_path = r.path AND e.source_line = r.line AND e.source_col = r.col AND e.lang = r.lang
   AND (e.relation = r.relation OR r.relation = 'call' AND e.relation = 'construct')) GROUP BY r.relation""")
 def unresolved_refs(spark, sf_dir):
     r = projected(spark, sf_dir, "refs")
-    return resolve.unresolved(r, _edges(spark, sf_dir)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return resolve.unresolved(r, _bare(spark, sf_dir)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_sql("symbols", "refs") + f", {_INNER} SELECT p.path, p.line, source_name, source_kind FROM (SELECT DISTINCT path, line FROM refs) p LEFT JOIN src USING (path, line)")
+@query(with_sql("symbols", "refs") + f", {INNERMOST} SELECT p.path, p.line, source_name, source_kind FROM (SELECT DISTINCT path, line FROM refs) p LEFT JOIN src USING (path, line)")
 def enclosing_symbol(spark, sf_dir):
     return innermost(projected(spark, sf_dir, "refs").select("path", "line").distinct(), projected(spark, sf_dir, "symbols"), ["path", "line"])
 
@@ -108,7 +104,7 @@ _DECL = """decl AS (SELECT path, line, source_name, source_kind, min(line_start)
 
 @query(_WITH + f", {_CONF}, {_DECL} SELECT * FROM decl")
 def source_declaration(spark, sf_dir):
-    e = lookup.confident(_edges(spark, sf_dir)).filter("target_path is not null and source_name is not null")
+    e = lookup.confident(_bare(spark, sf_dir)).filter("target_path is not null and source_name is not null")
     p = e.select(F.col("source_path").alias("path"), F.col("source_line").alias("line"), "source_name", "source_kind").distinct()
     return declared_first(p, projected(spark, sf_dir, "symbols"))
 
@@ -118,18 +114,18 @@ def source_declaration(spark, sf_dir):
  i AS (SELECT target_path AS path, target_line AS line, target_name AS name, count(*) AS in_degree FROM conf WHERE target_path IS NOT NULL GROUP BY ALL)
  SELECT path, line, name, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) + coalesce(out_degree, 0) AS degree, kind FROM i FULL JOIN o USING (path, line, name) LEFT JOIN (SELECT path, line_start AS line, name, min(kind) AS kind FROM symbols GROUP BY ALL) USING (path, line, name)""")
 def god_nodes(spark, sf_dir):
-    return graph.degrees(_edges(spark, sf_dir), projected(spark, sf_dir, "symbols"))
+    return graph.degrees(_bare(spark, sf_dir), projected(spark, sf_dir, "symbols"))
 
 
 @query(_WITH + f", {_CONF} SELECT 'confident_edges' AS analysis_basis, (SELECT count(*) FROM conf) AS resolved_edge_count, (SELECT count(*) FROM edges WHERE confidence = 'AMBIGUOUS') AS ambiguous_edges_excluded")
 def degree_basis(spark, sf_dir):
-    return graph.degree_basis(_edges(spark, sf_dir))
+    return graph.degree_basis(_bare(spark, sf_dir))
 
 
 @query(_WITH + """, top AS (SELECT source_path, source_line, source_col, callee_name, relation, row_number() OVER (ORDER BY source_path, source_line, source_col, callee_name, relation) AS k FROM edges)
   SELECT source_path, source_line, source_col, callee_name, relation, (SELECT max(k) FROM top WHERE k <= 201) > 200 AS truncated, 200 AS returned_count FROM top WHERE k <= 200""")
 def truncation_flags(spark, sf_dir):
-    e = _edges(spark, sf_dir).select(*lookup.EDGE_ORDER, "relation")
+    e = _bare(spark, sf_dir).select(*lookup.EDGE_ORDER, "relation")
     return lookup.capped(e, 200, [*lookup.EDGE_ORDER, "relation"])
 
 
@@ -290,19 +286,19 @@ _RULES = "rules AS (SELECT x0 AS rule_id, x1 AS from_prefix, x2 AS to_prefix FRO
 
 
 @query(with_sql("assertions") + f""", {_RULES}, fe AS (SELECT DISTINCT source, target FROM assertions WHERE relation = 'import'), files AS (SELECT source AS path FROM fe UNION SELECT target FROM fe),
- b AS (SELECT DISTINCT source AS path FROM assertions WHERE confidence = 'AMBIGUOUS'), reach(seed, node, d) AS (SELECT path, path, 0 FROM files UNION SELECT r.seed, fe.target, r.d + 1 FROM reach r JOIN fe ON fe.source = r.node WHERE r.d < 4),
- m AS (SELECT seed, node, min(d) AS d FROM reach GROUP BY 1, 2), met AS (SELECT r.rule_id, m.seed, m.node, m.d, starts_with(m.node, r.to_prefix) AS bad FROM rules r JOIN m ON starts_with(m.seed, r.from_prefix)),
- v AS (SELECT rule_id, count(*) AS n, min(lpad(seed, 9, ' ') || '|' || lpad(node, 9, ' ')) AS w0, arg_min(seed, (seed, node)) AS s, arg_min(node, (seed, node)) AS t FROM met WHERE bad AND d > 0 GROUP BY 1)
- SELECT r.rule_id, CASE WHEN v.n > 0 THEN 'violated' WHEN EXISTS (SELECT 1 FROM met JOIN fe ON fe.source = met.node WHERE met.rule_id = r.rule_id AND met.d = 4) THEN 'incomplete_due_to_budget'
-   WHEN EXISTS (SELECT 1 FROM met JOIN b ON b.path = met.node WHERE met.rule_id = r.rule_id) THEN 'unknown' ELSE 'satisfied_within_scope' END AS outcome, coalesce(v.n, 0) AS violations, v.s AS first_source, v.t AS first_target,
-   concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM met JOIN fe ON fe.source = met.node WHERE met.rule_id = r.rule_id AND met.d = 4) THEN 'depth_limit' END, CASE WHEN EXISTS (SELECT 1 FROM met JOIN b ON b.path = met.node WHERE met.rule_id = r.rule_id) THEN 'import_boundary' END) AS reasons FROM rules r LEFT JOIN v USING (rule_id)""")
+ b AS (SELECT DISTINCT source AS path FROM assertions WHERE confidence = 'AMBIGUOUS'), reach(seed, node, d) AS (SELECT path, path, 0 FROM files WHERE path[1:3] = 's10' OR path[1:2] IN ('s2', 's5', 'zz') UNION SELECT r.seed, fe.target, r.d + 1 FROM reach r JOIN fe ON fe.source = r.node WHERE r.d < 5),
+ m AS (SELECT seed, node, min(d) AS d, min(d) FILTER (d > 0) AS led FROM reach GROUP BY 1, 2), met AS (SELECT r.rule_id, m.seed, m.node, m.d, m.led, starts_with(m.node, r.to_prefix) AS bad FROM rules r JOIN m ON starts_with(m.seed, r.from_prefix)),
+ v AS (SELECT rule_id, count(*) AS n, arg_min(seed, (seed, node)) AS s, arg_min(node, (seed, node)) AS t FROM met WHERE bad AND led <= 4 GROUP BY 1), deep AS (SELECT DISTINCT rule_id FROM met WHERE d = 5 OR bad AND led = 5),
+ odd AS (SELECT DISTINCT rule_id FROM met JOIN b ON b.path = met.node WHERE met.d <= 4)
+ SELECT r.rule_id, CASE WHEN v.n > 0 THEN 'violated' WHEN rule_id IN (FROM deep) THEN 'incomplete_due_to_budget' WHEN rule_id IN (FROM odd) THEN 'unknown' ELSE 'satisfied_within_scope' END AS outcome, coalesce(v.n, 0) AS violations, v.s AS first_source, v.t AS first_target,
+   concat_ws(',', CASE WHEN rule_id IN (FROM deep) THEN 'depth_limit' END, CASE WHEN rule_id IN (FROM odd) THEN 'import_boundary' END) AS reasons FROM rules r LEFT JOIN v USING (rule_id)""")
 def architecture_rules(spark, sf_dir):
     a = projected(spark, sf_dir, "assertions")
     fe = a.filter("relation = 'import'").select("source", "target").distinct()
     files = fe.select(F.col("source").alias("path")).union(fe.select("target")).distinct()
-    rules = spark.createDataFrame([("r1", "s10", "s99"), ("r2", "s2", "s3"), ("r3", "zz", "s1"), ("r4", "s5", "q")], "rule_id string, from_prefix string, to_prefix string")
-    checked = graph.rule_check(fe, files, rules, a.filter("confidence = 'AMBIGUOUS'").select(F.col("source").alias("path")), 4)
-    return checked.withColumn("reasons", F.array_join(F.array_sort(F.map_keys("reasons")), ","))
+    given = spark.createDataFrame([("r1", "s10", "s99"), ("r2", "s2", "s3"), ("r3", "zz", "s1"), ("r4", "s5", "q")], "rule_id string, from_prefix string, to_prefix string")
+    checked = rules.rule_check(fe, files, given, a.filter("confidence = 'AMBIGUOUS'").select(F.col("source").alias("path")), 4)
+    return checked.drop("exhaustive").withColumn("reasons", F.array_join(F.array_sort(F.map_keys("reasons")), ","))
 
 
 @query(with_sql("assertions") + """, b AS (SELECT DISTINCT relation AS rule_id, source, target FROM assertions WHERE confidence <> 'EXTRACTED'), a AS (SELECT DISTINCT relation AS rule_id, source, target FROM assertions WHERE confidence <> 'INFERRED')

@@ -21,23 +21,38 @@ def test_communities_of_the_task_graph(spark):
     assert (round(q.modularity, 6), q.coverage, q.communities) == (0.625, 1.0, 3)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_communities_equal_one_loop_over_the_graph(spark, seed):
-    rng = random.Random(seed)
-    n = 40
-    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(35)]
-    around = [set() for _ in range(n)]
+@pytest.mark.parametrize("most", [0, 1000])
+def test_communities_equal_one_loop_over_the_graph(spark, most):
+    """Twenty random graphs side by side, some of one giant component; every component in waves, or every one in a task."""
+    n, pairs = 40, []
+    for seed in range(20):
+        rng, base = random.Random(seed), 100 * seed
+        pairs += [(base + rng.randrange(n), base + rng.randrange(n)) for _ in range((35, 60, 120)[seed % 3])]
+        if seed % 4 == 0:
+            pairs += [(base + i, base + rng.randrange(i)) for i in range(1, n)]
+    nodes = [100 * seed + i for seed in range(20) for i in range(n)]
+    index = {x: i for i, x in enumerate(nodes)}
+    around = [set() for _ in nodes]
     for a, b in pairs:
         if a != b:
-            around[a].add(b)
-            around[b].add(a)
+            around[index[a]].add(index[b])
+            around[index[b]].add(index[a])
     label = graph.propagate([sorted(x) for x in around])
     first = {}
     for i, x in enumerate(label):
         first.setdefault(x, i)
     number = {x: k for k, x in enumerate(sorted(first, key=first.get))}
-    got = graph.communities(spark.createDataFrame([(i,) for i in range(n)], "node long"), links(spark, pairs).repartition(3))
-    assert {r.node: r.community for r in got.collect()} == {i: number[x] for i, x in enumerate(label)}
+    got = graph.communities(spark.createDataFrame([(i,) for i in nodes], "node long"), links(spark, pairs).repartition(3), most=most)
+    assert {r.node: r.community for r in got.collect()} == {nodes[i]: number[x] for i, x in enumerate(label)}
+
+
+def test_waves_stop_at_the_last_pass(spark):
+    """A path turns labels over for many passes; a limit cuts both ways alike."""
+    pairs = [(i, i + 1) for i in range(9)] + [(0, 5)]
+    around = [sorted({b if a == i else a for a, b in pairs if i in (a, b)}) for i in range(10)]
+    for passes in (1, 2):
+        got = {r.node: r.label for r in graph.waves(links(spark, pairs), passes).collect()}
+        assert got == dict(enumerate(graph.propagate(around, passes)))
 
 
 def test_shortest_paths_on_random_graphs(spark):
