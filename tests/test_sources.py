@@ -151,15 +151,51 @@ def test_export_and_import(spark, tmp_path):
 
 
 def test_streaming_ingest(spark, tmp_path):
-    schema = "path string, version int, name string"
+    """Newer versions, late and repeated ones, removals and what comes after them, each in a run of its own that restarts the query."""
+    schema = "path string, version int, deleted boolean, name string"
     src, table, ck = (str(tmp_path / x) for x in ("src", "table", "ck"))
     seen = []
-    for version, rows in enumerate([[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")]]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        q = ingest.ingest(spark, src, schema, table, ck, lambda b: seen.append(b.count()))
-        q.awaitTermination()
-    assert sorted(tuple(r) for r in ingest.table(spark, table, schema).select("path", "version", "name").collect()) == [("a", 2, "z"), ("b", 1, "y")]
-    assert seen == [2, 1]
+    runs = [
+        [("a", 1, False, "x"), ("a", 1, False, "x2"), ("b", 1, None, "y"), ("c", 5, False, "c5")],
+        [("a", 2, False, "z"), ("c", 4, False, "late")],
+        [("b", 2, True, None)],
+        [("b", 1, False, "again"), ("a", 2, False, "repeated"), ("c", 5, False, "repeated")],
+        [("b", 3, False, "back"), ("a", 3, False, "three"), ("a", 4, False, "four"), ("d", 1, True, None)],
+        [("d", 0, False, "late"), ("c", 6, True, None)],
+    ]
+    want = [
+        {("a", 1, "x"), ("a", 1, "x2"), ("b", 1, "y"), ("c", 5, "c5")},
+        {("a", 2, "z"), ("b", 1, "y"), ("c", 5, "c5")},
+        {("a", 2, "z"), ("c", 5, "c5")},
+        {("a", 2, "z"), ("c", 5, "c5")},
+        {("a", 4, "four"), ("b", 3, "back"), ("c", 5, "c5")},
+        {("a", 4, "four"), ("b", 3, "back")},
+    ]
+    rows = lambda: {tuple(r) for r in ingest.table(spark, table, schema).select("path", "version", "name").collect()}
+    assert rows() == set()
+    for batch, there in zip(runs, want, strict=True):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        ingest.ingest(spark, src, schema, table, ck, lambda b: seen.append(b.count()), buckets=3).awaitTermination()
+        assert rows() == there
+    assert seen == [4, 1, 1, 3, 1]
+    assert ingest.vacuum(spark, table, 1) and rows() == want[-1]
+
+
+def test_a_batch_that_is_tried_again_changes_nothing(spark, tmp_path):
+    schema = "path string, version int, deleted boolean, name string"
+    src, table, ck = (str(tmp_path / x) for x in ("src", "table", "ck"))
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    put([("a", 1, False, "x"), ("b", 1, False, "y")])
+    ingest.ingest(spark, src, schema, table, ck).awaitTermination()
+    put([("a", 2, False, "z"), ("b", 2, True, None)])
+
+    def fails(batch):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        ingest.ingest(spark, src, schema, table, ck, fails).awaitTermination()
+    ingest.ingest(spark, src, schema, table, ck).awaitTermination()
+    assert [tuple(r) for r in ingest.table(spark, table, schema).select("path", "version", "name").collect()] == [("a", 2, "z")]
 
 
 def test_sessions(spark):
