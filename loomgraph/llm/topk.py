@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import dropped, written
 
 #: Queries of one wave; 64 weights of 8 bytes make 25 MB.
 WAVE = 50_000
 #: Candidates in a block of postings, and queries that share a dense array.
 BLOCK, QUERIES = 4096, 64
 
-_SCHEMA = "query_id long, vec_id long, score long"
+_SCHEMA = "q long, query_id long, own long, times long, vec_id long, score long"
 
 
 def quantised(col: str) -> F.Column:
@@ -56,41 +56,59 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return score[order], ids[order]
 
 
+def _arrays(col: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = col.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    at, flat = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False)
+    return [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, wave: int = WAVE) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best candidates by integer inner product.
+    """(query_id, rank, vec_id, score): each query row's k best candidates by integer inner product, ties to the smaller vec_id.
 
     Both frames hold ``vec_id`` and ``w`` (array of long; shorter arrays end in
-    zeros). A query never meets candidates of its own vec_id. Rows with null w
-    or null vec_id take no part. A query id that occurs twice is asked once, with its
-    greatest array; a repeated candidate counts as often as it occurs. Fewer
-    candidates than k: all. No query or no candidate: no row.
+    zeros), and ``queries`` are rows of ``candidates``: a query meets every row
+    but its own, so a row that repeats its vec_id counts, a copy of it included.
+    Every query row has its rows, repeated ones too. Rows with null w or null
+    vec_id take no part. Fewer candidates than k: all. No query or no candidate:
+    no row. Equal query rows are asked once. Best rows are kept one more than
+    asked for, and one that is the query's own by id and score is left out then.
     """
     spark = candidates.sparkSession
     cand = candidates.select("vec_id", "w").filter("vec_id is not null and w is not null")
-    asked = queries.select("vec_id", "w").filter("vec_id is not null and w is not null").groupBy("vec_id").agg(F.max("w").alias("w"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = queries.select("vec_id", "w").filter("vec_id is not null and w is not null").groupBy("vec_id", "w").agg(F.count(F.lit(1)).alias("times"))
+    asked = written(asked, "asked", narrow=True)
     waves = max(1, -(-asked.count() // wave))
     found = None
     for i in range(waves):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == i).limit(2 * wave + 1).toArrow()
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id", "w"), F.lit(waves)) == i).limit(2 * wave + 1).toArrow()
         if rows.num_rows > 2 * wave:
             raise RuntimeError("a wave of queries is over its bound")
-        q_ids = rows["vec_id"].to_numpy()
-        order = np.argsort(q_ids)
-        q_rows = [np.asarray(rows["w"][int(j)].as_py(), np.int64) for j in order]
-        asked_now = spark.sparkContext.broadcast((q_ids[order], q_rows))
-        part = _scored(cand.coalesce(4 * spark.sparkContext.defaultParallelism), asked_now, k)
-        part = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        if waves > 1:
-            part = written(part, "wave", narrow=True)
-            asked_now.destroy()
+        q_rows = _arrays(rows["w"]) if rows.num_rows else []
+        own = np.array([int(x @ x) for x in q_rows], np.int64)
+        asked_now = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(), own, rows["times"].to_numpy(), q_rows))
+        part = written(_ranked(_scored(cand.coalesce(4 * spark.sparkContext.defaultParallelism), asked_now, k + 1), k), "wave", narrow=True)
+        asked_now.destroy()
         found = part if found is None else found.unionByName(part)
+    dropped(asked)
     return found
 
 
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each query without its own row, as often as the query occurs."""
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    d = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k + 1)
+    # of rows that may be the query's own, the first one is left out
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    at = F.min(F.when(own, F.col("rank"))).over(Window.partitionBy("q"))
+    d = d.withColumn("__own", at).filter(F.col("__own").isNull() | (F.col("rank") != F.col("__own")))
+    d = d.withColumn("rank", F.when(F.col("__own") < F.col("rank"), F.col("rank") - 1).otherwise(F.col("rank"))).filter(F.col("rank") <= k)
+    return d.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("__n")).drop("__n")
+
+
 def _scored(cand: DataFrame, asked, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_rows = asked.value
+        q_ids, own, times, q_rows = asked.value
         top_s: list[np.ndarray] = [np.empty(0, np.int64)] * len(q_ids)
         top_v: list[np.ndarray] = [np.empty(0, np.int64)] * len(q_ids)
         for batch in batches:
@@ -109,12 +127,12 @@ def _scored(cand: DataFrame, asked, k: int) -> DataFrame:
                             at, weight = lists[t]
                             acc[at] += q_rows[j][t] * weight
                     for x, j in enumerate(some):
-                        keep = ids != q_ids[j]
-                        s, v = _best(dense[x][keep], ids[keep], k)
+                        s, v = _best(dense[x], ids, k)
                         top_s[j], top_v[j] = _best(np.concatenate([top_s[j], s]), np.concatenate([top_v[j], v]), k)
         if len(q_ids):
-            counts = np.array([len(x) for x in top_s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, counts), pa.int64()), pa.array(np.concatenate(top_v), pa.int64()), pa.array(np.concatenate(top_s), pa.int64())], names=["query_id", "vec_id", "score"])
+            n = np.array([len(x) for x in top_s])
+            columns = [np.repeat(x, n) for x in (np.arange(len(q_ids)), q_ids, own, times)] + [np.concatenate(top_v), np.concatenate(top_s)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q", "query_id", "own", "times", "vec_id", "score"])
 
     return cand.mapInArrow(run, _SCHEMA)
 

@@ -132,11 +132,18 @@ def test_topk_with_ties_odd_vectors_and_waves(spark):
 
 
 def test_topk_of_repeated_rows(spark):
-    rows = [(0, [1.0]), (0, [1.0]), (1, [0.5]), (1, [0.5]), (100, [2.0]), (200, None), (None, [1.0])]
+    """Every row but the query's own is a candidate, and every query row has its ranks."""
+    rows = [(0, [1.0]), (0, [1.0]), (0, [0.25]), (1, [0.5]), (1, [0.5]), (100, [2.0]), (200, None), (None, [1.0])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.quantised("embedding").alias("w"), F.lit("x").alias("rank"))
-    got = sorted(tuple(r) for r in topk.top_k(e, e.filter("vec_id % 100 = 0")).collect())
-    one = 1024 * 1024
-    assert got == [(0, 1, 100, 2 * one), (0, 2, 1, one // 2), (0, 3, 1, one // 2), (100, 1, 0, 2 * one), (100, 2, 0, 2 * one), (100, 3, 1, one), (100, 4, 1, one)]
+    some = [(i, int(1024 * v[0])) for i, v in rows if i is not None and v]
+    for k in (10, 2, 1):
+        want = []
+        for x, (i, v) in enumerate(some):
+            if i % 100 == 0:
+                best = sorted((-v * w, j) for y, (j, w) in enumerate(some) if y != x)[:k]
+                want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+        for wave in (50_000, 1):
+            assert sorted(tuple(r) for r in topk.top_k(e.repartition(2), e.filter("vec_id % 100 = 0"), k, wave).collect()) == sorted(want)
 
 
 # 4
