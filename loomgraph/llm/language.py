@@ -192,7 +192,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ``und`` with score 0 for null text, text without a letter, or if there is
     nothing to learn from. Whole texts are read. Repeated rows are each
     predicted, alike. An empty table gives an empty result. Other columns are
-    ignored.
+    ignored. More than ``MOST_LANGUAGES`` languages raise an error.
     """
     model = fit(docs, sample)
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

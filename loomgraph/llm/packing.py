@@ -1,15 +1,17 @@
-"""Operator 9, best-fit packing of documents into token sequences: bulk-synchronous rounds.
-
-Documents are numbered once by (length, rank), in a distributed way. Every round
-range-sorts the gaps of the open sequences and sweeps both lists from the largest
-size down: gaps are pushed on a stack, and a document takes the topmost one, which
-is its successor, the smallest gap that still holds it. The stack is never built:
-a gap's slot and the slot that a document takes follow from sizes' counts (at most
-``capacity`` numbers each) and from ranks, so documents that want the same gap are
-told apart by rank, and one window over (slot, size) matches all of them. Gaps
-shrink, and rounds go on; documents that no gap holds open sequences, as many as
-they need at least. Where a length has more documents than there are gaps, equally
-long ones go together, so rounds follow the documents a sequence holds, not copies.
+"""Operator 9, best-fit packing of documents into token sequences: bulk-synchronous rounds of distributed successor sweeps.
+
+Every round range-sorts the documents that are left together with the gaps of the
+open sequences, largest first and gaps before documents of their size. A task
+sweeps its range: gaps are pushed on a stack, and a document takes the topmost,
+which is its successor, the smallest gap that still holds it. Documents that find
+none in their range wait, and gaps that nobody took stay open: these meet across
+ranges. They are ranked as if one stack went through all ranges: running sums and
+minima over the ranges' counts give each its height, so every document and gap has
+a slot, and documents that want the same gap get different ones by rank. Gaps
+shrink by what they took, and the next round goes over what is left. Documents
+longer than every gap open sequences, as many as they need at least. Where a length
+has more documents than there are gaps, equally long ones go together, so rounds
+follow the documents that a sequence holds, not the copies.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import docs_of, ranked, written
+from loomgraph.llm.common import docs_of, n_parts, written
 
 CAPACITY = 2048
 #: Appended to each document.
@@ -119,98 +123,138 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES + ", ids binary" * ids)
 
 
-#: Gaps of one size that are ranked in one task, about; part of a sequence that documents of one length may take in a round.
-RUN, SHARE = 50_000, 8
+#: Part of a sequence that documents of one length may take in a round; documents and gaps that one task sweeps alone.
+SHARE, ALONE = 8, 50_000
 
 
-def sweep(gaps: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of one round, from the counts of gaps and of documents by size.
+def _swept(rows: DataFrame, names: list[str], together: np.ndarray, capacity: int) -> DataFrame:
+    """One sweep of each range. Documents have sequence_id and offset, or else their unit's number among those that wait in the
+    range (__at) and their place in the unit (__in). Gaps that shrank come with what is left of them; those that nobody took have
+    their number from the bottom of the stack (__at)."""
+    many = together.tolist()
+    added = {"sequence_id": pa.int64(), "offset": pa.int64(), "gap": pa.int64(), "__part": pa.int32(), "__at": pa.int64(), "__in": pa.int64()}
 
-    Returns the first slot of each size's gaps; by length: how many documents go together, how many such units find a gap,
-    and the slot of the first (the next ones follow downwards); and the counts of gaps after the round.
-    """
-    capacity = len(gaps) - 1
-    size = np.arange(capacity + 1)
-    together = np.maximum(1, np.minimum(left // max(1, gaps.sum()), capacity // SHARE // np.maximum(size, 1)))
-    units, wide = left // together, together * size
-    order = np.argsort(-wide, kind="stable")
-    order = order[(units[order] > 0) & (order > 0)]
-    base, found, top, after = (np.zeros(capacity + 1, np.int64) for _ in range(4))
-    stack: list[list[int]] = []  # (size, gaps left of it)
-    height, at = 0, capacity
-    for n in [*order.tolist(), 0]:
-        while at >= wide[n]:
-            base[at], height = height, height + gaps[at]
-            if gaps[at]:
-                stack.append([at, int(gaps[at])])
-            at -= 1
-        if n:
-            top[n], found[n] = height - 1, min(height, units[n])
-            height, taken = height - found[n], int(found[n])
-            while taken:
-                k = min(taken, stack[-1][1])
-                after[stack[-1][0] - wide[n]] += k
-                taken, stack[-1][1] = taken - k, stack[-1][1] - k
-                if not stack[-1][1]:
-                    stack.pop()
-    for at, k in stack:
-        after[at] += k
-    return base, together, found, top, after
-
-
-def _counts(df: DataFrame, column: str, capacity: int) -> np.ndarray:
-    """Rows of each length; at most ``capacity`` lengths."""
-    out = np.zeros(capacity + 1, np.int64)
-    for r in df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).limit(capacity + 1).collect():
-        out[r[0]] = r["n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        stack: list[tuple[int, int]] = []
+        shrunk: list[tuple[int, int, int | None]] = []
+        unit, count, inside, waits = -1, 0, 0, 0
+        bin_: tuple[int, int] | None = None
+        kinds = None
+
+        def gaps_of(some: list[tuple[int, int, int | None]]) -> pa.RecordBatch:
+            seq, gap, at = zip(*some, strict=True)
+            n = len(some)
+            more = [pa.array(seq, pa.int64()), pa.nulls(n, pa.int64()), pa.array(gap, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.nulls(n, pa.int64())]
+            return pa.RecordBatch.from_arrays([*[pa.nulls(n, kinds[c]) for c in names], *more], names=[*names, *added])
+
+        for batch in batches:
+            kinds = {n: batch.schema.field(n).type for n in names}
+            lengths, bins, gaps = (batch.column(c).to_pylist() for c in ("length", "sequence_id", "gap"))
+            out: list[tuple] = []
+            for length, seq, gap in zip(lengths, bins, gaps, strict=True):
+                if seq is None and length == unit and count < many[length]:
+                    count, inside = count + 1, inside + length
+                else:
+                    if bin_ is not None:
+                        shrunk.append((bin_[0], bin_[1] - inside - unit, None))
+                        bin_ = None
+                    if seq is not None:
+                        stack.append((seq, gap))
+                        unit = -1
+                        continue
+                    unit, count, inside = length, 1, 0
+                    bin_ = stack.pop() if stack else None
+                    waits += bin_ is None
+                out.append((None, None, waits - 1, inside) if bin_ is None else (bin_[0], capacity - bin_[1] + inside, None, inside))
+            docs = batch.filter(pc.is_null(batch.column("sequence_id")))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            more = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[docs.column(n) for n in names], *more], names=[*names, *added])
+            if shrunk:
+                yield gaps_of(shrunk)
+                shrunk = []
+        if bin_ is not None:
+            yield gaps_of([(bin_[0], bin_[1] - inside - unit, None)])
+        for lo in range(0, len(stack), 10_000):
+            yield gaps_of([(q, g, lo + i) for i, (q, g) in enumerate(stack[lo : lo + 10_000])])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", sequence_id long, offset long, gap long, __part int, __at long, __in long"
+    return rows.mapInArrow(run, schema)
+
+
+def _met(swept: DataFrame, names: list[str], capacity: int) -> DataFrame:
+    """The waiting documents of a sweep with the gaps that other ranges have left: (names, sequence_id, offset, gap). Documents that
+    still wait have no offset; gaps come with what is left of them."""
+    waits = swept.filter("gap is null and offset is null")
+    free = swept.filter("gap is not null and __at is not null")
+    # one row for each range and side: what waits is taken from the stack, then what is free is put on it
+    steps = waits.groupBy("__part").agg((-F.max("__at") - 1).alias("__n")).withColumn("__side", F.lit(0))
+    steps = steps.unionByName(free.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__side", F.lit(1)))
+    w = Window.orderBy("__part", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("__sum", F.sum("__n").over(w)).withColumn("__low", F.least(F.lit(0), F.min("__sum").over(w)))
+    before = steps.withColumn("__top", F.coalesce(F.lag(F.col("__sum") - F.col("__low")).over(Window.orderBy("__part", "__side")), F.lit(0))).select("__part", "__side", "__top")
+    height = lambda side: F.broadcast(before.filter(F.col("__side") == side).drop("__side"))
+    took = waits.join(height(0), "__part").withColumn("__slot", F.col("__top") - 1 - F.col("__at"))
+    gave = free.join(height(1), "__part").withColumn("__slot", F.col("__top") + F.col("__at"))
+    both = took.filter("__slot >= 0").unionByName(gave)
+    # in a slot a gap is followed by the documents of the unit that takes it, if any does
+    slot = Window.partitionBy("__slot").orderBy("__part", F.col("gap").isNotNull(), "__in")
+    both = both.withColumn("__turn", F.count("gap").over(slot)).withColumn("__gap", F.last("gap", True).over(slot)).withColumn("sequence_id", F.last("sequence_id", True).over(slot))
+    both = both.withColumn("__taken", F.sum("length").over(Window.partitionBy("__slot", "__turn")))
+    offset = F.when(F.col("gap").isNull(), capacity - F.col("__gap") + F.col("__in"))
+    both = both.select(*names, "sequence_id", offset.alias("offset"), (F.col("gap") - F.coalesce("__taken", F.lit(0))).alias("gap"))
+    return both.unionByName(took.filter("__slot < 0").select(*names, "sequence_id", "offset", "gap"))
+
+
+def _histograms(capacity: int, **tables: DataFrame) -> dict[str, np.ndarray]:
+    """Rows by the size in each table's last column; at most ``capacity`` sizes each, in one job."""
+    out = {k: np.zeros(capacity + 1, np.int64) for k in tables}
+    each = [d.groupBy(F.lit(k).alias("of"), F.col(d.columns[-1]).alias("size")).agg(F.count(F.lit(1)).alias("n")) for k, d in tables.items()]
+    for r in reduce(DataFrame.unionByName, each).limit(len(tables) * (capacity + 1)).collect():
+        out[r["of"]][r["size"]] = r["n"]
     return out
 
 
 def place(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Append sequence_id and offset to a written table of pieces."""
-    spark = table.sparkSession
-    names = table.columns
-    sub = F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.col("ids_crc32").cast("string"))), 1, 3)
-    docs = written(ranked(table, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], sub, "__rank"), "ranked")
-    left = _counts(docs, "length", capacity)
-    first = np.zeros(capacity + 1, np.int64)
+    spark, names = table.sparkSession, table.columns
     size = np.arange(capacity + 1)
-    gaps = np.zeros(capacity + 1, np.int64)
-    bins, opened, placed = None, 0, []
-    by_size = "__size int, __base long"
-    by_length = "__length int, __first long, __together long, __found long, __top long"
-    while left.any():
-        none = left * (size > (np.flatnonzero(gaps).max() if gaps.any() else 0))  # documents that no gap holds
-        if none.any():
-            more = max(int(none[size > capacity // 2].sum()), -(-int((none * size).sum()) // capacity))
+    left, counts = table, _histograms(capacity, left=table.select("length"))["left"]
+    bins, gaps, opened, placed = None, np.zeros(capacity + 1, np.int64), 0, []
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    while counts.any():
+        # gaps below the smallest document are closed
+        least = int(np.flatnonzero(counts)[0])
+        gaps = gaps * (size >= least)
+        over = counts * (size > (np.flatnonzero(gaps).max() if gaps.any() else 0))  # documents that no gap holds
+        if over.any():
+            more = max(int(over[size > capacity // 2].sum()), -(-int((over * size).sum()) // capacity))
             fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
             bins = fresh if bins is None else bins.unionByName(fresh)
             opened, gaps = opened + more, gaps + more * (size == capacity)
-        parts = max(1, -(-int(gaps.max()) // RUN))
-        if parts == 1:
-            ranks = bins.withColumn("__rank", F.row_number().over(Window.partitionBy("gap").orderBy("sequence_id")).cast("long") - 1)
+        together = np.maximum(1, np.minimum(counts // gaps.sum(), capacity // SHARE // np.maximum(size, 1)))
+        wide = F.broadcast(spark.createDataFrame([(int(n), int(n * together[n])) for n in np.flatnonzero(counts)], "length long, __wide long"))
+        docs = left.join(wide, "length").select(*names, null("sequence_id", "long"), null("gap", "long"), (-F.col("__wide")).alias("__key"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("__tie"))
+        free = bins.filter(F.col("gap") >= least).select(*[null(c, k) for c, k in table.dtypes], "sequence_id", "gap", (-F.col("gap")).alias("__key"), F.col("sequence_id").alias("__tie"))
+        order = ["__key", F.col("sequence_id").isNull(), "length", "__tie"]
+        rows, alone = free.unionByName(docs), counts.sum() + gaps.sum() <= ALONE
+        rows = rows.coalesce(1) if alone else rows.repartitionByRange(n_parts(spark), *order)
+        swept = written(_swept(rows.sortWithinPartitions(*order).select(*names, "sequence_id", "gap"), names, together, capacity), "swept")
+        placed.append(swept.filter("offset is not null").select(*names, "sequence_id", "offset"))
+        if alone:  # one range: what waits is longer than every gap that is left
+            rest, bins = swept, swept.filter("gap is not null")
         else:
-            ranks = ranked(bins, ["gap"], [F.col("sequence_id")], F.pmod(F.xxhash64("sequence_id"), F.lit(parts)), "__rank")
-        base, together, found, top, after = sweep(gaps, left)
-        live, some = np.flatnonzero(gaps), np.flatnonzero(found)
-        slots = F.broadcast(spark.createDataFrame([(int(s), int(base[s])) for s in live], by_size))
-        takes = F.broadcast(spark.createDataFrame([(int(s), int(first[s]), int(together[s]), int(found[s]), int(top[s])) for s in some], by_length))
-        null = lambda c: F.lit(None).cast(dict(table.dtypes)[c]).alias(c)
-        push = ranks.join(slots, F.col("gap") == F.col("__size")).select(*map(null, names), (F.col("__base") + F.col("__rank")).alias("__slot"), F.col("gap").alias("__wide"), F.lit(0).alias("__in"), F.col("sequence_id").alias("__bin"), "gap")
-        step = F.col("__rank") - F.col("__first")
-        take = docs.join(takes, F.col("length") == F.col("__length")).filter((step >= 0) & (step < F.col("__found") * F.col("__together")))
-        pop = take.select(*names, (F.col("__top") - F.floor(step / F.col("__together"))).alias("__slot"), (F.col("length") * F.col("__together")).alias("__wide"), (step % F.col("__together") * F.col("length")).alias("__in"), F.lit(None).cast("long").alias("__bin"), F.lit(None).cast("long").alias("gap"))
-        w = Window.partitionBy("__slot").orderBy(F.desc("__wide"), F.col("__bin").isNull(), "length", "__in")
-        met = push.unionByName(pop).withColumn("sequence_id", F.last("__bin", True).over(w)).withColumn("offset", capacity - F.last("gap", True).over(w) + F.col("__in"))
-        met = met.withColumn("gap", F.col("gap") - F.coalesce(F.when(F.lead("__bin").over(w).isNull(), F.lead("__wide").over(w)), F.lit(0)))
-        done = written(met.select(*names, "sequence_id", F.col("offset").cast("long").alias("offset"), F.when(F.col("__bin").isNotNull(), F.col("gap")).alias("gap")), "round", narrow=True)
-        placed.append(done.filter("gap is null").drop("gap"))
-        first, left = first + found * together, left - found * together
-        least = int(np.flatnonzero(left)[0]) if left.any() else capacity + 1
-        gaps = after * (size >= least)
-        bins = done.filter(F.col("gap") >= least).select("sequence_id", "gap")
+            rest = written(_met(swept, names, capacity), "met")
+            placed.append(rest.filter("offset is not null").select(*names, "sequence_id", "offset"))
+            bins = swept.filter("gap is not null and __at is null").select("sequence_id", "gap").unionByName(rest.filter("gap is not null").select("sequence_id", "gap"))
+        bins = bins.select("sequence_id", "gap")
+        left = rest.filter("gap is null and offset is null").select(*names)
+        found = _histograms(capacity, left=left.select("length"), bins=bins.select("gap"))
+        counts, gaps = found["left"], found["bins"]
     if not placed:
-        return docs.drop("__rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        return table.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     return reduce(DataFrame.unionByName, placed)
 
 

@@ -6,8 +6,9 @@ a block of documents are sorted, which lays their trie out depth-first: forward
 scores of a common prefix are kept from one word to the next and only the rest
 is computed. The path of the highest summed piece score wins; of equal ones the
 one whose last piece is longest, position by position, as in SentencePiece's
-unigram encoder, whose ids these are. Characters in no piece fall back to byte
-pieces.
+unigram encoder. Ids equal that encoder's wherever single precision tells sums
+apart; for the default file, read as unigrams, it does not for 102 of 20,150
+distinct words (see the README). Characters in no piece fall back to byte pieces.
 
 The scores are those in the model file, summed in double precision. For a file
 whose pieces were learned by merges this is the best path through the same

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, suffix_dedup, topk
-from loomgraph.llm.common import components
+from loomgraph.llm.common import components, written
 
 from llm_plain import DOCS, jaccard_plain, joined, near_copies, removed_plain, repeated_texts, table
 
@@ -317,39 +317,42 @@ def best_fit(lengths, capacity):
     return n
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_sweep_gives_each_document_the_successor_gap(seed):
-    """Slots of one round against a stack that is really built."""
+@pytest.mark.parametrize("seed", range(4))
+def test_a_round_gives_each_document_the_successor_gap(spark, seed):
+    """Sweeps of ranges and what meets across them against one stack that is really built."""
     rng = np.random.default_rng(seed)
-    cap = int(rng.integers(4, 70))
-    gaps, left = (np.bincount(rng.integers(1, cap + 1, int(rng.integers(1, 200))), minlength=cap + 1) for _ in range(2))
-    base, together, found, top, after = packing.sweep(gaps, left)
-    units = sorted(((int(together[s]) * s, s, k) for s in np.flatnonzero(left) for k in range(left[s] // together[s])), key=lambda u: (-u[0], u[1], u[2]))
-    stack, at, want, rest = [], cap, {}, np.zeros(cap + 1, int)
-    for wide, s, k in units:
-        while at >= wide:
-            stack += [(at, r) for r in range(gaps[at])]
-            at -= 1
-        if stack:
-            want[s, k] = (len(stack) - 1, *stack.pop())
-            rest[want[s, k][1] - wide] += 1
-    stack += [(g, r) for g in range(at + 1) for r in range(gaps[g])]
-    for g, _ in stack:
-        rest[g] += 1
-    got = {}
-    for s in np.flatnonzero(found):
-        for k in range(found[s]):
-            slot = int(top[s]) - k
-            at = min(g for g in range(int(together[s] * s), cap + 1) if base[g] <= slot < base[g] + gaps[g])
-            got[s, k] = (slot, at, slot - int(base[at]))
-    assert (after == rest).all() and got == want and (together[left > 0] >= 1).all()
+    cap = (12, 40, 300, 300)[seed]
+    lengths = rng.integers(1, cap + 1, (150, 200, 90, 4)[seed]).tolist()
+    gaps = rng.integers(1, cap + 1, (120, 60, 200, 90)[seed]).tolist()
+    stack, want = [], []
+    for size, is_doc in sorted([(-g, False) for g in gaps] + [(-n, True) for n in lengths]):
+        if is_doc:
+            want.append((-size, stack.pop() if stack else None))
+        else:
+            stack.append(-size)
+    names = ["doc_id", "length"]
+    docs = spark.createDataFrame([(i, n, None, None) for i, n in enumerate(lengths)], "doc_id long, length long, sequence_id long, gap long")
+    rows = docs.union(spark.createDataFrame([(None, None, i, g) for i, g in enumerate(gaps)], docs.schema))
+    key = [-F.coalesce("gap", "length"), F.col("sequence_id").isNull(), F.xxhash64("doc_id", "sequence_id")]
+    swept = written(packing._swept(rows.repartitionByRange(5, *key).sortWithinPartitions(*key), names, np.ones(cap + 1, np.int64), cap), "swept")
+    met = written(packing._met(swept, names, cap), "met")
+    got = met.filter("gap is null").drop("gap").unionByName(swept.filter("offset is not null").select(*names, "sequence_id", "offset")).collect()
+    taken = {g: n for n, g in ((r.length, r.sequence_id) for r in got if r.sequence_id is not None)}
+    open_ = met.filter("gap is not null").select("sequence_id", "gap").unionByName(swept.filter("gap is not null and __at is null").select("sequence_id", "gap")).collect()
+    assert sorted((r.sequence_id, r.gap) for r in open_) == [(i, g - taken.get(i, 0)) for i, g in enumerate(gaps)]
+    none = lambda p: (p[0], p[1] or 0)
+    assert sorted(none((r.length, None if r.sequence_id is None else gaps[r.sequence_id])) for r in got) == sorted(map(none, want))
+    used = [r.sequence_id for r in got if r.sequence_id is not None]
+    assert len(set(used)) == len(used) and all(r.offset == cap - gaps[r.sequence_id] for r in got if r.sequence_id is not None)
+    assert swept.select("__part").distinct().count() > 2
 
 
 @pytest.mark.parametrize("low, high, rows", [(1, 256, 700), (1, 12, 900), (100, 200, 150), (256, 256, 40), (1, 1, 600)])
-def test_packing_is_close_to_plain_best_fit(spark, low, high, rows):
+def test_packing_is_close_to_plain_best_fit(spark, monkeypatch, low, high, rows):
     rng = np.random.default_rng(rows)
     lengths = [int(x) for x in rng.integers(low, high + 1, rows)]
     d = spark.createDataFrame([(i, 0, 0, n, i % 5) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "ALONE", 0 if rows % 4 else 50_000)
     got = packing.place(d, 256).toPandas().sort_values(["sequence_id", "offset"])
     assert sorted(got.length) == sorted(lengths)
     total = got.groupby("sequence_id").length
