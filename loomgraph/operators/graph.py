@@ -281,13 +281,13 @@ def neighborhood(assertions: DataFrame, starts: DataFrame, depth: int = 3, relat
 
 
 def traverse(assertions: DataFrame, starts: DataFrame, depth: int = 3, relations: Sequence[str] = ("call",), confidences: Sequence[str] = ("EXTRACTED", "INFERRED"), incoming: bool = False,
-             max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+             max_nodes: int | None = None, max_edges: int | None = None, order: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and outcome of a bounded neighborhood of each seed.
 
     Nodes are those of :func:`neighborhood`; edges (seed, assertion_id, source, target, relation, confidence, distance) are all
     that lead on from a node above the depth limit, ``distance`` being that node's. Edges are examined node by node in the
     order of discovery, by relation, then assertion; every assertion of the relations counts, whether it leads on or not.
-    The search stops before edge ``max_edges`` + 1 and before the edge to node ``max_nodes`` + 1, whichever is first.
+    With ``order`` edges also have ``at``, their place in it. The search stops before edge ``max_edges`` + 1 and before the edge to node ``max_nodes`` + 1, whichever is first.
     Outcome (seed, outcome, stop_reason): complete, or partial by examined_edge_limit, visited_node_limit or depth_limit.
     """
     steps = _steps(assertions, relations, incoming)
@@ -319,7 +319,7 @@ def traverse(assertions: DataFrame, starts: DataFrame, depth: int = 3, relations
         nodes, edges, out = first(nodes), first(edges), out.join(stop, "seed", "left")
         reason = F.coalesce(F.col("__stop.reason"), reason)
     ends = ("there", "here") if incoming else ("here", "there")
-    edges = edges.select("seed", "assertion_id", F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target"), "relation", "confidence", "distance")
+    edges = edges.select("seed", "assertion_id", F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target"), "relation", "confidence", "distance", *["at"] * order)
     return nodes.select("seed", "node", "distance", "parent", "relation", "assertion_id"), edges, out.select("seed", F.when(reason.isNull(), "complete").otherwise("partial").alias("outcome"), reason.alias("stop_reason"))
 
 

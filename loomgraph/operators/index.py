@@ -97,6 +97,8 @@ def build(docs: DataFrame, terms: DataFrame | list[str] | None = None, positions
     return Index(name, made.postings, terms_, n, avg, k1, b)
 
 
+#: What looking up a posting of a document costs, in postings that are read in passing.
+LOOKUP = 4
 #: Relative and absolute room for sums of doubles in another order.
 _ROOM = 1e-9
 
@@ -121,7 +123,7 @@ def _planned(index: Index, queries: DataFrame, top: int) -> DataFrame:
     low = Window.partitionBy("query_id").orderBy("most", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("query_id")
     qt = qt.withColumn("__out", F.sum("most").over(low) * (1 + _ROOM) + _ROOM < F.col("bound"))
-    lookups = F.sum(F.when(F.col("__out"), 0).otherwise(F.col("df"))).over(whole) * (1 + F.sum(F.col("__out").cast("long")).over(whole))
+    lookups = F.sum(F.when(F.col("__out"), 0).otherwise(F.col("df"))).over(whole) * (1 + LOOKUP * F.sum(F.col("__out").cast("long")).over(whole))
     qt = qt.withColumn("needed", ~F.col("__out") | (lookups >= F.sum("df").over(whole)))
     rest = F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("most"))).over(whole)
     out = kept(qt.withColumn("rest", rest).select("query_id", "term", "w", "needed", "rest", "bound"))

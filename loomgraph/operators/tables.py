@@ -24,14 +24,14 @@ def shared(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back: lineage is cut, a lost executor loses nothing, and the write's shuffle files go."""
+def kept(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` below spark.checkpoint.dir and read it back: lineage is cut, a lost executor loses nothing, and the write's shuffle files go. With ``by``, a folder for each of its values."""
     path = f"{shared(df.sparkSession)}/loomgraph-step-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = df.sparkSession.conf.get(cleanup, None)
     df.sparkSession.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         df.sparkSession.conf.unset(cleanup) if before is None else df.sparkSession.conf.set(cleanup, before)
     _made.append((df.sparkSession, path))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,43 +139,20 @@ def tiered(docs: DataFrame, queries: DataFrame, exact: list[tuple[str, str]], ra
 
 
 def diversified(atoms: DataFrame, most: int = 128) -> DataFrame:
-    """Context order per query: the best exact definition first, then round-robin over paths, inside a path over owners.
+    """(query_id, atom_id, place): the best exact definition first, then round-robin over paths, inside a path over owners.
 
-    ``atoms`` (query_id, atom_id, rank, path, owner, exact). Paths are sorted anew every round by their best atom left.
-    At most ``most`` atoms of a query take part, the best by rank.
+    ``atoms`` (query_id, atom_id, rank, path, owner, exact); ids are a query's own, and rank and id order it. Every round takes
+    one atom from each path that has some left, paths by the best of these. A path's owners take turns in the order of their
+    best atoms. At most ``most`` atoms of a query take part, the best by rank.
     """
-    w = Window.partitionBy("query_id").orderBy("rank", "atom_id")
-    top = atoms.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ordered([(r.rank, r.atom_id, r.path, r.owner, r.exact) for r in pdf.itertuples()])
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "atom_id": order, "place": range(1, len(order) + 1)})
-
-    kinds = dict(atoms.dtypes)
-    return top.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, atom_id {kinds['atom_id']}, place int")
-
-
-def ordered(atoms: list[tuple]) -> list:
-    """The order of :func:`diversified` for one query: (rank, atom_id, path, owner, exact)."""
-    left = sorted(atoms)
-    out = []
-    anchor = next((a for a in left if a[4]), None)
-    if anchor:
-        out.append(anchor[1])
-        left.remove(anchor)
-    by_path: dict = {}
-    for a in left:
-        by_path.setdefault(a[2], {}).setdefault(a[3], []).append(a)
-    turn: dict = {p: 0 for p in by_path}
-    while by_path:
-        for path in sorted(by_path, key=lambda p: min(min(q) for q in by_path[p].values())):
-            owners = by_path[path]
-            names = sorted(owners, key=lambda o: (turn.setdefault((path, o), 0), min(owners[o])))
-            pick = owners[names[0]].pop(0)
-            turn[path, names[0]] += 1
-            out.append(pick[1])
-            if not owners[names[0]]:
-                del owners[names[0]]
-            if not owners:
-                del by_path[path]
-    return out
+    best = Window.partitionBy("query_id").orderBy("rank", "atom_id")
+    d = atoms.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= most)
+    anchor = F.min(F.when(F.col("exact"), F.col("__n"))).over(Window.partitionBy("query_id"))
+    d = d.withColumn("__first", F.coalesce(F.col("__n") == anchor, F.lit(False)))
+    # the anchor is no part of the rounds
+    own, path = ["query_id", "__first", "path", "owner"], ["query_id", "__first", "path"]
+    d = d.withColumn("__k", F.row_number().over(Window.partitionBy(*own).orderBy("__n"))).withColumn("__o", F.min("__n").over(Window.partitionBy(*own)))
+    turns = Window.partitionBy(*path).orderBy("__k", "__o")
+    d = d.withColumn("__turn", F.row_number().over(turns)).withColumn("__left", F.min("__n").over(turns.rowsBetween(0, Window.unboundedFollowing)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("__first"), "__turn", "__left")
+    return d.select("query_id", "atom_id", F.row_number().over(order).alias("place"))

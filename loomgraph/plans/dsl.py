@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import evidence, graph, lookup, resolve, text
+from loomgraph.plans.paging import Pages, paged
 
 VERBS = ("callers_of", "definitions_of", "subclasses_of", "god_nodes", "communities", "rationale")
 
@@ -90,6 +91,6 @@ class Engine:
         raise QueryError("UNKNOWN_OPERATION", f"unknown operation {op!r}", "different_tool")
 
     @staticmethod
-    def page(df: DataFrame, order: list[str], size: int, number: int) -> DataFrame:
-        """Page ``number`` from 0 of a total order; read from a written or cached result, pages do not change."""
-        return df.orderBy(*order).offset(size * number).limit(size)
+    def pages(df: DataFrame, order: list, size: int) -> Pages:
+        """A result written once, in a total order, for reading page by page."""
+        return paged(df, order, size)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import spans
 from loomgraph.operators import evidence, resolve
 from loomgraph.plans.projection import projected, views, with_sql
+from loomgraph.plans.queries_text import BM25_SQL, DIVERSITY
 from loomgraph.plans.queries_overlay import _COVER, _PART_SPANS
 from loomgraph.registry import query
 
@@ -149,21 +150,25 @@ def span_lines(spark, sf_dir):
     return d.select("doc_id", spans.line_at(F.col("text"), F.col("doc_id") % 900).alias("line"))
 
 
-_COLUMN = "CASE doc_id % 3 WHEN 0 THEN 'utf8' WHEN 1 THEN 'utf16' ELSE 'utf32' END AS encoding, doc_id % 40 AS col, concat(substring(text, 1, 20), CASE doc_id % 4 WHEN 0 THEN '😀é' ELSE 'ü' END, substring(text, 21, 10)) AS line"
+#: Columns in every line of every text, in three encodings; a wide character stands in the line.
+_COLUMN = """SELECT doc_id, pos, CASE (doc_id + pos) % 3 WHEN 0 THEN 'utf8' WHEN 1 THEN 'utf16' ELSE 'utf32' END AS encoding, (doc_id + pos * 7) % 60 AS col,
+ concat(substring(content, 1, 20), CASE (doc_id + pos) % 4 WHEN 0 THEN '😀é' ELSE 'ü' END, substring(content, 21)) AS line FROM pieces"""
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_COLUMN} FROM documents WHERE text IS NOT NULL), c AS (SELECT *, list_transform(range(1, length(line) + 1), lambda i: octet_length(encode(substr(line, i, 1)))) AS b FROM d),
- u AS (SELECT *, list_transform(b, lambda x: CASE WHEN encoding = 'utf8' THEN x WHEN encoding = 'utf16' AND x = 4 THEN 2 ELSE 1 END) AS w FROM c),
- k AS (SELECT *, list_filter(range(0, len(w) + 1), lambda i: coalesce(list_sum(w[1:i]), 0) >= col)[1] AS hit FROM u)
- SELECT doc_id, CASE WHEN hit IS NOT NULL AND coalesce(list_sum(w[1:hit]), 0) = col THEN CAST(coalesce(list_sum(b[1:hit]), 0) AS BIGINT) END AS byte, CASE WHEN hit IS NULL THEN 'position_out_of_line' WHEN coalesce(list_sum(w[1:hit]), 0) > col THEN 'position_not_on_boundary' END AS reason FROM k""")
+@query(f"""WITH pieces AS (SELECT doc_id, unnest(x) AS content, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)), d AS ({_COLUMN}),
+ c AS (SELECT doc_id, pos, encoding, col, unnest(range(1, length(line) + 1)) AS i, octet_length(encode(unnest(string_split(line, '')))) AS b FROM d),
+ u AS (SELECT *, sum(b) OVER w AS bytes, sum(CASE WHEN encoding = 'utf8' THEN b WHEN encoding = 'utf16' AND b = 4 THEN 2 ELSE 1 END) OVER w AS units FROM c WINDOW w AS (PARTITION BY doc_id, pos ORDER BY i)),
+ k AS (SELECT doc_id, pos, any_value(col) AS col, min(units) FILTER (units >= col) AS units, min(bytes) FILTER (units >= col) AS bytes FROM u GROUP BY 1, 2)
+ SELECT doc_id, pos, CASE WHEN col = 0 THEN 0 WHEN units = col THEN CAST(bytes AS BIGINT) END AS byte, CASE WHEN col = 0 THEN NULL WHEN units IS NULL THEN 'position_out_of_line' WHEN units > col THEN 'position_not_on_boundary' END AS reason FROM k""")
 def column_bytes(spark, sf_dir):
-    (d,) = _sql(spark, sf_dir, f"SELECT doc_id, {_COLUMN} FROM documents WHERE text IS NOT NULL")
-    return d.select("doc_id", spans.column_to_byte(F.col("line"), F.col("col"), F.col("encoding")).alias("x")).select("doc_id", "x.byte", "x.reason")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")).createOrReplaceTempView("pieces")
+    return spark.sql(_COLUMN).select("doc_id", "pos", spans.column_to_byte(F.col("line"), F.col("col"), F.col("encoding")).alias("x")).select("doc_id", "pos", "x.byte", "x.reason")
 
 
-@query()
+@query(f"""WITH {BM25_SQL}, a AS (SELECT query_id, doc_id AS atom_id, rank, source AS path, lang AS owner, doc_id = query_id * 7 AS exact FROM r JOIN documents USING (doc_id) WHERE rank <= 128), {DIVERSITY},
+ spent_ AS (SELECT query_id, doc_id, place, CAST(sum(octet_length(encode(text))) OVER (PARTITION BY query_id ORDER BY place) AS BIGINT) AS spent FROM ordered JOIN documents ON doc_id = atom_id) SELECT * FROM spent_ WHERE spent <= 16000""")
 def context_pack(spark, sf_dir):
-    """Built on the diversity order, which has no SQL form."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("source").alias("path"), F.col("lang").alias("owner"))
     q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") * 7).alias("anchor"))
     return evidence.context_pack(d, q, 16_000)
@@ -216,3 +221,49 @@ def junit_import(spark, sf_dir):
     case = F.concat(F.lit("<testcase classname='a.C' name='n"), F.col("doc_id"), F.when(F.col("toxic") == 0, "'/>").otherwise("'><failure/></testcase>"))
     d = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.concat(F.lit("r"), F.floor(F.col("doc_id") / 50)).alias("path"), case.alias("c"))
     return junit_xml(d.groupBy("path").agg(F.concat(F.lit("<s>"), F.array_join(F.collect_list("c"), ""), F.lit("</s>")).alias("text")))
+
+
+_ENTITIES = """SELECT concat('s', CAST(s_suppkey AS STRING)) AS entity_id, concat('f', CAST(s_suppkey AS STRING)) AS path, CAST(s_nationkey AS STRING) AS owner, s_suppkey % 50 AS start_byte, s_suppkey % 50 + 100 AS end_byte FROM supplier
+ UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), concat('f', CAST(p_partkey AS STRING)), p_brand, p_partkey % 50, p_partkey % 50 + 100 FROM part"""
+_PROOFS = "SELECT assertion_id, source, target, relation, confidence, concat('f', CAST(assertion_id % 997 AS STRING)) AS path, assertion_id % 40 AS start_byte, assertion_id % 40 + 60 AS end_byte FROM assertions"
+_NAMED = "SELECT item_id AS query_id, 1 AS place, 3 AS tier, 'entity' AS kind, concat('s', CAST(item_id + 1 AS STRING)) AS id FROM benchmark UNION ALL SELECT item_id, 2, 3, 'entity', concat('p', CAST(item_id * 3 + 1 AS STRING)) FROM benchmark"
+_AIMS = "SELECT item_id AS query_id, (SELECT min(a.target) FROM assertions a WHERE a.source = concat('s', CAST(item_id + 1 AS STRING)) AND a.relation = 'call' AND a.confidence <> 'AMBIGUOUS' AND item_id % 5 = 0) AS target FROM benchmark"
+
+
+@query(with_sql("assertions") + f""", {BM25_SQL}, ent AS ({_ENTITIES}), proof AS ({_PROOFS}), files AS (SELECT 'f' || doc_id AS path, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL), aims AS ({_AIMS}),
+ cand AS ({_NAMED} UNION ALL SELECT query_id, 2 + rank, 4, 'file', 'f' || doc_id FROM r WHERE rank <= 5),
+ one AS (SELECT query_id, 'definition' AS kind, id AS atom_id, tier, place AS seed_rank, 0 AS distance, path, owner, [{{'path': path, 'a': start_byte, 'b': end_byte}}] AS src FROM cand JOIN ent ON entity_id = id AND kind = 'entity'
+  UNION ALL SELECT query_id, 'lexical_file', id, tier, place, 0, path, NULL, [{{'path': path, 'a': 0, 'b': size}}] FROM cand JOIN files ON path = id AND kind = 'file'),
+ sized AS (SELECT *, 64 + strlen(atom_id) + coalesce(strlen(path), 0) + coalesce(strlen(owner), 0) + coalesce(list_sum(list_transform(src, lambda s: 32 + strlen(s.path))), 0) AS size FROM one),
+ fit AS (SELECT query_id, bool_and(n <= 40 AND spent <= 9000) AS whole FROM (SELECT query_id, row_number() OVER w AS n, sum(size) OVER w AS spent FROM sized WINDOW w AS (PARTITION BY query_id ORDER BY seed_rank)) GROUP BY 1),
+ seed AS (SELECT query_id, seed_rank, tier, atom_id AS seed, target FROM one JOIN fit USING (query_id) JOIN aims USING (query_id) WHERE whole AND kind = 'definition'),
+ step AS (SELECT source, target, relation, assertion_id, path, start_byte, end_byte FROM proof WHERE relation = 'call' AND confidence <> 'AMBIGUOUS' AND target IS NOT NULL),
+ rel AS (SELECT s.query_id, 'relationship' AS kind, CAST(a.assertion_id AS STRING) AS atom_id, s.tier, s.seed_rank, 1 AS distance, a.path, e.owner, [{{'path': a.path, 'a': a.start_byte, 'b': a.end_byte}}] AS src, a.relation, a.assertion_id FROM seed s JOIN step a ON a.source = s.seed LEFT JOIN ent e ON e.entity_id = a.source WHERE s.target IS NULL),
+ hop AS (SELECT s.query_id, s.seed_rank, min((a.relation, a.assertion_id)) AS h FROM seed s JOIN step a ON a.source = s.seed AND a.target = s.target WHERE s.seed <> s.target GROUP BY ALL),
+ way AS (SELECT s.query_id, 'path' AS kind, s.seed || ' ' || a.assertion_id AS atom_id, s.tier, s.seed_rank, 1 AS distance, e.path, e.owner, [{{'path': a.path, 'a': a.start_byte, 'b': a.end_byte}}] AS src FROM seed s JOIN hop USING (query_id, seed_rank) JOIN step a ON a.assertion_id = h[2] JOIN ent e ON e.entity_id = s.seed
+  UNION ALL SELECT s.query_id, 'path', s.seed || ' ', s.tier, s.seed_rank, 0, e.path, e.owner, [] FROM seed s JOIN ent e ON e.entity_id = s.seed WHERE s.seed = s.target),
+ front AS (SELECT s.*, s.target IS NOT NULL AND (s.seed = s.target OR h IS NOT NULL) AS got, EXISTS (SELECT 1 FROM step a WHERE a.source = s.seed AND a.target <> s.seed) AS deep FROM seed s LEFT JOIN hop USING (query_id, seed_rank)),
+ mark AS (SELECT query_id, 'frontier' AS kind, seed AS atom_id, 0 AS tier, seed_rank, 0 AS distance, CASE WHEN target IS NULL THEN CASE WHEN deep THEN 'partial' ELSE 'complete' END WHEN got THEN 'complete' WHEN deep THEN 'partial' ELSE 'no_path' END AS path, CASE WHEN NOT got AND deep THEN 'depth_limit' END AS owner, [] AS src FROM front),
+ every AS (SELECT 0 AS phase, 1 AS atom, NULL AS relation, NULL AS aid, * FROM one UNION ALL SELECT 1, 0, NULL, NULL, * FROM mark UNION ALL SELECT 1, 1, relation, assertion_id, * EXCLUDE (relation, assertion_id) FROM rel UNION ALL SELECT 1, 1, NULL, NULL, * FROM way),
+ run AS (SELECT *, sum(atom) OVER w AS n, sum(64 + strlen(atom_id) + coalesce(strlen(path), 0) + coalesce(strlen(owner), 0) + coalesce(list_sum(list_transform(src, lambda s: 32 + strlen(s.path))), 0)) OVER w AS spent FROM every
+  WINDOW w AS (PARTITION BY query_id ORDER BY phase, seed_rank, atom, relation, aid, kind, atom_id ROWS UNBOUNDED PRECEDING)),
+ taken AS (SELECT *, len(src) > 0 AND EXISTS (SELECT 1 FROM files f WHERE f.path = src[1].path AND src[1].b <= f.size) AS there FROM run WHERE n <= 40 AND spent <= 9000 AND atom = 1),
+ x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, seed_rank, distance, NOT there, list_position(['definition', 'lexical_file', 'relationship', 'path'], kind), kind, atom_id) AS rank, kind = 'definition' AND tier < 4 AS exact FROM taken),
+ a AS (SELECT query_id, (kind, atom_id) AS atom_id, rank, path, owner, exact FROM x), {DIVERSITY}
+ SELECT o.query_id, place, x.kind, x.atom_id, x.distance, x.src[1].path AS source_path, x.src[1].a AS start_byte, x.src[1].b AS end_byte, CASE WHEN x.there THEN true WHEN len(src) > 0 THEN false END AS available
+ FROM ordered o JOIN x ON x.query_id = o.query_id AND x.kind = o.atom_id[1] AND x.atom_id = o.atom_id[2]""")
+def task_context(spark, sf_dir):
+    """Definitions, files, relationships and paths for each benchmark item; the SQL has one step of depth."""
+    from loomgraph.operators import context
+    from loomgraph.operators.text import bm25
+
+    projected(spark, sf_dir, "assertions").createOrReplaceTempView("assertions")
+    entities, proofs, named, aims = _sql(spark, sf_dir, _ENTITIES, _PROOFS, _NAMED, _AIMS)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = bm25(docs, q, top=5).select("query_id", (F.col("rank") + 2).alias("place"), F.lit(4).alias("tier"), F.lit("file").alias("kind"), F.concat(F.lit("f"), "doc_id").alias("id"))
+    files = docs.filter("text is not null").select(F.concat(F.lit("f"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    limits = context.Limits(depth=1, atoms=40, bytes=9000, inline=2000, nodes=5000, edges=5000)
+    got = context.assembled(named.unionByName(hits), entities, files, proofs, aims, limits)
+    s = got.sources.filter("source_no = 0").select("query_id", "place", F.col("path").alias("source_path"), "start_byte", "end_byte", F.coalesce(F.col("reason") != "source_unavailable", F.lit(True)).alias("available"))
+    return got.atoms.join(s, ["query_id", "place"], "left").select("query_id", "place", "kind", "atom_id", "distance", "source_path", "start_byte", "end_byte", "available")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import graph, lookup, resolve, rules
 from loomgraph.operators.intervals import declared_first, innermost, ordinal
 from loomgraph.plans.edges_sql import CANDIDATES, EDGES_SQL, INNERMOST
+from loomgraph.plans.paging import paged
 from loomgraph.plans.projection import projected, with_sql
 from loomgraph.registry import query
 
@@ -141,9 +142,9 @@ def budget_prefix(spark, sf_dir):
 
 
 # scopes: three levels per reference; blockers and declarations are drawn from lineitem
-_SCOPE = """ds AS (SELECT p_brand AS path, CAST(p_size % 4 AS STRING) AS scope, p_type AS name, p_partkey AS line_start FROM part WHERE p_partkey % 3 = 0),
-bs AS (SELECT DISTINCT p_brand AS path, CAST(p_size % 4 AS STRING) AS scope, CASE WHEN p_partkey % 41 = 0 THEN '*' ELSE p_type END AS name,
-  CASE p_partkey % 3 WHEN 0 THEN 'import' WHEN 1 THEN 'assignment' ELSE 'unsupported' END AS binding_kind FROM part WHERE p_partkey % 19 = 1)"""
+_SCOPE = """ds AS (SELECT p_brand AS path, CAST(p_size % 4 AS STRING) AS scope, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_type || '~' || p_partkey % 7 END AS name, p_partkey AS line_start FROM part),
+bs AS (SELECT DISTINCT p_brand AS path, CAST(p_size % 4 AS STRING) AS scope, CASE WHEN p_partkey % 19 <> 1 THEN p_type || '-' || p_partkey % 7 WHEN p_partkey % 41 = 0 THEN '*' ELSE p_type END AS name,
+  CASE p_partkey % 3 WHEN 0 THEN 'import' WHEN 1 THEN 'assignment' ELSE 'unsupported' END AS binding_kind FROM part)"""
 
 
 @query("WITH " + _SCOPE + """, rs AS (SELECT p_partkey AS ref_id, p_brand AS path, p_type AS callee_name, [CAST(p_size % 5 AS STRING), CAST(p_size % 3 AS STRING), '0'] AS scopes FROM part),
@@ -158,9 +159,10 @@ def scope_chain(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     text = lambda c: c.cast("string")
     refs = p.select(F.col("p_partkey").alias("ref_id"), F.col("p_brand").alias("path"), F.col("p_type").alias("callee_name"), F.array(text(F.col("p_size") % 5), text(F.col("p_size") % 3), F.lit("0")).alias("scopes"))
-    d = p.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("path"), text(F.col("p_size") % 4).alias("scope"), F.col("p_type").alias("name"), F.lit("function").alias("kind"), F.col("p_partkey").alias("line_start"))
+    other = lambda mark: F.concat("p_type", F.lit(mark), F.col("p_partkey") % 7)
+    d = p.select(F.col("p_brand").alias("path"), text(F.col("p_size") % 4).alias("scope"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(other("~")).alias("name"), F.lit("function").alias("kind"), F.col("p_partkey").alias("line_start"))
     kind = F.when(F.col("p_partkey") % 3 == 0, "import").when(F.col("p_partkey") % 3 == 1, "assignment").otherwise("unsupported")
-    b = p.filter("p_partkey % 19 = 1").select(F.col("p_brand").alias("path"), text(F.col("p_size") % 4).alias("scope"), F.when(F.col("p_partkey") % 41 == 0, "*").otherwise(F.col("p_type")).alias("name"), kind.alias("binding_kind")).distinct()
+    b = p.select(F.col("p_brand").alias("path"), text(F.col("p_size") % 4).alias("scope"), F.when(F.col("p_partkey") % 19 != 1, other("-")).when(F.col("p_partkey") % 41 == 0, "*").otherwise(F.col("p_type")).alias("name"), kind.alias("binding_kind")).distinct()
     out = resolve.visible(refs, d, b)
     return out.select("ref_id", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["path"], c["line"])), ",").alias("candidates"), "reason")
 
@@ -180,7 +182,7 @@ def ruby_namespace(spark, sf_dir):
 
 
 @query("""WITH rs AS (SELECT p_partkey AS ref_id, p_brand AS path, p_type AS receiver, split_part(p_name, ' ', 1) AS callee_name, CASE WHEN p_size % 2 = 0 THEN 'instance' END AS category FROM part),
-ty AS (SELECT DISTINCT p_type AS name, p_brand AS path, p_brand || p_type AS identity FROM part WHERE p_partkey % 5 = 0),
+ty AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_type || '~' END AS name, p_brand AS path, p_brand || p_type AS identity FROM part),
 de AS (SELECT p_brand || p_type AS owner, split_part(p_name, ' ', 1) AS name, CASE p_size % 3 WHEN 0 THEN 'instance' WHEN 1 THEN 'class' ELSE 'unknown' END AS category, p_brand AS path, p_partkey AS line_start FROM part),
 o AS (SELECT r.*, t.identity FROM rs r LEFT JOIN ty t ON t.name = r.receiver AND t.path = r.path),
 m AS (SELECT o.ref_id, string_agg(DISTINCT d.path || ':' || lpad(CAST(d.line_start AS STRING), 9, '0'), ',' ORDER BY d.path || ':' || lpad(CAST(d.line_start AS STRING), 9, '0')) AS candidates FROM o JOIN de d ON d.owner = o.identity AND d.name = o.callee_name AND d.path = o.path AND d.category <> 'unknown' AND (o.category IS NULL OR o.category = d.category) GROUP BY 1)
@@ -189,7 +191,7 @@ def receiver_members(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     one, owner = F.split("p_name", " ")[0], F.concat("p_brand", "p_type")
     refs = p.select(F.col("p_partkey").alias("ref_id"), F.col("p_brand").alias("path"), F.col("p_type").alias("receiver"), one.alias("callee_name"), F.when(F.col("p_size") % 2 == 0, "instance").alias("category"))
-    types = p.filter("p_partkey % 5 = 0").select(F.col("p_type").alias("name"), F.col("p_brand").alias("path"), owner.alias("identity")).distinct()
+    types = p.select(F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).otherwise(F.concat("p_type", F.lit("~"))).alias("name"), F.col("p_brand").alias("path"), owner.alias("identity")).distinct()
     kind = F.when(F.col("p_size") % 3 == 0, "instance").when(F.col("p_size") % 3 == 1, "class").otherwise("unknown")
     d = p.select(owner.alias("owner"), one.alias("name"), kind.alias("category"), F.col("p_brand").alias("path"), F.col("p_partkey").alias("line_start"))
     out = resolve.members(refs, types, d)
@@ -327,3 +329,10 @@ _SPANS = "sp AS (SELECT trace_id, span_id, CASE WHEN ts - prev_ts <= INTERVAL 90
 def runtime_paths(spark, sf_dir):
     s = projected(spark, sf_dir, "spans").withColumn("parent_id", F.when(F.col("ts") - F.col("prev_ts") <= F.expr("INTERVAL 90 MINUTE"), F.col("prev_id")))
     return graph.span_paths(s).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
+
+
+@query(with_sql("refs") + " SELECT path, line, col, callee_name, relation FROM refs ORDER BY path, line, col, callee_name, relation LIMIT 1000 OFFSET 2000")
+def result_page(spark, sf_dir):
+    """The third page of all references in order."""
+    r = projected(spark, sf_dir, "refs").select("path", "line", "col", "callee_name", "relation")
+    return paged(r, r.columns, 1000).page(2)

@@ -115,6 +115,60 @@ def contract_diff(spark, sf_dir):
 def contract_counts(spark, sf_dir):
     return overlays.finding_counts(contract_diff(spark, sf_dir))
 
+#: A contract drawn from pages: two operations a path, regions and parameters of each, path items and regions of the document; side 1 changes, adds and drops some.
+_SIDE = {
+    "operations": """SELECT concat('/r', CAST(page_id % 97 AS STRING), '/', CAST(CAST(floor(page_id / 97) AS BIGINT) AS STRING), '/{{}}') AS path, CASE WHEN page_id % 31 = 0 THEN 'GET' WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
+  concat('/r', CAST(page_id % 97 AS STRING), '/', CAST(CAST(floor(page_id / 97) AS BIGINT) AS STRING), '/{{id}}') AS template, concat('/paths/', CAST(page_id AS STRING), '/', CAST(twin AS STRING)) AS ptr, page_id % 23 <> 4 AS whole
+  FROM pages CROSS JOIN (SELECT 0 AS twin UNION ALL SELECT 1) t WHERE (twin = 0 OR page_id % 37 = 5 + {v}) AND (page_id + {v} * 3) % 11 <> 2""",
+    "regions": """SELECT o.ptr, r.region, concat('r', CAST(length(o.ptr) * 7 + r.i + CASE WHEN {v} = 1 AND (length(o.template) + length(o.method) + r.i) % 3 = 0 THEN 100 ELSE 0 END AS STRING), o.ptr) AS sha256, (length(o.template) * 5 + r.i * 3) % 19 <> 7 AS complete, concat(o.ptr, '/', r.region) AS region_at
+  FROM operations{v} o CROSS JOIN (SELECT 'parameters' AS region, 0 AS i UNION ALL SELECT 'request_body', 1 UNION ALL SELECT 'responses', 2 UNION ALL SELECT 'security', 3) r""",
+    "parameters": """SELECT ptr, place, concat(place, ':', name) AS key, required, reserved, concat(rest, CASE WHEN required THEN '!' ELSE '' END) AS sha256, rest AS rest_sha256, concat(ptr, '/parameters/', name) AS parameter_at FROM (
+  SELECT o.ptr, p.place, p.name, (p.i + {v} * h) % 2 = 0 AS required, p.i = 5 AS reserved, concat(p.name, CASE WHEN {v} = 1 AND (h + p.i) % 4 = 1 THEN 'x' ELSE '' END) AS rest, (h + p.i + {v}) % 5 AS gone
+  FROM (SELECT ptr, CAST(substring(ptr, length(ptr) - 2, 1) AS INT) AS h FROM operations{v}) o CROSS JOIN (SELECT 'path' AS place, 'a' AS name, 1 AS i UNION ALL SELECT 'query', 'b', 2 UNION ALL SELECT 'query', 'c', 3 UNION ALL SELECT 'cookie', 'd', 4 UNION ALL SELECT 'header', 'accept', 5) p) x WHERE gone <> 0""",
+    "items": """SELECT DISTINCT concat('/r', CAST(page_id % 97 AS STRING), '/', CAST(CAST(floor(page_id / 97) AS BIGINT) AS STRING), '/{{id}}') AS template, CASE WHEN page_id % 151 = 3 THEN NULL ELSE concat('/r', CAST(page_id % 97 AS STRING), '/', CAST(CAST(floor(page_id / 97) AS BIGINT) AS STRING), '/{{}}') END AS path,
+  concat('/items/', CAST(page_id AS STRING)) AS ptr, concat('i', CAST(page_id + CASE WHEN page_id % 4 = {v} THEN 1 ELSE 0 END AS STRING)) AS sha256, (page_id + {v}) % 41 <> 6 AS complete FROM pages WHERE (page_id + {v}) % 13 <> 0""",
+    "documents": "SELECT concat('/components/', n_name) AS ptr, concat('d', CAST(CASE WHEN n_nationkey % 4 = {v} THEN 1 ELSE 0 END AS STRING)) AS sha256, n_nationkey % 11 <> 3 + {v} AS complete FROM nation WHERE n_nationkey % 5 <> {v}",
+}
+_BOTH = ", ".join(f"{t}{v} AS ({sql.format(v=v)})" for v in (0, 1) for t, sql in _SIDE.items())
+_NO = "NULL::VARCHAR"
+
+
+@query(f"""WITH {_BOTH}, one0 AS (SELECT path, method, count(*) AS n, arg_min(template, ptr) AS template, min(ptr) AS a, arg_min(whole, ptr) AS whole FROM operations0 GROUP BY 1, 2), one1 AS (SELECT path, method, count(*) AS n, arg_min(template, ptr) AS template, min(ptr) AS a, arg_min(whole, ptr) AS whole FROM operations1 GROUP BY 1, 2),
+ j AS (SELECT path, method, b.n AS bn, a.n AS an, b.template AS bt, a.template AS at_, b.a AS ba, a.a AS aa, b.whole AS bw, a.whole AS aw FROM one0 b FULL JOIN one1 a USING (path, method)), s AS (SELECT * FROM j WHERE greatest(coalesce(bn, 0), coalesce(an, 0)) <= 1),
+ anchor0 AS (SELECT s.path, s.method, coalesce((SELECT arg_min(ptr, template) FROM items0 i WHERE NOT complete AND (i.path = s.path OR i.path IS NULL)), NULL) AS blocked, coalesce((SELECT min(ptr) FROM items0 i WHERE i.template = s.at_), (SELECT arg_min(ptr, template) FROM items0 i WHERE i.path = s.path), '/paths') AS there, aa AS here FROM s WHERE bn IS NULL),
+ anchor1 AS (SELECT s.path, s.method, coalesce((SELECT arg_min(ptr, template) FROM items1 i WHERE NOT complete AND (i.path = s.path OR i.path IS NULL)), NULL) AS blocked, coalesce((SELECT min(ptr) FROM items1 i WHERE i.template = s.bt), (SELECT arg_min(ptr, template) FROM items1 i WHERE i.path = s.path), '/paths') AS there, ba AS here FROM s WHERE an IS NULL),
+ known AS (SELECT * FROM s WHERE bw AND aw), reg AS (SELECT path, method, b.region AS region, ba, aa, b.region_at AS bp, a.region_at AS ap, CASE WHEN NOT (b.complete AND a.complete) THEN 'incomplete_region' WHEN b.sha256 <> a.sha256 THEN 'region_changed' END AS reason FROM known JOIN regions0 b ON b.ptr = ba JOIN regions1 a ON a.ptr = aa AND a.region = b.region),
+ diff AS (SELECT path, method, ba, aa FROM reg WHERE region = 'parameters' AND reason = 'region_changed'), p0 AS (SELECT path, method, p.* FROM diff JOIN parameters0 p ON p.ptr = ba), p1 AS (SELECT path, method, p.* FROM diff JOIN parameters1 p ON p.ptr = aa),
+ par AS (SELECT path, method, key, coalesce(a.place, b.place) AS place, b.sha256 IS NULL AS new, a.sha256 IS NULL AS gone, b.required AS br, a.required AND NOT a.reserved AS need, b.rest_sha256 IS DISTINCT FROM a.rest_sha256 AS other, coalesce(b.parameter_at, d.ba) AS bp, coalesce(a.parameter_at, d.aa) AS ap
+  FROM p0 b FULL JOIN p1 a USING (path, method, key) JOIN diff d USING (path, method) WHERE b.sha256 IS DISTINCT FROM a.sha256),
+ now AS (SELECT *, place <> 'path' AND NOT gone AND need AND (new OR NOT br) AS now FROM par),
+ it AS (SELECT template, b.ptr AS ba, a.ptr AS aa, CASE WHEN NOT coalesce(b.complete, true) OR NOT coalesce(a.complete, true) THEN 'incomplete_region' WHEN template NOT IN (SELECT template FROM operations0 UNION SELECT template FROM operations1) AND b.sha256 IS DISTINCT FROM a.sha256 THEN 'region_changed' END AS reason FROM items0 b FULL JOIN items1 a USING (template)),
+ doc AS (SELECT ptr, b.sha256 AS bs, a.sha256 AS "as", CASE WHEN NOT coalesce(b.complete, true) OR NOT coalesce(a.complete, true) THEN 'incomplete_region' WHEN b.sha256 IS DISTINCT FROM a.sha256 THEN 'document_region_changed' END AS reason FROM documents0 b FULL JOIN documents1 a USING (ptr))
+ SELECT 'review_required' AS kind, 'ambiguous_identity' AS reason, {_NO} AS region, path, method, {_NO} AS parameter, {_NO} AS change, {_NO} AS blocked, ptr AS before_at, {_NO} AS after_at FROM operations0 JOIN j USING (path, method) WHERE bn > 1
+ UNION ALL SELECT 'review_required', 'ambiguous_identity', NULL, path, method, NULL, NULL, NULL, NULL, ptr FROM operations1 JOIN j USING (path, method) WHERE an > 1
+ UNION ALL SELECT CASE WHEN blocked IS NULL THEN 'operation_added' ELSE 'review_required' END, CASE WHEN blocked IS NOT NULL THEN 'incomplete_region' END, CASE WHEN blocked IS NOT NULL THEN 'path_item' END, path, method, NULL, NULL, CASE WHEN blocked IS NOT NULL THEN 'operation_added' END, coalesce(blocked, there), here FROM anchor0
+ UNION ALL SELECT CASE WHEN blocked IS NULL THEN 'operation_removed' ELSE 'review_required' END, CASE WHEN blocked IS NOT NULL THEN 'incomplete_region' END, CASE WHEN blocked IS NOT NULL THEN 'path_item' END, path, method, NULL, NULL, CASE WHEN blocked IS NOT NULL THEN 'operation_removed' END, here, coalesce(blocked, there) FROM anchor1
+ UNION ALL SELECT 'review_required', 'incomplete_region', 'operation', path, method, NULL, NULL, NULL, ba, aa FROM s WHERE bn IS NOT NULL AND an IS NOT NULL AND NOT (bw AND aw)
+ UNION ALL SELECT 'review_required', reason, region, path, method, NULL, NULL, NULL, bp, ap FROM reg WHERE reason IS NOT NULL AND NOT (region = 'parameters' AND reason = 'region_changed')
+ UNION ALL SELECT 'newly_required_parameter', NULL, NULL, path, method, key, CASE WHEN new THEN 'added_required' ELSE 'optional_to_required' END, NULL, bp, ap FROM now WHERE now
+ UNION ALL SELECT 'review_required', CASE WHEN place = 'path' THEN 'path_parameter_changed' WHEN new THEN 'parameter_added' WHEN gone THEN 'parameter_removed' ELSE 'parameter_changed' END, NULL, path, method, key, NULL, NULL, bp, ap FROM now WHERE NOT now OR NOT new AND NOT gone AND other
+ UNION ALL SELECT 'review_required', reason, 'path_item', NULL, NULL, NULL, NULL, NULL, ba, aa FROM it WHERE reason IS NOT NULL
+ UNION ALL SELECT 'review_required', reason, 'document', NULL, NULL, NULL, NULL, NULL, CASE WHEN bs IS NOT NULL THEN ptr END, CASE WHEN "as" IS NOT NULL THEN ptr END FROM doc WHERE reason IS NOT NULL""")
+def contract_findings(spark, sf_dir):
+    """Every kind of finding between two contracts that are drawn from the tables."""
+    from loomgraph.operators import contracts
+
+    views(spark, sf_dir)
+
+    def side(v: int) -> contracts.Contract:
+        tables = {}
+        for t, sql in _SIDE.items():
+            spark.sql(sql.format(v=v)).createOrReplaceTempView(f"{t}{v}")
+            tables[t] = spark.table(f"{t}{v}").withColumnRenamed("ptr", "at")
+        return contracts.Contract(**tables)
+
+    return contracts.findings(side(0), side(1))
+
 
 _PREFS = """SELECT p_partkey AS ref_id, p_size % 13 <> 0 AS form_ok, p_size % 17 = 1 AS shadowed, concat('pkg', CAST(p_partkey % 7 AS STRING)) AS package, CASE p_partkey % 9 WHEN 0 THEN '2.0' ELSE '1.0' END AS version,
  p_type AS module, concat('n', CAST(p_size % 20 AS STRING)) AS name, CASE p_partkey % 2 WHEN 0 THEN 'class' ELSE 'function' END AS kind FROM part"""

@@ -49,7 +49,7 @@ _COMMENTS = """SELECT doc_id AS path, doc_id % 40 AS line, CASE doc_id % 4 WHEN
  FROM (SELECT doc_id, {0} AS w FROM documents)"""
 
 
-@query(f"""WITH c AS ({_COMMENTS.format("regexp_replace(left(text, 30), '[^a-z]+', ' ', 'g')")}), l AS (SELECT *, string_split(text, chr(10)) AS s, regexp_extract(text, '(?i)\\b(ADR|RFC)[- ]?(\\d{{1,5}})\\b', ['k', 'd']) AS m FROM c),
+@query(f"""WITH c AS ({_COMMENTS.format("regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g')")}), l AS (SELECT *, string_split(text, chr(10)) AS s, regexp_extract(text, '(?i)\\b(ADR|RFC)[- ]?(\\d{{1,5}})\\b', ['k', 'd']) AS m FROM c),
  x AS (SELECT path, line, lang, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS i, CASE WHEN m.k <> '' THEN CASE upper(m.k) WHEN 'ADR' THEN 'ADR-' || lpad(CAST(try_cast(m.d AS INT) AS STRING), 4, '0') ELSE 'RFC-' || try_cast(m.d AS INT) END END AS label FROM l),
  y AS (SELECT path, line, lang, i, trim(t) AS text, label, CASE WHEN lang IN ('python', 'ruby') AND regexp_matches(trim(t), '^# (NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME):') THEN 0
    WHEN lang = 'typescript' AND regexp_matches(trim(t), '^(//|\\*) (NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME):') THEN 0 WHEN lang = 'typescript' AND regexp_matches(t, '(?i)\\b(ADR|RFC)[- ]?\\d{{1,5}}\\b') THEN 1 END AS how FROM x)
@@ -57,11 +57,11 @@ _COMMENTS = """SELECT doc_id AS path, doc_id % 40 AS line, CASE doc_id % 4 WHEN
 def rationale(spark, sf_dir):
     """Comments are composed from the documents' words, as the texts hold none."""
     views(spark, sf_dir)
-    return text.rationale_comments(spark.sql(_COMMENTS.format("regexp_replace(left(text, 30), '[^a-z]+', ' ')")))
+    return text.rationale_comments(spark.sql(_COMMENTS.format("regexp_replace(coalesce(text, ''), '[^a-z]+', ' ')")))
 
 
 _TOK = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t: t <> '')"
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format("text")})) AS term FROM benchmark),
+BM25_SQL = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format("text")})) AS term FROM benchmark),
  d AS (SELECT doc_id, {_TOK.format("text")} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM d),
  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  s AS (SELECT q.query_id, tf.doc_id, -sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2),
@@ -74,12 +74,12 @@ def _bm25(spark, sf_dir):
     return d, q, text.bm25(d, q, top=20)
 
 
-@query(f"WITH {_BM25} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 20")
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 20")
 def bm25(spark, sf_dir):
     return _bm25(spark, sf_dir)[2].withColumn("score", F.round("score", 5))
 
 
-@query(f"""WITH {_BM25}, e AS (SELECT query_id, doc_id, 0 AS tier, 0.0 AS score FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON doc_id = query_id * 3 UNION ALL
+@query(f"""WITH {BM25_SQL}, e AS (SELECT query_id, doc_id, 0 AS tier, 0.0 AS score FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON doc_id = query_id * 3 UNION ALL
  SELECT query_id, doc_id, 1, 0.0 FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON source = 'src' || (query_id + 1) UNION ALL SELECT query_id, doc_id, 2, score FROM r WHERE rank <= 20),
  b AS (SELECT query_id, doc_id, min(tier) AS tier, arg_min(score, tier) AS score FROM e GROUP BY 1, 2)
  SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9), doc_id) AS place FROM b QUALIFY place <= 50""")
@@ -95,9 +95,16 @@ def phrase_search(spark, sf_dir):
     return text.phrase(spark.read.parquet(f"{sf_dir}/documents.parquet"), "Of the")
 
 
-@query()
+#: Places of atoms ``a`` (query_id, atom_id, rank, path, owner, exact): ordered.
+DIVERSITY = """n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, atom_id) AS n FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, atom_id) <= 128),
+ f AS (SELECT *, coalesce(n = min(n) FILTER (exact) OVER (PARTITION BY query_id), false) AS first FROM n),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query_id, first, path, owner ORDER BY n) AS k, min(n) OVER (PARTITION BY query_id, first, path, owner) AS o FROM f),
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id, first, path ORDER BY k, o) AS turn, min(n) OVER (PARTITION BY query_id, first, path ORDER BY k, o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM k),
+ ordered AS (SELECT query_id, atom_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first DESC, turn, below) AS INTEGER) AS place FROM t)"""
+
+
+@query(f"WITH {BM25_SQL}, a AS (SELECT query_id, doc_id AS atom_id, rank, source AS path, lang AS owner, doc_id % 5 = 0 AS exact FROM r JOIN documents USING (doc_id) WHERE rank <= 20), {DIVERSITY} SELECT * FROM ordered")
 def context_order(spark, sf_dir):
-    """Paths are sorted anew each round, which SQL cannot express; the tests compare with a plain loop."""
     ranked = _bm25(spark, sf_dir)[2]
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
     atoms = ranked.join(d, "doc_id").select("query_id", F.col("doc_id").alias("atom_id"), "rank", F.col("source").alias("path"), F.col("lang").alias("owner"), (F.col("doc_id") % 5 == 0).alias("exact"))

@@ -60,33 +60,46 @@ def test_phrase_counts_adjacent_words(spark):
 
 
 def order_plain(atoms):
-    """Round by round over paths, inside a path over owners."""
-    left, out = sorted(atoms), []
+    """Queues for each path and owner; a path's owners take turns in the order of their first atoms."""
+    left, out = sorted(atoms, key=lambda a: a[:2]), []
+    anchor = next((a for a in left if a[4]), None)
+    if anchor:
+        out.append(anchor[1])
+        left.remove(anchor)
+    queues = {}
     for a in left:
-        if a[4]:
-            out.append(a[1])
-            left.remove(a)
-            break
-    used = {}
-    while left:
-        paths = []
-        for a in left:
-            if a[2] not in paths:
-                paths.append(a[2])
-        for p in paths:
-            own = [a for a in left if a[2] == p]
-            best = min(own, key=lambda a: (used.get((p, a[3]), 0), min(b for b in own if b[3] == a[3]), a))
-            used[p, best[3]] = used.get((p, best[3]), 0) + 1
-            out.append(best[1])
-            left.remove(best)
+        queues.setdefault(a[2], {}).setdefault(a[3], []).append(a)
+    owners, at = {p: list(g) for p, g in queues.items()}, dict.fromkeys(queues, 0)
+    while queues:
+        for p in sorted(queues, key=lambda p: min(q[0][:2] for q in queues[p].values())):
+            for step in range(len(owners[p])):
+                i = (at[p] + step) % len(owners[p])
+                if owners[p][i] in queues[p]:
+                    break
+            owner = owners[p][i]
+            out.append(queues[p][owner].pop(0)[1])
+            at[p] = (i + 1) % len(owners[p])
+            if not queues[p][owner]:
+                del queues[p][owner]
+            if not queues[p]:
+                del queues[p]
     return out
 
 
-def test_context_order_against_a_plain_loop():
+def test_context_order_against_a_plain_loop(spark):
     rng = random.Random(1)
-    for _ in range(100):
-        atoms = [(rng.randrange(30), i, rng.choice("pqr"), rng.choice("xyz"), rng.random() < 0.1) for i in range(rng.randrange(1, 25))]
-        assert text.ordered(atoms) == order_plain(atoms)
+    rows, want = [], {}
+    for q in range(100):
+        atoms = [(rng.randrange(30), i, rng.choice("pqr"), rng.choice(["x", "y", "z", None]), rng.random() < 0.1) for i in range(rng.randrange(1, 25))]
+        rows += [(q, *a) for a in atoms]
+        want[q] = order_plain(atoms)
+    d = spark.createDataFrame(rows, "query_id int, rank int, atom_id int, path string, owner string, exact boolean").repartition(3)
+    got = {}
+    for r in sorted(text.diversified(d).collect(), key=lambda r: r.place):
+        got.setdefault(r.query_id, []).append(r.atom_id)
+    assert got == want
+    few = text.diversified(d, 3).groupBy("query_id").count().collect()
+    assert max(r["count"] for r in few) == 3
 
 
 def test_scalars(spark):
