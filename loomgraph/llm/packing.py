@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 
 
 #: Part of a sequence that documents of one length may take in a round; documents and gaps that one task sweeps alone.
-SHARE, ALONE = 8, 50_000
+SHARE, ALONE = 8, 200_000
 
 
 def _swept(rows: DataFrame, names: list[str], together: np.ndarray, capacity: int) -> DataFrame:

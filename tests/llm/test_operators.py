@@ -352,7 +352,7 @@ def test_packing_is_close_to_plain_best_fit(spark, monkeypatch, low, high, rows)
     rng = np.random.default_rng(rows)
     lengths = [int(x) for x in rng.integers(low, high + 1, rows)]
     d = spark.createDataFrame([(i, 0, 0, n, i % 5) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    monkeypatch.setattr(packing, "ALONE", 0 if rows % 4 else 50_000)
+    monkeypatch.setattr(packing, "ALONE", 0 if rows % 4 else 200_000)
     got = packing.place(d, 256).toPandas().sort_values(["sequence_id", "offset"])
     assert sorted(got.length) == sorted(lengths)
     total = got.groupby("sequence_id").length
