@@ -71,7 +71,7 @@ def assembled(candidates: DataFrame, entities: DataFrame, files: DataFrame, asse
 
     ``candidates`` (query_id, place, tier: index in :data:`TIERS`, kind: entity or file, id), ``entities`` (entity_id, path,
     owner, start_byte, end_byte: null if no definition is known), ``files`` (path, content: bytes), ``assertions``
-    (assertion_id, source, target, relation, confidence, path, start_byte, end_byte). Candidates come first, in their order;
+    (assertion_id, source, target, relation, confidence, path, start_byte, end_byte; an id is one between two ends). Candidates come first, in their order;
     then, for each of the first ``limits.seeds`` entities among those admitted, its frontier and the steps around it in the
     order of discovery, or the whole path to the target. Counts and bytes run on through all of these, and the first that does
     not fit ends the collection (bundle_limit or collection_limit). A span's text is inline if its file is there and its bytes
@@ -86,31 +86,33 @@ def assembled(candidates: DataFrame, entities: DataFrame, files: DataFrame, asse
     seeds = kept(seeds.select("query_id", "seed_rank", "tier", F.col("atom_id").alias("seed")).join(queries.select("query_id", "target"), "query_id"))
     how = {"relations": relations, "confidences": confidences}
     owner = entities.select(F.col("entity_id").alias("source"), "owner").dropDuplicates(["source"])
-    proof = kept(assertions.select(F.col("assertion_id").cast("string").alias("atom_id"), "source", "path", _span().alias("sources")).join(owner, "source", "left").drop("source"))
+    ends = ["atom_id", "source", "target"]
+    proof = kept(assertions.select(F.col("assertion_id").cast("string").alias("atom_id"), "source", "target", "path", _span().alias("sources")).dropDuplicates(ends).join(owner, "source", "left"))
 
     around = seeds.filter("target is null").drop("target")
     _, edges, ended = graph.traverse(assertions, around.select("seed").distinct(), limits.depth, max_nodes=limits.nodes, max_edges=limits.edges, order=True, **how)
-    steps = around.join(edges.select("seed", "at", F.col("assertion_id").cast("string").alias("atom_id"), (F.col("distance") + 1).alias("distance")), "seed")
-    steps = steps.join(proof, "atom_id").withColumn("kind", F.lit("relationship")).select(*_ATOM, "at")
+    steps = around.join(edges.select("seed", "at", F.col("assertion_id").cast("string").alias("atom_id"), "source", "target", (F.col("distance") + 1).alias("distance")), "seed")
+    steps = steps.join(proof, ends).withColumn("kind", F.lit("relationship")).select(*_ATOM, "at")
 
     aimed = seeds.filter("target is not null")
     ways = kept(graph.shortest_paths(assertions, aimed.select("seed", "target").distinct(), limits.depth, **how))
-    hops = ways.filter("nodes is not null").select("seed", "target", "distance", F.posexplode_outer("hops").alias("__i", "__hop")).withColumn("atom_id", F.col("__hop").cast("string"))
-    hops = hops.join(proof.select("atom_id", F.col("sources")[0].alias("__s")), "atom_id", "left")
+    hops = ways.filter("nodes is not null").select("seed", F.col("target").alias("__aim"), "distance", "nodes", F.posexplode_outer("hops").alias("__i", "__hop"))
+    hops = hops.withColumns({"atom_id": F.col("__hop").cast("string"), "source": F.get("nodes", F.col("__i")), "target": F.get("nodes", F.col("__i") + 1)})
+    hops = hops.join(proof.select(*ends, F.col("sources")[0].alias("__s")), ends, "left").drop("target").withColumnRenamed("__aim", "target")
     listed = F.sort_array(F.collect_list(F.when(F.col("__hop").isNotNull(), F.struct("__i", "__s", "atom_id"))))
     whole = hops.groupBy("seed", "target", "distance").agg(listed.alias("__h"))
     here = entities.select(F.col("entity_id").alias("seed"), "path", "owner").dropDuplicates(["seed"])
     whole = aimed.join(whole, ["seed", "target"]).join(here, "seed").withColumn("kind", F.lit("path")).withColumn("sources", F.transform("__h", lambda h: h["__s"]).cast(_SOURCES))
     whole = whole.withColumn("atom_id", F.concat_ws(" ", "seed", F.array_join(F.transform("__h", lambda h: h["atom_id"]), " "))).select(*_ATOM)
 
-    ends = around.join(ended, "seed").unionByName(aimed.join(ways.select("seed", "target", "outcome", "stop_reason"), ["seed", "target"]).drop("target"))
-    ends = kept(ends.select("query_id", "seed_rank", "seed", "outcome", "stop_reason"))
+    found = around.join(ended, "seed").unionByName(aimed.join(ways.select("seed", "target", "outcome", "stop_reason"), ["seed", "target"]).drop("target"))
+    found = kept(found.select("query_id", "seed_rank", "seed", "outcome", "stop_reason"))
 
     # everything in its turn: candidates, then for each seed its frontier and what it leads to
     none = F.lit(None).cast(dict(steps.dtypes)["at"]).alias("at")
     size = atom_bytes().alias("__size")
     row = lambda d, phase, kind, at: d.select(F.lit(phase).alias("__phase"), F.lit(kind).alias("__atom"), at, size, *_ATOM)
-    mark = ends.withColumns({"kind": F.lit("frontier"), "atom_id": F.col("seed"), "tier": F.lit(0), "distance": F.lit(0), "path": F.col("outcome"), "owner": F.col("stop_reason"), "sources": F.array().cast(_SOURCES)})
+    mark = found.withColumns({"kind": F.lit("frontier"), "atom_id": F.col("seed"), "tier": F.lit(0), "distance": F.lit(0), "path": F.col("outcome"), "owner": F.col("stop_reason"), "sources": F.array().cast(_SOURCES)})
     every = row(first, 0, 1, none).unionByName(row(mark, 1, 0, none)).unionByName(row(steps, 1, 1, F.col("at"))).unionByName(row(whole, 1, 1, none))
     w = Window.partitionBy("query_id").orderBy("__phase", "seed_rank", "__atom", "at", "kind", "atom_id").rowsBetween(Window.unboundedPreceding, 0)
     every = every.withColumn("__n", F.sum("__atom").over(w)).withColumn("__spent", F.sum("__size").over(w))
@@ -150,4 +152,4 @@ def assembled(candidates: DataFrame, entities: DataFrame, files: DataFrame, asse
     got = got.join(files.select("path", "content"), "path", "left").withColumn("__raw", raw)
     utf8 = F.is_valid_utf8(F.col("__raw").cast("string"))
     sources = got.select("query_id", "place", "source_no", "path", "start_byte", "end_byte", "reason", F.when(utf8, "utf8").when(~utf8, "base64").alias("encoding"), F.when(utf8, F.col("__raw").cast("string")).when(~utf8, F.base64("__raw")).alias("inline"))
-    return Context(atoms, sources, ends, outcomes)
+    return Context(atoms, sources, found, outcomes)

@@ -419,3 +419,26 @@ def span_paths(spans: DataFrame) -> DataFrame:
         released(done, jumps[k])
     chain = F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("depth"), "span_id")))
     return t.groupBy("trace_id", "leaf").agg(chain.alias("chain")).select("trace_id", F.col("chain.span_id").alias("path"))
+
+
+def bounded_paths(spans: DataFrame, max_paths: int = 1000, max_path_length: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Observed nesting, bounded: paths (trace_id, path, origin, truncated, place) and one row (paths_total, paths_truncated).
+
+    Paths go depth-first: by trace, then by the span ids on the way. A chain of more than ``max_path_length`` spans is cut to
+    that many and marked ``truncated``; chains that are alike up to there give one path. ``origin`` is trace_root where the first
+    span names no parent, else parent_not_in_artifact. ``paths_total`` counts leaves, whatever the limits; ``paths_truncated``
+    tells whether there are fewer paths than leaves, or any that was cut.
+    """
+    if max_paths < 1 or max_path_length < 1:
+        raise ValueError("invalid_runtime_path_limit")
+    chains = kept(span_paths(spans))
+    long_ = F.size("path") > max_path_length
+    cut = chains.select("trace_id", F.slice("path", 1, max_path_length).alias("path"), long_.alias("truncated")).groupBy("trace_id", "path").agg(F.bool_or("truncated").alias("truncated"))
+    first = cut.orderBy("trace_id", "path").limit(max_paths)
+    root = spans.select("trace_id", F.col("span_id").alias("__root"), F.when(F.col("parent_id").isNull(), "trace_root").otherwise("parent_not_in_artifact").alias("origin")).dropDuplicates(["trace_id", "__root"])
+    # as many rows as paths are asked for
+    w = Window.orderBy("trace_id", "path")
+    paths = kept(first.withColumn("__root", F.col("path")[0]).join(root, ["trace_id", "__root"], "left").select("trace_id", "path", "origin", "truncated", F.row_number().over(w).alias("place")))
+    total = chains.agg(F.count(F.lit(1)).alias("paths_total"))
+    shown = paths.agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("__cut"))
+    return paths, total.crossJoin(shown).select("paths_total", ((F.col("__n") < F.col("paths_total")) | F.col("__cut")).alias("paths_truncated"))

@@ -278,13 +278,19 @@ def merged_events(events: DataFrame, key: list[str], value: str) -> DataFrame:
 # frameworks
 
 
-def routes(declared: DataFrame, methods: DataFrame) -> DataFrame:
+def routes(declared: DataFrame, methods: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(route_id, outcome, path): the action method of a route's controller.
 
-    ``declared`` (route_id, controller, action); ``methods`` (owner, name, path). Unique: INFERRED, several files: AMBIGUOUS.
+    ``declared`` (route_id, controller, action); ``methods`` (owner, name, path, and category if known). Unique: INFERRED, several
+    files: AMBIGUOUS. Of methods with a category only those of instances count. With ``classes`` (owner, path) a controller is
+    there if it is declared, and an action counts only in a file that declares its controller.
     """
     d = declared.withColumn("owner", F.concat(scalars.camelize(F.col("controller")), F.lit("Controller")))
-    own = methods.groupBy("owner").agg(F.lit(True).alias("__there"))
+    own = (methods if classes is None else classes).groupBy("owner").agg(F.lit(True).alias("__there"))
+    if "category" in methods.columns:
+        methods = methods.filter("category = 'instance'")
+    if classes is not None:
+        methods = methods.join(classes.select("owner", "path").distinct(), ["owner", "path"], "left_semi")
     m = methods.groupBy("owner", F.col("name").alias("action")).agg(F.countDistinct("path").alias("__n"), F.min("path").alias("path"))
     d = d.join(own, "owner", "left").join(m, ["owner", "action"], "left")
     outcome = first_of((F.col("__there").isNull(), "CONTROLLER_NOT_FOUND"), (F.col("__n").isNull(), "ACTION_NOT_FOUND"), (F.col("__n") > 1, "AMBIGUOUS"), default="INFERRED")

@@ -36,12 +36,20 @@ def line_window(files: DataFrame, start: int, end: int, most: int = 100, budget:
     return d.select("path", "line", "content", F.when(F.col("__last") < F.col("__total"), F.col("__last") + 1).alias("next_cursor"))
 
 
-def listed(files: DataFrame, folder: str, cap: int = 200) -> DataFrame:
-    """Entries of a folder: directories first, then by case-folded name."""
+def _glob(pattern: str) -> str:
+    """The regular expression of a name pattern with ``*``, ``?`` and ``[...]``, as shells read it."""
+    import fnmatch
+
+    return "^" + fnmatch.translate(pattern)
+
+
+def listed(files: DataFrame, folder: str, cap: int = 200, pattern: str | None = None) -> DataFrame:
+    """Entries of a folder: directories first, then by case-folded name; with ``pattern``, entries whose name it matches."""
     head = folder.rstrip("/") + "/" if folder else ""
     rest = F.substring(F.col("path"), len(head) + 1, 1 << 30)
     name = F.split(rest, "/")[0]
     d = files.filter(F.col("path").startswith(head)).select(name.alias("name"), rest.contains("/").alias("is_dir")).distinct()
+    d = d if pattern is None else d.filter(F.col("name").rlike(_glob(pattern)))
     return d.orderBy(F.desc("is_dir"), F.lower("name"), "name").limit(cap)
 
 

@@ -247,7 +247,7 @@ _AIMS = "SELECT item_id AS query_id, (SELECT min(a.target) FROM assertions a WHE
  every AS (SELECT 0 AS phase, 1 AS atom, NULL AS relation, NULL AS aid, * FROM one UNION ALL SELECT 1, 0, NULL, NULL, * FROM mark UNION ALL SELECT 1, 1, relation, assertion_id, * EXCLUDE (relation, assertion_id) FROM rel UNION ALL SELECT 1, 1, NULL, NULL, * FROM way),
  run AS (SELECT *, sum(atom) OVER w AS n, sum(64 + strlen(atom_id) + coalesce(strlen(path), 0) + coalesce(strlen(owner), 0) + coalesce(list_sum(list_transform(src, lambda s: 32 + strlen(s.path))), 0)) OVER w AS spent FROM every
   WINDOW w AS (PARTITION BY query_id ORDER BY phase, seed_rank, atom, relation, aid, kind, atom_id ROWS UNBOUNDED PRECEDING)),
- taken AS (SELECT *, len(src) > 0 AND EXISTS (SELECT 1 FROM files f WHERE f.path = src[1].path AND src[1].b <= f.size) AS there FROM run WHERE n <= 40 AND spent <= 9000 AND atom = 1),
+ taken AS (SELECT *, len(src) > 0 AND EXISTS (SELECT 1 FROM files f WHERE f.path = src[1].path AND src[1].b <= f.size) AS there FROM run WHERE n <= 40 AND spent <= 9000 AND atom = 1 QUALIFY row_number() OVER (PARTITION BY query_id, kind, atom_id ORDER BY tier, seed_rank, distance) = 1),
  x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, seed_rank, distance, NOT there, list_position(['definition', 'lexical_file', 'relationship', 'path'], kind), kind, atom_id) AS rank, kind = 'definition' AND tier < 4 AS exact FROM taken),
  a AS (SELECT query_id, (kind, atom_id) AS atom_id, rank, path, owner, exact FROM x), {DIVERSITY}
  SELECT o.query_id, place, x.kind, x.atom_id, x.distance, x.src[1].path AS source_path, x.src[1].a AS start_byte, x.src[1].b AS end_byte, CASE WHEN x.there THEN true WHEN len(src) > 0 THEN false END AS available

@@ -331,6 +331,28 @@ def runtime_paths(spark, sf_dir):
     return graph.span_paths(s).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
+_WALK = f"""{_SPANS}, own AS (SELECT *, CASE WHEN span_id % 7 = 0 AND parent_id IS NULL THEN -1 ELSE parent_id END AS named FROM sp), walk(trace_id, leaf, path) AS (SELECT trace_id, span_id, [span_id] FROM sp WHERE parent_id IS NULL
+   UNION ALL SELECT s.trace_id, s.span_id, list_append(w.path, s.span_id) FROM walk w JOIN sp s ON s.trace_id = w.trace_id AND s.parent_id = w.leaf),
+ chain AS (SELECT trace_id, path FROM walk w WHERE NOT EXISTS (SELECT 1 FROM sp s WHERE s.trace_id = w.trace_id AND s.parent_id = w.leaf)),
+ cut AS (SELECT trace_id, path[1:3] AS path, bool_or(len(path) > 3) AS truncated FROM chain GROUP BY 1, path[1:3]), shown AS (SELECT *, row_number() OVER (ORDER BY trace_id, path) AS place FROM cut QUALIFY place <= 5000)"""
+
+
+def _bounded_paths(spark, sf_dir):
+    s = projected(spark, sf_dir, "spans").withColumn("parent_id", F.when(F.col("ts") - F.col("prev_ts") <= F.expr("INTERVAL 90 MINUTE"), F.col("prev_id")))
+    # some first spans name a parent that no report holds
+    return graph.bounded_paths(s.withColumn("parent_id", F.when(F.col("parent_id").isNull() & (F.col("span_id") % 7 == 0), F.lit(-1)).otherwise(F.col("parent_id"))), 5000, 3)
+
+
+@query(with_sql("spans") + f", {_WALK} SELECT s.trace_id, array_to_string(path, '/') AS path, CASE WHEN o.named IS NULL THEN 'trace_root' ELSE 'parent_not_in_artifact' END AS origin, truncated, place FROM shown s JOIN own o ON o.trace_id = s.trace_id AND o.span_id = s.path[1]")
+def runtime_paths_bounded(spark, sf_dir):
+    return _bounded_paths(spark, sf_dir)[0].withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
+
+
+@query(with_sql("spans") + f", {_WALK} SELECT (SELECT count(*) FROM chain) AS paths_total, (SELECT count(*) FROM shown) < (SELECT count(*) FROM chain) OR (SELECT bool_or(truncated) FROM shown) AS paths_truncated")
+def runtime_path_totals(spark, sf_dir):
+    return _bounded_paths(spark, sf_dir)[1]
+
+
 @query(with_sql("refs") + " SELECT path, line, col, callee_name, relation FROM refs ORDER BY path, line, col, callee_name, relation LIMIT 1000 OFFSET 2000")
 def result_page(spark, sf_dir):
     """The third page of all references in order."""

@@ -267,6 +267,29 @@ def rails_routes(spark, sf_dir):
     return overlays.routes(declared, methods)
 
 
+#: A statement of a route file for each part, by its key; files hold the parts of one brand and two hundred keys.
+_ROUTE = """CASE p_partkey % 13 WHEN 0 THEN concat('  get "/p', k, '", to: "', a, '#show"') WHEN 1 THEN concat('  post(', q, '/p', k, q, ', to: ', q, 'api/', a, '#make', q, ', as: :n', k, ')')
+ WHEN 2 THEN concat('  resources :a do', n, '    get "/hidden", to: "a#b"', n, '    if x', n, '    end', n, '  end') WHEN 3 THEN concat('  namespace :admin do  # ', k, n, '    root to: "a#b"', n, '  end') WHEN 4 THEN concat('  get "/p', k, '" => "a#b"')
+ WHEN 5 THEN concat('  delete "/p', k, '"') WHEN 6 THEN concat('  get "/p#{{x}}', k, '", to: "a#b"') WHEN 7 THEN '  put path, to: "a#b"' WHEN 8 THEN concat('  get "/p', k, '", to: "Bad', k, '"') WHEN 9 THEN concat('  get "/p', k, '", to: "a#b" if test?')
+ WHEN 10 THEN concat('  # get "/c', k, '", to: "c#d"') WHEN 11 THEN concat('  patch "/p', k, '",  # on', n, '', n, '    to: ', q, a, '#edit', q) ELSE concat('  match "/p', k, '", via: [:get]') END"""
+_ROUTE_FILES = f"""SELECT file, path, line FROM (SELECT concat(brand, '/', CAST(CAST(floor(p_partkey / 200) AS BIGINT) AS STRING), '/routes.rb') AS file, p_partkey AS path, {_ROUTE} AS line
+ FROM (SELECT *, p_brand AS brand, CAST(p_partkey AS STRING) AS k, lower(p_type) AS a, chr(10) AS n, chr(39) AS q FROM part) x) y"""
+
+
+@query("""WITH f AS (SELECT concat(p_brand, '/', p_partkey // 200, '/routes.rb') AS file, CAST(p_partkey AS STRING) AS k, lower(p_type) AS a, p_partkey % 13 AS m FROM part)
+ SELECT file, CASE m WHEN 0 THEN 'get' WHEN 1 THEN 'post' WHEN 11 THEN 'patch' END AS verb, CASE WHEN m IN (0, 1, 11) THEN '/p' || k END AS route, CASE m WHEN 0 THEN a || '#show' WHEN 1 THEN 'api/' || a || '#make' WHEN 11 THEN a || '#edit' END AS target,
+  CASE m WHEN 2 THEN 'resources' WHEN 3 THEN 'namespace' WHEN 4 THEN 'hash_rocket_target' WHEN 5 THEN 'missing_target' WHEN 6 THEN 'interpolated_literal' WHEN 7 THEN 'non_literal_path' WHEN 8 THEN 'malformed_target' WHEN 9 THEN 'conditional' WHEN 12 THEN 'match' END AS construct FROM f WHERE m <> 10""")
+def rails_route_scan(spark, sf_dir):
+    """Route files are composed from the parts, as the tables hold none, and scanned."""
+    from loomgraph.operators import rails
+
+    views(spark, sf_dir)
+    rows = spark.sql(_ROUTE_FILES.replace("{{", "{").replace("}}", "}"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n")
+    files = rows.groupBy(F.col("file").alias("path")).agg(F.concat(F.lit("Rails.application.routes.draw do\n"), body, F.lit("\nend\nputs 1\n")).alias("text"))
+    return rails.route_declarations(files).select(F.col("path").alias("file"), "verb", "route", "target", "construct")
+
+
 @query("""WITH a AS (SELECT p_partkey AS assoc_id, CASE p_size % 3 WHEN 0 THEN 'A::B' WHEN 1 THEN 'A' ELSE 'C' END AS owner, p_type AS name FROM part), m AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'A::B::' WHEN 1 THEN 'A::' ELSE '' END || CASE s_suppkey % 7 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'LARGE' ELSE 'X' || s_suppkey END AS name FROM supplier),
  c AS (SELECT DISTINCT assoc_id, unnest(CASE owner WHEN 'A::B' THEN ['A::B::' || name, 'A::' || name, name] ELSE [owner || '::' || name, name] END) AS model FROM a), g AS (SELECT name AS model, count(*) AS n FROM m GROUP BY 1),
  h AS (SELECT assoc_id, sum(n) AS n, min(model) AS model FROM c JOIN g USING (model) GROUP BY 1) SELECT a.assoc_id, CASE WHEN h.n IS NULL THEN 'UNRESOLVED' WHEN h.n = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS outcome, CASE WHEN h.n = 1 THEN h.model END AS model FROM a LEFT JOIN h USING (assoc_id)""")

@@ -79,15 +79,20 @@ def bm25(spark, sf_dir):
     return _bm25(spark, sf_dir)[2].withColumn("score", F.round("score", 5))
 
 
-@query(f"""WITH {BM25_SQL}, e AS (SELECT query_id, doc_id, 0 AS tier, 0.0 AS score FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON doc_id = query_id * 3 UNION ALL
- SELECT query_id, doc_id, 1, 0.0 FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON source = 'src' || (query_id + 1) UNION ALL SELECT query_id, doc_id, 2, score FROM r WHERE rank <= 20),
+#: What a document and a query show to the four exact tiers, in their order: id, qualified label, path, name.
+_DOC_KEYS = ("CAST(doc_id AS STRING)", "concat(source, '.', lang, '.', CAST(doc_id % 40 AS STRING))", "source", "concat(lang, '/', CAST(doc_id % 500 AS STRING))")
+_ASK_KEYS = ("CAST(query_id * 3 AS STRING)", "concat('src', CAST(query_id % 20 AS STRING), '.en.', CAST(query_id % 40 AS STRING))", "concat('src', CAST(query_id + 1 AS STRING))", "concat('en/', CAST(query_id % 500 AS STRING))")
+_EXACT = " UNION ALL ".join(f"SELECT query_id, doc_id, {i} AS tier, 0.0 AS score FROM (SELECT DISTINCT query_id FROM q) JOIN documents ON {d} = {a}" for i, (d, a) in enumerate(zip(_DOC_KEYS, _ASK_KEYS, strict=True)))
+
+
+@query(f"""WITH {BM25_SQL}, e AS ({_EXACT} UNION ALL SELECT query_id, doc_id, 4, score FROM r WHERE rank <= 20),
  b AS (SELECT query_id, doc_id, min(tier) AS tier, arg_min(score, tier) AS score FROM e GROUP BY 1, 2)
  SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9), doc_id) AS place FROM b QUALIFY place <= 50""")
 def retrieval_tiers(spark, sf_dir):
     d, q, ranked = _bm25(spark, sf_dir)
-    q = q.select("query_id", (F.col("query_id") * 3).alias("want_id"), F.concat(F.lit("src"), F.col("query_id") + 1).alias("want_source"))
-    d = d.select("doc_id", F.col("doc_id").alias("exact_id"), F.col("source").alias("exact_source"))
-    return text.tiered(d, q, [("exact_id", "want_id"), ("exact_source", "want_source")], ranked, 50)
+    q = q.select("query_id", *[F.expr(x).alias(f"want_{i}") for i, x in enumerate(_ASK_KEYS)])
+    d = d.select("doc_id", *[F.expr(x).alias(f"key_{i}") for i, x in enumerate(_DOC_KEYS)])
+    return text.tiered(d, q, [(f"key_{i}", f"want_{i}") for i in range(4)], ranked, 50)
 
 
 @query(f"WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOK.format('text')}, '  ') || ' ' AS t FROM documents) SELECT doc_id, CAST((length(t) - length(replace(t, ' of  the ', ''))) / 9 AS BIGINT) AS n FROM d WHERE contains(t, ' of  the ')")

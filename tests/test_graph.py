@@ -355,3 +355,22 @@ def test_incomplete_history_gives_no_records(spark):
     records, reasons = overlays.co_change_overlay(c, spark.createDataFrame([(3, 2), (2, 9)], "commit_id int, parent_id int"), 1, 50)
     assert records.collect() == [] and reasons == ["object_missing"]
     assert overlays.co_change_overlay(c, whole, 1, 50, truncated=True)[1] == ["commit_budget_exhausted"]
+
+
+def test_bounded_paths(spark):
+    rows = [("t", 1, None), ("t", 2, 1), ("t", 3, 2), ("t", 4, 2), ("t", 5, 1), ("u", 7, 99), ("u", 8, 7), ("v", 9, None)]
+    s = spark.createDataFrame(rows, "trace_id string, span_id long, parent_id long")
+
+    def run(**limits):
+        paths, totals = graph.bounded_paths(s, **limits)
+        return [(r.trace_id, r.path, r.origin, r.truncated) for r in sorted(paths.collect(), key=lambda r: r.place)], tuple(totals.first())
+
+    everything = [("t", [1, 2, 3], "trace_root", False), ("t", [1, 2, 4], "trace_root", False), ("t", [1, 5], "trace_root", False), ("u", [7, 8], "parent_not_in_artifact", False), ("v", [9], "trace_root", False)]
+    assert run() == (everything, (5, False))
+    assert run(max_paths=2) == (everything[:2], (5, True)) and run(max_paths=5) == (everything, (5, False))
+    assert run(max_path_length=2) == ([("t", [1, 2], "trace_root", True), *everything[2:]], (5, True))
+    assert run(max_path_length=1)[0] == [("t", [1], "trace_root", True), ("u", [7], "parent_not_in_artifact", True), ("v", [9], "trace_root", False)]
+    none = graph.bounded_paths(s.limit(0))
+    assert none[0].count() == 0 and tuple(none[1].first()) == (0, False)
+    with pytest.raises(ValueError):
+        graph.bounded_paths(s, max_paths=0)

@@ -36,6 +36,12 @@ def test_search_uses_one_matcher(spark):
             text.searched(f, pattern, regex=True)
 
 
+def test_listing_with_a_pattern(spark):
+    f = files(spark, [(p, "x") for p in ("a/b.py", "a/C.py", "a/d.txt", "a/e.py/x", "a/[z].py", "b.py")])
+    got = lambda p: [r.name for r in text.listed(f, "a", pattern=p).collect()]
+    assert got("*.py") == ["e.py", "[z].py", "b.py", "C.py"] and got("?.py") == ["e.py", "b.py", "C.py"] and got("[b-c].*") == ["b.py"] and got("[[]*") == ["[z].py"] and got("*.rb") == []
+
+
 def test_rationale_comments(spark):
     rows = [
         ("a.py", 1, "python", "# NOTE: why"), ("a.py", 3, "python", "# see ADR 7"), ("a.py", 4, "python", "#HACK:x"), ("a.rb", 5, "ruby", "#  x\n  # TODO: ADR-1"),
