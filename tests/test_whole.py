@@ -77,10 +77,12 @@ def test_context_pack_of_every_item(spark, run):
     assert (41, 7777) in {(r.query_id, r.doc_id) for r in run("context_pack", documents=docs.unionByName(one), benchmark=items)}
 
 
-def test_source_tier_of_late_documents(spark, run):
-    docs = spark.createDataFrame([(500, "one", "src4"), (501, "two", "src5"), (9, "three", "src9")], "doc_id long, text string, source string")
+def test_exact_tiers_of_late_documents(spark, run):
+    """By id, label, path and name, each before the next; what one tier has the later ones leave out."""
+    rows = [(500, "one", "src4", "xx"), (501, "two", "src5", "xx"), (9, "three", "src9", "xx"), (43, "four", "src3", "en"), (503, "five", "src7", "en"), (1003, "six", "src4", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     items = spark.createDataFrame([(3, "absent")], "item_id long, text string")
-    assert [(r.doc_id, r.tier) for r in sorted(run("retrieval_tiers", documents=docs, benchmark=items), key=lambda r: r.place)] == [(9, 0), (500, 1)]
+    assert [(r.doc_id, r.tier) for r in sorted(run("retrieval_tiers", documents=docs, benchmark=items), key=lambda r: r.place)] == [(9, 0), (43, 1), (500, 2), (1003, 2), (503, 3)]
 
 
 def test_bodies_are_compared_to_their_end(spark, run):
