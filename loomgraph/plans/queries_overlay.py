@@ -197,13 +197,19 @@ def package_binding(spark, sf_dir):
  x AS (SELECT m.mapping_id, m.q, d.*, CASE WHEN q = 5 THEN 1000000 ELSE 10 END AS stop FROM m LEFT JOIN d ON d.doc_id = m.pid)
  SELECT mapping_id, CASE WHEN sha IS NULL THEN 'document_not_in_snapshot' WHEN q = 1 THEN 'document_digest_mismatch' WHEN stop > nb THEN 'span_out_of_range' WHEN q = 2 THEN 'span_digest_mismatch' WHEN q = 3 THEN 'target_not_found' WHEN q = 4 THEN 'target_kind_unsupported' END AS reason FROM x""")
 def decision_mapping(spark, sf_dir):
-    """Texts are cut to ASCII-only spans by choosing the digest of the same bytes."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    docs = d.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha"), "text")
+    """The first characters stand as ASCII of the same number of bytes, so a span never cuts one; repeated documents are told apart by their place among their kin."""
+    from pyspark.sql import Window
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.sha2("text", 256).alias("sha"))
+    d = d.withColumn("path", F.concat_ws(":", "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha"))))
+    head = F.substring("text", 1, 10)
+    for chars, mark in ((r"[\x{80}-\x{7FF}]", "xx"), (r"[\x{800}-\x{FFFF}]", "xxx"), (r"[\x{10000}-\x{10FFFF}]", "xxxx")):
+        head = F.regexp_replace(head, chars, mark)
+    docs = d.select("path", "sha", F.concat(head, F.expr("substring(text, 11)")).alias("text"))
+    own = d.select(F.col("doc_id").alias("pid"), "path", F.col("sha").alias("__sha"), F.sha2(F.substring(F.encode(head, "UTF-8"), 1, 10), 256).alias("__span"))
     q = F.col("doc_id") % 7
-    m = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").join(d.select("doc_id", F.sha2("text", 256).alias("__sha"), F.sha2(F.expr("substring(encode(regexp_replace(text, '[^ -~]', 'x'), 'UTF-8'), 1, 10)"), 256).alias("__span")), "doc_id", "left")
-    docs = docs.withColumn("text", F.concat(F.regexp_replace(F.substring("text", 1, 10), "[^ -~]", "x"), F.expr("substring(text, 11)")))
-    m = m.select(F.col("doc_id").alias("mapping_id"), F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("doc_id")).alias("path"), F.when(q == 1, "no").otherwise(F.col("__sha")).alias("sha"), F.lit(0).alias("start"), F.when(q == 5, 1000000).otherwise(10).alias("stop"), F.when(q == 2, "no").otherwise(F.col("__span")).alias("span_sha"),
+    m = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("doc_id")).alias("pid")).join(own, "pid", "left")
+    m = m.select(F.col("doc_id").alias("mapping_id"), "path", F.when(q == 1, "no").otherwise(F.col("__sha")).alias("sha"), F.lit(0).alias("start"), F.when(q == 5, 1000000).otherwise(10).alias("stop"), F.when(q == 2, "no").otherwise(F.col("__span")).alias("span_sha"),
                  F.lit("a.py").alias("target_path"), F.when(q == 4, "field").otherwise("class").alias("target_kind"), F.when(q == 3, "Gone").otherwise("Here").alias("target_name"))
     return overlays.decision_links(m, docs, spark.createDataFrame([("a.py", "class", "Here")], "path string, kind string, name string"))
 
