@@ -1,4 +1,7 @@
-"""Range joins by binning: a point or interval meets only what shares a bin of its level."""
+"""Range joins by binning: a point or interval meets only what shares a bin of its level.
+
+Neither side is broadcast, as a table that is small as a file may have very many rows.
+"""
 
 from __future__ import annotations
 
@@ -24,19 +27,24 @@ def _binned(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return d.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
 
 
-def _probing(df: DataFrame, lo: str, hi: str, above: int = 0) -> DataFrame:
-    """Each interval once per bin it touches, on every level from its own (plus ``above``) up: two bins a level at most."""
-    d = df.withColumn("__own", _level(F.col(lo), F.col(hi)))
-    d = d.withColumn("__level", F.explode(F.filter(F.array(*[F.lit(k) for k in LEVELS]), lambda k: (k > F.col("__own")) if above else (k >= F.col("__own"))))).drop("__own")
+def _used(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """One row: the levels (``__used``) that these intervals use."""
+    return df.select(_level(F.col(lo), F.col(hi)).alias("__level")).agg(F.collect_set("__level").alias("__used"))
+
+
+def _probing(df: DataFrame, lo: str, hi: str, used: DataFrame, above: int = 0) -> DataFrame:
+    """Each interval once per bin it touches, on every ``used`` level from its own (plus ``above``) up: two bins a level at most."""
+    d = df.crossJoin(F.broadcast(used)).withColumn("__own", _level(F.col(lo), F.col(hi)))
+    d = d.withColumn("__level", F.explode(F.filter("__used", lambda k: (k > F.col("__own")) if above else (k >= F.col("__own"))))).drop("__own", "__used")
     width = F.pow(F.lit(2.0), "__level").cast("long")
     return d.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
 
 
 def containing(points: DataFrame, intervals: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
     """Inner join: intervals with the same key and lo <= point <= hi. A point is in one bin per level, so no pair comes twice."""
-    p = _probing(points, point, point)
+    p = _probing(points, point, point, _used(intervals, lo, hi))
     i = _binned(intervals, lo, hi)
-    return p.join(i, [key, "__level", "__bin"]).filter((F.col(lo) <= F.col(point)) & (F.col(point) <= F.col(hi))).drop("__level", "__bin")
+    return p.join(i.hint("merge"), [key, "__level", "__bin"]).filter((F.col(lo) <= F.col(point)) & (F.col(point) <= F.col(hi))).drop("__level", "__bin")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
@@ -47,19 +55,20 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str],
     left = left.withColumn("__hi", F.greatest(F.col(a[1]), F.col(a[0]) + 1))
     width = F.pow(F.lit(2.0), F.col("__level")).cast("long")
     first = F.greatest(F.floor(F.col(a[0]) / width), F.floor(F.col(b[0]) / width))
-    sides = ((_probing(left, a[0], "__hi"), _binned(right, b[0], b[1])), (_binned(left, a[0], "__hi"), _probing(right, b[0], b[1], above=1)))
-    met = [x.join(y, [key, "__level", "__bin"]).filter((F.col(a[0]) < F.col(b[1])) & (F.col("__hi") > F.col(b[0])) & (F.col("__bin") == first)).drop("__level", "__bin", "__hi") for x, y in sides]
+    sides = ((_probing(left, a[0], "__hi", _used(right, b[0], b[1])), _binned(right, b[0], b[1])), (_binned(left, a[0], "__hi"), _probing(right, b[0], b[1], _used(left, a[0], "__hi"), above=1)))
+    met = [x.join(y.hint("merge"), [key, "__level", "__bin"]).filter((F.col(a[0]) < F.col(b[1])) & (F.col("__hi") > F.col(b[0])) & (F.col("__bin") == first)).drop("__level", "__bin", "__hi") for x, y in sides]
     return met[0].unionByName(met[1])
 
 
-def innermost(points: DataFrame, symbols: DataFrame, ids: list[str], line: str = "line") -> DataFrame:
+def innermost(points: DataFrame, symbols: DataFrame, ids: list[str], line: str = "line", distinct: bool = False) -> DataFrame:
     """``points`` with the innermost symbol around them: the smallest span, then the latest start, then the name; null if none.
 
-    ``symbols`` has path, line_start, line_end, name, kind. ``ids`` identify a point.
+    ``symbols`` has path, line_start, line_end, name, kind. ``ids`` identify a point;
+    ``distinct`` tells that no point is there twice.
     """
     s = symbols.select("path", F.col("line_start").alias("__lo"), F.col("line_end").alias("__hi"), F.col("name").alias("__name"), F.col("kind").alias("__kind"))
     best = (
-        containing(points.select(*ids).distinct(), s, "path", line, "__lo", "__hi")
+        containing(points.select(*ids) if distinct else points.select(*ids).distinct(), s, "path", line, "__lo", "__hi")
         .groupBy(*ids)
         .agg(F.min(F.struct((F.col("__hi") - F.col("__lo")).alias("span"), (-F.col("__lo")).alias("late"), F.col("__name").alias("name"), F.col("__kind").alias("kind"))).alias("__s"))
         .select(*ids, F.col("__s.name").alias("source_name"), F.col("__s.kind").alias("source_kind"))
@@ -76,7 +85,7 @@ def declared_first(points: DataFrame, symbols: DataFrame) -> DataFrame:
     keys = ["path", "line", "source_name", "source_kind"]
     p = points.select(*keys).distinct()
     # name and kind are part of the join key, so the range condition meets few rows
-    best = p.join(s, ["path", "source_name", "source_kind"]).filter((F.col("__lo") <= F.col("line")) & (F.col("line") <= F.col("__hi"))).groupBy(*keys).agg(F.min(F.struct("__lo", "__id")).alias("__b"))
+    best = p.join(s.hint("merge"), ["path", "source_name", "source_kind"]).filter((F.col("__lo") <= F.col("line")) & (F.col("line") <= F.col("__hi"))).groupBy(*keys).agg(F.min(F.struct("__lo", "__id")).alias("__b"))
     return points.join(best.select(*keys, F.col("__b.__lo").alias("source_line_start")), keys, "left")
 
 

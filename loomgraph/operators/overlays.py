@@ -25,10 +25,12 @@ def covered_spans(executions: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``executions`` (path, line_from, line_to exclusive, test); ``spans`` (path, span_id, start, stop exclusive, header_end).
     """
-    met = overlapping(executions, spans, "path", ("line_from", "line_to"), ("start", "stop"))
+    # a test runs the same lines many times: equal executions become one, with their number, before they meet spans
+    runs = executions.groupBy("path", "line_from", "line_to", "test").agg(F.count(F.lit(1)).alias("__runs"))
+    met = overlapping(runs, spans, "path", ("line_from", "line_to"), ("start", "stop"))
     lines = F.least("line_to", "stop") - F.greatest("line_from", "start")
     body = F.greatest("line_to", F.col("line_from") + 1) - 1 > F.col("header_end")
-    return met.groupBy("path", "span_id", "test").agg(F.sum(F.greatest(lines, F.lit(1))).alias("lines"), F.bool_or(body).alias("body"))
+    return met.groupBy("path", "span_id", "test").agg(F.sum(F.greatest(lines, F.lit(1)) * F.col("__runs")).alias("lines"), F.bool_or(body).alias("body"))
 
 
 def coverage_state(spans: DataFrame, covered: DataFrame, observed_files: DataFrame, stale_files: DataFrame, listed_files: DataFrame | None = None) -> DataFrame:
