@@ -128,8 +128,10 @@ def commit_classes(commits: DataFrame, bulk: int, prefixes: tuple[str, ...] = ()
 def co_change(commits: DataFrame, bulk: int, **generated) -> DataFrame:
     """(a, b, support, commits): pairs of paths changed together; a commit has ``bulk`` paths at most, so pairs stay linear in commits."""
     rows, classes = commit_classes(commits, bulk, **generated)
-    r = rows.join(classes.filter("class = 'pair'").select("commit_id"), "commit_id")
-    p = r.select("commit_id", F.col("path").alias("a")).join(r.select("commit_id", F.col("path").alias("b")), "commit_id").filter("a < b")
+    r = rows.join(classes.filter("class = 'pair'").select("commit_id"), "commit_id", "left_semi")
+    # no more than ``bulk`` paths a commit: the pairs come from their array, without a second look at the rows
+    r = r.groupBy("commit_id").agg(F.sort_array(F.collect_list("path")).alias("__paths")).select("commit_id", "__paths", F.posexplode("__paths").alias("__i", "a"))
+    p = r.select("commit_id", "a", F.explode(F.slice("__paths", F.col("__i") + 2, F.size("__paths"))).alias("b"))
     return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"), F.sort_array(F.collect_list("commit_id")).alias("commits"))
 
 
