@@ -7,6 +7,9 @@ and its SQL check start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.operators.tables import bounded, kept
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -60,7 +63,47 @@ def views(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def reference_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct (path, line) of ``refs``: only the numbers that a place is made of are told apart."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("line"), (F.col("l_suppkey") % 25).alias("__s"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("line"))
+    places = lines.repartition("line").distinct().join(parts.hint("merge"), "line", "left_semi")
+    return places.select(F.concat(F.lit("Brand#"), (1 + F.col("__s")).cast("string")).alias("path"), "line")
+
+
+def _references(spark: SparkSession, sf_dir: str, files: bool, called: str | None = None) -> DataFrame:
+    """``refs`` or ``file_refs``: the same rows as their SQL. Lines become distinct by their numbers, before they get names, and meet
+        their parts where they are: parts are small as a file but not as rows, so they are not copied to every task. With ``called``
+    only the parts that may give this name are looked up."""
+    key, supplier, place = F.col("l_partkey"), F.col("l_suppkey") % 25, F.col("l_linenumber")
+    # distinct rows have distinct names, but for missing ones
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(key.isNotNull()).select(key.alias("line"), place.alias("col"), F.col("l_returnflag").eqNullSafe("R").alias("__r"), F.col("l_returnflag").isNull().alias("__none"), supplier.alias("__s"))
+    stem = F.concat("p_name", F.lit("/"), "p_type", F.lit("/"))
+    whole = stem.isNotNull() & F.col("p_size").isNotNull()
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("line"), F.when(whole, stem).alias("__stem"), F.when(whole, F.col("p_size")).alias("__size")).distinct()
+    if called is None:
+        lines = lines.repartition("line").distinct()
+    else:
+        may = [F.concat("__stem", (F.col("__size") + k).cast("string")) == called for k in (0, 1)]
+        parts = kept(parts.filter(may[0] | may[1]))
+        lines = lines.join(bounded(parts.select("line").distinct()), "line", "left_semi").distinct()
+    path = F.concat(F.lit("Brand#"), (1 + F.col("__s")).cast("string"))
+    if files:
+        path = F.concat(path, F.lit("/"), F.floor(F.col("line") / 10).cast("bigint").cast("string"), F.lit(".py"))
+    relation = F.when(F.col("col") % 4 == 2, "construct").when(F.col("col") % 4 == 3, "superclass").otherwise("call")
+    name = F.concat("__stem", (F.col("__size") + F.col("col") % 2).cast("string"))
+    out = lines.join(parts.hint("merge"), "line").select(F.lit("python").alias("lang"), name.alias("callee_name"), relation.alias("relation"), F.when(~F.col("__none"), F.col("__r")).alias("qualified"), path.alias("path"), "line", "col")
+    return out if called is None else out.filter(F.col("callee_name") == called)
+
+
+def references_of(spark: SparkSession, sf_dir: str, called: str) -> DataFrame:
+    """The rows of ``refs`` with this name."""
+    return _references(spark, sf_dir, False, called)
+
+
 def projected(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("refs", "file_refs"):
+        return _references(spark, sf_dir, name == "file_refs")
     sql = PROJECTIONS[name]
     for t in TABLES:
         if t in sql.replace("\n", " ").replace(",", " ").split():
