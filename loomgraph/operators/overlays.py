@@ -114,11 +114,17 @@ def linkage_counts(links: DataFrame) -> DataFrame:
 # history
 
 
+#: Pieces of a shuffle partition that commits are dealt to: a task holds the distinct paths of its commits.
+PIECES = 8
+
+
 def commit_classes(commits: DataFrame, bulk: int, prefixes: tuple[str, ...] = (), names: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), most_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Eligible (commit_id, path) rows, and (commit_id, n, class): merge, oversized, bulk, empty, single or pair.
 
     With ``most_bytes`` a commit whose diff (column diff_bytes) is larger is oversized. Generated paths and links to other repositories (mode 160000) go before the size is taken.
     """
+    n = PIECES * int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    commits = commits.repartition(n, "commit_id")
     keep = ~scalars.generated(F.col("path"), prefixes, names, suffixes) & (F.col("mode") != "160000")
     per = commits.groupBy("commit_id").agg(F.max("parents").alias("parents"), F.countDistinct(F.when(keep, F.col("path"))).alias("n"), F.max((F.col("diff_bytes") > most_bytes) if most_bytes is not None else F.lit(False)).alias("__large"))
     per = per.withColumn("class", first_of((F.col("parents") > 1, "merge"), (F.col("__large"), "oversized"), (F.col("n") > bulk, "bulk"), (F.col("n") == 0, "empty"), (F.col("n") == 1, "single"), default="pair"))
