@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
+from loomgraph.operators.tables import kept
 from loomgraph.operators import graph, overlays, text
 
 
@@ -157,6 +158,6 @@ def raw_changes(log: DataFrame) -> DataFrame:
 
 
 def community_quality(assertions: DataFrame) -> DataFrame:
-    links = assertions.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    links = kept(assertions.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     return graph.quality(graph.communities(nodes, links), links)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import spans
 from loomgraph.operators import evidence, resolve
-from loomgraph.plans.projection import projected, views, with_sql
+from loomgraph.plans.projection import assertion_links, projected, views, with_sql
 from loomgraph.plans.queries_text import BM25_SQL, DIVERSITY
 from loomgraph.plans.queries_overlay import _COVER, _PART_SPANS
 from loomgraph.registry import query
@@ -177,7 +177,7 @@ def context_pack(spark, sf_dir):
 @query()
 def community_quality(spark, sf_dir):
     """Modularity of the order-dependent communities; the tests check it on a published graph."""
-    return evidence.community_quality(projected(spark, sf_dir, "assertions").filter("confidence in ('EXTRACTED', 'INFERRED')"))
+    return evidence.community_quality(assertion_links(spark, sf_dir).filter("confidence in ('EXTRACTED', 'INFERRED')"))
 
 
 _RAW = "SELECT o_orderkey AS commit_id, 1 AS parents, concat(':100644 100644 a b M', chr(0), 'src/', CAST(o_custkey AS STRING), '.py', chr(0), ':100644 000000 a b D', chr(0), '../x', chr(0), ':100644 100644 a b R100', chr(0), 'old/', CAST(o_orderkey AS STRING), chr(0), 'new/', CAST(o_orderkey AS STRING), chr(0)) AS raw FROM orders"
