@@ -127,6 +127,103 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 SHARE, ALONE = 8, 200_000
 
 
+class _Sweep:
+    """The sweep of one range: ``stack`` has the gaps that nobody took yet, (sequence_id, gap)."""
+
+    def __init__(self, many: list[int], capacity: int):
+        self.many, self.capacity = many, capacity
+        self.stack: list[tuple[int, int]] = []
+        self._done: list[tuple[int, int]] = []
+        self._bin: tuple[int, int] | None = None
+        self._unit, self._count, self._inside, self._waits = -1, 0, 0, 0
+
+    def _close(self) -> None:
+        if self._bin is not None:
+            self._done.append((self._bin[0], self._bin[1] - self._inside - self._unit))
+            self._bin = None
+
+    def over(self, lengths: list, bins: list, gaps: list) -> list[tuple]:
+        """(sequence_id, offset, at, in) of the documents among the next rows, in their order."""
+        out: list[tuple] = []
+        for length, seq, gap in zip(lengths, bins, gaps, strict=True):
+            if seq is None and length == self._unit and self._count < self.many[length]:
+                self._count, self._inside = self._count + 1, self._inside + length
+            else:
+                self._close()
+                if seq is not None:
+                    self.stack.append((seq, gap))
+                    self._unit = -1
+                    continue
+                self._unit, self._count, self._inside = length, 1, 0
+                self._bin = self.stack.pop() if self.stack else None
+                self._waits += self._bin is None
+            b = self._bin
+            out.append((None, None, self._waits - 1, self._inside) if b is None else (b[0], self.capacity - b[1] + self._inside, None, self._inside))
+        return out
+
+    def shrunk(self, end: bool = False) -> list[tuple[int, int]]:
+        """What is left of the gaps that were taken since the last call; at the end, of the one in use too."""
+        if end:
+            self._close()
+        out, self._done = self._done, []
+        return out
+
+
+def _opening(counts: np.ndarray, gaps: np.ndarray, capacity: int) -> tuple[int, int, np.ndarray]:
+    """What a round begins with, from the documents and gaps of each size: the smallest gap of use, how many sequences open, and how
+    many documents of each length go together."""
+    size = np.arange(capacity + 1)
+    least = int(np.flatnonzero(counts)[0])  # gaps below the smallest document are closed
+    gaps = gaps * (size >= least)
+    over = counts * (size > (np.flatnonzero(gaps).max() if gaps.any() else 0))  # documents that no gap holds
+    more = max(int(over[size > capacity // 2].sum()), -(-int((over * size).sum()) // capacity))
+    return least, more, np.maximum(1, np.minimum(counts // (gaps.sum() + more), capacity // SHARE // np.maximum(size, 1)))
+
+
+def _finished(rows: DataFrame, names: list[str], opened: int, capacity: int) -> DataFrame:
+    """All rounds that are left, where one task sweeps the documents and gaps alone: (names, sequence_id, offset). ``rows`` has a
+    document's __tie too; ``opened`` is the first free sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not found:
+            return
+        table = pa.Table.from_batches(found)
+        docs = table.filter(pc.is_null(table.column("sequence_id")))
+        free = table.filter(pc.is_valid(table.column("sequence_id")))
+        seq, gap = (free.column(c).to_numpy() for c in ("sequence_id", "gap"))
+        length, tie, last = docs.column("length").to_numpy(), docs.column("__tie").to_numpy(), opened
+        where, offset = np.full(len(length), -1, np.int64), np.zeros(len(length), np.int64)
+        left = np.arange(len(length))
+        while len(left):
+            counts = np.bincount(length[left], minlength=capacity + 1)
+            least, more, together = _opening(counts, np.bincount(gap, minlength=capacity + 1), capacity)
+            seq, gap = seq[gap >= least], gap[gap >= least]
+            seq, gap = np.append(seq, np.arange(last, last + more)), np.append(gap, np.full(more, capacity))
+            last += more
+            # largest first, gaps before documents of their size
+            n = length[left]
+            key = np.append(-gap, -n * together[n])
+            order = np.lexsort((np.append(seq, tie[left]), np.append(np.zeros(len(gap), np.int64), n), np.arange(len(key)) >= len(gap), key))
+            at = order - len(gap)
+            sweep = _Sweep(together.tolist(), capacity)
+            of_bin = [None if a >= 0 else q for a, q in zip(at.tolist(), np.append(seq, n)[order].tolist(), strict=True)]
+            got = sweep.over(np.append(gap, n)[order].tolist(), of_bin, np.append(gap, n)[order].tolist())
+            swept = left[at[at >= 0]]
+            where[swept] = [-1 if g[0] is None else g[0] for g in got]
+            offset[swept] = [0 if g[1] is None else g[1] for g in got]
+            rest = sweep.shrunk(end=True) + sweep.stack
+            seq, gap = (np.array(x, np.int64) for x in zip(*rest, strict=True))
+            left = left[where[left] < 0]
+        for lo in range(0, len(length), 10_000):
+            part = docs.slice(lo, 10_000).combine_chunks()
+            more = [pa.array(x[lo : lo + 10_000], pa.int64()) for x in (where, offset)]
+            yield from pa.Table.from_arrays([*[part.column(c) for c in names], *more], names=[*names, "sequence_id", "offset"]).combine_chunks().to_batches()
+
+    types = dict(rows.dtypes)
+    return rows.coalesce(1).mapInArrow(run, ", ".join(f"`{n}` {types[n]}" for n in names) + ", sequence_id long, offset long")
+
+
 def _swept(rows: DataFrame, names: list[str], together: np.ndarray, capacity: int) -> DataFrame:
     """One sweep of each range. Documents have sequence_id and offset, or else their unit's number among those that wait in the
     range (__at) and their place in the unit (__in). Gaps that shrank come with what is left of them; those that nobody took have
@@ -136,10 +233,7 @@ def _swept(rows: DataFrame, names: list[str], together: np.ndarray, capacity: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        stack: list[tuple[int, int]] = []
-        shrunk: list[tuple[int, int, int | None]] = []
-        unit, count, inside, waits = -1, 0, 0, 0
-        bin_: tuple[int, int] | None = None
+        sweep = _Sweep(many, capacity)
         kinds = None
 
         def gaps_of(some: list[tuple[int, int, int | None]]) -> pa.RecordBatch:
@@ -150,34 +244,17 @@ def _swept(rows: DataFrame, names: list[str], together: np.ndarray, capacity: in
 
         for batch in batches:
             kinds = {n: batch.schema.field(n).type for n in names}
-            lengths, bins, gaps = (batch.column(c).to_pylist() for c in ("length", "sequence_id", "gap"))
-            out: list[tuple] = []
-            for length, seq, gap in zip(lengths, bins, gaps, strict=True):
-                if seq is None and length == unit and count < many[length]:
-                    count, inside = count + 1, inside + length
-                else:
-                    if bin_ is not None:
-                        shrunk.append((bin_[0], bin_[1] - inside - unit, None))
-                        bin_ = None
-                    if seq is not None:
-                        stack.append((seq, gap))
-                        unit = -1
-                        continue
-                    unit, count, inside = length, 1, 0
-                    bin_ = stack.pop() if stack else None
-                    waits += bin_ is None
-                out.append((None, None, waits - 1, inside) if bin_ is None else (bin_[0], capacity - bin_[1] + inside, None, inside))
+            out = sweep.over(*(batch.column(c).to_pylist() for c in ("length", "sequence_id", "gap")))
             docs = batch.filter(pc.is_null(batch.column("sequence_id")))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             more = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())]
             yield pa.RecordBatch.from_arrays([*[docs.column(n) for n in names], *more], names=[*names, *added])
-            if shrunk:
-                yield gaps_of(shrunk)
-                shrunk = []
-        if bin_ is not None:
-            yield gaps_of([(bin_[0], bin_[1] - inside - unit, None)])
-        for lo in range(0, len(stack), 10_000):
-            yield gaps_of([(q, g, lo + i) for i, (q, g) in enumerate(stack[lo : lo + 10_000])])
+            if shrunk := sweep.shrunk():
+                yield gaps_of([(q, g, None) for q, g in shrunk])
+        if shrunk := sweep.shrunk(end=True):
+            yield gaps_of([(q, g, None) for q, g in shrunk])
+        for lo in range(0, len(sweep.stack), 10_000):
+            yield gaps_of([(q, g, lo + i) for i, (q, g) in enumerate(sweep.stack[lo : lo + 10_000])])
 
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", sequence_id long, offset long, gap long, __part int, __at long, __in long"
@@ -220,36 +297,31 @@ def _histograms(capacity: int, **tables: DataFrame) -> dict[str, np.ndarray]:
 def place(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Append sequence_id and offset to a written table of pieces."""
     spark, names = table.sparkSession, table.columns
-    size = np.arange(capacity + 1)
     left, counts = table, _histograms(capacity, left=table.select("length"))["left"]
     bins, gaps, opened, placed = None, np.zeros(capacity + 1, np.int64), 0, []
     null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    tie = F.xxhash64("doc_id", "piece", "ids_crc32").alias("__tie")
     while counts.any():
-        # gaps below the smallest document are closed
-        least = int(np.flatnonzero(counts)[0])
-        gaps = gaps * (size >= least)
-        over = counts * (size > (np.flatnonzero(gaps).max() if gaps.any() else 0))  # documents that no gap holds
-        if over.any():
-            more = max(int(over[size > capacity // 2].sum()), -(-int((over * size).sum()) // capacity))
+        if counts.sum() + gaps.sum() <= ALONE:
+            rows = left.select(*names, null("sequence_id", "long"), null("gap", "long"), tie)
+            if bins is not None:
+                rows = rows.unionByName(bins.select(*[null(c, k) for c, k in table.dtypes], "sequence_id", "gap", null("__tie", "long")))
+            placed.append(written(_finished(rows, names, opened, capacity), "finished"))
+            break
+        least, more, together = _opening(counts, gaps, capacity)
+        if more:
             fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
             bins = fresh if bins is None else bins.unionByName(fresh)
-            opened, gaps = opened + more, gaps + more * (size == capacity)
-        together = np.maximum(1, np.minimum(counts // gaps.sum(), capacity // SHARE // np.maximum(size, 1)))
+            opened += more
         wide = F.broadcast(spark.createDataFrame([(int(n), int(n * together[n])) for n in np.flatnonzero(counts)], "length long, __wide long"))
-        docs = left.join(wide, "length").select(*names, null("sequence_id", "long"), null("gap", "long"), (-F.col("__wide")).alias("__key"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("__tie"))
+        docs = left.join(wide, "length").select(*names, null("sequence_id", "long"), null("gap", "long"), (-F.col("__wide")).alias("__key"), tie)
         free = bins.filter(F.col("gap") >= least).select(*[null(c, k) for c, k in table.dtypes], "sequence_id", "gap", (-F.col("gap")).alias("__key"), F.col("sequence_id").alias("__tie"))
         order = ["__key", F.col("sequence_id").isNull(), "length", "__tie"]
-        rows, alone = free.unionByName(docs), counts.sum() + gaps.sum() <= ALONE
-        rows = rows.coalesce(1) if alone else rows.repartitionByRange(n_parts(spark), *order)
+        rows = free.unionByName(docs).repartitionByRange(n_parts(spark), *order)
         swept = written(_swept(rows.sortWithinPartitions(*order).select(*names, "sequence_id", "gap"), names, together, capacity), "swept")
-        placed.append(swept.filter("offset is not null").select(*names, "sequence_id", "offset"))
-        if alone:  # one range: what waits is longer than every gap that is left
-            rest, bins = swept, swept.filter("gap is not null")
-        else:
-            rest = written(_met(swept, names, capacity), "met")
-            placed.append(rest.filter("offset is not null").select(*names, "sequence_id", "offset"))
-            bins = swept.filter("gap is not null and __at is null").select("sequence_id", "gap").unionByName(rest.filter("gap is not null").select("sequence_id", "gap"))
-        bins = bins.select("sequence_id", "gap")
+        rest = written(_met(swept, names, capacity), "met")
+        placed += [x.filter("offset is not null").select(*names, "sequence_id", "offset") for x in (swept, rest)]
+        bins = swept.filter("gap is not null and __at is null").select("sequence_id", "gap").unionByName(rest.filter("gap is not null").select("sequence_id", "gap"))
         left = rest.filter("gap is null and offset is null").select(*names)
         found = _histograms(capacity, left=left.select("length"), bins=bins.select("gap"))
         counts, gaps = found["left"], found["bins"]
@@ -271,7 +343,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """(sequence_id, ids): the packed sequences themselves, little-endian unsigned 32-bit ids."""
-    placed = place(written(pieces(docs, capacity, tokenizer, ids=True), "pieces"), capacity)
+    table = written(pieces(docs, capacity, tokenizer, ids=True).withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    placed = place(table.drop("ids"), capacity).select("__row", "sequence_id", "offset").join(table.select("__row", "ids"), "__row")
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return placed.groupBy("sequence_id").agg(F.expr("concat(unhex(''))").alias("__e"), parts.alias("__p")).select("sequence_id", F.aggregate(F.transform("__p", lambda p: p["ids"]), F.col("__e"), lambda a, b: F.concat(a, b)).alias("ids"))
 
