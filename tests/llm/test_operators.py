@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, suffix_dedup, topk
+from loomgraph.llm import common, embedding_dedup, jaccard_join, language, packing, pieces, quality, sharding, suffix_dedup, topk
 from loomgraph.llm.common import components, written
 
 from llm_plain import DOCS, jaccard_plain, joined, near_copies, removed_plain, repeated_texts, table
@@ -25,6 +25,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    nodes = rng.permutation(2000).tolist()
+    pairs = [*zip(nodes[:1000], nodes[1:1000]), *[(int(a), int(b)) for a, b in rng.choice(nodes[1000:], (600, 2))]]
+    want = joined({x for p in pairs for x in p}, pairs)
+    tables = []
+    monkeypatch.setattr(common, "written", lambda df, label, narrow=False: tables.append(label) or written(df, label, narrow))
+    for few, most in ((common.FEW_LINKS, 2), (0, 100)):
+        monkeypatch.setattr(common, "FEW_LINKS", few)
+        tables.clear()
+        got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == {i: c for i, c in want.items() if i in got} and len(got) >= 1000 and len(tables) <= most
+
+
 # 1
 
 
