@@ -14,6 +14,8 @@ documents share a word, they meet its smallest member first; those that are not
 connected by then are tied into clusters and compared in blocks of bounded size,
 sketch against sketch, nearest first. A block verifies what it compares and gives
 a forest of links, so no group is written out as its pairs and no link is lost.
+Groups that links have connected by then are not gathered again. More than
+``WAVE`` shingles go in waves of words, which bounds what is on disk at once.
 Documents that link share k - d words, not just one: each may leave out its
 k - d - 1 most common words, and the rarest word that both have is still there.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from loomgraph.llm.textbytes import by_bucket, chunks, distinct, mix, shingles,
 SMALL = 8
 #: Longs of the dense sketch; sketch words in a bucket of the join, and in a block of documents that is looked at before.
 LONGS, BUCKET, BLOCK = 16, 200_000, 300_000
+#: Shingles of all documents above which their words meet in so many waves, one after the other: a wave's words alone are on disk at once.
+WAVE, WAVES = 20_000_000, 2
 #: Bit of a code: its document stands for a group that is large in its task. The bits below hold the rest of the code.
 STANDS = 128
 #: A band spans this many steps of the similarity.
@@ -229,8 +234,8 @@ class _Hot:
         return seen, np.stack([self.lead[at[use]], ident[use]])
 
 
-def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
-    """Sketch words packed by bucket. Blocks of documents are looked at before: equal sets count once, and a group that is
+def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int, wave: int = 0, waves: int = 1) -> DataFrame:
+    """Sketch words of one wave packed by bucket; a word is of one wave with all its documents. Blocks of documents are looked at before: equal sets count once, and a group that is
     large in one meets there. One member of it goes on for the whole task, marked, so what a word's bucket gets does not
     follow the group; the members are dealt evenly over all buckets."""
 
@@ -265,6 +270,9 @@ def _emit(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
                     continue
                 ident, _ = _marks(row, h, hi - lo)
                 who, key, code = _sketch_words(row, h, hi - lo, bands)
+                if waves > 1:
+                    mine = (key >> np.uint64(40)) % np.uint64(waves) == wave
+                    who, key, code = who[mine], key[mine], code[mine]
                 found.append((key, ident[who], code))
                 held += len(key)
                 if held > BLOCK:
@@ -500,8 +508,10 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     classes = table.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in _ROW])
     classes = written(classes, "classes", narrow=True)
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
-    buckets = max(n_parts(spark), math.ceil(total / 3 / BUCKET))
-    met = written(_emit(docs, k, bands, buckets).groupBy("bucket").applyInArrow(_meet, "large boolean, a long, b long, code int"), "met")
+    waves = WAVES if total > WAVE else 1
+    buckets = max(n_parts(spark), math.ceil(total / 3 / BUCKET / waves))
+    tables = [written(_emit(docs, k, bands, buckets, i, waves).groupBy("bucket").applyInArrow(_meet, "large boolean, a long, b long, code int"), "met") for i in range(waves)]
+    met = reduce(DataFrame.union, tables)
     side = lambda x: classes.select(F.col("f1").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"r_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in _ROW])
     far = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _ROW), F.lit(0))
     pairs = met.filter("not large").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter("r_a != r_b")
@@ -522,8 +532,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     if not more.isEmpty():
         links = links.union(more)
         comp = written(components(links), "connected", narrow=True)
-    large = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("f1"), "code").distinct()
-    if not large.isEmpty():
+    large = _split(tables, classes, comp, waves)
+    dropped(*tables)
+    if large is not None:
         # every document leaves out its most common words, one fewer than it shares with any that links
         often = large.groupBy("key").agg(F.count(F.lit(1)).alias("__size"))
         w = Window.partitionBy("f1", F.col("code") % 2).orderBy(F.desc("__size"), "key")
@@ -535,6 +546,27 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _split(met: list[DataFrame], classes: DataFrame, comp: DataFrame, parts: int) -> DataFrame | None:
+    """(key, f1, code) of the large groups whose members are not all connected yet; None if there is none.
+
+    Documents that link and are apart share only such groups (smaller ones were verified as all their pairs), so what holds for the
+    words that they share holds for these alone. Groups are looked at in ``parts`` by their keys, one after the other.
+    """
+    of = classes.select("f1", F.col("rep").alias("id")).join(comp, "id", "left").select("f1", F.coalesce("component", "id").alias("__c"))
+    of = written(of, "placed", narrow=True)
+    found = []
+    for table in met:
+        for i in range(parts):
+            some = table.filter("large").select(F.col("a").alias("key"), F.col("b").alias("f1"), "code").filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == i)
+            ends = some.select("key", "f1").join(of, "f1").groupBy("key").agg(F.min("__c").alias("__low"), F.max("__c").alias("__high"))
+            keys = written(ends.filter("__low != __high").select("key"), "split", narrow=True)
+            if not keys.isEmpty():
+                found.append(written(some.join(keys, "key", "left_semi").distinct(), "apart"))
+            dropped(keys)
+    dropped(of)
+    return reduce(DataFrame.union, found) if found else None
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs that are in different components."""
     c = lambda x: comp.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
